@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import sharding, url_filter
+from . import sharding, simhash, substring, url_filter
 
 
 def table(spark, sf_dir, name):
@@ -26,5 +26,18 @@ def op7_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir))
 
 
-QUERIES = {"op6_sharding": op6_sharding, "op7_url_filter": op7_url_filter}
+def op9_substring_dedup(spark, sf_dir):
+    return substring.digest_without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark, sf_dir):
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op6_sharding": op6_sharding,
+    "op7_url_filter": op7_url_filter,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_simhash": op10_simhash,
+}
 ORACLE_SQL: dict[str, str] = {}
