@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import sharding, simhash, substring, url_filter
+from . import embed_dedup, sharding, simhash, substring, topk, url_filter
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op5_embedding_dedup(spark, sf_dir):
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -35,6 +43,8 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
     "op9_substring_dedup": op9_substring_dedup,
