@@ -19,24 +19,42 @@ PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i) for i in range(24)],
 PIECE = 20_000
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> bytes:
-    """8 bytes, big-endian: a bit is 1 if set in over half of the shingles' XXH64; no words: zero."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    n = len(words) - shingle + 1
-    if n < 1:
-        return xxhash.xxh64_digest(b" ".join(words), seed) if words else bytes(8)
+def _words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def majority(hashes: bytes, width: int) -> bytes:
+    """A bit is 1 if set in over half of the hashes of ``width`` bytes each; of none: zero."""
+    planes = np.frombuffer(hashes, np.uint8).reshape(-1, width)
+    votes = np.zeros(8 * width, np.int64)
+    for k in range(0, len(planes), 8192):
+        votes += np.unpackbits(planes[k:k + 8192], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(planes)).tobytes()
+
+
+def shingles(words: list[bytes], size: int) -> list[bytes]:
+    """Space-joined runs of ``size`` words, repeats included; fewer words make one, none none."""
+    if len(words) < size:
+        return [b" ".join(words)] if words else []
     line = b" ".join(words)
     ends = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends += 1
     np.cumsum(ends, out=ends)
-    stop = (ends[shingle - 1:] - 1).tolist()
+    starts = [0, *ends[:len(words) - size].tolist()]
+    return [line[a:b] for a, b in zip(starts, (ends[size - 1:] - 1).tolist())]
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> bytes:
+    """8 bytes, big-endian: the majority of the shingles' XXH64; no words: zero."""
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(line[a:b], seed) for a, b in zip([0, *ends[:n - 1].tolist()], stop)])
-    planes = np.frombuffer(hashes, np.uint8).reshape(n, 8)
-    votes = np.zeros(BITS, np.int64)
-    for k in range(0, n, 8192):
-        votes += np.unpackbits(planes[k:k + 8192], axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > n).tobytes()
+    return majority(b"".join([digest(x, seed) for x in shingles(_words(text), shingle)]), 8)
+
+
+def signature(text: str | None, shingle: int = 5) -> tuple[bytes, bytes]:
+    """The 64-bit majority over the distinct words, and the 256-bit one over the shingles."""
+    words, short, long = _words(text), xxhash.xxh64_digest, xxhash.xxh3_128_digest
+    own = b"".join([short(x) for x in set(words)])
+    return majority(own, 8), majority(b"".join([long(x) + long(x, 1) for x in shingles(words, shingle)]), 32)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id",
@@ -52,13 +70,14 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def _close(bucket: np.ndarray, fp: np.ndarray, radius: int) -> Forest:
+def _close(bucket: np.ndarray, fp: np.ndarray, radius: int, checks=(), check_radius: int = 0) -> Forest:
     """A forest over the rows that joins those of equal bucket at ``radius`` or fewer bits.
 
     Rows must be sorted by bucket and then by distance to the first pivot: partners of a row
     then follow it within its bucket until the first coordinate has grown by more than radius.
     Every other coordinate of the pivot table discards by the same bound, and only
-    survivors have their own distance computed.
+    survivors have their own distance computed; ``checks`` are the words of a longer
+    signature whose distance must be within ``check_radius`` too.
     """
     table = [np.bitwise_count(fp ^ p).astype(np.int8) for p in PIVOTS]
     forest, a, step = Forest(len(fp)), np.arange(len(fp)), 0
@@ -77,7 +96,11 @@ def _close(bucket: np.ndarray, fp: np.ndarray, radius: int) -> Forest:
             if not len(x):
                 break
         real = np.bitwise_count(fp[x] ^ fp[y]) <= radius
-        forest.union(x[real], y[real])
+        x, y = x[real], y[real]
+        if checks and len(x):
+            real = sum(np.bitwise_count(c[x] ^ c[y]).astype(np.int16) for c in checks) <= check_radius
+            x, y = x[real], y[real]
+        forest.union(x, y)
 
 
 def _masks(radius: int, rows: int) -> list[int]:
@@ -94,35 +117,34 @@ def _masks(radius: int, rows: int) -> list[int]:
     return [sum(c) for c in combinations(blocks, extra)]
 
 
-def link(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs of ``fps(fp, id)`` within radius bits.
+def link(fps: DataFrame, radius: int = 3, checks: tuple[str, ...] = (), check_radius: int = 0) -> DataFrame:
+    """Edges (u, v) whose components are those of all pairs of ``fps(fp, id, *checks)`` within radius bits.
 
-    ``fp`` values are distinct. Fingerprints meet in buckets of equal masked bits; a bucket of
-    more than PIECE rows is dealt to several tasks as pairs of pieces. Tasks return spanning
-    forests, never all pairs of a group.
+    Rows are distinct in (fp, *checks). Fingerprints meet in buckets of equal masked bits; a
+    bucket of more than PIECE rows is dealt to several tasks as pairs of pieces. Tasks return
+    spanning forests, never all pairs of a group.
     """
     masks = [m - (1 << 64) if m >> 63 else m for m in _masks(radius, fps.count())]
-    keyed = fps.select("fp", "id", F.explode(F.array(*[
+    keyed = fps.select("fp", "id", *checks, F.explode(F.array(*[
         F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("k")
-    ).select("fp", "id", "k.t", "k.key")
+    ).select("fp", "id", *checks, "k.t", "k.key")
     hot = keyed.groupBy("t", "key").count().where(F.col("count") > PIECE)
     hot = hot.select("t", "key", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
     pieces = F.coalesce("pieces", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), pieces).cast("int")
+    own = F.pmod(F.xxhash64("fp", *checks), pieces).cast("int")
     dealt = keyed.join(hot, ["t", "key"], "left").withColumn("own", own).withColumn("other", F.explode(
         F.sequence(F.lit(0), pieces - 1))).select(
-        "fp", "id", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "fp", *checks)
     dealt = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
 
     def edges(cols):
-        fp, ids = cols[0].view(np.uint64), cols[1]
-        first = np.bitwise_count(fp ^ PIVOTS[0])
+        ids, fp = cols[4], cols[5].view(np.uint64)
         new = np.zeros(len(fp), bool)
-        for c in cols[2:]:
+        for c in cols[:4]:
             new[1:] |= c[1:] != c[:-1]
         bucket = np.cumsum(new)
-        order = np.lexsort((first, bucket))
-        root = _close(bucket[order], fp[order], radius).root
+        order = np.lexsort((np.bitwise_count(fp ^ PIVOTS[0]), bucket))
+        root = _close(bucket[order], fp[order], radius, [c.view(np.uint64)[order] for c in cols[6:]], check_radius).root
         linked = np.flatnonzero(root != np.arange(len(root)))
         u, v = ids[order][linked], ids[order][root[linked]]
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
@@ -136,7 +158,7 @@ def link(fps: DataFrame, radius: int = 3) -> DataFrame:
             if not len(cols[0]):
                 continue
             last = np.ones(len(cols[0]), bool)
-            for c in cols[2:]:
+            for c in cols[:4]:
                 last &= c == c[-1]
             at = int(np.argmax(last))  # sorted, so the last bucket is the tail
             if at:
@@ -148,6 +170,21 @@ def link(fps: DataFrame, radius: int = 3) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _components(rows: DataFrame, radius: int, checks: tuple[str, ...] = (), check_radius: int = 0) -> DataFrame:
+    """rows(doc_id, fp, *checks) with component, the smallest doc_id reachable by links."""
+    key = ["fp", *checks]
+    rows = checkpointed(rows)
+    nodes = checkpointed(rows.groupBy(*key).agg(F.min("doc_id").alias("id")))
+    found = connected_components(link(nodes, radius, checks, check_radius))
+    named = nodes.join(found, F.col("id") == F.col("node"), "left").select(
+        *key, F.coalesce("component", "id").alias("component"))
+    return rows.join(named, key)
+
+
+def _given(column: str):
+    return F.when(F.col(column) != NO_ID, F.col(column))
+
+
 def components(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every document.
@@ -160,12 +197,39 @@ def components(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 4
 
     Copies collapse to one node before any comparison, so a group of copies costs as one.
     """
-    fps = checkpointed(fingerprints(docs, shingle, seed, id_col, text_col))
-    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    found = connected_components(link(nodes, radius))
-    named = nodes.join(found, F.col("id") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "id").alias("component"))
-    back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return fps.join(named, "fp").select(
-        back("doc_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        back("component").alias("component_id"))
+    found = _components(fingerprints(docs, shingle, seed, id_col, text_col), radius)
+    return found.select(_given("doc_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                        _given("component").alias("component_id"))
+
+
+#: Distance at which documents are near copies in drop_near_copies. Five-word shingle sets of
+#: similarity 0.8 have an angle that flips 15 % of the bits, 39 of 256 with a deviation of 6; such
+#: texts differ in about 2 % of their words, so 4 of the 64 bits over words.
+WORD_RADIUS, SIGNATURE_RADIUS = 7, 45
+CHECKS = ("s0", "s1", "s2", "s3")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = WORD_RADIUS,
+                     check_radius: int = SIGNATURE_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document, that of the smallest id, of each group of exact and near copies.
+
+    Two documents link if the fingerprints of their distinct words differ in ``radius`` bits or
+    fewer, which pivot tables search, and the 256-bit signatures of their word shingles
+    in ``check_radius`` or fewer, which stands for a similarity of 0.8 or more. Groups are the
+    components. Null and empty texts are copies of each other; rows of one id stay or go together;
+    null ids count as one smallest id. All columns are returned as they are.
+    """
+    def run(batches):
+        for b in batches:
+            both = [signature(t.as_py(), shingle) for t in b.column(1)]
+            fp = np.frombuffer(b"".join(x for x, _ in both), ">i8").astype(np.int64)
+            checks = np.frombuffer(b"".join(x for _, x in both), ">i8").reshape(-1, 4).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(fp), *(pa.array(np.ascontiguousarray(c)) for c in checks.T)], names=["doc_id", "fp", *CHECKS])
+
+    key = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
+    rows = docs.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, fp long, " + ", ".join(f"{c} long" for c in CHECKS))
+    kept = _components(rows, radius, CHECKS, check_radius).where("doc_id = component").select(
+        F.col("doc_id").alias("__kindred_key")).distinct()
+    return docs.join(kept, key == F.col("__kindred_key"), "left_semi")
