@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import embed_dedup, sharding, simhash, substring, topk, url_filter
+from . import embed_dedup, packing, sharding, simhash, substring, token_counts, topk, toxicity, url_filter
 
 
 def table(spark, sf_dir, name):
@@ -15,6 +16,14 @@ def op1_exact_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op5_embedding_dedup(spark, sf_dir):
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -34,6 +43,10 @@ def op7_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir))
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_substring_dedup(spark, sf_dir):
     return substring.digest_without_repeats(table(spark, sf_dir, "documents"))
 
@@ -44,9 +57,12 @@ def op10_simhash(spark, sf_dir):
 
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_token_counts": op4_token_counts,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
+    "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
 }
