@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import embed_dedup, packing, sharding, simhash, substring, token_counts, topk, toxicity, url_filter
+from . import bpe, embed_dedup, packing, sharding, simhash, substring, token_counts, topk, toxicity, url_filter
 
 
 def table(spark, sf_dir, name):
@@ -16,6 +16,10 @@ def op1_exact_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op2_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -57,6 +61,7 @@ def op10_simhash(spark, sf_dir):
 
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_bpe": op2_bpe,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_counts": op4_token_counts,
     "op5_embedding_dedup": op5_embedding_dedup,

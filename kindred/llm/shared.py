@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 NO_ID = -(2**63)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, from ``spark.checkpoint.dir``.
 
     A folder of our own is made only where the session names none (tests).
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindred-"))
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindred-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df, in files of the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

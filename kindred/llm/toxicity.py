@@ -29,11 +29,11 @@ def word_features(word: str) -> tuple[str, ...]:
 
 
 def _weights(counts, n_words: int):
-    return {f: float(np.log1p(200 * c / n_words)) for f, c in counts.items()}
+    return {f: float(np.log1p(200 * c / (n_words + 20))) for f, c in counts.items()}
 
 
 class Features:
-    """Sparse features of a text over a fixed vocabulary: log(1 + 200 * share of its words)."""
+    """Sparse features of a text over a fixed vocabulary: log(1 + 200 c / (words + 20))."""
 
     def __init__(self, vocabulary: list[str]):
         self.index = {f: i for i, f in enumerate(vocabulary)}
