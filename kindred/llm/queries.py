@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import bpe, embed_dedup, packing, sharding, simhash, substring, token_counts, topk, toxicity, url_filter
+from .oracles import ORACLE_SQL
 
 
 def table(spark, sf_dir, name):
@@ -71,4 +72,5 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
