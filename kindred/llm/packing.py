@@ -102,11 +102,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def sum_of_squares(lengths: np.ndarray, capacity: int, any_fit: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item, in the given order.
 
     With N(g) open bins of free room g, an item goes where the sum of N(g)^2 over all g in
-    1..capacity-1 becomes smallest; the tightest such bin on ties, a new bin last.
+    1..capacity-1 becomes smallest; the tightest such bin on ties, a new bin last. With
+    ``any_fit`` a new bin is opened only if the item fits no open one.
     """
     n = np.zeros(capacity + 1, np.int64)
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -114,17 +115,16 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     never = np.iinfo(np.int64).max
     for i, size in enumerate(lengths.tolist()):
         have = n[size:capacity]
-        change = n[:capacity - size] - have  # (N(g - s) + 1)^2 + (N(g) - 1)^2 less the squares before, halved, less 1
+        # of g, halved and less 1: (N(g - s) + 1)^2 - N(g - s)^2 + (N(g) - 1)^2 - N(g)^2; a filled bin counts no more
+        change = n[:capacity - size] - have
         change[have == 0] = never
-        new = n[capacity - size]
-        gap = -1
+        gap = capacity
         if len(change):
             k = int(change.argmin())
-            # the halved change is change + 1 (a full bin leaves the sum: change + 1/2), a new bin's is N + 1/2
-            if change[k] != never and 2 * change[k] + (1 if k == 0 else 2) <= 2 * new + 1:
+            if change[k] != never and (any_fit or 2 * change[k] + (1 if k == 0 else 2) <= 2 * n[capacity - size] + 1):
                 gap = k + size
-        if gap < 0:
-            at, gap, made = made, capacity, made + 1
+        if gap == capacity:
+            at, made = made, made + 1
         else:
             at = open_bins[gap].pop()
             n[gap] -= 1
@@ -137,16 +137,23 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def _pack(items: DataFrame, groups: int, capacity: int) -> DataFrame:
-    """items(item, size) with bin (unique) and at, its place there; each group packs on its own."""
+    """items(item, size) with bin (unique) and at, its place there; each group packs on its own.
+
+    The rule is run over the items longest first, where open bins go first, and in hash order,
+    where the rule alone decides; the packing of fewer bins is taken.
+    """
     def run(table):
-        size, item = table.column("size").to_numpy(), table.column("item").to_numpy()
-        order = np.lexsort((item, -size))
-        bins, at = sum_of_squares(size[order], capacity)
+        size, item, mix = (table.column(c).to_numpy() for c in ("size", "item", "mix"))
+        tries = []
+        for order, any_fit in ((np.lexsort((item, -size)), True), (np.lexsort((item, mix)), False)):
+            tries.append((order, *sum_of_squares(size[order], capacity, any_fit)))
+        order, bins, at = min(tries, key=lambda t: t[1].max())
         own = table.column("g")[0].as_py()
         return pa.table({"item": item[order], "size": size[order], "bin": bins * groups + own, "at": at})
 
-    return items.select("item", "size", F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int").alias("g")).groupBy(
-        "g").applyInArrow(run, "item long, size long, bin long, at long")
+    mixed = items.select("item", "size", F.xxhash64("item").alias("mix"))
+    return mixed.withColumn("g", F.pmod("mix", F.lit(groups)).cast("int")).groupBy("g").applyInArrow(
+        run, "item long, size long, bin long, at long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0,
@@ -154,7 +161,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): all pieces, packed.
 
     Pieces of full length are sequences of their own. The others are dealt by hash into groups
-    of about GROUP_ITEMS and packed there, longest first, by the sum-of-squares rule; what has
+    of about GROUP_ITEMS and packed there by the sum-of-squares rule; what has
     LOOSE tokens free or more is packed again as one item in fewer, wider groups, until one group
     holds the rest or nothing joins any more. Offsets add up over the levels.
 
