@@ -39,12 +39,23 @@ STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_copies),
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written as Parquet and read by the next."""
+    """All stages over documents; each one's result is written as Parquet and read by the next.
+
+    The files lie in the session's shared folder and go once the stage that reads them has written its own.
+    """
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    read = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            docs.write.parquet(wrote := f"{folder}/{k}-{name}")
+            if read:
+                _remove(spark, read)
+            docs, read = spark.read.parquet(wrote), wrote
     return docs
