@@ -17,53 +17,83 @@ CAPACITY = 2048
 #: Items that one task packs; sequences with at least LOOSE tokens free are packed again together.
 GROUP_ITEMS = 100_000
 LOOSE = 32
-HELD_CHUNKS = 700_000
+HELD_CHUNKS = 500_000
 WHITE_THEN_SPACE = re.compile(r"\s ")
+#: ASCII marks that are neither letters, numbers nor white, and no apostrophe.
+PUNCTUATION = ".,;:!?|#$%&*()[]{}<>\"/\\=+_~^@`-"
 CUT = re.compile(r"(?<=\S)(?= )")
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable Latin-1 for itself, the rest from U+0100 on."""
+    own = [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else "" for b in range(256)]
+    rest = iter(map(chr, range(256, 512)))
+    return [c or next(rest) for c in own]
+
+
+class _Held(dict):
+    """Chunk without its leading space to the ids of the chunk with it; emptied when large."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, chunk: str) -> bytes:
+        out = self.make(" " + chunk)
+        if len(self) >= HELD_CHUNKS:
+            self.clear()
+        if len(chunk) < 64:
+            self[chunk] = out
+        return out
+
+
 class ByteLevelTokenizer:
     """Ids, as little-endian unsigned 32-bit bytes, of a byte-level BPE file of the library tokenizers.
 
     Its pre-tokenizer never joins what stands before and after a space that follows a
-    non-white character, so texts are cut there and equal chunks are encoded once. Texts with a
-    string of an added token go to the library whole.
+    non-white character, so texts are cut there and equal chunks are encoded once. A chunk of
+    letters, with punctuation after them or not, is known to be one or two pieces; others go
+    through the pre-tokenizer, and texts with a string of an added token to the library whole.
     """
 
     def __init__(self, json_text: str):
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_str(json_text)
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
+        self.letters = byte_letters()
+        self.rest, self.tails = _Held(self._chunk), {"": b""}
+        if self.whole.pre_tokenizer.pre_tokenize_str("é x")[0][0] != self.letters[0xC3] + self.letters[0xA9]:
+            raise ValueError("not a byte-level tokenizer")
+
+    def _piece(self, mapped: str) -> bytes:
+        return b"".join([self.id_bytes[t.id] for t in self.whole.model.tokenize(mapped)])
 
     def _chunk(self, chunk: str) -> bytes:
-        out = b""
-        for piece, _ in self.whole.pre_tokenizer.pre_tokenize_str(chunk):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = np.array([t.id for t in self.whole.model.tokenize(piece)], "<u4").tobytes()
-                if len(piece) < 8:
-                    self.pieces[piece] = ids
-            out += ids
-        if len(self.chunks) >= HELD_CHUNKS:
-            self.chunks.clear()
-        if len(self.pieces) >= HELD_CHUNKS // 4:
-            self.pieces.clear()
-        if len(chunk) < 64:
-            self.chunks[chunk] = out
-        return out
+        word = chunk.rstrip(PUNCTUATION)
+        if word[:1] == " " and word[1:].isalpha():
+            tail = chunk[len(word):]
+            end = self.tails.get(tail)
+            if end is None:
+                end = self._plain(tail)
+                if len(tail) < 8:
+                    self.tails[tail] = end
+            letters = self.letters
+            return self._piece(letters[32] + word[1:] if word.isascii() else "".join([letters[c] for c in word.encode()])) + end
+        return self._plain(chunk)
+
+    def _plain(self, chunk: str) -> bytes:
+        return b"".join([self._piece(p) for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(chunk)])
 
     def encode(self, text: str) -> bytes:
         if any(a in text for a in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if WHITE_THEN_SPACE.search(text):
-            chunks = CUT.split(text)
+            first, *rest = CUT.split(text)
+            rest = [c[1:] for c in rest]
         else:
             first, *rest = text.split(" ")
-            chunks = [first, *map(" ".__add__, rest)]
-        get, make = self.chunks.get, self._chunk
-        return b"".join([get(c) or make(c) for c in chunks if c])
+        return (self._plain(first) if first else b"") + b"".join(map(self.rest.__getitem__, rest))
 
 
 @lru_cache(1)
