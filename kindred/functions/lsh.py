@@ -133,3 +133,10 @@ class Xor:
 
     def delta(self, vec: Column) -> Column:
         return F.least(*[h.delta(vec) for h in self.of])
+
+
+def project_sparse(vec: Column, a: Sequence[float]) -> Column:
+    """a.x of a sparse vector, MAP<INT, DOUBLE>; indices beyond a count as zero."""
+    weights = F.array(*[F.lit(float(x)) for x in a])
+    terms = F.transform(F.map_entries(vec), lambda e: e["value"] * F.coalesce(F.get(weights, e["key"]), F.lit(0.0)))
+    return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)

@@ -80,6 +80,25 @@ def fit_size(width: int, height: int, most: int = 120, short_side: int = 100, ra
     return (a, b) if width >= height else (b, a)
 
 
+def scaled(image: np.ndarray, ratio: float) -> np.ndarray:
+    return area_resize(image, max(1, int(image.shape[1] * ratio)), max(1, int(image.shape[0] * ratio)))
+
+
+def rotated(image: np.ndarray, degrees: float) -> np.ndarray:
+    """The image turned by degrees modulo 180 on a canvas that holds all of it; nearest pixels, black around."""
+    t = np.deg2rad(degrees % 180)
+    c, s = np.cos(t), np.sin(t)
+    h, w = image.shape
+    new_h, new_w = (int(np.ceil(round(a, 6))) for a in (abs(h * c) + abs(w * s), abs(h * s) + abs(w * c)))
+    y, x = np.mgrid[0:new_h, 0:new_w]
+    y, x = y - (new_h - 1) / 2, x - (new_w - 1) / 2
+    from_x, from_y = np.rint(c * x + s * y + (w - 1) / 2).astype(int), np.rint(-s * x + c * y + (h - 1) / 2).astype(int)
+    inside = (from_x >= 0) & (from_x < w) & (from_y >= 0) & (from_y < h)
+    out = np.zeros((new_h, new_w), image.dtype)
+    out[inside] = image[from_y[inside], from_x[inside]]
+    return out
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """Pixels (height, width, channels, BGR order) of an 8-bit, not interlaced PNG."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":

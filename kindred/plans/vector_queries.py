@@ -319,3 +319,12 @@ def hs_histogram(spark, sf_dir):
 @query()
 def sift_descriptors(spark, sf_dir):
     return images.features(pictures(spark, sf_dir)).groupBy("image_id").agg(F.count("*").alias("n"), F.avg("size").alias("mean_size"))
+
+
+@query()
+def mplsh_adaptive(spark, sf_dir):
+    """Probing until the expected recall of the five nearest is 0.6, and the probes that it took."""
+    from kindred.operators.lsh_model import RecallTable, search_to_recall
+    v = vectors(spark, sf_dir).select("id", "vec")
+    table_ = RecallTable.simulate(0.9, len(PROBED), 6, 0.1, 2.0)
+    return search_to_recall(v, v, PROBED, table_, 5, 0.6)
