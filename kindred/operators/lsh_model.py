@@ -1,6 +1,6 @@
 """Models of LSH recall and cost, their tuning, and searches that adapt to them.
 
-After Dong et al. (2008) and the multi-probe and a-posteriori papers. Models are small and live on the
+After the published performance model of multi-probe LSH and a-posteriori probing. Models are small and live on the
 driver; searches are DataFrames.
 """
 
