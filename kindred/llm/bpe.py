@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Distinct words of one recursive query; bytes of text read before new words are encoded.
 QUERY_WORDS, HELD_BYTES = 60_000, 6_000_000
-HELD_CHUNKS = 300_000
+HELD_CHUNKS, HELD_PIECES = 500_000, 600_000
 #: A recursion contracts one pair of a word a step, so words beyond this many bytes, which would
 #: take as many steps, are contracted with a heap instead.
 LONG_WORD = 400
@@ -68,6 +68,7 @@ class Bpe:
         self._table("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.chunks: dict[str, tuple[str, bytes]] = {}
+        self.pieces: dict[bytes, tuple[str, bytes]] = {}
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
@@ -138,14 +139,17 @@ class Bpe:
         held = self.chunks
         if fresh:
             pieces = [[p.encode("utf-8", "surrogatepass") for p in self.split(c)] for c in fresh]
-            words = list({p for ps in pieces for p in ps})
+            if len(self.pieces) > HELD_PIECES:
+                self.pieces.clear()
+            known = self.pieces
+            words = list({p for ps in pieces for p in ps}.difference(known))
             ids = self.encode_words(words)
-            known = dict(zip(words, zip([" ".join(map(str, x)) for x in ids], self.decode_words(ids))))
+            known.update(zip(words, zip([" ".join(map(str, x)) for x in ids], self.decode_words(ids))))
             if len(held) + len(fresh) > HELD_CHUNKS:  # what these texts need is kept or made anew
                 used = {c for chunks in cut for c in chunks}
                 held = self.chunks = {c: v for c, v in held.items() if c in used}
             for c, ps in zip(fresh, pieces):
-                held[c] = (" ".join([known[p][0] for p in ps]), b"".join([known[p][1] for p in ps]))
+                held[c] = known[ps[0]] if len(ps) == 1 else (" ".join([known[p][0] for p in ps]), b"".join([known[p][1] for p in ps]))
         for chunks in cut:
             found = [held[c] for c in chunks]
             line = " ".join([x for x, _ in found])
