@@ -21,11 +21,15 @@ class Lsh(Protocol):
     def hash(self, vec: Column) -> Column: ...
 
 
-def project(vec: Column, a: Sequence[float]) -> Column:
+def literal(a: Sequence[float]) -> Column:
+    """An array literal from one parsed expression instead of one call into the JVM per element."""
     whole = all(isinstance(x, int) for x in a)
-    kind, zero = ("bigint", F.lit(0).cast("bigint")) if whole else ("double", F.lit(0.0))
-    weights = F.array(*[F.lit(x).cast(kind) for x in a])
-    return F.aggregate(F.zip_with(vec, weights, lambda x, w: x * w), zero, lambda s, v: s + v)
+    return F.expr("array(" + ", ".join(f"{x}L" if whole else f"{float(x)!r}D" for x in a) + ")")
+
+
+def project(vec: Column, a: Sequence[float]) -> Column:
+    zero = F.lit(0).cast("bigint") if all(isinstance(x, int) for x in a) else F.lit(0.0)
+    return F.aggregate(F.zip_with(vec, literal(a), lambda x, w: x * w), zero, lambda s, v: s + v)
 
 
 @dataclass(frozen=True)
@@ -137,6 +141,6 @@ class Xor:
 
 def project_sparse(vec: Column, a: Sequence[float]) -> Column:
     """a.x of a sparse vector, MAP<INT, DOUBLE>; indices beyond a count as zero."""
-    weights = F.array(*[F.lit(float(x)) for x in a])
+    weights = literal([float(x) for x in a])
     terms = F.transform(F.map_entries(vec), lambda e: e["value"] * F.coalesce(F.get(weights, e["key"]), F.lit(0.0)))
     return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,45 @@ def nearest(candidates: DataFrame, k: int | None, metric: Callable[[Column, Colu
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def exhaustive(queries: DataFrame, rows: DataFrame, k: int | None = None, within: float | None = None,
+               block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """nearest() under squared L2 over all pairs: (q_id, id, dist, rank), dist as double.
+
+    The cells are those of pairs_by_block, but a cell is one matrix product in an Arrow batch and
+    returns its own k best (or those within) per query only. Whole-numbered vectors are exact.
+    """
+    n, parts = max(1, -(-queries.count() // block_rows)), max(1, -(-rows.count() // block_rows))
+    part = lambda m: F.pmod(F.xxhash64("id"), F.lit(m))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    vec = F.col("vec").cast("array<double>").alias("vec")
+    q = queries.select("id", vec, part(n).alias("block"), every(parts).alias("part"), F.lit(True).alias("ask"))
+    r = rows.select("id", vec, every(n).alias("block"), part(parts).alias("part"), F.lit(False).alias("ask"))
+
+    def cell(t: pa.Table) -> pa.Table:
+        ask, ids = t.column("ask").to_numpy(), t.column("id").to_numpy()
+        x = pa.concat_arrays(t.column("vec").chunks).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        a, b, a_ids, b_ids = x[ask], x[~ask], ids[ask], ids[~ask]
+        order = np.argsort(b_ids, kind="stable")
+        b, b_ids = b[order], b_ids[order]
+        norms, out = np.einsum("ij,ij->i", b, b), []
+        for lo in range(0, len(a), 256) if len(b) else ():
+            some = a[lo:lo + 256]
+            dist = np.maximum(np.einsum("ij,ij->i", some, some)[:, None] + norms - 2 * (some @ b.T), 0)
+            for q_id, d in zip(a_ids[lo:lo + 256], dist):
+                at = np.flatnonzero((b_ids != q_id) & (d < within) if within is not None else b_ids != q_id)
+                if k is not None and len(at) > k:
+                    at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
+                    at = at[np.argsort(d[at], kind="stable")][:k]
+                out.append((np.full(len(at), q_id), b_ids[at], d[at]))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("q_id", "id", "dist"), map(pa.array, cols))))
+
+    best = q.unionByName(r).groupBy("block", "part").applyInArrow(cell, "q_id bigint, id bigint, dist double")
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy("dist", "id")).cast("bigint")
+    ranked = best.withColumn("rank", rank)
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
 def tables(rows: DataFrame, hashes: Sequence[Lsh]) -> DataFrame:
     """The LSH index: (tab, bin, id, vec), one row per table; append to insert."""
     return rows.select("id", "vec", F.posexplode(F.array(*[h.hash(F.col("vec")) for h in hashes])).alias("tab", "bin"))

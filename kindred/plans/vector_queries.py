@@ -155,29 +155,29 @@ PAIRS = f"w AS (SELECT vec_id AS id, {INT} AS v FROM embeddings), p AS (SELECT q
 RANK = ", k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, id) AS rank FROM p)"
 
 
-def _all_pairs(spark, sf_dir):
+def _exhaustive(spark, sf_dir, **bounds):
     w = whole_vectors(spark, sf_dir)
-    return knn.pairs_by_block(w, w)
+    return knn.exhaustive(w, w, **bounds).withColumn("dist", F.col("dist").cast("bigint"))
 
 
 @query(f"WITH {PAIRS}{RANK} SELECT q_id, id, dist, rank FROM k WHERE rank <= 10")
 def knn_exact(spark, sf_dir):
-    return knn.nearest(_all_pairs(spark, sf_dir), 10, whole_l2)
+    return _exhaustive(spark, sf_dir, k=10)
 
 
 @query(f"WITH {PAIRS}{RANK} SELECT q_id, id, dist, rank FROM k WHERE rank <= 5")
 def knn_topk(spark, sf_dir):
-    return knn.nearest(_all_pairs(spark, sf_dir), 5, whole_l2)
+    return _exhaustive(spark, sf_dir, k=5)
 
 
 @query(f"WITH {PAIRS}, p2 AS (SELECT * FROM p WHERE dist < 90000), k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, id) AS rank FROM p2) SELECT q_id, id, dist, rank FROM k")
 def rnn_range(spark, sf_dir):
-    return knn.nearest(_all_pairs(spark, sf_dir), None, whole_l2, within=90000)
+    return _exhaustive(spark, sf_dir, within=90000)
 
 
 @query(f"WITH {PAIRS}, p2 AS (SELECT * FROM p WHERE dist < 80000), k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, id) AS rank FROM p2) SELECT q_id, id, dist, rank FROM k WHERE rank <= 3")
 def knn_within_r(spark, sf_dir):
-    return knn.nearest(_all_pairs(spark, sf_dir), 3, whole_l2, within=80000)
+    return _exhaustive(spark, sf_dir, k=3, within=80000)
 
 
 def _digit(a, b):
@@ -293,7 +293,7 @@ def mplsh_knn(spark, sf_dir):
 @query()
 def mplsh_recall(spark, sf_dir):
     """Recall of the five nearest by number of probes."""
-    truth = knn.nearest(knn.pairs_by_block(*[vectors(spark, sf_dir).select("id", "vec")] * 2), 5, D.l2_squared)
+    truth = knn.exhaustive(*[vectors(spark, sf_dir).select("id", "vec")] * 2, k=5)
     parts = [knn.recall(truth, _probed(spark, sf_dir, p)).agg(F.avg("recall").alias("recall")).withColumn("probes", F.lit(p)) for p in (0, 3, 6)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

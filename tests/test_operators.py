@@ -158,4 +158,8 @@ def test_nearest_within_and_recall(spark):
     near = knn.nearest(pairs, 2, descriptors.l2_squared)
     assert {r.id for r in near.where("q_id = 10").collect()} == {9, 11}
     assert knn.nearest(pairs, None, descriptors.l2_squared, within=4.1).where("q_id = 10").count() == 4
+    for block in (6, 4096):
+        got = knn.exhaustive(df, df, k=2, block_rows=block)
+        assert sorted(map(tuple, got.select("q_id", "id", "dist", "rank").collect())) == sorted(map(tuple, near.select("q_id", "id", "dist", "rank").collect()))
+    assert knn.exhaustive(df, df, within=4.1).where("q_id = 10").count() == 4 and knn.exhaustive(df.limit(0), df, k=1).count() == 0
     assert {r.recall for r in knn.recall(near, near.where("rank = 1")).collect()} == {0.5}
