@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import text_batches
+
 #: Distinct words of one recursive query; bytes of text read before new words are encoded.
 QUERY_WORDS, HELD_BYTES = 60_000, 6_000_000
 HELD_CHUNKS, HELD_PIECES = 500_000, 600_000
@@ -192,4 +194,4 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
                 lo = hi
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return text_batches(rows).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
+from .shared import checkpointed, text_batches
 
 CAPACITY = 2048
 #: Items that one task packs; sequences with at least LOOSE tokens free are packed again together.
 GROUP_ITEMS = 100_000
 LOOSE = 32
-HELD_CHUNKS = 500_000
+HELD_CHUNKS = 400_000
 WHITE_THEN_SPACE = re.compile(r"\s ")
 #: ASCII marks that are neither letters, numbers nor white, and no apostrophe.
 PUNCTUATION = ".,;:!?|#$%&*()[]{}<>\"/\\=+_~^@`-"
@@ -129,7 +129,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return text_batches(rows).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int, any_fit: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id inside an operator: it sorts before every other id.
 NO_ID = -(2**63)
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,6 +30,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches were bounded to BATCH_BYTES.
+
+    Rows of whole texts can be long; the default of 64 MB a batch is held several times on its way
+    into a Python worker and back.
+    """
+    conf = df.sparkSession.conf
+    if (now := conf.get(BATCH_SETTING, None)) is not None and now != str(BATCH_BYTES):
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NO_ID, Forest, checkpointed, connected_components
+from .shared import NO_ID, Forest, checkpointed, connected_components, text_batches
 
 BITS = 64
 #: Reference fingerprints; bit patterns from a hash, so they need no storage.
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
                 [b.column(0), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return text_batches(rows).mapInArrow(run, "doc_id long, fp long")
 
 
 def _close(bucket: np.ndarray, fp: np.ndarray, radius: int, checks=(), check_radius: int = 0) -> Forest:
@@ -228,7 +228,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = WORD_RADIU
                 [b.column(0), pa.array(fp), *(pa.array(np.ascontiguousarray(c)) for c in checks.T)], names=["doc_id", "fp", *CHECKS])
 
     key = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
-    rows = docs.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    rows = text_batches(docs.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(
         run, "doc_id long, fp long, " + ", ".join(f"{c} long" for c in CHECKS))
     kept = _components(rows, radius, CHECKS, check_radius).where("doc_id = component").select(
         F.col("doc_id").alias("__kindred_key")).distinct()

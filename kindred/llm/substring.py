@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NO_ID, shuffle_width
+from .shared import NO_ID, shuffle_width, text_batches
 
 WINDOW = 20
 GRAM = 5
@@ -213,7 +213,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, groups: int | None = N
         return pa.table(dict(zip(("doc_id", "start", "stop"), map(pa.array, spans))))
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(deal, BLOBS).groupBy("p").applyInArrow(grow, "doc_id long, start long, stop long")
+    return text_batches(rows).mapInArrow(deal, BLOBS).groupBy("p").applyInArrow(grow, "doc_id long, start long, stop long")
 
 
 def _with_spans(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import text_batches
+
 HELD_WORDS = 400_000
 
 
@@ -118,4 +120,4 @@ def count_tokens(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_c
                                              names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return text_batches(rows).mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
+from .shared import checkpointed, text_batches
 
 #: Labelled rows that the model is fitted on, at most, and features that it keeps.
 FIT_ROWS, FEATURES = 4000, 1500
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
         F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("toxic")).orderBy(
         F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = checkpointed(rows.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id"))  # fit_rows at most
+    sample = checkpointed(text_batches(rows).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id"))  # fit_rows at most
 
     def seen(batches):
         both = (Counter(), Counter())
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
                 cols, (pa.float64(), pa.float64(), pa.int32())))], names=["doc_id", "severity", "p_toxic", "grade"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, severity double, p_toxic double, grade int")
+    return text_batches(rows).mapInArrow(run, "doc_id long, severity double, p_toxic double, grade int")
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -214,4 +214,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **opt
             keep = [not t.is_valid or model[1].at_least(of(t.as_py()))[0] < REJECT_FROM for t in b.column(at)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)
