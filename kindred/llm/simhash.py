@@ -117,6 +117,36 @@ def _masks(radius: int, rows: int) -> list[int]:
     return [sum(c) for c in combinations(blocks, extra)]
 
 
+def _buckets(batches, width: int):
+    """The columns of sorted Arrow batches, cut so that rows equal in the first ``width`` come together."""
+    held = None  # the rows of the last bucket, which may go on
+    for b in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        if not len(cols[0]):
+            continue
+        last = np.ones(len(cols[0]), bool)
+        for c in cols[:width]:
+            last &= c == c[-1]
+        at = int(np.argmax(last))  # sorted, so the last bucket is the tail
+        if at:
+            yield [c[:at] for c in cols]
+        held = [c[at:] for c in cols]
+    if held is not None:
+        yield held
+
+
+def _dealt(keyed: DataFrame, keys: list[str], own: list[str], cols: list[str]) -> DataFrame:
+    """keyed(*keys, i, j, *cols), a bucket of more than PIECE rows as all pairs (i, j) of its pieces."""
+    hot = keyed.groupBy(*keys).count().where(F.col("count") > PIECE)
+    hot = hot.select(*keys, F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
+    pieces = F.coalesce("pieces", F.lit(1))
+    return keyed.join(hot, keys, "left").withColumn("own", F.pmod(F.xxhash64(*own), pieces).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), pieces - 1))).select(
+        *keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *cols)
+
+
 def link(fps: DataFrame, radius: int = 3, checks: tuple[str, ...] = (), check_radius: int = 0) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs of ``fps(fp, id, *checks)`` within radius bits.
 
@@ -128,13 +158,7 @@ def link(fps: DataFrame, radius: int = 3, checks: tuple[str, ...] = (), check_ra
     keyed = fps.select("fp", "id", *checks, F.explode(F.array(*[
         F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("k")
     ).select("fp", "id", *checks, "k.t", "k.key")
-    hot = keyed.groupBy("t", "key").count().where(F.col("count") > PIECE)
-    hot = hot.select("t", "key", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
-    pieces = F.coalesce("pieces", F.lit(1))
-    own = F.pmod(F.xxhash64("fp", *checks), pieces).cast("int")
-    dealt = keyed.join(hot, ["t", "key"], "left").withColumn("own", own).withColumn("other", F.explode(
-        F.sequence(F.lit(0), pieces - 1))).select(
-        "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "fp", *checks)
+    dealt = _dealt(keyed, ["t", "key"], ["fp", *checks], ["id", "fp", *checks])
     dealt = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
 
     def edges(cols):
@@ -150,22 +174,8 @@ def link(fps: DataFrame, radius: int = 3, checks: tuple[str, ...] = (), check_ra
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     def run(batches):
-        held = None  # the rows of the last bucket, which may go on
-        for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            if not len(cols[0]):
-                continue
-            last = np.ones(len(cols[0]), bool)
-            for c in cols[:4]:
-                last &= c == c[-1]
-            at = int(np.argmax(last))  # sorted, so the last bucket is the tail
-            if at:
-                yield edges([c[:at] for c in cols])
-            held = [c[at:] for c in cols]
-        if held is not None:
-            yield edges(held)
+        for cols in _buckets(batches, 4):
+            yield edges(cols)
 
     return dealt.mapInArrow(run, "u long, v long")
 
@@ -202,34 +212,220 @@ def components(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 4
                         _given("component").alias("component_id"))
 
 
-#: Distance at which documents are near copies in drop_near_copies. Five-word shingle sets of
-#: similarity 0.8 have an angle that flips 15 % of the bits, 39 of 256 with a deviation of 6; such
-#: texts differ in about 2 % of their words, so 4 of the 64 bits over words.
+#: Radii at which signature() estimates a similarity of 0.8; blocks cut off or added move the word bits
+#: further, so drop_near_copies() does not decide by them.
 WORD_RADIUS, SIGNATURE_RADIUS = 7, 45
-CHECKS = ("s0", "s1", "s2", "s3")
+#: Texts in which frequent shingles are counted, and the most shingles listed. Both only order shingles.
+SAMPLE_ROWS, LISTED = 10_000, 100_000
+#: Counts that bound what two sets have in common, and bits by which texts are sifted.
+RESIDUES, SIEVE_BITS = 128, 1 << 24
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = WORD_RADIUS,
-                     check_radius: int = SIGNATURE_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document, that of the smallest id, of each group of exact and near copies.
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of a text."""
+    found = shingles(_words(text), shingle)
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
 
-    Two documents link if the fingerprints of their distinct words differ in ``radius`` bits or
-    fewer, which pivot tables search, and the 256-bit signatures of their word shingles
-    in ``check_radius`` or fewer, which stands for a similarity of 0.8 or more. Groups are the
-    components. Null and empty texts are copies of each other; rows of one id stay or go together;
-    null ids count as one smallest id. All columns are returned as they are.
-    """
+
+def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the shingles that three or more of some SAMPLE_ROWS distinct texts hold."""
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+
+    every = max(1, rows.count() // SAMPLE_ROWS)
+    some = rows.where(F.pmod("tkey", F.lit(every)) == 0).dropDuplicates(["tkey"]).select("text")
+    counts = text_batches(some).mapInArrow(run, "h long").groupBy("h").count().where("count > 2")
+    top = counts.orderBy(F.desc("count"), "h").limit(LISTED).collect()
+    h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.array([r["count"] for r in top], np.int64)[order]
+
+
+def _histogram(s: np.ndarray) -> bytes:
+    """How many hashes of a set fall to each residue; empty if a count doesn't fit a byte."""
+    n = np.bincount((s % np.uint64(RESIDUES)).astype(np.int64), minlength=RESIDUES)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+
+
+def _with_ends(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """pairs(u, v) with the value of ``values(node, x)`` of either end as u_x and v_x."""
+    x = values.columns[1]
+    end = lambda c: values.select(F.col("node").alias(c), F.col(x).alias(f"{c}_{x}"))
+    return pairs.join(end("u"), "u").join(end("v"), "v").select("u", "v", f"u_{x}", f"v_{x}")
+
+
+def _likely(pairs: DataFrame, histograms: DataFrame) -> DataFrame:
+    """pairs(u, v) without those whose sets can't have enough in common: no more than the lesser count of each residue."""
+    def run(batches):
+        for b in batches:
+            on = np.ones(b.num_rows, bool)
+            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+            at = [i for i in range(len(x)) if x[i] and y[i]]
+            x, y = (np.frombuffer(b"".join(c[i] for i in at), np.uint8).reshape(-1, RESIDUES) for c in (x, y))
+            both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            on[at] = 9 * both >= 4 * (x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(on))
+
+    return _with_ends(pairs, histograms).mapInArrow(run, "u long, v long")
+
+
+def _sets(keyed: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(node, set) of the nodes in pairs, from their texts; these are not shuffled but sifted by bits of their hash."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = checkpointed(rows.select("node", "doc_id", "tkey").join(ends, "node").groupBy("node").agg(
+        F.min(F.struct("doc_id", "tkey")).alias("k")).select("node", "k.doc_id", "k.tkey"))
+    bit = F.pmod("tkey", F.lit(SIEVE_BITS))
+    words = wanted.groupBy(F.floor(bit / 64).cast("int").alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("bits")).toArrow()
+    sieve = np.zeros(SIEVE_BITS // 64, np.uint64)
+    sieve[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+
+    def run(batches):
+        for b in batches:
+            at = b.column(1).to_numpy() % SIEVE_BITS
+            on = (sieve[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
+            b = b.filter(pa.array(on))
+            sets = pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sets], names=["doc_id", "tkey", "set"])
+
+    found = text_batches(keyed.select("doc_id", "tkey", "text")).mapInArrow(run, "doc_id long, tkey long, set binary")
+    return found.join(wanted, ["doc_id", "tkey"]).select("node", "set").dropDuplicates(["node"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs(u, v) whose shingle sets have a Jaccard similarity of 0.8 or more."""
     def run(batches):
         for b in batches:
-            both = [signature(t.as_py(), shingle) for t in b.column(1)]
-            fp = np.frombuffer(b"".join(x for x, _ in both), ">i8").astype(np.int64)
-            checks = np.frombuffer(b"".join(x for _, x in both), ">i8").reshape(-1, 4).astype(np.int64)
+            on = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = (np.frombuffer(c.as_py(), np.uint64) for c in (x, y))
+                on.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(on, pa.bool_()))
+
+    return _with_ends(pairs, sets).mapInArrow(run, "u long, v long")
+
+
+def _may_agree(n: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """False where sets of n shingles whose first common one is at pos can't reach a similarity of 0.8."""
+    return 9 * np.minimum(n[a] - pos[a], n[b] - pos[b]) >= 4 * (n[a] + n[b])
+
+
+def _neighbours(batches):
+    """Rows (key, node, n, pos, prev) that have another row of their key with a size that permits 0.8."""
+    for key, n, node, pos in _buckets(batches, 1):
+        on = (key[1:] == key[:-1]) & (5 * n[:-1] >= 4 * n[1:])
+        b = np.flatnonzero(on) + 1
+        fit = _may_agree(n, pos, b - 1, b)
+        third = np.zeros(len(key) + 1, bool)  # buckets of more than two: others than neighbours may fit
+        third[2:-1] = key[2:] == key[:-2]
+        some = fit | third[b] | third[b + 1]
+        live = np.zeros(len(key), bool)
+        live[b[some]] = live[b[some] - 1] = True
+        b = b[fit]
+        chained = np.zeros(len(key), bool)
+        chained[b] = True
+        prev = np.concatenate([node[:1], node[:-1]])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(n), pa.array(pos), pa.array(prev, mask=~chained)],
+                                         names=["key", "node", "n", "pos", "prev"]).filter(pa.array(live))
+
+
+def _apart(batches):
+    """Pairs (u, v) of different components within a bucket, by every key at which sizes and places permit 0.8."""
+    def out(found):
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    for key, i, j, n, node, pos, comp in _buckets(batches, 3):
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        bucket = np.cumsum(first) - 1
+        start = np.flatnonzero(first)
+        mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
+        a, step, found, held = np.flatnonzero(mixed[bucket]), 0, [], 0
+        while len(a):
+            step += 1
+            a = a[a < len(key) - step]
+            b = a + step
+            on = (bucket[a] == bucket[b]) & (5 * n[a] >= 4 * n[b])
+            a, b = a[on], b[on]
+            x = (comp[a] != comp[b]) & _may_agree(n, pos, a, b)
+            if x.any():
+                u, v = node[a[x]], node[b[x]]
+                found.append(np.column_stack([np.minimum(u, v), np.maximum(u, v)]))
+                held += len(u)
+                if held > 200_000:
+                    yield out(found)
+                    found, held = [], 0
+        if found:
+            yield out(found)
+
+
+def _set_components(keyed: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, tkey, component) for keyed(doc_id, tkey, text): components of Jaccard similarity 0.8 or more.
+
+    Texts of one shingle set are one node, named by the 64-bit hash of the set. Prefix filter: shingles
+    are put in one order, rare ones first, and two sets of similarity 0.8 share one of the first
+    n / 5 + 1 of either, so no pair is missed. Neighbours by size in a bucket are compared first; of
+    all other pairs in it only those whose components still differ. Before sets are made of the texts,
+    pairs whose histograms bound their similarity below 0.8 are left out.
+    """
+    listed, counts = _frequent(keyed, shingle)
+
+    def prefixes(batches):
+        for b in batches:
+            node, size, keys, counted = [], [], [], []
+            for t in b.column(2):
+                s = shingle_set(t.as_py(), shingle)
+                node.append(xxhash.xxh3_64_intdigest(s.tobytes()))
+                size.append(len(s))
+                counted.append(_histogram(s))
+                count = np.zeros(len(s), np.int64)
+                if len(listed):
+                    at = np.minimum(np.searchsorted(listed, s), len(listed) - 1)
+                    count = np.where(listed[at] == s, counts[at], 0)
+                keys.append(s[np.lexsort((s, count))[:len(s) // 5 + 1]])
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(fp), *(pa.array(np.ascontiguousarray(c)) for c in checks.T)], names=["doc_id", "fp", *CHECKS])
+                [b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(counted, pa.binary())],
+                names=["doc_id", "tkey", "node", "n", "keys", "histogram"])
+
+    rows = checkpointed(text_batches(keyed.select("doc_id", "tkey", "text")).mapInArrow(
+        prefixes, "doc_id long, tkey long, node long, n long, keys array<long>, histogram binary"))
+    histograms = rows.select("node", "histogram").dropDuplicates(["node"])
+    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    met = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key")).select("key", "n", "node", F.col("pos").cast("long").alias("pos"))
+    live = checkpointed(met.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(
+        _neighbours, "key long, node long, n long, pos long, prev long"))
+    chain = live.where("prev IS NOT NULL").select(
+        F.least("node", "prev").alias("u"), F.greatest("node", "prev").alias("v")).distinct()
+    chain = checkpointed(_likely(chain, histograms))
+    links = checkpointed(_similar(chain, _sets(keyed, rows, chain, shingle)))
+    found = connected_components(links)
+    named = live.drop("prev").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    dealt = _dealt(named, ["key"], ["node"], ["n", "node", "pos", "component"])
+    rest = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node").mapInArrow(_apart, "u long, v long")
+    rest = checkpointed(_likely(rest.distinct(), histograms).join(chain, ["u", "v"], "left_anti"))
+    if not rest.isEmpty():
+        more = _similar(rest, _sets(keyed, rows, rest, shingle))
+        found = connected_components(links.unionByName(more))
+    return rows.select("doc_id", "tkey", "node").join(found, "node", "left").select(
+        "doc_id", "tkey", F.coalesce("component", "node").alias("component"))
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document, that of the smallest id, of each group of exact and near copies.
 
+    Two documents link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more;
+    every such pair is found and compared exactly, up to clashes of 64-bit hashes. Groups are the
+    components. Null and empty texts are copies of each other; rows of one id stay or go together;
+    null ids count as one smallest id. All columns are returned as they are.
+    """
     key = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
-    rows = text_batches(docs.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(
-        run, "doc_id long, fp long, " + ", ".join(f"{c} long" for c in CHECKS))
-    kept = _components(rows, radius, CHECKS, check_radius).where("doc_id = component").select(
-        F.col("doc_id").alias("__kindred_key")).distinct()
+    text = F.col(text_col).cast("string")
+    found = checkpointed(_set_components(docs.select(key.alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text")), shingle))
+    kept = found.groupBy("component").agg(F.min("doc_id").alias("__kindred_key")).select("__kindred_key").distinct()
     return docs.join(kept, key == F.col("__kindred_key"), "left_semi")

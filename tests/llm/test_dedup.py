@@ -179,3 +179,36 @@ def test_bounds_hold():
     approx = (codes * scale[:, None]) @ (codes * scale[:, None]).T
     cos = (v @ v.T) / (norm[:, None] * norm)
     assert (np.abs(cos - approx) <= rest[:, None] + rest + rest[:, None] * rest + 1e-12).all()
+
+
+def jaccard_groups(rows, size=5):
+    """The least id of each row's group, by brute force over five-word shingle sets."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i:i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set()))
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return brute.least_reachable(len(rows), links, [i for i, _ in rows])
+
+
+def block_edits(seed=21, groups=40):
+    """Texts with truncated and extended copies about a similarity of 0.8, and one passage that most of them share."""
+    r = random.Random(seed)
+    common = [f"c{k}" for k in range(25)]
+    rows = []
+    for g in range(groups):
+        w = [f"v{r.randrange(2000)}" for _ in range(r.randrange(60, 500))] + (common if g % 4 else [])
+        for c in range(5):
+            cut = int(len(w) * r.uniform(0.05, 0.25))
+            x = w if not c else w[:-cut] if c < 3 else w + [f"f{r.randrange(2000)}" for _ in range(cut)]
+            rows.append((g * 10 + c, " ".join(x)))
+    return rows
+
+
+@pytest.mark.parametrize("piece", [20_000, 3])
+def test_near_copies_by_block(spark, monkeypatch, piece):
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    rows = block_edits() + [(9000, ""), (9001, None), (9002, "two words"), (9003, "TWO  words")]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    want = jaccard_groups(rows)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(want))
