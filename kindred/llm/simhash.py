@@ -421,11 +421,18 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id",
 
     Two documents link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more;
     every such pair is found and compared exactly, up to clashes of 64-bit hashes. Groups are the
-    components. Null and empty texts are copies of each other; rows of one id stay or go together;
-    null ids count as one smallest id. All columns are returned as they are.
+    components. Null and empty texts are copies of each other; null ids count as smallest, but every row
+    is a document of its own: of each group one row stays, that of the least (id, hash of the text), and
+    of rows equal in both any one. All columns are returned as they are.
     """
     key = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
     text = F.col(text_col).cast("string")
     found = checkpointed(_set_components(docs.select(key.alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text")), shingle))
-    kept = found.groupBy("component").agg(F.min("doc_id").alias("__kindred_key")).select("__kindred_key").distinct()
-    return docs.join(kept, key == F.col("__kindred_key"), "left_semi")
+    least = found.groupBy("component", "doc_id", "tkey").count().groupBy("component").agg(F.min(F.struct("doc_id", "tkey", "count")).alias("k"))
+    kept = checkpointed(least.select(F.col("k.doc_id").alias("__kindred_key"), F.col("k.tkey").alias("__kindred_text"), F.col("k.count").alias("__kindred_rows")))
+    own = ["__kindred_key", "__kindred_text"]
+    left = docs.withColumns({own[0]: key, own[1]: F.xxhash64(text)}).join(kept, own)
+    if kept.where("__kindred_rows > 1").isEmpty():
+        return left.select(*docs.columns)
+    once, again = left.where("__kindred_rows = 1"), left.where("__kindred_rows > 1").dropDuplicates(own)
+    return once.unionAll(again).select(*docs.columns)

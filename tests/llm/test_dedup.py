@@ -212,3 +212,19 @@ def test_near_copies_by_block(spark, monkeypatch, piece):
     kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
     want = jaccard_groups(rows)
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(want))
+
+
+def test_near_copies_of_one_id(spark):
+    p = " ".join(f"q{i}" for i in range(60))
+    rows = [(None, p), (None, p), (None, "other text"), (None, "third one"), (4, p + " end"), (5, "five"), (5, "five"), (5, "not five"), (6, None), (None, ""), (None, None)]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    got = sorted(((r.doc_id, r.text or "") for r in kept), key=str)
+    assert got == sorted([(None, p), (None, "other text"), (None, "third one"), (5, "five"), (5, "not five"), (None, "")], key=str)
+    twice = spark.createDataFrame(block_edits(groups=8) * 2, "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(twice).collect()) == sorted(set(jaccard_groups(block_edits(groups=8))))
+
+
+def test_near_copies_on_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == sorted(set(jaccard_groups(rows)))
