@@ -116,27 +116,44 @@ def forest_candidates(queries: DataFrame, rows: DataFrame, trees: Sequence[Seque
     return found.join(queries.select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec")), "q_id").join(rows, "id")
 
 
-def probe_candidates(queries: DataFrame, rows: DataFrame, hashes: Sequence, probes: int) -> DataFrame:
-    """Multi-probing: besides its own bin a query visits the ``probes`` likeliest neighbours in each table.
+def perturbations(delta: Column, digits: int, probes: int) -> Column:
+    """Steps of no move and then of the ``probes`` joint moves of least cost, for digits at ``delta`` in their bins.
 
-    Every table is one stable-distribution hash per digit; a probe moves one digit by one
-    step, and moves are ranked by the squared distance to the bin edge that they cross.
+    A digit moves by one step or not at all, at the squared distance to the bin edge that it crosses; costs
+    add up. Digits are joined one by one and only the best so far go on, which loses none of the best.
     """
-    def digits(vec):
-        return [(h.hash(vec), h.delta(vec)) for h in hashes]
-
+    best = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("moves"), F.array().cast("array<int>").alias("steps")))
+    for i in range(digits):
+        d = F.get(delta, F.lit(i))
+        to = ((0, F.lit(0.0)), (-1, d * d), (1, (1 - d) * (1 - d)))
+        best = F.flatten(F.transform(best, lambda c: F.array(*[F.struct(  # noqa: B023
+            (c["cost"] + cost).alias("cost"), (c["moves"] + abs(step)).alias("moves"), F.concat(c["steps"], F.array(F.lit(step))).alias("steps")) for step, cost in to])))  # noqa: B023
+        best = F.slice(F.array_sort(best), 1, probes + 1)
+    return F.transform(best, lambda c: c["steps"])
+
+
+def probe_candidates(queries: DataFrame, rows: DataFrame, hashes: Sequence, probes: int,
+                     metric: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Multi-probing: besides its own bin a query visits the ``probes`` likeliest bins around it in each table.
+
+    ``hashes`` are tables of one stable-distribution hash per digit, or the digits of a single table. Probes
+    are those of perturbations(), at most 3^digits - 1; ``probe`` is the first over all tables that finds a row.
+    With a metric pairs have ``dist`` in place of both vectors, which then aren't shuffled for each pair.
+    """
+    tables = [list(t) for t in hashes] if isinstance(hashes[0], (list, tuple)) else [list(hashes)]
     vec = F.col("vec")
-    found = digits(vec)
-    moves = F.array(*[F.struct(cost.alias("cost"), F.lit(i).alias("at"), F.lit(step).alias("step"))
-                      for i, (_, d) in enumerate(found) for step, cost in ((-1, d * d), (1, (1 - d) * (1 - d)))])
-    best = F.concat(F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("at"), F.lit(0).alias("step"))),
-                    F.slice(F.array_sort(moves), 1, probes))
-    own = F.array(*[h for h, _ in found])
-    q = queries.select(F.col("id").alias("q_id"), vec.alias("q_vec"), own.alias("own"), F.posexplode(best).alias("probe", "m"))
-    q = q.select("q_id", "q_vec", "probe", F.transform("own", lambda h, i: F.when(
-        i == F.col("m.at"), h + F.col("m.step")).otherwise(h)).alias("bin"))
-    r = rows.select("id", "vec", own.alias("bin"))
-    return q.join(r, "bin").where("q_id <> id").groupBy("q_id", "id").agg(
+    own = F.array(*[F.array(*[h.hash(vec) for h in t]) for t in tables])
+    place = F.array(*[F.struct(F.array(*[h.hash(vec) for h in t]).alias("own"), F.array(*[h.delta(vec) for h in t]).alias("delta")) for t in tables])
+    q = queries.select(F.col("id").alias("q_id"), vec.alias("q_vec"), F.posexplode(place).alias("tab", "at"))
+    q = q.select("q_id", "q_vec", "tab", F.col("at.own").alias("own"), F.posexplode(
+        perturbations(F.col("at.delta"), len(tables[0]), probes)).alias("probe", "steps"))
+    q = q.select("q_id", "q_vec", "tab", "probe", F.zip_with("own", "steps", lambda h, s: h + s).alias("bin"))
+    r = rows.select("id", "vec", F.posexplode(own).alias("tab", "bin"))
+    met = q.join(r, ["tab", "bin"]).where("q_id <> id")
+    if metric is not None:
+        return met.select("q_id", "id", "probe", metric(F.col("q_vec"), F.col("vec")).alias("dist")).groupBy("q_id", "id").agg(
+            F.min("probe").alias("probe"), F.min("dist").alias("dist"))
+    return met.groupBy("q_id", "id").agg(
         F.min("probe").alias("probe"), F.first("q_vec").alias("q_vec"), F.first("vec").alias("vec"))
 
 

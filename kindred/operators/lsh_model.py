@@ -97,21 +97,23 @@ class RecallTable:
     values: np.ndarray  # bins x (probes + 1)
 
     @staticmethod
-    def simulate(width: float, digits: int, probes: int, least: float, greatest: float, bins: int = 40, draws: int = 4000, seed: int = 0) -> RecallTable:
+    def simulate(width: float, digits: int, probes: int, least: float, greatest: float, bins: int = 40, draws: int = 4000, seed: int = 0, tables: int = 1) -> RecallTable:
         r = np.random.default_rng(seed)
         step = math.log(greatest / least) / (bins - 1)
         at, move = r.random((draws, digits)), r.normal(size=(draws, digits))
-        costs = np.concatenate([at**2, (1 - at) ** 2], axis=1)
-        place = np.argsort(np.argsort(costs, axis=1), axis=1) + 1
+        cost, steps = np.zeros((draws, 1)), np.zeros((draws, 1, 0), int)
+        for d in range(digits):  # as in knn.perturbations
+            low = at[:, d:d + 1]
+            cost = np.concatenate([cost, cost + low**2, cost + (1 - low) ** 2], axis=1)
+            steps = np.concatenate([np.concatenate([steps, np.full((*steps.shape[:2], 1), s)], axis=2) for s in (0, -1, 1)], axis=1)
+            best = np.argsort(cost, axis=1, kind="stable")[:, :probes + 1]
+            cost, steps = np.take_along_axis(cost, best, 1), np.take_along_axis(steps, best[:, :, None], 1)
         out = np.zeros((bins, probes + 1))
         for b in range(bins):
             jump = np.floor(at + move * least * math.exp(step * b) / width).astype(int)
-            moved = np.abs(jump).sum(axis=1)
-            one = moved == 1
-            digit = np.abs(jump).argmax(axis=1)
-            side = jump[np.arange(draws), digit] > 0
-            rank = np.where(moved == 0, 0, np.where(one, place[np.arange(draws), digit + digits * side], probes + 1))
-            out[b] = [(rank <= t).mean() for t in range(probes + 1)]
+            same = (steps == jump[:, None]).all(axis=2)
+            rank = np.where(same.any(axis=1), same.argmax(axis=1), probes + 1)
+            out[b] = [1 - (1 - (rank <= t).mean()) ** tables for t in range(probes + 1)]
         return RecallTable(least, step, out)
 
     def lookup(self, distance, probes):
@@ -126,7 +128,7 @@ def search_to_recall(queries: DataFrame, rows: DataFrame, hashes: Sequence, tabl
     """(q_id, id, dist, rank, probes): for each query the least number of probes at which the mean
     expected recall of its current k nearest reaches ``target``, or all probes of the table."""
     most = table.values.shape[1] - 1
-    found = probe_candidates(queries, rows, hashes, most).select("q_id", "id", "probe", l2(F.col("q_vec"), F.col("vec")).alias("dist"))
+    found = probe_candidates(queries, rows, hashes, most, l2)
     levels = found.withColumn("probes", F.explode(F.sequence(F.col("probe"), F.lit(most))))
     rank = F.row_number().over(Window.partitionBy("q_id", "probes").orderBy("dist", "id"))
     best = levels.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)

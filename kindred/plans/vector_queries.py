@@ -277,12 +277,13 @@ def vector_quantiser(spark, sf_dir):
     return linear.nearest_mean(vectors(spark, sf_dir).select("id", "vec"), "vec", np.random.default_rng(5).normal(size=(16, DIM)) / 8)
 
 
-PROBED = [StableDistribution.draw(DIM, 0.9, s) for s in range(3)]
+#: Tables of three digits each.
+PROBED = [[StableDistribution.draw(DIM, 0.9, 3 * t + s) for s in range(3)] for t in range(4)]
 
 
 def _probed(spark, sf_dir, probes):
     v = vectors(spark, sf_dir).select("id", "vec")
-    return knn.nearest(knn.probe_candidates(v, v, PROBED, probes), 5, D.l2_squared)
+    return knn.nearest(knn.probe_candidates(v, v, PROBED, probes, D.l2_squared), 5, lambda *_: F.col("dist"))
 
 
 @query()
@@ -326,5 +327,5 @@ def mplsh_adaptive(spark, sf_dir):
     """Probing until the expected recall of the five nearest is 0.6, and the probes that it took."""
     from kindred.operators.lsh_model import RecallTable, search_to_recall
     v = vectors(spark, sf_dir).select("id", "vec")
-    table_ = RecallTable.simulate(0.9, len(PROBED), 6, 0.1, 2.0)
+    table_ = RecallTable.simulate(0.9, len(PROBED[0]), 6, 0.1, 2.0, tables=len(PROBED))
     return search_to_recall(v, v, PROBED, table_, 5, 0.6)

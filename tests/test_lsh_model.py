@@ -68,3 +68,28 @@ def test_turning_and_config():
     assert images.scaled(a, 0.5).shape == (1, 2)
     c = parse_search_config("64 /base conf\n0 32 i0 s0\n32 32 i1 s1\n")
     assert (c.sample_rate, [b.index_path for b in c.blocks]) == (64, ["i0", "i1"])
+
+
+def test_joint_probes_in_all_tables(spark):
+    from itertools import product
+
+    from kindred.operators import knn
+
+    x = np.random.default_rng(5).normal(size=(80, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    tables = [[StableDistribution.draw(6, 2.0, 3 * t + s) for s in range(3)] for t in range(2)]
+    for probes in (0, 4, 12, 26):
+        want = {}
+        for t in tables:
+            at = np.column_stack([(x @ np.array(h.a) + h.b) / h.w for h in t])
+            own, d = np.floor(at).astype(int), at - np.floor(at)
+            for q in range(len(x)):
+                cost = lambda m: sum({0: 0.0, -1: e * e, 1: (1 - e) ** 2}[s] for s, e in zip(m, d[q]))  # noqa: B023, E731
+                for n, m in enumerate(sorted(product((-1, 0, 1), repeat=3), key=cost)[:probes + 1]):
+                    for i in np.flatnonzero((own == own[q] + np.array(m)).all(axis=1)).tolist():
+                        if i != q:
+                            want[q, i] = min(n, want.get((q, i), n))
+        got = {(r.q_id, r.id): r.probe for r in knn.probe_candidates(df, df, tables, probes).collect()}
+        assert got == want
+    t = RecallTable.simulate(1.0, 3, 26, 0.05, 0.5, bins=5)
+    assert t.values[0, 26] > 0.999 and (RecallTable.simulate(1.0, 3, 26, 0.05, 0.5, bins=5, tables=2).values >= t.values).all()
