@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_batches
+from .shared import text_slices
 
 #: Distinct words of one recursive query; bytes of text read before new words are encoded.
 QUERY_WORDS, HELD_BYTES = 60_000, 6_000_000
@@ -177,7 +177,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
 
     def run(batches):
         bpe = _bpe(ranks, pattern)
-        for b in batches:
+        for b in text_slices(batches):
             lo, n = 0, b.num_rows
             sizes = [len(t.as_py() or "") for t in b.column(1)]
             while lo < n:
@@ -194,4 +194,4 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
                 lo = hi
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return text_batches(rows).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

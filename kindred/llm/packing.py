@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, text_batches
+from .shared import checkpointed, text_slices
 
 CAPACITY = 2048
 #: Items that one task packs; sequences with at least LOOSE tokens free are packed again together.
@@ -114,7 +114,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
     def run(batches):
         t = _tokenizer(text_of_file)
-        for b in batches:
+        for b in text_slices(batches):
             out = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = t.encode(text.as_py() or "") + end
@@ -129,7 +129,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return text_batches(rows).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int, any_fit: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -3,24 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id inside an operator: it sorts before every other id.
 NO_ID = -(2**63)
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+SLICE_BYTES = 8 << 20
+#: Bits of a sieve: 2 MB, whatever the input.
+SIEVE_BITS = 1 << 24
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, from ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the session names none (tests).
+    A folder of our own is made only where the session names none and all tasks run in this process (tests);
+    a cluster without one is an error, as no local folder is shared there.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindred-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kindred-"))
     return sc.getCheckpointDir()
 
 
@@ -30,16 +39,45 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """df, after the session's Arrow batches were bounded to BATCH_BYTES.
+def written(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a compressed table in the shared folder, and what removes it when it is read no more."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
 
-    Rows of whole texts can be long; the default of 64 MB a batch is held several times on its way
-    into a Python worker and back.
+    def remove() -> None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    return spark.read.schema(df.schema).parquet(path), remove
+
+
+def text_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of about SLICE_BYTES, one row at least.
+
+    Spark bounds a batch by rows, or by a setting that is the session's own business. What a task makes
+    of a slice (lists of texts, words, new columns) is bounded by this one.
     """
-    conf = df.sparkSession.conf
-    if (now := conf.get(BATCH_SETTING, None)) is not None and now != str(BATCH_BYTES):
-        conf.set(BATCH_SETTING, str(BATCH_BYTES))
-    return df
+    for b in batches:
+        parts = max(1, -(-b.nbytes // SLICE_BYTES))
+        step = max(1, -(-b.num_rows // parts))
+        for lo in range(0, b.num_rows, step):
+            yield b.slice(lo, step)
+
+
+class Sieve:
+    """A bitmap of fixed size that holds every number put in, and few others while it is not full."""
+
+    def __init__(self, keys: DataFrame, column: str):
+        bit = F.pmod(column, F.lit(SIEVE_BITS))
+        words = keys.groupBy(F.floor(bit / 64).cast("int").alias("at")).agg(
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("bits")).toArrow()
+        self.words = np.zeros(SIEVE_BITS // 64, np.uint64)
+        self.words[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+
+    def __call__(self, numbers: np.ndarray) -> np.ndarray:
+        at = numbers % SIEVE_BITS
+        return (self.words[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 def shuffle_width(spark: SparkSession) -> int:

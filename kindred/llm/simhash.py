@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NO_ID, Forest, checkpointed, connected_components, text_batches
+from .repeats import groups_for, repeated
+from .shared import NO_ID, Forest, Sieve, checkpointed, connected_components, text_slices, written
 
 BITS = 64
 #: Reference fingerprints; bit patterns from a hash, so they need no storage.
@@ -27,8 +28,8 @@ def majority(hashes: bytes, width: int) -> bytes:
     """A bit is 1 if set in over half of the hashes of ``width`` bytes each; of none: zero."""
     planes = np.frombuffer(hashes, np.uint8).reshape(-1, width)
     votes = np.zeros(8 * width, np.int64)
-    for k in range(0, len(planes), 8192):
-        votes += np.unpackbits(planes[k:k + 8192], axis=1).sum(axis=0, dtype=np.int64)
+    for k in range(0, len(planes), 255):  # so that counts fit a byte
+        votes += np.unpackbits(planes[k:k + 255], axis=1).sum(axis=0, dtype=np.uint8)
     return np.packbits(2 * votes > len(planes)).tobytes()
 
 
@@ -50,34 +51,26 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> bytes:
     return majority(b"".join([digest(x, seed) for x in shingles(_words(text), shingle)]), 8)
 
 
-def signature(text: str | None, shingle: int = 5) -> tuple[bytes, bytes]:
-    """The 64-bit majority over the distinct words, and the 256-bit one over the shingles."""
-    words, short, long = _words(text), xxhash.xxh64_digest, xxhash.xxh3_128_digest
-    own = b"".join([short(x) for x in set(words)])
-    return majority(own, 8), majority(b"".join([long(x) + long(x, 1) for x in shingles(words, shingle)]), 32)
-
-
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the 64-bit fingerprint of each whole text, as a signed long."""
     def run(batches):
-        for b in batches:
+        for b in text_slices(batches):
             fps = b"".join(fingerprint(t.as_py(), shingle, seed) for t in b.column(1))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return text_batches(rows).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def _close(bucket: np.ndarray, fp: np.ndarray, radius: int, checks=(), check_radius: int = 0) -> Forest:
+def _close(bucket: np.ndarray, fp: np.ndarray, radius: int) -> Forest:
     """A forest over the rows that joins those of equal bucket at ``radius`` or fewer bits.
 
     Rows must be sorted by bucket and then by distance to the first pivot: partners of a row
     then follow it within its bucket until the first coordinate has grown by more than radius.
     Every other coordinate of the pivot table discards by the same bound, and only
-    survivors have their own distance computed; ``checks`` are the words of a longer
-    signature whose distance must be within ``check_radius`` too.
+    survivors have their own distance computed.
     """
     table = [np.bitwise_count(fp ^ p).astype(np.int8) for p in PIVOTS]
     forest, a, step = Forest(len(fp)), np.arange(len(fp)), 0
@@ -96,11 +89,7 @@ def _close(bucket: np.ndarray, fp: np.ndarray, radius: int, checks=(), check_rad
             if not len(x):
                 break
         real = np.bitwise_count(fp[x] ^ fp[y]) <= radius
-        x, y = x[real], y[real]
-        if checks and len(x):
-            real = sum(np.bitwise_count(c[x] ^ c[y]).astype(np.int16) for c in checks) <= check_radius
-            x, y = x[real], y[real]
-        forest.union(x, y)
+        forest.union(x[real], y[real])
 
 
 def _masks(radius: int, rows: int) -> list[int]:
@@ -147,18 +136,18 @@ def _dealt(keyed: DataFrame, keys: list[str], own: list[str], cols: list[str]) -
         *keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *cols)
 
 
-def link(fps: DataFrame, radius: int = 3, checks: tuple[str, ...] = (), check_radius: int = 0) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs of ``fps(fp, id, *checks)`` within radius bits.
+def link(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """Edges (u, v) whose components are those of all pairs of ``fps(fp, id)``, distinct in fp, within radius bits.
 
-    Rows are distinct in (fp, *checks). Fingerprints meet in buckets of equal masked bits; a
+    Fingerprints meet in buckets of equal masked bits; a
     bucket of more than PIECE rows is dealt to several tasks as pairs of pieces. Tasks return
     spanning forests, never all pairs of a group.
     """
     masks = [m - (1 << 64) if m >> 63 else m for m in _masks(radius, fps.count())]
-    keyed = fps.select("fp", "id", *checks, F.explode(F.array(*[
+    keyed = fps.select("fp", "id", F.explode(F.array(*[
         F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("k")
-    ).select("fp", "id", *checks, "k.t", "k.key")
-    dealt = _dealt(keyed, ["t", "key"], ["fp", *checks], ["id", "fp", *checks])
+    ).select("fp", "id", "k.t", "k.key")
+    dealt = _dealt(keyed, ["t", "key"], ["fp"], ["id", "fp"])
     dealt = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
 
     def edges(cols):
@@ -168,7 +157,7 @@ def link(fps: DataFrame, radius: int = 3, checks: tuple[str, ...] = (), check_ra
             new[1:] |= c[1:] != c[:-1]
         bucket = np.cumsum(new)
         order = np.lexsort((np.bitwise_count(fp ^ PIVOTS[0]), bucket))
-        root = _close(bucket[order], fp[order], radius, [c.view(np.uint64)[order] for c in cols[6:]], check_radius).root
+        root = _close(bucket[order], fp[order], radius).root
         linked = np.flatnonzero(root != np.arange(len(root)))
         u, v = ids[order][linked], ids[order][root[linked]]
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
@@ -180,15 +169,14 @@ def link(fps: DataFrame, radius: int = 3, checks: tuple[str, ...] = (), check_ra
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def _components(rows: DataFrame, radius: int, checks: tuple[str, ...] = (), check_radius: int = 0) -> DataFrame:
-    """rows(doc_id, fp, *checks) with component, the smallest doc_id reachable by links."""
-    key = ["fp", *checks]
+def _components(rows: DataFrame, radius: int) -> DataFrame:
+    """rows(doc_id, fp) with component, the smallest doc_id reachable by links."""
     rows = checkpointed(rows)
-    nodes = checkpointed(rows.groupBy(*key).agg(F.min("doc_id").alias("id")))
-    found = connected_components(link(nodes, radius, checks, check_radius))
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    found = connected_components(link(nodes, radius))
     named = nodes.join(found, F.col("id") == F.col("node"), "left").select(
-        *key, F.coalesce("component", "id").alias("component"))
-    return rows.join(named, key)
+        "fp", F.coalesce("component", "id").alias("component"))
+    return rows.join(named, "fp")
 
 
 def _given(column: str):
@@ -212,175 +200,193 @@ def components(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 4
                         _given("component").alias("component_id"))
 
 
-#: Radii at which signature() estimates a similarity of 0.8; blocks cut off or added move the word bits
-#: further, so drop_near_copies() does not decide by them.
-WORD_RADIUS, SIGNATURE_RADIUS = 7, 45
+#: Bits of the fingerprints that near copies are sifted by, and how many of them may differ. Two sets of
+#: similarity 0.8 differ in 15 % of their bits; 40 is some five standard deviations further.
+NEAR_BITS, NEAR_RADIUS = 128, 40
+#: Sets of so few shingles have too few votes for that estimate; they are compared exactly at once.
+FEW_SHINGLES = 24
+#: Fingerprints of a task's largest buckets that serve as references.
+REFERENCES = 16
 #: Texts in which frequent shingles are counted, and the most shingles listed. Both only order shingles.
 SAMPLE_ROWS, LISTED = 10_000, 100_000
-#: Counts that bound what two sets have in common, and bits by which texts are sifted.
-RESIDUES, SIEVE_BITS = 128, 1 << 24
+#: Sets, and bytes of them, of one component that are compared in one piece.
+SETS, SET_BYTES = 1024, 8 << 20
 
 
-def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of a text."""
-    found = shingles(_words(text), shingle)
-    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
+def profile(text: str | None, shingle: int = 5) -> tuple[np.ndarray, bytes]:
+    """Sorted 64-bit hashes of the distinct shingles of a text, and the 128-bit majority over them."""
+    digests = b"".join(map(xxhash.xxh3_128_digest, shingles(_words(text), shingle)))
+    whole = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    own, first = np.unique(whole[:, 0], return_index=True)
+    return own, majority(whole[first].tobytes(), NEAR_BITS // 8)
 
 
 def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and counts of the shingles that three or more of some SAMPLE_ROWS distinct texts hold."""
     def run(batches):
-        for b in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in b.column(0)]
+        for b in text_slices(batches):
+            sets = [profile(t.as_py(), shingle)[0] for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
     every = max(1, rows.count() // SAMPLE_ROWS)
     some = rows.where(F.pmod("tkey", F.lit(every)) == 0).dropDuplicates(["tkey"]).select("text")
-    counts = text_batches(some).mapInArrow(run, "h long").groupBy("h").count().where("count > 2")
+    counts = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2")
     top = counts.orderBy(F.desc("count"), "h").limit(LISTED).collect()
     h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], np.array([r["count"] for r in top], np.int64)[order]
 
 
-def _histogram(s: np.ndarray) -> bytes:
-    """How many hashes of a set fall to each residue; empty if a count doesn't fit a byte."""
-    n = np.bincount((s % np.uint64(RESIDUES)).astype(np.int64), minlength=RESIDUES)
-    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+def _may_agree(n: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """False where sets of n shingles whose first common one is at pos can't reach a similarity of 0.8."""
+    return 9 * np.minimum(n[a] - pos[a], n[b] - pos[b]) >= 4 * (n[a] + n[b])
 
 
-def _with_ends(pairs: DataFrame, values: DataFrame) -> DataFrame:
-    """pairs(u, v) with the value of ``values(node, x)`` of either end as u_x and v_x."""
-    x = values.columns[1]
-    end = lambda c: values.select(F.col("node").alias(c), F.col(x).alias(f"{c}_{x}"))
-    return pairs.join(end("u"), "u").join(end("v"), "v").select("u", "v", f"u_{x}", f"v_{x}")
+def near_in_buckets(bucket: np.ndarray, n: np.ndarray, pos: np.ndarray, fp: tuple[np.ndarray, ...]) -> tuple[Forest, np.ndarray]:
+    """A forest over the rows that joins those of a bucket that may be near, and pairs met, left by the table and near.
 
+    Rows are sorted by bucket and then size, so the partners that sizes permit follow a row. A table
+    holds every row's distance to some reference fingerprints, members of the largest buckets;
+    a pair whose largest difference there exceeds the radius is discarded, and only survivors have their
+    own distance computed. Buckets already joined into one tree are left early.
+    """
+    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+    sizes = np.diff(start, append=len(bucket))
+    own = start[np.argsort(-sizes, kind="stable")[:REFERENCES]]
+    apart = lambda x, y: sum(np.bitwise_count(f[x] ^ f[y]).astype(np.int16) for f in fp)
+    table = [apart(slice(None), r) for r in own]
+    forest, a, step, counts = Forest(len(bucket)), np.arange(len(bucket)), 0, np.zeros(3, np.int64)
+    index = np.repeat(np.arange(len(start)), sizes)
+    while len(a):
+        step += 1
+        a = a[a < len(bucket) - step]
+        b = a + step
+        on = (index[a] == index[b]) & (5 * n[a] >= 4 * n[b])
+        a, b = a[on], b[on]
+        x = np.flatnonzero((forest.root[a] != forest.root[b]) & _may_agree(n, pos, a, b))
+        x, y = a[x], b[x]
+        counts[0] += len(x)
+        few = n[y] <= FEW_SHINGLES
+        forest.union(x[few], y[few])
+        x, y = x[~few], y[~few]
+        for column in table:
+            on = np.abs(column[x] - column[y]) <= NEAR_RADIUS
+            x, y = x[on], y[on]
+        counts[1] += len(x)
+        on = apart(x, y) <= NEAR_RADIUS
+        forest.union(x[on], y[on])
+        counts[2] += int(on.sum())
+        if step & (step - 1) == 0 and len(a):
+            mixed = np.minimum.reduceat(forest.root, start) != np.maximum.reduceat(forest.root, start)
+            a = a[mixed[index[a]]]
+    return forest, counts
+
+
+def _likely(met: DataFrame) -> DataFrame:
+    """Edges (u, v) of forests over ``met(key, node, n, pos, f0, f1)``, joining nodes of one key that may be near."""
+    dealt = _dealt(met, ["key"], ["node"], ["n", "node", "pos", "f0", "f1"])
 
-def _likely(pairs: DataFrame, histograms: DataFrame) -> DataFrame:
-    """pairs(u, v) without those whose sets can't have enough in common: no more than the lesser count of each residue."""
     def run(batches):
-        for b in batches:
-            on = np.ones(b.num_rows, bool)
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-            at = [i for i in range(len(x)) if x[i] and y[i]]
-            x, y = (np.frombuffer(b"".join(c[i] for i in at), np.uint8).reshape(-1, RESIDUES) for c in (x, y))
-            both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            on[at] = 9 * both >= 4 * (x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(on))
-
-    return _with_ends(pairs, histograms).mapInArrow(run, "u long, v long")
-
-
-def _sets(keyed: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """(node, set) of the nodes in pairs, from their texts; these are not shuffled but sifted by bits of their hash."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = checkpointed(rows.select("node", "doc_id", "tkey").join(ends, "node").groupBy("node").agg(
-        F.min(F.struct("doc_id", "tkey")).alias("k")).select("node", "k.doc_id", "k.tkey"))
-    bit = F.pmod("tkey", F.lit(SIEVE_BITS))
-    words = wanted.groupBy(F.floor(bit / 64).cast("int").alias("at")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("bits")).toArrow()
-    sieve = np.zeros(SIEVE_BITS // 64, np.uint64)
-    sieve[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+        for key, i, j, n, node, pos, f0, f1 in _buckets(batches, 3):
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            forest, _ = near_in_buckets(np.cumsum(new), n, pos, (f0.view(np.uint64), f1.view(np.uint64)))
+            at = np.flatnonzero(forest.root != np.arange(len(key)))
+            u, v = node[at], node[forest.root[at]]
+            pairs = np.unique(np.column_stack([np.minimum(u, v), np.maximum(u, v)]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    def run(batches):
-        for b in batches:
-            at = b.column(1).to_numpy() % SIEVE_BITS
-            on = (sieve[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
-            b = b.filter(pa.array(on))
-            sets = pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sets], names=["doc_id", "tkey", "set"])
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node").mapInArrow(run, "u long, v long")
 
-    found = text_batches(keyed.select("doc_id", "tkey", "text")).mapInArrow(run, "doc_id long, tkey long, set binary")
-    return found.join(wanted, ["doc_id", "tkey"]).select("node", "set").dropDuplicates(["node"])
 
+def _sets(keyed: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, component, set) for nodes(node, component), from their texts; texts don't travel but are sifted by their hash."""
+    wanted = checkpointed(rows.select("node", "doc_id", "tkey").join(nodes, "node").groupBy("node", "component").agg(
+        F.min(F.struct("doc_id", "tkey")).alias("k")).select("node", "component", "k.doc_id", "k.tkey"))
+    sieve = Sieve(wanted, "tkey")
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs(u, v) whose shingle sets have a Jaccard similarity of 0.8 or more."""
     def run(batches):
-        for b in batches:
-            on = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(c.as_py(), np.uint64) for c in (x, y))
-                on.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(on, pa.bool_()))
-
-    return _with_ends(pairs, sets).mapInArrow(run, "u long, v long")
-
-
-def _may_agree(n: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """False where sets of n shingles whose first common one is at pos can't reach a similarity of 0.8."""
-    return 9 * np.minimum(n[a] - pos[a], n[b] - pos[b]) >= 4 * (n[a] + n[b])
+        for b in text_slices(batches):
+            b = b.filter(pa.array(sieve(b.column(1).to_numpy())))
+            sets = pa.array([profile(t.as_py(), shingle)[0].tobytes() for t in b.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sets], names=["doc_id", "tkey", "set"])
 
+    found = keyed.select("doc_id", "tkey", "text").mapInArrow(run, "doc_id long, tkey long, set binary")
+    return found.join(wanted, ["doc_id", "tkey"]).select("node", "component", "set").dropDuplicates(["node"])
+
+
+def similar_sets(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sets with a Jaccard similarity of 0.8 or more, by products of their shared columns."""
+    n = np.array(list(map(len, sets)))
+    row = np.repeat(np.arange(len(sets)), n)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    on = count[column] > 1
+    row, column = row[on], shared[column[on]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    wide = max(1, (4 << 20) // len(sets))
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        a, b = np.searchsorted(column, (lo, lo + wide))
+        m = np.zeros((len(sets), int(column[b - 1]) - lo + 1), np.float32)
+        m[row[a:b], column[a:b] - lo] = 1
+        both += m @ m.T
+    x, y = np.nonzero(np.triu(9 * both >= 4 * (n[:, None] + n), 1))
+    return x, y
+
+
+def _similar(sets: DataFrame) -> DataFrame:
+    """Edges (u, v) of forests over sets(node, component, set) joining those of a component with similarity 0.8 or more.
+
+    A component of more than SETS sets or SET_BYTES is dealt to several tasks, as all pairs of its pieces.
+    """
+    pieces = F.ceil(F.greatest(F.count("*") / SETS, F.sum(F.octet_length("set")) / SET_BYTES)).cast("int").alias("pieces")
+    sets, remove = written(sets, "sets")
+    hot = sets.groupBy("component").agg(pieces).where("pieces > 1")
+    count = F.coalesce("pieces", F.lit(1))
+    dealt = sets.join(hot, "component", "left").withColumn("own", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), count - 1))).select(
+        "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "set")
 
-def _neighbours(batches):
-    """Rows (key, node, n, pos, prev) that have another row of their key with a size that permits 0.8."""
-    for key, n, node, pos in _buckets(batches, 1):
-        on = (key[1:] == key[:-1]) & (5 * n[:-1] >= 4 * n[1:])
-        b = np.flatnonzero(on) + 1
-        fit = _may_agree(n, pos, b - 1, b)
-        third = np.zeros(len(key) + 1, bool)  # buckets of more than two: others than neighbours may fit
-        third[2:-1] = key[2:] == key[:-2]
-        some = fit | third[b] | third[b + 1]
-        live = np.zeros(len(key), bool)
-        live[b[some]] = live[b[some] - 1] = True
-        b = b[fit]
-        chained = np.zeros(len(key), bool)
-        chained[b] = True
-        prev = np.concatenate([node[:1], node[:-1]])
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(n), pa.array(pos), pa.array(prev, mask=~chained)],
-                                         names=["key", "node", "n", "pos", "prev"]).filter(pa.array(live))
-
-
-def _apart(batches):
-    """Pairs (u, v) of different components within a bucket, by every key at which sizes and places permit 0.8."""
-    def out(found):
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
-    for key, i, j, n, node, pos, comp in _buckets(batches, 3):
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        bucket = np.cumsum(first) - 1
-        start = np.flatnonzero(first)
-        mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
-        a, step, found, held = np.flatnonzero(mixed[bucket]), 0, [], 0
-        while len(a):
-            step += 1
-            a = a[a < len(key) - step]
-            b = a + step
-            on = (bucket[a] == bucket[b]) & (5 * n[a] >= 4 * n[b])
-            a, b = a[on], b[on]
-            x = (comp[a] != comp[b]) & _may_agree(n, pos, a, b)
-            if x.any():
-                u, v = node[a[x]], node[b[x]]
-                found.append(np.column_stack([np.minimum(u, v), np.maximum(u, v)]))
-                held += len(u)
-                if held > 200_000:
-                    yield out(found)
-                    found, held = [], 0
-        if found:
-            yield out(found)
+    def run(batches):
+        for component, i, j, node, s in _buckets(text_slices(batches), 3):
+            new = np.ones(len(node), bool)
+            new[1:] = (component[1:] != component[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            first, u, v = np.flatnonzero(new), [], []
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(node)]):
+                x, y = similar_sets([np.frombuffer(c, np.uint64) for c in s[a:b]])
+                forest = Forest(b - a)
+                forest.union(x, y)
+                at = np.flatnonzero(forest.root != np.arange(b - a))
+                u.append(node[a:b][at])
+                v.append(node[a:b][forest.root[at]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+
+    links = checkpointed(dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(run, "u long, v long"))
+    remove()
+    return links
 
 
 def _set_components(keyed: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, tkey, component) for keyed(doc_id, tkey, text): components of Jaccard similarity 0.8 or more.
 
-    Texts of one shingle set are one node, named by the 64-bit hash of the set. Prefix filter: shingles
-    are put in one order, rare ones first, and two sets of similarity 0.8 share one of the first
-    n / 5 + 1 of either, so no pair is missed. Neighbours by size in a bucket are compared first; of
-    all other pairs in it only those whose components still differ. Before sets are made of the texts,
-    pairs whose histograms bound their similarity below 0.8 are left out.
+    Texts of one shingle set are one node, named by the 64-bit hash of the set. Nodes meet in buckets of
+    equal shingles: shingles are put in one order, rare ones first, and two sets of similarity 0.8 share
+    one of the first n / 5 + 1 of either. Shingles that only one node lists drop out first. In
+    a bucket 128-bit fingerprints are sifted by a table of distances to references, and compared. What
+    that joins is a component of likely copies, whose sets are then compared exactly.
     """
     listed, counts = _frequent(keyed, shingle)
 
     def prefixes(batches):
-        for b in batches:
-            node, size, keys, counted = [], [], [], []
+        for b in text_slices(batches):
+            node, size, keys, fps = [], [], [], []
             for t in b.column(2):
-                s = shingle_set(t.as_py(), shingle)
+                s, fp = profile(t.as_py(), shingle)
                 node.append(xxhash.xxh3_64_intdigest(s.tobytes()))
                 size.append(len(s))
-                counted.append(_histogram(s))
+                fps.append(fp)
                 count = np.zeros(len(s), np.int64)
                 if len(listed):
                     at = np.minimum(np.searchsorted(listed, s), len(listed) - 1)
@@ -388,30 +394,29 @@ def _set_components(keyed: DataFrame, shingle: int) -> DataFrame:
                 keys.append(s[np.lexsort((s, count))[:len(s) // 5 + 1]])
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            fp = np.frombuffer(b"".join(fps), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(counted, pa.binary())],
-                names=["doc_id", "tkey", "node", "n", "keys", "histogram"])
-
-    rows = checkpointed(text_batches(keyed.select("doc_id", "tkey", "text")).mapInArrow(
-        prefixes, "doc_id long, tkey long, node long, n long, keys array<long>, histogram binary"))
-    histograms = rows.select("node", "histogram").dropDuplicates(["node"])
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    met = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key")).select("key", "n", "node", F.col("pos").cast("long").alias("pos"))
-    live = checkpointed(met.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(
-        _neighbours, "key long, node long, n long, pos long, prev long"))
-    chain = live.where("prev IS NOT NULL").select(
-        F.least("node", "prev").alias("u"), F.greatest("node", "prev").alias("v")).distinct()
-    chain = checkpointed(_likely(chain, histograms))
-    links = checkpointed(_similar(chain, _sets(keyed, rows, chain, shingle)))
-    found = connected_components(links)
-    named = live.drop("prev").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    dealt = _dealt(named, ["key"], ["node"], ["n", "node", "pos", "component"])
-    rest = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node").mapInArrow(_apart, "u long, v long")
-    rest = checkpointed(_likely(rest.distinct(), histograms).join(chain, ["u", "v"], "left_anti"))
-    if not rest.isEmpty():
-        more = _similar(rest, _sets(keyed, rows, rest, shingle))
-        found = connected_components(links.unionByName(more))
+                 pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["doc_id", "tkey", "node", "n", "f0", "f1", "keys"])
+
+    def hashed(b: pa.RecordBatch):
+        ends, flat = b.column(4).offsets.to_numpy(), b.column(4).values.to_numpy().view(np.uint64)
+        for k, name in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)))):
+            yield name, flat[ends[k]:ends[k + 1]]
+
+    def finish(meta, row, place, h):
+        return pa.table([pa.array(h.view(np.int64)), *(pa.array(meta[row, c], pa.int64()) for c in (0, 1)), pa.array(place, pa.int64()),
+                         *(pa.array(meta[row, c], pa.int64()) for c in (2, 3))], names=["key", "node", "n", "pos", "f0", "f1"])
+
+    rows = checkpointed(keyed.select("doc_id", "tkey", "text").mapInArrow(
+        prefixes, "doc_id long, tkey long, node long, n long, f0 long, f1 long, keys array<long>"))
+    total = rows.agg(F.sum(F.size("keys"))).first()[0]
+    nodes = rows.select("node", "n", "f0", "f1", "keys").dropDuplicates(["node"])
+    met, remove = written(repeated(nodes, hashed, finish, "key long, node long, n long, pos long, f0 long, f1 long", groups_for(total or 0), 8), "met")
+    likely = connected_components(_likely(met))
+    remove()
+    found = connected_components(_similar(_sets(keyed, rows, likely, shingle)))
     return rows.select("doc_id", "tkey", "node").join(found, "node", "left").select(
         "doc_id", "tkey", F.coalesce("component", "node").alias("component"))
 
@@ -419,20 +424,32 @@ def _set_components(keyed: DataFrame, shingle: int) -> DataFrame:
 def drop_near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document, that of the smallest id, of each group of exact and near copies.
 
-    Two documents link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more;
-    every such pair is found and compared exactly, up to clashes of 64-bit hashes. Groups are the
-    components. Null and empty texts are copies of each other; null ids count as smallest, but every row
-    is a document of its own: of each group one row stays, that of the least (id, hash of the text), and
-    of rows equal in both any one. All columns are returned as they are.
+    Two documents link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more.
+    Every such pair shares a bucket; it is lost only if its fingerprints differ in more than NEAR_RADIUS
+    bits, some five standard deviations from what that similarity gives. None below is linked, up to
+    clashes of 64-bit hashes. Groups are the components. Null and empty texts are copies of each
+    other; null ids count as smallest, but every row is a document of its own: of each group one row stays,
+    that of the least (id, hash of the text), and of rows equal in both any one. All columns are
+    returned as they are, whatever their names; an empty table gives no rows. Texts that stay don't travel.
     """
     key = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
     text = F.col(text_col).cast("string")
     found = checkpointed(_set_components(docs.select(key.alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text")), shingle))
-    least = found.groupBy("component", "doc_id", "tkey").count().groupBy("component").agg(F.min(F.struct("doc_id", "tkey", "count")).alias("k"))
-    kept = checkpointed(least.select(F.col("k.doc_id").alias("__kindred_key"), F.col("k.tkey").alias("__kindred_text"), F.col("k.count").alias("__kindred_rows")))
+    each = checkpointed(found.groupBy("component", "doc_id", "tkey").count())
+    least = each.groupBy("component").agg(F.min(F.struct("doc_id", "tkey")).alias("k")).select("component", "k.doc_id", "k.tkey")
+    once = least.join(each.where("count = 1"), ["component", "doc_id", "tkey"]).select("doc_id", "tkey")
+    name = F.xxhash64("doc_id", "tkey")
+    sieve = Sieve(each.join(once, ["doc_id", "tkey"], "left_anti").select(name.alias("name")), "name")
+    kept = least.select(F.col("doc_id").alias("__kindred_key"), F.col("tkey").alias("__kindred_text"))
     own = ["__kindred_key", "__kindred_text"]
-    left = docs.withColumns({own[0]: key, own[1]: F.xxhash64(text)}).join(kept, own)
-    if kept.where("__kindred_rows > 1").isEmpty():
-        return left.select(*docs.columns)
-    once, again = left.where("__kindred_rows = 1"), left.where("__kindred_rows > 1").dropDuplicates(own)
-    return once.unionAll(again).select(*docs.columns)
+    rows = docs.withColumns({own[0]: key, own[1]: F.xxhash64(text)}).withColumn("__kindred_name", F.xxhash64(*own))
+
+    def part(touched: bool):
+        def run(batches):
+            for b in text_slices(batches):
+                on = sieve(b.column(b.num_columns - 1).to_numpy())
+                yield b.filter(pa.array(on if touched else ~on))
+        return rows.mapInArrow(run, rows.schema)
+
+    left = part(True).join(kept, own).dropDuplicates(own)
+    return part(False).select(*docs.columns).unionByName(left.select(*docs.columns))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_batches
+from .shared import text_slices
 
 HELD_WORDS = 400_000
 
@@ -98,7 +98,7 @@ def count_tokens(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_c
 
     def run(batches):
         count, held = _automaton(first, rest).count, {}
-        for b in batches:
+        for b in text_slices(batches):
             rows = []
             for text in b.column(1):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
@@ -120,4 +120,4 @@ def count_tokens(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_c
                                              names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return text_batches(rows).mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")

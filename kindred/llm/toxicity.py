@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, text_batches
+from .shared import checkpointed, text_slices
 
 #: Labelled rows that the model is fitted on, at most, and features that it keeps.
 FIT_ROWS, FEATURES = 4000, 1500
@@ -124,11 +124,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
         F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("toxic")).orderBy(
         F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = checkpointed(text_batches(rows).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id"))  # fit_rows at most
+    sample = checkpointed(rows.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id"))  # fit_rows at most
 
     def seen(batches):
         both = (Counter(), Counter())
-        for b in batches:
+        for b in text_slices(batches):
             for text, toxic in zip(b.column(0), b.column(1)):
                 both[toxic.as_py()].update({f for w in set(TOKEN.findall(text.as_py().lower())) for f in word_features(w)})
         names = list(both[0].keys() | both[1].keys())
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
 
     def sparse(batches):
         of = Features(vocabulary)
-        for b in batches:
+        for b in text_slices(batches):
             x = [of(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(2), pa.array([list(r.keys()) for r in x], pa.list_(pa.int32())),
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     """
     def run(batches):
         of = Features(model[0]) if model else None
-        for b in batches:
+        for b in text_slices(batches):
             out = []
             for t in b.column(1):
                 t = t.as_py()
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
                 cols, (pa.float64(), pa.float64(), pa.int32())))], names=["doc_id", "severity", "p_toxic", "grade"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return text_batches(rows).mapInArrow(run, "doc_id long, severity double, p_toxic double, grade int")
+    return rows.mapInArrow(run, "doc_id long, severity double, p_toxic double, grade int")
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -210,8 +210,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **opt
 
     def run(batches):
         of = Features(model[0])
-        for b in batches:
+        for b in text_slices(batches):
             keep = [not t.is_valid or model[1].at_least(of(t.as_py()))[0] < REJECT_FROM for t in b.column(at)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return text_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -28,21 +28,37 @@ def simhash(text, size=3):
 
 
 def without_repeats(rows, window=20):
-    first, words = {}, [(i, (t or "").encode().split()) for i, t in rows]
-    for i, w in words:
+    """Rows are documents in the order of id and text; where texts of one id differ the operator's order is any, by hash."""
+    words = [(i, (t or "").encode().split()) for i, t in rows]
+    low = -(2**63)
+    order = {}
+    for k, (i, t) in enumerate(rows):
+        order[k] = (low if i is None else i, *text_order(t), k)
+    first = {}
+    for k, (i, w) in enumerate(words):
         for s in range(len(w) - window + 1):
-            k = tuple(w[s:s + window])
-            first[k] = min(first.get(k, (i, s)), (i, s))
+            g = tuple(w[s:s + window])
+            first[g] = min(first.get(g, (order[k], s)), (order[k], s))
     out = []
-    for i, w in words:
+    for k, (i, w) in enumerate(words):
         keep = np.ones(len(w), bool)
         for s in range(len(w) - window + 1):
-            if first[tuple(w[s:s + window])] < (i, s):
+            if first[tuple(w[s:s + window])] < (order[k], s):
                 keep[s:s + window] = False
-        out.append((i, len(w), int((~keep).sum()), hashlib.sha256(b" ".join(x for x, k in zip(w, keep) if k)).hexdigest()))
+        out.append((i, len(w), int((~keep).sum()), hashlib.sha256(b" ".join(x for x, y in zip(w, keep) if y)).hexdigest()))
     return out
 
 
+def text_order(text):
+    """Texts of one id come in the order of Spark's xxhash64 (seed 42; after a literal 1 for the second)."""
+    if text is None:
+        return (42, 42)
+    signed = lambda h: h - 2**64 if h >> 63 else h
+    raw = text.encode()
+    one = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
+    return signed(xxhash.xxh64_intdigest(raw, 42)), signed(xxhash.xxh64_intdigest(raw, one))
+
+
 def greedy_pieces(word, first, rest):
     n, at = 0, 0
     while at < len(word):

@@ -2,11 +2,11 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
-from kindred.llm import embed_dedup, simhash, substring
-from kindred.llm.shared import connected_components
+from kindred.llm import embed_dedup, repeats, simhash, substring
+from kindred.llm.shared import connected_components, written
 
 LOW = -(2**63)
 
@@ -111,32 +111,76 @@ def test_near_copies(spark, edge_docs, no_docs):
 
 
 def check_repeats(rows, df):
-    want = brute.without_repeats([(LOW if i is None else i, t) for i, t in rows])
-    want = sorted([(None if i == LOW else i, *r) for i, *r in want], key=str)
+    want = sorted(brute.without_repeats(rows), key=str)
     assert sorted([tuple(r) for r in df.collect()], key=str) == want
 
 
-def distinct_ids(rows):
-    seen = set()
-    return [r for r in rows if not (r[0] in seen or seen.add(r[0]))]
-
-
 def test_substring_edges(spark, edge_rows, edge_docs, no_docs):
-    rows = distinct_ids(edge_rows)
-    docs = spark.createDataFrame([(*r, 7, "k") for r in rows], "doc_id long, text string, lang string, source string, start long, kind string")
-    check_repeats([r[:2] for r in rows], substring.digest_without_repeats(docs))
-    assert substring.digest_without_repeats(edge_docs).count() == edge_docs.count()
+    check_repeats([r[:2] for r in edge_rows], substring.digest_without_repeats(edge_docs))
+    p, q = (" ".join(f"{c}{i}" for i in range(30)) for c in "pq")
+    rows = [(1, p), (5, p), (5, q), (None, "n " + q), (None, p + " x"), (None, q), (5, q), (5, q), (7, None), (None, None), (None, None), (8, p + " " + q)]
+    check_repeats(rows, substring.digest_without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
     assert substring.digest_without_repeats(no_docs).count() == 0 == substring.without_repeats(no_docs).count()
+    assert substring.without_repeats(edge_docs).columns == edge_docs.columns
 
 
-@pytest.mark.parametrize("held", [2_000_000, 50])
-def test_substring_pool(spark, monkeypatch, held):
+@pytest.mark.parametrize("held, budget", [(2_000_000, 64 << 20), (50, 400)])
+def test_substring_pool(spark, monkeypatch, held, budget):
     monkeypatch.setattr(substring, "HELD_WORDS", held)  # many small deals, so that repeats meet in the groups
+    monkeypatch.setattr(repeats, "HELD_HASHES", held)
+    monkeypatch.setattr(repeats, "GROUP_HASHES", held)
+    monkeypatch.setattr(substring, "GROUP_BYTES", budget)  # prefixes are lengthened
     rows = pool(11, 150, words=12)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     check_repeats(rows, substring.digest_without_repeats(df))
 
 
+@pytest.mark.parametrize("width", [3, 40])
+def test_groups_stay_within_the_budget(spark, monkeypatch, width):
+    """One five-word line in very many windows, all different and all repeated once."""
+    monkeypatch.setattr(substring, "GROUP_BYTES", 20_000)
+    r = random.Random(5)
+    known = substring._Hashes()
+    gram = lambda k: substring._sequence_hash(np.array([known[b"hot%d" % (5 * k + i)] for i in range(5)], np.int64).view(np.uint64), 5)[0]
+    least = min(range(5000), key=gram)  # so that most windows that hold the line have a prefix that ends with it
+    line = " ".join(f"hot{5 * least + k}" for k in range(5))
+    texts = [" ".join([*(f"w{r.randrange(10**6)}" for _ in range(18)), line, *(f"w{r.randrange(10**6)}" for _ in range(18))]) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts + texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(width)
+    named = df.select(*(c.alias(k) for k, c in substring._name_columns("doc_id", "text").items()), "text")
+    words, remove = written(substring._words(named, substring._candidates(named, 20)), "words")
+    to = substring._partition(words, 20)
+    dealt = [x for x in substring._deal([(r.doc, r.k1, r.k2, r.start, bytes(r.words)) for r in words.collect()[:400]], 20, substring._Hashes(), to)]
+    size = {}
+    for g, kind, *_, w in dealt:
+        size[g] = size.get(g, 0) + len(w)
+    remove()
+    assert to.pieces.max() > 1 and max(size.values()) <= 1.5 * 20_000
+    check_repeats(rows, substring.digest_without_repeats(df))
+
+
+def test_equal_hashes_are_not_equal_words(spark, monkeypatch):
+    monkeypatch.setattr(substring.xxhash, "xxh64_intdigest", lambda w: 7)  # in this process: all words clash
+    a, b = (" ".join(f"{c}{i}" for i in range(25)) for c in "ab")
+    to = substring.Partition(np.zeros(64, np.int64), np.ones(64, np.int64), 1)
+    rows = [(i, 0, 0, 0, t.encode()) for i, t in enumerate([a, b, a])]
+    dealt = list(substring._deal(rows, 20, substring._Hashes(), to))
+    table = pa.table(dict(zip([x.split()[0] for x in substring.TREE_SCHEMA.split(", ")], zip(*dealt))))
+    assert {(r["doc"], k) for r in substring._tree(table, 20).to_pylist() for k in range(r["start"], r["start"] + r["n"])} == {(2, k) for k in range(25)}
+
+
+def test_repeated_hashes(spark, monkeypatch):
+    for name, value in (("HELD_HASHES", 30), ("GROUP_HASHES", 40)):
+        monkeypatch.setattr(repeats, name, value)
+    r = random.Random(1)
+    rows = [(i, [r.choice([r.getrandbits(63), 5, 9, 2**62 + i // 2]) for _ in range(r.randrange(9))]) for i in range(80)]
+    hashed = lambda b: ((((i,), np.array(h, np.int64)) for i, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+    finish = lambda meta, row, place, h: pa.table([pa.array(meta[row, 0]), pa.array(place), pa.array(h.view(np.int64))], names=["i", "place", "h"])
+    got = repeats.repeated(spark.createDataFrame(rows, "i long, h array<long>").repartition(4), hashed, finish, "i long, place long, h long", 3, 8)
+    seen = [x for _, h in rows for x in h]
+    assert sorted(map(tuple, got.collect())) == sorted((i, k, x) for i, h in rows for k, x in enumerate(h) if seen.count(x) > 1)
+
+
 def test_substring_texts(spark):
     p = " ".join(f"q{i}" for i in range(25))
     rows = [(1, f"a {p} b"), (2, f"c\n\t{p}  d  e"), (3, "untouched  text\n")]
@@ -208,6 +252,7 @@ def block_edits(seed=21, groups=40):
 @pytest.mark.parametrize("piece", [20_000, 3])
 def test_near_copies_by_block(spark, monkeypatch, piece):
     monkeypatch.setattr(simhash, "PIECE", piece)
+    monkeypatch.setattr(simhash, "SETS", piece)
     rows = block_edits() + [(9000, ""), (9001, None), (9002, "two words"), (9003, "TWO  words")]
     kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
     want = jaccard_groups(rows)
@@ -228,3 +273,24 @@ def test_near_copies_on_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == sorted(set(jaccard_groups(rows)))
+
+
+def test_similar_sets():
+    r = np.random.default_rng(0)
+    base = [np.unique(r.integers(0, 2**63, 60).astype(np.uint64)) for _ in range(6)]
+    sets = [b[: r.integers(40, 61)] for b in base for _ in range(7)] + [base[0], np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert set(zip(*(x.tolist() for x in simhash.similar_sets(sets)))) == want
+
+
+def test_references_discard_nothing_near():
+    """Pairs within the radius are joined whatever the references; many others are discarded by the table."""
+    r = np.random.default_rng(3)
+    centre = r.integers(0, 2**63, (4, 2)).astype(np.uint64)
+    noise = np.array([[sum(1 << int(b) for b in r.choice(64, 6, replace=False)) for _ in range(2)] for _ in range(200)], np.uint64)
+    fp = np.concatenate([centre[np.arange(200) % 4] ^ noise, r.integers(0, 2**63, (100, 2)).astype(np.uint64)])
+    n = np.full(300, 100)
+    forest, (met, left, near) = simhash.near_in_buckets(np.zeros(300, int), n, np.zeros(300, int), (fp[:, 0], fp[:, 1]))
+    d = np.bitwise_count(fp[:, None] ^ fp[None]).astype(int).sum(axis=2)
+    want = brute.least_reachable(300, np.argwhere(d <= simhash.NEAR_RADIUS).tolist(), list(range(300)))
+    assert forest.root.tolist() == want and near <= left < met

@@ -9,9 +9,9 @@ import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
-from kindred.llm import simhash, substring, token_counts, toxicity
+from kindred.llm import substring, token_counts, toxicity
 from kindred.llm.queries import QUERIES
-from test_dedup import check_simhash
+from test_dedup import check_simhash, jaccard_groups
 from test_text import TIKTOKEN, check_packing
 
 
@@ -69,12 +69,7 @@ def test_pipeline(spark, sf, rows):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
     left = sorted((i, t or "") for i, t in rows if not plain_rejected(model, t))
-    both = [simhash.signature(t) for _, t in left]
-    word, whole = (np.frombuffer(b"".join(x[k] for x in both), np.uint8).reshape(len(left), -1) for k in (0, 1))
-    apart = lambda m: np.bitwise_count(m[:, None] ^ m[None]).sum(axis=2)
-    links = np.argwhere((apart(word) <= simhash.WORD_RADIUS) & (apart(whole) <= simhash.SIGNATURE_RADIUS)).tolist()
-    ids = [i for i, _ in left]
-    kept = [r for r, c in zip(left, brute.least_reachable(len(left), links, ids)) if r[0] == c]
+    kept = [r for r, c in zip(left, jaccard_groups(left)) if r[0] == c]
     first, cut = {}, []
     for i, t in kept:
         w = t.encode().split()
