@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from functools import lru_cache
 
@@ -15,12 +14,12 @@ from pyspark.sql import functions as F
 
 from .shared import text_slices
 
-#: Distinct words of one recursive query; bytes of text read before new words are encoded.
-QUERY_WORDS, HELD_BYTES = 60_000, 6_000_000
+#: Distinct words and their bytes in one recursive query (or one longer word); bytes of text read before new words are encoded.
+QUERY_WORDS, QUERY_BYTES, HELD_BYTES = 60_000, 2 << 20, 6_000_000
 HELD_CHUNKS, HELD_PIECES = 500_000, 600_000
-#: A recursion contracts one pair of a word a step, so words beyond this many bytes, which would
-#: take as many steps, are contracted with a heap instead.
-LONG_WORD = 400
+#: ENCODE contracts one pair of a word a step; words beyond this many bytes go to ENCODE_LONG, which
+#: contracts all that the next steps would contract anyway. Its steps cost more and are fewer.
+LONG_WORD = 4000
 
 ENCODE = """
 WITH RECURSIVE enc(word, ids) USING KEY (word) AS (
@@ -35,6 +34,34 @@ WITH RECURSIVE enc(word, ids) USING KEY (word) AS (
 )
 SELECT word, ids FROM enc ORDER BY word
 """
+# A step contracts every place of the least rank, from the left and without overlaps: as long as no pair with
+# a contracted token has a lesser rank, one leftmost contraction after the other would do just that.
+# Where such a pair exists, only the leftmost place is contracted.
+ENCODE_LONG = """
+WITH RECURSIVE enc(word, ids) USING KEY (word) AS (
+  SELECT word, list(tok ORDER BY pos) FROM words GROUP BY word
+  UNION
+  SELECT word, list(CASE WHEN hit THEN best ELSE tok END ORDER BY pos) FILTER (NOT gone) FROM (
+    SELECT word, pos, tok, best, hit, coalesce(lag(hit) OVER (PARTITION BY word ORDER BY pos), false) AS gone FROM (
+      SELECT word, pos, tok, best, fit AND (pos = first OR NOT bool_or(fit AND least(l.merged, r.merged, m.merged) < best) OVER (PARTITION BY word)) AS hit
+      FROM (
+        SELECT *, least_one AND row_number() OVER (PARTITION BY word, least_one, pos - nth ORDER BY pos) % 2 = 1 AS fit,
+               min(CASE WHEN least_one THEN pos END) OVER (PARTITION BY word) AS first
+        FROM (
+          SELECT *, row_number() OVER (PARTITION BY word, least_one ORDER BY pos) AS nth FROM (
+            SELECT *, coalesce(merged = best, false) AS least_one FROM (
+              SELECT word, pos, tok, merged, min(merged) OVER (PARTITION BY word) AS best,
+                     lag(tok) OVER (PARTITION BY word ORDER BY pos) AS before, lead(nxt) OVER (PARTITION BY word ORDER BY pos) AS after
+              FROM (SELECT word, unnest(ids) AS tok, unnest(ids[2:]) AS nxt, generate_subscripts(ids, 1) AS pos FROM enc)
+              LEFT JOIN merges ON tok::BIGINT << 32 | nxt = pair
+            ) WHERE best IS NOT NULL)))
+      LEFT JOIN merges l ON fit AND before::BIGINT << 32 | best = l.pair
+      LEFT JOIN merges r ON fit AND best::BIGINT << 32 | after = r.pair
+      LEFT JOIN merges m ON fit AND best::BIGINT << 32 | best = m.pair
+    )) GROUP BY word
+)
+SELECT word, ids FROM enc ORDER BY word
+"""
 DECODE = """
 SELECT word, string_agg(hex, '' ORDER BY pos) AS hex
 FROM (SELECT word, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM encoded) JOIN vocabulary USING (id)
@@ -77,41 +104,24 @@ class Bpe:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _long(self, word: bytes) -> list[int]:
-        ids = [bytes([b]) for b in word]
-        right, left = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
-        heap = [(m, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (m := self.ranks.get(ids[i] + ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = right[i] if ids[i] == a else -1
-            if j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j], right[i] = a + b, None, right[j]
-            if right[i] >= 0:
-                left[right[i]] = i
-            for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y >= 0 and (m := self.ranks.get(ids[x] + ids[y])) is not None:
-                    heapq.heappush(heap, (m, x, ids[x], ids[y]))
-        return [self.ranks[t] for t in ids if t is not None]
-
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word: its leftmost pair of least rank is contracted until none is left."""
         out: list[list[int]] = [[]] * len(words)
-        short = [i for i, w in enumerate(words) if 0 < len(w) <= LONG_WORD]
-        for i, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[i] = self._long(w)
-        for lo in range(0, len(short), QUERY_WORDS):
-            part = short[lo:lo + QUERY_WORDS]
-            n = np.array([len(words[i]) for i in part])
-            flat = np.frombuffer(b"".join([words[i] for i in part]), np.uint8)
-            self._table("words", {
-                "word": pa.array(np.repeat(np.arange(len(part), dtype=np.int32), n)),
-                "pos": pa.array((np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)),
-                "tok": pa.array(self.byte_ids[flat])})
-            for i, (_, ids) in zip(part, self.db.execute(ENCODE).fetchall()):
-                out[i] = ids
+        for query, some in ((ENCODE, [i for i, w in enumerate(words) if 0 < len(w) <= LONG_WORD]),
+                            (ENCODE_LONG, [i for i, w in enumerate(words) if len(w) > LONG_WORD])):
+            sizes = np.array([len(words[i]) for i in some], np.int64)
+            ends, lo = np.cumsum(sizes), 0
+            while lo < len(some):
+                hi = int(np.searchsorted(ends, ends[lo] - sizes[lo] + QUERY_BYTES, "right"))
+                hi = max(lo + 1, min(hi, lo + QUERY_WORDS))
+                part, n, lo = some[lo:hi], sizes[lo:hi], hi
+                flat = np.frombuffer(b"".join([words[i] for i in part]), np.uint8)
+                self._table("words", {
+                    "word": pa.array(np.repeat(np.arange(len(part), dtype=np.int32), n)),
+                    "pos": pa.array((np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)),
+                    "tok": pa.array(self.byte_ids[flat])})
+                for i, (_, ids) in zip(part, self.db.execute(query).fetchall()):
+                    out[i] = ids
         return out
 
     def decode_words(self, ids: list[list[int]]) -> list[bytes]:
@@ -170,8 +180,9 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
     library tiktoken would, and the ids are decoded again. Distinct words are encoded
     once for some megabytes of text: their token-position rows join the merge table in a
     recursive DuckDB query that contracts each word's leftmost pair of least rank until none is
-    left; decoding is an ordered aggregation over the ids. Null texts count as empty; repeated
-    rows are encoded each; other columns are ignored.
+    left; decoding is an ordered aggregation over the ids. Words of more than LONG_WORD bytes
+    contract all places of the least rank in one step of such a query, which comes to the same. Null texts
+    count as empty; repeated rows are encoded each; an empty table gives no rows; other columns are ignored.
     """
     ranks = tuple(read_ranks(rank_file))
 

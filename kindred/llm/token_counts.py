@@ -16,13 +16,13 @@ HELD_WORDS = 400_000
 
 
 def piece_sets(rank_file: str) -> tuple[tuple[bytes, ...], tuple[bytes, ...]]:
-    """Pieces that begin a word and pieces that go on, from a file of base64 tokens and ranks.
+    """Pieces that begin a word, with the space before it, and pieces that go on, from a file of base64 tokens and ranks.
 
-    A token with a leading space begins a word, without that space; any other goes on.
+    The lone space is one of the former, so that every word can be cut if all single bytes are tokens.
     """
     with open(rank_file, "rb") as f:
         tokens = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-    return (tuple(t[1:] for t in tokens if t[:1] == b" " and len(t) > 1), tuple(t for t in tokens if t[:1] != b" "))
+    return tuple(t for t in tokens if t[:1] == b" "), tuple(t for t in tokens if t[:1] != b" ")
 
 
 class LongestMatch:
@@ -89,10 +89,12 @@ def _automaton(first, rest):
 def count_tokens(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown) of every whole text.
 
-    Words are ``[^\\x20\\x09-\\x0D]+``; each is cut greedily, longest piece first, by the bytes of its
-    UTF-8. A word that can't be cut is one unknown token, counted in both n_tokens and
-    n_unknown. Null and empty texts count zero; repeated rows are counted each; other columns are
-    ignored. Words recur, so counts of seen words are held (up to HELD_WORDS) in a task.
+    Words are ``[^\\x20\\x09-\\x0D]+``; each is cut, with one space before it, greedily, longest piece
+    first, by the bytes of its UTF-8. Where no piece joins the space and the word's begin, the space
+    is a piece of its own, so a vocabulary with all single bytes cuts every word. A word that a
+    poorer one can't cut is one unknown token, counted in both n_tokens and n_unknown. Null and empty
+    texts count zero; repeated rows are counted each; words of any length take one pass; an empty table
+    gives no rows; other columns are ignored. Words recur, so counts of seen words are held (up to HELD_WORDS) in a task.
     """
     first, rest = piece_sets(rank_file)
 
@@ -106,7 +108,7 @@ def count_tokens(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_c
                 for w in words:
                     n = held.get(w)
                     if n is None:
-                        n = count(w)
+                        n = count(b" " + w)
                         if len(held) >= HELD_WORDS:
                             held.clear()
                         held[w] = n

@@ -60,10 +60,10 @@ def text_order(text):
 
 
 def greedy_pieces(word, first, rest):
-    n, at = 0, 0
+    n, at, longest = 0, 0, max(map(len, first | rest), default=0)
     while at < len(word):
         known = first if at == 0 else rest
-        end = next((e for e in range(len(word), at, -1) if word[at:e] in known), None)
+        end = next((e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in known), None)
         if end is None:
             return -1
         n, at = n + 1, end

@@ -7,6 +7,7 @@ from functools import lru_cache
 import brute
 import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,13 +54,38 @@ def test_bpe_mixed(texts):
         assert (n, line, raw) == (len(ids), " ".join(map(str, ids)), t.encode())
 
 
-def test_long_words():
+@pytest.mark.parametrize("long", [4000, 100])
+def test_long_words(monkeypatch, long):
+    monkeypatch.setattr(bpe, "LONG_WORD", long)
     b = own_bpe()
     r = random.Random(1)
-    words = ["".join(r.choices("abcdeé", k=k)).encode() for k in (1, 399, 401, 3000)] + [b"ab" * 900, b"x" * 5000]
+    words = ["".join(r.choices("abcdeé", k=k)).encode() for k in (1, 99, 100, 101, 399, 3000)] + [b"ab" * 900, b"x" * 100_000]
+    words += ["".join(r.choices("etaoin shrdlu", k=r.randrange(101, 300))).encode() for _ in range(300)]
     assert b.encode_words(words) == [TIKTOKEN._encode_single_piece(w) for w in words]
 
 
+def test_long_words_of_odd_ranks(monkeypatch):
+    """Ranks in no order of merging: contracted tokens make pairs of lesser rank, so places must be taken one by one."""
+    monkeypatch.setattr(bpe, "LONG_WORD", 100)
+    r = random.Random(4)
+    for _ in range(60):
+        longer = sorted({bytes(r.choices(b"ab", k=r.randrange(2, 6))) for _ in range(14)})
+        r.shuffle(longer)
+        ranks = {t: k for k, t in enumerate([bytes([i]) for i in range(256)] + longer)}
+        odd = bpe.Bpe(tuple(ranks.items()), P.PATTERN)
+        words = [bytes(r.choices(b"abc", [5, 5, 1], k=r.randrange(101, 140))) for _ in range(6)]
+        assert odd.encode_words(words) == [leftmost_least(w, ranks) for w in words]
+
+
+def leftmost_least(word, ranks):
+    parts = [bytes([x]) for x in word]
+    while True:
+        found = min(((ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+        if found is None:
+            return [ranks[p] for p in parts]
+        parts[found[1]:found[1] + 2] = [parts[found[1]] + parts[found[1] + 1]]
+
+
 @settings(max_examples=300, deadline=None)
 @given(MIXED)
 def test_chunked_ids(text):
@@ -132,17 +158,22 @@ def test_sum_of_squares_takes_the_least():
         fill[b] = fill.get(b, 0) + s
 
 
-def test_counts_edges(spark, edge_rows, edge_docs, no_docs):
+def plain_counts(rows):
     first, rest = map(set, token_counts.piece_sets(P.path("byte_bpe_50k.tiktoken")))
-    want = []
-    for i, t, *_ in edge_rows:
+    known, out = {}, []
+    for i, t in rows:
         words = (t or "").encode().split()
-        n = {w: brute.greedy_pieces(w, first, rest) for w in set(words) if len(w) < 1000}
-        if all(w in n for w in words):
-            want.append((i, len(words), sum(max(n[w], 1) for w in words), sum(n[w] < 0 for w in words)))
-    got = [tuple(r) for r in token_counts.count_tokens(edge_docs, P.path("byte_bpe_50k.tiktoken")).collect()]
-    assert len(got) == len(edge_rows) and set(want) <= set(got)
-    assert token_counts.count_tokens(no_docs, P.path("byte_bpe_50k.tiktoken")).count() == 0
+        n = [known[w] if w in known else known.setdefault(w, brute.greedy_pieces(b" " + w, first, rest)) for w in words]
+        out.append((i, len(words), sum(n), 0))
+    return sorted(out, key=str)
+
+
+def test_counts_edges(spark, edge_rows, edge_docs, no_docs):
+    op = lambda d: sorted(map(tuple, token_counts.count_tokens(d, P.path("byte_bpe_50k.tiktoken")).collect()), key=str)
+    assert op(edge_docs) == plain_counts([r[:2] for r in edge_rows]) and op(no_docs) == []
+    rows = [(1, "한국어 русский ж 北京大学 ไทย — \0abc \x01\x7f 😀"), (2, "语" * 5000), (3, "q" * 1500 + " " + "Ж" * 1500)]
+    got = op(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == plain_counts(rows) and got[1][2] > 5000
 
 
 PIECES = st.sets(st.text(alphabet="abc", min_size=1, max_size=5).map(str.encode), max_size=14)
