@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, text_slices
+from .shared import checkpointed, small_batches, text_slices
 
 CAPACITY = 2048
 #: Items that one task packs; sequences with at least LOOSE tokens free are packed again together.
@@ -198,8 +198,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     Null text counts as empty and gives the end id alone; repeated rows and ids are packed like
     others; null ids stay null; an empty table gives no rows.
     """
-    pieces = checkpointed(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col).withColumn(
-        "item", F.monotonically_increasing_id()))
+    with small_batches(docs.sparkSession):
+        pieces = checkpointed(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col).withColumn(
+            "item", F.monotonically_increasing_id()))
     todo = pieces.where(F.col("length") < capacity).select("item", F.col("length").alias("size"))
     count = todo.count()
     placed, free = None, 0  # ids of bins are kept apart by level

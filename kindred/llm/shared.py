@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id inside an operator: it sorts before every other id.
 NO_ID = -(2**63)
-SLICE_BYTES = 8 << 20
+BATCH_SETTING, SLICE_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: Bits of a sieve: 2 MB, whatever the input.
 SIEVE_BITS = 1 << 24
 
@@ -52,17 +53,34 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(path), remove
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs run inside get Arrow batches of SLICE_BYTES at most; the session's own setting comes back after them."""
+    before = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.set(BATCH_SETTING, str(SLICE_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_SETTING)
+        else:
+            spark.conf.set(BATCH_SETTING, before)
+
+
 def text_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices of about SLICE_BYTES, one row at least.
 
-    Spark bounds a batch by rows, or by a setting that is the session's own business. What a task makes
-    of a slice (lists of texts, words, new columns) is bounded by this one.
+    Spark bounds a batch by rows, or by a setting that is the session's own business (small_batches() sets
+    it for jobs that an operator runs itself). What a task makes of a slice, lists of texts or
+    words and new columns, is bounded in any session.
     """
     for b in batches:
         parts = max(1, -(-b.nbytes // SLICE_BYTES))
         step = max(1, -(-b.num_rows // parts))
         for lo in range(0, b.num_rows, step):
             yield b.slice(lo, step)
+        del b
+        pa.default_memory_pool().release_unused()
 
 
 class Sieve:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import groups_for, repeated
-from .shared import NO_ID, Forest, Sieve, checkpointed, connected_components, text_slices, written
+from .shared import NO_ID, Forest, Sieve, checkpointed, connected_components, small_batches, text_slices, written
 
 BITS = 64
 #: Reference fingerprints; bit patterns from a hash, so they need no storage.
@@ -210,7 +210,7 @@ REFERENCES = 16
 #: Texts in which frequent shingles are counted, and the most shingles listed. Both only order shingles.
 SAMPLE_ROWS, LISTED = 10_000, 100_000
 #: Sets, and bytes of them, of one component that are compared in one piece.
-SETS, SET_BYTES = 1024, 8 << 20
+SETS, SET_BYTES = 1024, 4 << 20
 
 
 def profile(text: str | None, shingle: int = 5) -> tuple[np.ndarray, bytes]:
@@ -434,8 +434,9 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id",
     """
     key = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
     text = F.col(text_col).cast("string")
-    found = checkpointed(_set_components(docs.select(key.alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text")), shingle))
-    each = checkpointed(found.groupBy("component", "doc_id", "tkey").count())
+    with small_batches(docs.sparkSession):
+        found = _set_components(docs.select(key.alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text")), shingle)
+        each = checkpointed(found.groupBy("component", "doc_id", "tkey").count())
     least = each.groupBy("component").agg(F.min(F.struct("doc_id", "tkey")).alias("k")).select("component", "k.doc_id", "k.tkey")
     once = least.join(each.where("count = 1"), ["component", "doc_id", "tkey"]).select("doc_id", "tkey")
     name = F.xxhash64("doc_id", "tkey")

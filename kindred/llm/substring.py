@@ -13,15 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .repeats import groups_for, repeated, twins
-from .shared import NO_ID, Sieve, checkpointed, text_slices, written
+from .shared import NO_ID, Sieve, checkpointed, small_batches, text_slices, written
 
 WINDOW = 20
 GRAM = 5
 #: Words that a map task holds before it deals out their suffixes.
-HELD_WORDS = 1_000_000
-HELD_VOCABULARY = 400_000
+HELD_WORDS = 500_000
+HELD_VOCABULARY = 200_000
 #: Bytes of suffixes, each cut at the window, that one group is to get; a prefix with more is lengthened.
-GROUP_BYTES = 64 << 20
+GROUP_BYTES = 32 << 20
 #: Prefixes are counted in so many buckets at most.
 MOST_BUCKETS = 1 << 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -320,6 +320,11 @@ def _spans(rows: DataFrame, window: int) -> DataFrame:
     """(doc, k1, k2, copies, spans): the repeated spans of each row that has any, and how many rows are equal to it."""
     if window < GRAM:
         raise ValueError(f"window must be {GRAM} words or more")
+    with small_batches(rows.sparkSession):
+        return _found(rows, window)
+
+
+def _found(rows: DataFrame, window: int) -> DataFrame:
     words, remove = written(_words(rows, _candidates(rows, window)), "words")
     to = _partition(words, window)
 

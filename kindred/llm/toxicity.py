@@ -19,7 +19,7 @@ LEAST_DOCS = 4
 GRADES = 4
 PREFIXES = (4, 6)
 REJECT_FROM = 0.5
-HELD_WORDS = 400_000
+HELD_WORDS = 200_000
 TOKEN = re.compile(r"\w+")
 
 

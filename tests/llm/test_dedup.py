@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from kindred.llm import embed_dedup, repeats, simhash, substring
-from kindred.llm.shared import connected_components, written
+from kindred.llm.shared import BATCH_SETTING, SLICE_BYTES, connected_components, small_batches, text_slices, written
 
 LOW = -(2**63)
 
@@ -294,3 +294,25 @@ def test_references_discard_nothing_near():
     d = np.bitwise_count(fp[:, None] ^ fp[None]).astype(int).sum(axis=2)
     want = brute.least_reachable(300, np.argwhere(d <= simhash.NEAR_RADIUS).tolist(), list(range(300)))
     assert forest.root.tolist() == want and near <= left < met
+
+
+def test_batches_are_bounded_and_the_setting_comes_back(spark):
+    from pyspark.sql import functions as F
+    docs = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("word "), 4000).alias("text"))  # 60 MB in one partition
+
+    def sizes(batches):
+        for b in batches:
+            parts = list(text_slices([b]))
+            assert sum(p.num_rows for p in parts) == b.num_rows and all(p.nbytes <= 1.1 * SLICE_BYTES for p in parts)
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    most = lambda: docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    assert spark.conf.get(BATCH_SETTING, None) is None and most() > 4 * SLICE_BYTES
+    with small_batches(spark):
+        assert most() <= 1.3 * SLICE_BYTES
+    assert spark.conf.get(BATCH_SETTING, None) is None
+    spark.conf.set(BATCH_SETTING, "12345678")
+    with pytest.raises(ValueError), small_batches(spark):
+        raise ValueError
+    assert spark.conf.get(BATCH_SETTING) == "12345678"
+    spark.conf.unset(BATCH_SETTING)
