@@ -32,7 +32,7 @@ def area_resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
         cover = cover.clip(0)
         return cover / cover.sum(axis=1, keepdims=True)
     out = weights(image.shape[0], height) @ image.astype(float) @ weights(image.shape[1], width).T
-    return np.rint(out).clip(0, 255).astype(np.uint8)
+    return np.rint(np.round(out, 9)).clip(0, 255).astype(np.uint8)
 
 
 def fingerprint(image: np.ndarray, kind: str = "rows") -> int:

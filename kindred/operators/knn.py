@@ -6,11 +6,13 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.lsh import Lsh
 
+from .ordering import checkpointed
+
 #: Query rows of a block: a block of queries meets every row, so it is the part sent around.
 BLOCK_ROWS = 4096
 
@@ -86,34 +88,115 @@ def tables(rows: DataFrame, hashes: Sequence[Lsh]) -> DataFrame:
     return rows.select("id", "vec", F.posexplode(F.array(*[h.hash(F.col("vec")) for h in hashes])).alias("tab", "bin"))
 
 
-def lsh_candidates(queries: DataFrame, rows: DataFrame, hashes: Sequence[Lsh]) -> DataFrame:
-    """Distinct pairs that share a bin in some table."""
-    q = tables(queries, hashes).select(F.col("id").alias("q_id"), "tab", "bin")
-    hit = q.join(tables(rows, hashes).select("id", "tab", "bin"), ["tab", "bin"]).where("q_id <> id")
-    found = hit.select("q_id", "id").distinct()
-    return found.join(queries.select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec")), "q_id").join(rows, "id")
+def save_index(index: DataFrame, path: str) -> None:
+    """Non-empty bins only, a folder per table, so that a search of some tables reads no others."""
+    index.repartition("tab", "bin").sortWithinPartitions("bin").write.partitionBy("tab").mode("overwrite").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("tab", "bin", "id", "vec")
+
+
+def _groups(batches):
+    """Tables of whole groups of equal (key, i, j) from sorted batches, with the first row of each."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+        if t.num_rows:
+            codes = [t.column("key").combine_chunks().dictionary_encode().indices.to_numpy(), t.column("i").to_numpy(), t.column("j").to_numpy()]
+            first = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in codes], axis=0)]))
+            if len(first) > 1:
+                yield t.slice(0, first[-1]), first[:-1]
+            held = t.slice(first[-1])
+    if held is not None:
+        yield held, np.zeros(1, np.int64)
+
+
+def nearest_in_bins(asks: DataFrame, index: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(q_id, id, dist, probe): of every bin that a query asks for its k nearest rows by squared L2, ties by id.
+
+    ``asks(q_id, q_vec, tab, bin, probe)`` meets ``index(tab, bin, id, vec)``; the k nearest of the union of bins are
+    among these. A bin is one matrix product in an Arrow batch, so pairs are never rows. Bins of
+    more than ``block_rows`` queries or rows are dealt in pieces, each piece of queries to each piece of rows.
+    Null vectors take no part.
+    """
+    key = F.concat_ws(":", F.col("tab").cast("string"), F.col("bin").cast("string")).alias("key")
+    q = asks.where("q_vec IS NOT NULL").select(key, F.col("q_id").alias("id"), F.col("q_vec").cast("array<double>").alias("vec"), "probe", F.lit(True).alias("ask"))
+    r = index.where("vec IS NOT NULL").select(key, "id", F.col("vec").cast("array<double>").alias("vec"), F.lit(0).alias("probe"), F.lit(False).alias("ask"))
+    pieces = lambda df, name: df.groupBy("key").count().where(F.col("count") > block_rows).select(
+        "key", F.ceil(F.col("count") / block_rows).cast("int").alias(name))
+    hot = pieces(q, "of_q").join(pieces(r, "of_r"), "key", "full")
+    of_q, of_r = F.coalesce("of_q", F.lit(1)), F.coalesce("of_r", F.lit(1))
+    every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+    own = lambda m: F.pmod(F.xxhash64("id"), m).cast("int")
+    both = q.join(hot, "key", "left").withColumn("i", own(of_q)).withColumn("j", every(of_r)).unionByName(
+        r.join(hot, "key", "left").withColumn("j", own(of_r)).withColumn("i", every(of_q))).drop("of_q", "of_r")
+
+    def run(batches):
+        for t, first in _groups(batches):
+            ids, ask, probe = (t.column(c).to_numpy() for c in ("id", "ask", "probe"))
+            x = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            norm, out = np.einsum("ij,ij->i", x, x), []
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(ids)]):
+                mid = lo + int((~ask[lo:hi]).sum())  # rows come before queries, each by id
+                for a in range(mid, hi, 256) if mid > lo else ():
+                    z = min(a + 256, hi)
+                    dist = np.maximum(norm[a:z, None] + norm[lo:mid] - 2 * (x[a:z] @ x[lo:mid].T), 0)
+                    dist[ids[a:z, None] == ids[lo:mid]] = np.inf
+                    if mid - lo > k:
+                        bound = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
+                        row, col = np.nonzero((dist <= bound) & np.isfinite(dist))
+                    else:
+                        row, col = np.nonzero(np.isfinite(dist))
+                    out.append((ids[a:z][row], ids[lo:mid][col], dist[row, col], probe[a:z][row]))
+            cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols[:3]), pa.array(cols[3], pa.int32())], names=["q_id", "id", "dist", "probe"])
+
+    dealt = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "ask", "id")
+    return dealt.mapInArrow(run, "q_id bigint, id bigint, dist double, probe int")
+
+
+def best_found(found: DataFrame, k: int) -> DataFrame:
+    """(q_id, id, dist, probe, rank): the k nearest of what several bins gave, each row once, at its first probe."""
+    once = found.groupBy("q_id", "id").agg(F.min("dist").alias("dist"), F.min("probe").alias("probe"))
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy("dist", "id")).cast("bigint")
+    return once.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def lsh_nearest(queries: DataFrame, index: DataFrame, hashes: Sequence[Lsh], k: int) -> DataFrame:
+    """(q_id, id, dist, rank): the k nearest among rows that share a bin with the query in some table of the index."""
+    asks = tables(queries, hashes).select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"), "tab", "bin", F.lit(0).alias("probe"))
+    return best_found(nearest_in_bins(asks, index, k), k).drop("probe")
 
 
-def forest_candidates(queries: DataFrame, rows: DataFrame, trees: Sequence[Sequence[Lsh]], most: int) -> DataFrame:
-    """Distinct pairs below the nodes where a forest search stops.
+def forest_nearest(queries: DataFrame, rows: DataFrame, trees: Sequence[Sequence[Lsh]], most: int, k: int) -> DataFrame:
+    """(q_id, id, dist, rank): the k nearest below the nodes where a forest search stops.
 
     Hashes are one bit each; a tree's node at depth d is the prefix of d of them. For each query the least depth whose
-    nodes hold fewer than ``most`` rows over all trees is found, and the depth before it taken.
+    nodes hold fewer than ``most`` rows over all trees is found, and the depth before it taken. Rows go only to nodes
+    that some query asks for. Depth 0 is the whole table: such queries are searched exhaustively.
     """
     depth = len(trees[0])
     bits = F.array(*[F.concat(*[h.hash(F.col("vec")).cast("string") for h in hashes]) for hashes in trees])
-    nodes = lambda df, name: df.select(F.col("id").alias(name), F.posexplode(bits).alias("tree", "bits")).select(
-        name, "tree", "bits", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth")).select(
-        name, "tree", "depth", F.expr("substring(bits, 1, depth)").alias("prefix"))
-    sizes = nodes(rows, "id").groupBy("tree", "depth", "prefix").agg(F.count("*").alias("n"))
-    q = nodes(queries, "q_id")
-    total = q.join(sizes, ["tree", "depth", "prefix"], "left").groupBy("q_id", "depth").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    stop = total.groupBy("q_id").agg(F.greatest(F.coalesce(
-        F.min(F.when(F.col("n") < most, F.col("depth"))), F.lit(depth + 1)) - 1, F.lit(0)).alias("depth"))
-    found = q.join(stop, ["q_id", "depth"]).join(nodes(rows, "id"), ["tree", "depth", "prefix"]).where("q_id <> id")
-    found = found.select("q_id", "id").distinct()
-    return found.join(queries.select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec")), "q_id").join(rows, "id")
+    nodes = lambda df, *keep: df.select(*keep, F.posexplode(bits).alias("tab", "bits")).select(
+        *keep, "tab", "bits", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("depth")).select(
+        *keep, "tab", "depth", F.expr("substring(bits, 1, depth)").alias("bin"))
+    sizes = nodes(rows, "id").groupBy("tab", "bin").agg(F.count("*").alias("n"))
+    q = nodes(queries.select(F.col("id").alias("q_id"), "vec"), "q_id")
+    total = q.join(sizes, ["tab", "bin"], "left").groupBy("q_id", "depth").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    if rows.count() * len(trees) < most:
+        return exhaustive(queries, rows, k).select("q_id", "id", "dist", "rank")
+    stop = checkpointed(total.groupBy("q_id").agg((F.coalesce(F.min(F.when(F.col("n") < most, F.col("depth"))), F.lit(depth + 1)) - 1).alias("depth")))
+    asked = checkpointed(q.join(stop, ["q_id", "depth"]).select("q_id", "tab", "bin"))
+    index = nodes(rows, "id", "vec").join(asked.select("tab", "bin").distinct(), ["tab", "bin"], "left_semi")
+    asks = asked.join(queries.select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec")), "q_id").withColumn("probe", F.lit(0))
+    found = nearest_in_bins(asks, index.select("tab", "bin", "id", "vec"), k)
+    top = stop.where("depth = 0").select(F.col("q_id").alias("id"))
+    if not top.isEmpty():
+        whole = exhaustive(queries.join(top, "id", "left_semi"), rows, k)
+        found = found.unionByName(whole.select("q_id", "id", "dist", F.lit(0).alias("probe")))
+    return best_found(found, k).drop("probe")
 
 
 def perturbations(delta: Column, digits: int, probes: int) -> Column:
@@ -132,29 +215,29 @@ def perturbations(delta: Column, digits: int, probes: int) -> Column:
     return F.transform(best, lambda c: c["steps"])
 
 
-def probe_candidates(queries: DataFrame, rows: DataFrame, hashes: Sequence, probes: int,
-                     metric: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Multi-probing: besides its own bin a query visits the ``probes`` likeliest bins around it in each table.
+def probed(queries: DataFrame, hashes: Sequence[Sequence], probes: int) -> DataFrame:
+    """asks of nearest_in_bins(): in each table a query's own bin, as probe 0, and its ``probes`` likeliest others.
 
-    ``hashes`` are tables of one stable-distribution hash per digit, or the digits of a single table. Probes
-    are those of perturbations(), at most 3^digits - 1; ``probe`` is the first over all tables that finds a row.
-    With a metric pairs have ``dist`` in place of both vectors, which then aren't shuffled for each pair.
+    ``hashes`` are tables of one stable-distribution hash per digit. Probes are those of perturbations(), at most
+    3^digits - 1.
     """
-    tables = [list(t) for t in hashes] if isinstance(hashes[0], (list, tuple)) else [list(hashes)]
     vec = F.col("vec")
-    own = F.array(*[F.array(*[h.hash(vec) for h in t]) for t in tables])
-    place = F.array(*[F.struct(F.array(*[h.hash(vec) for h in t]).alias("own"), F.array(*[h.delta(vec) for h in t]).alias("delta")) for t in tables])
+    place = F.array(*[F.struct(F.array(*[h.hash(vec) for h in t]).alias("own"), F.array(*[h.delta(vec) for h in t]).alias("delta")) for t in hashes])
     q = queries.select(F.col("id").alias("q_id"), vec.alias("q_vec"), F.posexplode(place).alias("tab", "at"))
     q = q.select("q_id", "q_vec", "tab", F.col("at.own").alias("own"), F.posexplode(
-        perturbations(F.col("at.delta"), len(tables[0]), probes)).alias("probe", "steps"))
-    q = q.select("q_id", "q_vec", "tab", "probe", F.zip_with("own", "steps", lambda h, s: h + s).alias("bin"))
-    r = rows.select("id", "vec", F.posexplode(own).alias("tab", "bin"))
-    met = q.join(r, ["tab", "bin"]).where("q_id <> id")
-    if metric is not None:
-        return met.select("q_id", "id", "probe", metric(F.col("q_vec"), F.col("vec")).alias("dist")).groupBy("q_id", "id").agg(
-            F.min("probe").alias("probe"), F.min("dist").alias("dist"))
-    return met.groupBy("q_id", "id").agg(
-        F.min("probe").alias("probe"), F.first("q_vec").alias("q_vec"), F.first("vec").alias("vec"))
+        perturbations(F.col("at.delta"), len(hashes[0]), probes)).alias("probe", "steps"))
+    return q.select("q_id", "q_vec", "tab", "probe", F.zip_with("own", "steps", lambda h, s: h + s).alias("bin"))
+
+
+def digit_tables(rows: DataFrame, hashes: Sequence[Sequence]) -> DataFrame:
+    """(tab, bin, id, vec) with the digits of a table as its bin."""
+    own = F.array(*[F.array(*[h.hash(F.col("vec")) for h in t]) for t in hashes])
+    return rows.select("id", "vec", F.posexplode(own).alias("tab", "bin"))
+
+
+def probe_nearest(queries: DataFrame, rows: DataFrame, hashes: Sequence[Sequence], probes: int, k: int) -> DataFrame:
+    """(q_id, id, dist, probe, rank): multi-probing in every table; probe is the first that finds the row."""
+    return best_found(nearest_in_bins(probed(queries, hashes, probes), digit_tables(rows, hashes), k), k)
 
 
 def recall(truth: DataFrame, found: DataFrame) -> DataFrame:

@@ -8,18 +8,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a batch's vectors, which must be of one length; null components are not numbers."""
+    n = np.diff(column.offsets.to_numpy())
+    if (n != n[0]).any():
+        raise ValueError(f"vectors of {n.min()} and of {n.max()} components in one table")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(n), -1)
+
+
 def _map_vectors(df: DataFrame, vec: str, out: str, kind: str, compute) -> DataFrame:
-    """df without ``vec``, with ``out`` = compute(matrix of a batch); vectors of a batch have one length."""
+    """df without ``vec``, with ``out`` = compute(matrix of the vectors); a null vector gives null."""
     keep = [c for c in df.columns if c != vec]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != vec] + [f"`{out}` {kind}"])
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                column = b.column(len(keep))
-                x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), compute(x)], names=[*keep, out])
-
+            column = b.column(len(keep))
+            there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+            if len(there):
+                found = compute(_matrix(column.take(pa.array(there))))
+                place = np.full(b.num_rows, -1)
+                place[there] = np.arange(len(there))
+                column = found.take(pa.array(place, mask=place < 0))
+            else:
+                column = pa.nulls(b.num_rows, to_arrow)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), column], names=[*keep, out])
+
+    to_arrow = {"binary": pa.binary(), "bigint": pa.int64()}[kind]
     return df.select(*keep, F.col(vec).cast("array<double>").alias(vec)).mapInArrow(run, schema)
 
 
@@ -33,36 +48,45 @@ def projection_sketch(df: DataFrame, vec: str, matrix: np.ndarray, offset: np.nd
     return _map_vectors(df, vec, out, "binary", compute)
 
 
-def window_sketch(df: DataFrame, vec: str, bits: int = 128, w: float = 8.0, seed: int = 1, out: str = "sketch") -> DataFrame:
-    """One bit per stable-distribution hash of width w: the least bit of floor((a.x + b) / w)."""
+def window_sketch(df: DataFrame, vec: str, bits: int = 128, w: float = 8.0, seed: int = 1, out: str = "sketch",
+                  matrix: np.ndarray | None = None, offset: np.ndarray | None = None) -> DataFrame:
+    """One bit per stable-distribution hash of width w: the least bit of floor((a.x + b) / w).
+
+    The hashes are drawn from the seed, or given as the rows of ``matrix`` and ``offset``.
+    """
     def compute(x):
         r = np.random.default_rng(seed)
-        a, b = r.normal(size=(bits, x.shape[1])), r.random(bits) * w
+        a, b = (r.normal(size=(bits, x.shape[1])), r.random(bits) * w) if matrix is None else (matrix, offset)
         return pa.array([v.tobytes() for v in np.packbits(np.floor((x @ a.T + b) / w).astype(int) & 1, axis=1)], pa.binary())
     return _map_vectors(df, vec, out, "binary", compute)
 
 
 def principal_axes(df: DataFrame, vec: str, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, axes) from sums over all rows: one d x d matrix per task, d fixed by the vectors."""
+    """(mean, axes) from sums over all vectors that are not null: one d x d matrix per task, d fixed by the vectors.
+
+    An axis points to the side where its greatest component is positive.
+    """
     def moments(batches):
         n, s, ss = 0, 0.0, 0.0
         for b in batches:
             if b.num_rows:
-                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                x = _matrix(b.column(0))
                 n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()]), pa.array([ss.ravel().tolist()])], names=["n", "s", "ss"])
+            yield pa.RecordBatch.from_arrays([pa.array([[float(n), *s.tolist(), *ss.ravel().tolist()]])], names=["sums"])
 
     rows = df.select(F.col(vec).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
-    part = rows.mapInArrow(moments, "n long, s array<double>, ss array<double>")
-    flat = part.select("n", F.posexplode(F.concat("s", "ss")).alias("i", "x")).groupBy("i").agg(
+    sums = rows.mapInArrow(moments, "sums array<double>").select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(
         F.sum("x").alias("x")).orderBy("i").collect()
-    n = part.agg(F.sum("n")).first()[0] or 0
-    d = int((-1 + (1 + 4 * len(flat)) ** 0.5) / 2)
-    x = np.array([r["x"] for r in flat])
+    if not sums:
+        raise ValueError("no vectors")
+    n, *rest = (r["x"] for r in sums)
+    x = np.array(rest)
+    d = int((-1 + (1 + 4 * len(x)) ** 0.5) / 2)
     mean = x[:d] / n
-    cov = x[d:].reshape(d, d) / n - np.outer(mean, mean)
-    return mean, np.linalg.eigh(cov)[1][:, ::-1][:, :count].T
+    axes = np.linalg.eigh(x[d:].reshape(d, d) / n - np.outer(mean, mean))[1][:, ::-1][:, :count].T
+    side = axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)]
+    return mean, axes * np.sign(side)[:, None]
 
 
 def spectral_hash(df: DataFrame, vec: str, mean: np.ndarray, axes: np.ndarray, modes: np.ndarray, out: str = "code") -> DataFrame:

@@ -11,12 +11,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.functions.descriptors import l2
+from kindred.functions.lsh import StableDistribution
 
-from .knn import probe_candidates
+from .knn import best_found, digit_tables, exhaustive, nearest_in_bins, probed
+from .ordering import checkpointed
 
 
 def digamma(x: float) -> float:
@@ -124,17 +126,22 @@ class RecallTable:
         return F.get(flat, row * self.values.shape[1] + probes)
 
 
-def search_to_recall(queries: DataFrame, rows: DataFrame, hashes: Sequence, table: RecallTable, k: int, target: float) -> DataFrame:
-    """(q_id, id, dist, rank, probes): for each query the least number of probes at which the mean
-    expected recall of its current k nearest reaches ``target``, or all probes of the table."""
+def search_to_recall(queries: DataFrame, rows: DataFrame, hashes: Sequence[Sequence], table: RecallTable, k: int, target: float) -> DataFrame:
+    """(q_id, id, dist, rank, probes, reached): for each query the least number of probes at which the mean
+    expected recall of its current k nearest reaches ``target``, or all probes of the table; reached says which.
+
+    dist is squared. A query with fewer than k rows found counts the missing ones as recall 0.
+    """
     most = table.values.shape[1] - 1
-    found = probe_candidates(queries, rows, hashes, most, l2)
-    levels = found.withColumn("probes", F.explode(F.sequence(F.col("probe"), F.lit(most))))
+    found = nearest_in_bins(probed(queries, hashes, most), digit_tables(rows, hashes), k)
+    once = found.groupBy("q_id", "id").agg(F.min("dist").alias("dist"), F.min("probe").alias("probe"))
+    levels = once.withColumn("probes", F.explode(F.sequence(F.col("probe"), F.lit(most))))
     rank = F.row_number().over(Window.partitionBy("q_id", "probes").orderBy("dist", "id"))
-    best = levels.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
-    reached = best.groupBy("q_id", "probes").agg((F.sum(table.lookup(F.col("dist"), F.col("probes"))) / k).alias("recall"))
-    stop = reached.groupBy("q_id").agg(F.coalesce(F.min(F.when(F.col("recall") >= target, F.col("probes"))), F.lit(most)).alias("probes"))
-    return best.join(stop, ["q_id", "probes"]).select("q_id", "id", "dist", "rank", "probes")
+    best = checkpointed(levels.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k).drop("probe"))
+    expected = best.groupBy("q_id", "probes").agg((F.sum(table.lookup(F.sqrt("dist"), F.col("probes"))) / k).alias("recall"))
+    first = F.min(F.when(F.col("recall") >= target, F.col("probes")))
+    stop = expected.groupBy("q_id").agg(F.coalesce(first, F.lit(most)).alias("probes"), first.isNotNull().alias("reached"))
+    return best.join(stop, ["q_id", "probes"]).select("q_id", "id", "dist", "rank", "probes", "reached")
 
 
 @dataclass(frozen=True)
@@ -178,25 +185,94 @@ def per_table_recall(recall: float, tables: int) -> float:
     return 1 - (1 - recall) ** (1 / tables)
 
 
+def _places(x: np.ndarray, hashes: Sequence[StableDistribution]) -> tuple[np.ndarray, np.ndarray]:
+    """Digits of rows of x in one table, and the part of its bin in which each lies."""
+    at = np.column_stack([(x @ np.array(h.a, float) + h.b) / h.w for h in hashes])
+    own = np.floor(at)
+    return own.astype(np.int64), at - own
+
+
+def train_probes(rows: DataFrame, hashes: Sequence[Sequence[StableDistribution]], k: int, sample: int = 500, parts: int = 8, reach: int = 2) -> ProbeModel:
+    """A model of the moves between a query and its k nearest, from ``sample`` rows at most, by the hash of their ids.
+
+    These are searched exhaustively among all rows; the driver gets sample * k pairs.
+    """
+    some = checkpointed(rows.orderBy(F.xxhash64("id"), "id").limit(sample))
+    near = exhaustive(some, rows, k).select("q_id", "id")
+    pairs = near.join(some.select(F.col("id").alias("q_id"), F.col("vec").alias("q")), "q_id").join(rows.select("id", F.col("vec").alias("v")), "id").select("q", "v").collect()
+    q, v = (np.array([r[c] for r in pairs], float) for c in ("q", "v"))
+    offsets, moves = [], []
+    for t in hashes:
+        (own, at), (other, _) = _places(q, t), _places(v, t)
+        offsets.append(at)
+        moves.append(other - own)
+    return ProbeModel.train(np.concatenate(offsets), np.concatenate(moves), parts, reach)
+
+
+def digit_bounds(rows: DataFrame, hashes: Sequence[Sequence[StableDistribution]]) -> np.ndarray:
+    """Least and greatest digit of every hash over all rows, (tables, digits, 2): bins beyond hold nothing."""
+    flat = [h for t in hashes for h in t]
+    row = rows.agg(*[f(h.hash(F.col("vec"))) for h in flat for f in (F.min, F.max)]).first()
+    return np.array([x if x is not None else 0 for x in row], np.int64).reshape(len(hashes), len(hashes[0]), 2)
+
+
+def apost_nearest(queries: DataFrame, rows: DataFrame, hashes: Sequence[Sequence[StableDistribution]], model: ProbeModel, k: int,
+                  recall: float, most: int = 200) -> DataFrame:
+    """(q_id, id, dist, probe, rank, reached): in each table the likeliest moves of the trained model are probed until
+    they cover per_table_recall(recall, tables), or ``most`` are taken; reached says whether all tables got there.
+
+    Moves to bins that no row has, by the least and greatest digits, are left out.
+    """
+    bounds, target = digit_bounds(rows, hashes), per_table_recall(recall, len(hashes))
+
+    def probe(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, out = b.column(0).to_pylist(), []
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            for tab, t in enumerate(hashes):
+                own, at = _places(x, t)
+                for n, (o, d) in enumerate(zip(own, at)):
+                    found = model.moves(d.tolist(), most, target)
+                    sure = sum(p for _, p in found) >= target
+                    bins = o + np.array([m for m, _ in found])
+                    for rank in np.flatnonzero(((bins >= bounds[tab, :, 0]) & (bins <= bounds[tab, :, 1])).all(axis=1)).tolist():
+                        out.append((ids[n], x[n].tolist(), tab, bins[rank].tolist(), rank, sure))
+            kinds = (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.bool_())
+            names = ["q_id", "q_vec", "tab", "bin", "probe", "sure"]
+            for lo in range(0, len(out), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out[lo:lo + 10_000]), kinds)], names=names)
+
+    asks = queries.where("vec IS NOT NULL").select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(
+        probe, "q_id bigint, q_vec array<double>, tab int, bin array<bigint>, probe int, sure boolean")
+    sure = asks.groupBy("q_id").agg(F.min("sure").alias("reached"))
+    return best_found(nearest_in_bins(asks.drop("sure"), digit_tables(rows, hashes), k), k).join(sure, "q_id")
+
+
 def tune(ranges: Sequence[tuple[int, int]], good: Callable[..., bool], cost: Callable[..., float]) -> tuple[int, ...] | None:
-    """The cheapest parameters for which ``good`` holds; good is monotone in the last one, which is bisected."""
+    """The cheapest parameters for which ``good`` holds. good is monotone in every parameter, so each is bisected
+    within the choices of those before it: no value can do where the greatest ones of all later ranges don't.
+    """
     best = None
+    tops = [high for _, high in ranges]
 
     def walk(chosen: tuple[int, ...]) -> None:
         nonlocal best
-        low, high = ranges[len(chosen)]
-        if len(chosen) < len(ranges) - 1:
-            for v in range(low, high + 1):
-                walk((*chosen, v))
+        n = len(chosen)
+        low, high = ranges[n]
+        if not good(*chosen, *tops[n:]):
             return
-        if not good(*chosen, high):
+        a, b = low, high
+        while a < b:  # the least value that can do at all
+            mid = (a + b) // 2
+            a, b = (a, mid) if good(*chosen, mid, *tops[n + 1:]) else (mid + 1, b)
+        if n == len(ranges) - 1:
+            if best is None or cost(*chosen, a) < cost(*best):
+                best = (*chosen, a)
             return
-        while low < high:
-            mid = (low + high) // 2
-            low, high = (low, mid) if good(*chosen, mid) else (mid + 1, high)
-        found = (*chosen, low)
-        if best is None or cost(*found) < cost(*best):
-            best = found
+        for v in range(a, high + 1):
+            walk((*chosen, v))
 
     walk(())
     return best

@@ -8,15 +8,43 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, from ``spark.checkpoint.dir``.
+
+    One of our own is made only where the session names none and all tasks run in this process (tests);
+    a cluster without one is an error, as no local folder is shared there.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kindred-"))
+    return sc.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df in the folder of ``spark.checkpoint.dir``; one of our own if unset."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindred-"))
+    """Cut the lineage of df in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *order: Column) -> DataFrame:
+    """df dealt to all cores if it is read from fewer files than there are cores and is no more than a split a core.
+
+    A small table is often one row group, which only one task can read; what follows a scan would run there
+    alone. Larger tables are left as they are. ``order`` fixes the rows' order within a partition, so that a
+    task that runs again meets them in the same one.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if not 0 < len(df.inputFiles()) < cores or size > cores * split:
+        return df
+    return df.repartition(cores).sortWithinPartitions(*order) if order else df.repartition(cores)
+
+
 def positions(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
     """df with the 0-based place of each row in the total order.
 

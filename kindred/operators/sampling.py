@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_ENTROPY, FLOOR = 4.4, 5
+LISTED = 1000
 
 
 def sample_by_entropy(df: DataFrame, image: str, entropy: str, tie: str, least: float = MIN_ENTROPY, floor: int = FLOOR) -> DataFrame:
@@ -22,16 +25,24 @@ def top_by_size(df: DataFrame, image: str, size: Column, tie: str, count: int) -
 
 
 def random_sample(df: DataFrame, image: str, ident: str, count: int, seed: int = 0) -> DataFrame:
-    """``count`` descriptors of each image in a seeded random order that a rerun repeats."""
-    return top_by_size(df, image, F.xxhash64(F.lit(seed), F.col(ident)), ident, count)
+    """``count`` descriptors of each image in a seeded random order (md5 of 'seed:id') that a rerun repeats."""
+    rank = F.row_number().over(Window.partitionBy(image).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string"))), ident))
+    return df.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= count)
+
 
+def without_listed(df: DataFrame, listed: DataFrame, key: str, vec: str, listed_vec: str, within: float) -> DataFrame:
+    """Rows with no listed vector at a squared L2 distance below ``within``, whatever the length of the list.
 
-def without_listed(df: DataFrame, listed: DataFrame, vec: str, near: Column) -> DataFrame:
-    """Rows with no listed vector for which ``near`` holds; the list is small by contract and its size is checked."""
-    rows = listed.count()
-    if rows > 10_000:
-        raise ValueError(f"a blacklist of {rows} vectors is too long to compare with every row")
-    return df.join(F.broadcast(listed), near, "left_anti")
+    The list is broadcast in full while it has LISTED rows or fewer; a longer one is dealt in pieces of that
+    many, and every piece meets every part of the rows as one matrix product (knn.exhaustive).
+    """
+    from .knn import exhaustive
+    if listed.count() <= LISTED:
+        far = F.aggregate(F.zip_with(vec, listed_vec, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+        return df.join(F.broadcast(listed.select(F.col(listed_vec))), far < within, "left_anti")  # LISTED rows at most
+    named = listed.select((-1 - F.monotonically_increasing_id()).alias("id"), F.col(listed_vec).alias("vec"))
+    near = exhaustive(df.select(F.col(key).alias("id"), F.col(vec).alias("vec")), named, 1, within).select(F.col("q_id").alias(key))
+    return df.join(near, key, "left_anti")
 
 
 def project_attributes(df: DataFrame, key: str, flags: Iterable[str]) -> DataFrame:
@@ -48,8 +59,21 @@ def expire(df: DataFrame, key: str, before: int) -> DataFrame:
     return df.where(F.col(key) >= before).withColumn(key, F.col(key) - before)
 
 
-def greedy_dedup(sketches: Column, distance, threshold: int) -> Column:
-    """Keeps an element iff it is further than ``threshold`` from every element kept before it."""
-    none = F.slice(sketches, 1, 0)
-    return F.aggregate(sketches, none, lambda kept, s: F.when(
-        F.exists(kept, lambda k: distance(k, s) <= threshold), kept).otherwise(F.concat(kept, F.array(s))))
+def greedy_dedup(sketches: DataFrame, record: str, order: Sequence[str], blocks: Sequence[str], threshold: int) -> DataFrame:
+    """Rows of a record that are further than ``threshold`` bits from every row kept before, in ``order``.
+
+    What is kept depends on the order, so a record is folded in one place; a record is one image or
+    request, whose sketches are few. A row is compared with all kept ones at once.
+    """
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in order])
+        x = np.column_stack([t.column(c).to_numpy() for c in blocks]).view(np.uint64)
+        kept = np.zeros_like(x)
+        at: list[int] = []
+        for i, row in enumerate(x):
+            if not (np.bitwise_count(kept[:len(at)] ^ row).sum(axis=1, dtype=np.int64) <= threshold).any():
+                kept[len(at)] = row
+                at.append(i)
+        return t.take(pa.array(at, pa.int64()))
+
+    return sketches.groupBy(record).applyInArrow(fold, sketches.schema)

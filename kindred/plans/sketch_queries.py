@@ -9,6 +9,7 @@ from kindred.functions.bits import BLOCKS, hex_sketch, pack_bits, sign_bits
 from kindred.operators import ordering, search, store
 from kindred.operators.hamming_join import block_rows, hamming_join
 from kindred.operators.sampling import greedy_dedup
+from kindred.operators.text_sketch import word_sketches
 
 from .registry import query, table
 
@@ -210,13 +211,16 @@ def weighted_hamming(spark, sf_dir):
         [F.col(x) for x in BLOCKS], [F.col(f"d{x}") for x in BLOCKS], range(1, 65), 16).alias("distance"))
 
 
-@query()
+@query("WITH RECURSIVE " + PLANTED + ", o AS (SELECT image_id % 10000000 AS record, image_id, ord, b0, b1, b2, b3, row_number() OVER (PARTITION BY image_id % 10000000 ORDER BY image_id, ord) AS i FROM pl), "
+       "f(record, i, kept) AS (SELECT DISTINCT record, 0::BIGINT, []::BIGINT[][] FROM o UNION ALL SELECT f.record, o.i, "
+       "CASE WHEN len(list_filter(kept, lambda k: bit_count(xor(k[1], b0)) + bit_count(xor(k[2], b1)) + bit_count(xor(k[3], b2)) + bit_count(xor(k[4], b3)) <= 7)) = 0 "
+       "THEN list_append(kept, [b0, b1, b2, b3, image_id, ord]) ELSE kept END FROM f JOIN o ON o.record = f.record AND o.i = f.i + 1), "
+       "z AS (SELECT record, kept FROM f WHERE i = (SELECT max(i) FROM o WHERE o.record = f.record)), u AS (SELECT record, unnest(kept) AS k FROM z) "
+       "SELECT record, k[5] AS image_id, k[6] AS ord FROM u")
 def record_dedup(spark, sf_dir):
     """Order-dependent greedy dedup of each image's sketches and their planted copies within 7 bits."""
-    one = F.struct("image_id", "ord", *BLOCKS)
-    lists = planted(spark, sf_dir).groupBy((F.col("image_id") % FAR).alias("record")).agg(F.sort_array(F.collect_list(one)).alias("s"))
-    near = lambda a, b: bits.hamming([a[x] for x in BLOCKS], [b[x] for x in BLOCKS])
-    return lists.select("record", F.size("s").alias("n"), F.size(greedy_dedup(F.col("s"), near, 7)).alias("kept"))
+    rows = planted(spark, sf_dir).withColumn("record", F.col("image_id") % FAR)
+    return greedy_dedup(rows, "record", ["image_id", "ord"], BLOCKS, 7).select("record", "image_id", "ord")
 
 
 # documents: 128-bit SimHash of words, in four blocks of 32 bits
@@ -229,14 +233,7 @@ SIMHASH = ("tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text
 
 
 def document_sketches(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("t")).withColumn("h", F.md5("t"))
-    words = words.select("doc_id", *[F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("bigint").alias(f"w{k}") for k in range(4)])
-    vote = lambda k, i: F.sum(F.shiftright(f"w{k}", i).bitwiseAND(F.lit(1)) * 2 - 1)
-    votes = words.groupBy("doc_id").agg(*[vote(k, i).alias(f"v{32 * k + i}") for k in range(4) for i in range(32)])
-    zero = F.lit(0).cast("bigint")
-    block = lambda k: sum((F.when(F.col(f"v{32 * k + i}") > 0, F.lit(1 << i).cast("bigint")).otherwise(zero) for i in range(32)), zero)
-    return votes.select("doc_id", *[block(k).alias(f"b{k}") for k in range(4)])
+    return word_sketches(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("WITH " + SIMHASH + " SELECT doc_id, b0, b1, b2, b3 FROM ds")
@@ -244,10 +241,14 @@ def simhash(spark, sf_dir):
     return document_sketches(spark, sf_dir)
 
 
-@query("WITH " + SIMHASH + ", c AS (SELECT min(doc_id) AS doc_id, b0, b1, b2, b3 FROM ds GROUP BY ALL) SELECT q.doc_id AS a, d.doc_id AS b, " + HAMMING + " AS distance FROM c q, c d WHERE q.doc_id < d.doc_id AND " + HAMMING + " <= 7")
+@query("WITH " + SIMHASH + ", c AS (SELECT min(doc_id) AS doc_id, b0, b1, b2, b3 FROM ds GROUP BY ALL) SELECT q.doc_id AS a, d.doc_id AS b, " + HAMMING + " AS distance FROM c q, c d WHERE q.doc_id < d.doc_id AND " + HAMMING + " <= 7 "
+       "UNION ALL SELECT c.doc_id, ds.doc_id, 0 FROM ds JOIN c USING (b0, b1, b2, b3) WHERE ds.doc_id <> c.doc_id")
 def document_near_pairs(spark, sf_dir):
-    """Pairs within 7 of 128 bits between classes of equal sketches: the same join on 32-bit blocks."""
-    ds = document_sketches(spark, sf_dir).groupBy(*BLOCKS).agg(F.min("doc_id").alias("doc_id"))
-    ds = ordering.checkpointed(ds)
-    found = hamming_join(ds, ds, 7, bits=32)
-    return found.where("q_doc_id < doc_id").select(F.col("q_doc_id").alias("a"), F.col("doc_id").alias("b"), "distance")
+    """Pairs within 7 of 128 bits between classes of equal sketches, each named by its least id, and at distance 0
+    every other document with its class: the same join on 32-bit blocks, and no link lost."""
+    ds = ordering.checkpointed(document_sketches(spark, sf_dir))
+    classes = ds.groupBy(*BLOCKS).agg(F.min("doc_id").alias("a"))
+    found = hamming_join(*[classes.withColumnRenamed("a", "doc_id")] * 2, 7, bits=32)
+    pairs = found.where("q_doc_id < doc_id").select(F.col("q_doc_id").alias("a"), F.col("doc_id").alias("b"), "distance")
+    members = ds.join(classes, list(BLOCKS)).where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(0).cast("bigint").alias("distance"))
+    return pairs.unionByName(members)

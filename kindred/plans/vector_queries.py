@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import random
+import uuid
+from itertools import product
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kindred.functions import descriptors as D
 from kindred.functions.bits import pack_bits, texture_bits, trimmed_mean_bits
 from kindred.functions.lsh import HyperPlane, Repeat, RepeatHash, StableDistribution, Tail
-from kindred.operators import images, knn, linear, sampling
+from kindred.operators import images, knn, linear, ordering, sampling
+from kindred.operators.lsh_model import RecallTable, apost_nearest, search_to_recall, train_probes
 
 from .registry import query, table
 
@@ -22,7 +24,7 @@ INT = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)"
 #: Projections are whole numbers drawn from a seed, so that hashes of whole vectors are exact.
 draw = lambda seed, n=DIM, m=8: tuple(random.Random(seed).choices([x for x in range(-m, m + 1) if x], k=n))
 WIDTH, BASE = 2048, 64
-STABLE = [[(draw(100 * t + i), random.Random(7 * t + i).randrange(WIDTH)) for i in range(2)] for t in range(6)]
+STABLE = [[(draw(100 * t + i), random.Random(7 * t + i).randrange(WIDTH)) for i in range(2)] for t in range(12)]
 TABLES = [Repeat(tuple(Tail(StableDistribution(a, b, WIDTH), BASE) for a, b in digits), BASE) for digits in STABLE]
 TREES = [[HyperPlane(draw(5000 + 100 * t + i)) for i in range(8)] for t in range(3)]
 MOST = 40
@@ -89,7 +91,7 @@ def topn_by_size(spark, sf_dir):
     return sampling.top_by_size(rows, "label", F.col("size"), "vec_id", 20).select("label", "vec_id", "size", "rank")
 
 
-@query()
+@query("WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('7:' || vec_id), vec_id) AS rank FROM embeddings) SELECT * FROM r WHERE rank <= 20")
 def random_sample(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("label", "vec_id")
     return sampling.random_sample(rows, "label", "vec_id", 20, seed=7).select("label", "vec_id", "rank")
@@ -130,12 +132,14 @@ def sketch_texture(spark, sf_dir):
     return vectors(spark, sf_dir).withColumn("f", flags).select(F.col("id").alias("vec_id"), *[pack_bits(F.col("f"), k, 16).alias(f"b{k}") for k in range(4)])
 
 
-NEXT = f"n AS (SELECT vec_id, {V} AS a, lead({V}) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)"
+NEXT = f"n AS (SELECT vec_id, {V} AS a, lead({V}) OVER (ORDER BY vec_id) AS b FROM embeddings)"
 
 
 def _with_next(spark, sf_dir):
-    w = Window.partitionBy("label").orderBy("id")
-    return vectors(spark, sf_dir).withColumn("b", F.lead("vec").over(w)).where(F.col("b").isNotNull()).withColumnRenamed("vec", "a")
+    """Each vector with the next one in the order of ids, by position, so that no label gathers in one task."""
+    placed = ordering.positions(vectors(spark, sf_dir).select("id", "vec"), F.col("id"))
+    after = placed.select((F.col("position") - 1).alias("position"), F.col("vec").alias("b"))
+    return placed.join(after, "position").select("id", F.col("vec").alias("a"), "b")
 
 
 @query(f"WITH {NEXT} SELECT vec_id, round({fold_sql('a', 'b', 'abs(p[1] - p[2])')}, 9) AS l1, round({fold_sql('a', 'b', '(p[1] - p[2]) * (p[1] - p[2])')}, 9) AS l2_squared, "
@@ -198,7 +202,19 @@ LSH = (f"w AS (SELECT vec_id AS id, {INT} AS v FROM embeddings), t AS (SELECT id
 @query(f"WITH {LSH}{RANK} SELECT q_id, id, dist, rank FROM k WHERE rank <= 5")
 def lsh_knn(spark, sf_dir):
     w = whole_vectors(spark, sf_dir)
-    return knn.nearest(knn.lsh_candidates(w, w, TABLES), 5, whole_l2)
+    return _whole(knn.lsh_nearest(w, knn.tables(w, TABLES), TABLES, 5))
+
+
+@query(f"WITH {LSH}{RANK} SELECT q_id, id, dist, rank FROM k WHERE rank <= 5")
+def lsh_index_search(spark, sf_dir):
+    """The index is saved, loaded again and searched."""
+    w, path = whole_vectors(spark, sf_dir), f"{ordering.shared_folder(spark)}/lsh-{uuid.uuid4().hex}"
+    knn.save_index(knn.tables(w, TABLES), path)
+    return _whole(knn.lsh_nearest(w, knn.load_index(spark, path), TABLES, 5))
+
+
+def _whole(found):
+    return found.withColumn("dist", F.col("dist").cast("bigint"))
 
 
 @query(f"WITH {PAIRS}{RANK}, l AS (WITH {LSH}{RANK} SELECT q_id, id FROM k WHERE rank <= 5) SELECT k.q_id, count(l.id)::DOUBLE / count(*) AS recall FROM k LEFT JOIN l ON k.q_id = l.q_id AND k.id = l.id WHERE k.rank <= 5 GROUP BY k.q_id")
@@ -219,7 +235,7 @@ FOREST = (f"w AS (SELECT vec_id AS id, {INT} AS v FROM embeddings), h AS (SELECT
 @query(f"WITH {FOREST}{RANK} SELECT q_id, id, dist, rank FROM k WHERE rank <= 5")
 def lsh_forest_knn(spark, sf_dir):
     w = whole_vectors(spark, sf_dir)
-    return knn.nearest(knn.forest_candidates(w, w, TREES, MOST), 5, whole_l2)
+    return _whole(knn.forest_nearest(w, w, TREES, MOST, 5))
 
 
 HASH = RepeatHash(tuple(StableDistribution(draw(900 + i), 0, WIDTH) for i in range(3)), (2654435761, 40503, 2246822519), 32)
@@ -238,7 +254,7 @@ def random_histogram(spark, sf_dir):
 def blacklist_anti(spark, sf_dir):
     """Vectors that are not near one of a few listed ones."""
     listed = spark.createDataFrame([(i, list(draw(300 + i, m=40))) for i in range(8)], "i int, u array<bigint>")
-    return sampling.without_listed(whole_vectors(spark, sf_dir), listed, "vec", whole_l2(F.col("vec"), F.col("u")) < 100000).select(F.col("id").alias("vec_id"))
+    return sampling.without_listed(whole_vectors(spark, sf_dir), listed, "id", "vec", "u", 100000).select(F.col("id").alias("vec_id"))
 
 
 KP = "kp AS (SELECT label AS image_id, vec_id AS id, embedding[1]::DOUBLE * 400 AS x, embedding[2]::DOUBLE * 400 AS y, embedding[3]::DOUBLE AS dir FROM embeddings)"
@@ -252,53 +268,130 @@ def keypoint_match(spark, sf_dir):
     return match(kp, kp, 5.0).select("a_id", "b_id", F.round("distance", 6).alias("distance"))
 
 
-# no SQL: linear algebra and probing
-@query()
+# linear algebra over whole numbers, so that SQL gives the same bits
+BINARISER = np.array([draw(2000 + i) for i in range(128)]), np.array(draw(2999, 128, 500))
+WINDOWS = np.array([draw(3000 + i) for i in range(128)]), np.array([random.Random(3500 + i).randrange(WIDTH) for i in range(128)])
+MEANS = np.array([draw(4000 + i, m=60) for i in range(16)])
+
+
+def _hex_sql(bit: str, n: int = 128) -> str:
+    """The n bits, the first of a byte highest, as hexadecimal digits."""
+    return (f"array_to_string(list_transform(range({n // 8}), lambda j: format('{{:02x}}', list_sum(list_transform(range(8), "
+            f"lambda i: CASE WHEN ({bit}) THEN 1::BIGINT << (7 - i)::INT ELSE 0 END))::BIGINT)), '')")
+
+
+def _all_projections(matrix, offset) -> str:
+    return "[" + ", ".join(f"{project_sql('v', a)} + {b}" for a, b in zip(matrix.tolist(), offset.tolist())) + "]"
+
+
+def _hexed(df):
+    return df.select(F.col("id").alias("vec_id"), F.lower(F.hex("sketch")).alias("sketch"))
+
+
+def _sketch_sql(matrix, offset, bit, n=128):
+    return f"WITH w AS (SELECT vec_id, {INT} AS v FROM embeddings), p AS (SELECT vec_id, {_all_projections(matrix, offset)} AS p FROM w) SELECT vec_id, {_hex_sql(bit, n)} AS sketch FROM p"
+
+
+@query(_sketch_sql(*BINARISER, "p[8 * j + i + 1] <= 0"))
 def sketch_lda(spark, sf_dir):
-    r = np.random.default_rng(3)
-    return linear.projection_sketch(vectors(spark, sf_dir).select("id", "vec"), "vec", r.normal(size=(128, DIM)), r.normal(size=128) / 10)
+    return _hexed(linear.projection_sketch(whole_vectors(spark, sf_dir), "vec", *BINARISER))
 
 
-@query()
+@query(_sketch_sql(BINARISER[0][:64], BINARISER[1][:64], "p[8 * j + i + 1] <= 0", 64))
+def sketch_lda_64(spark, sf_dir):
+    """The short form: 64 rows, one word."""
+    return _hexed(linear.projection_sketch(whole_vectors(spark, sf_dir), "vec", BINARISER[0][:64], BINARISER[1][:64]))
+
+
+@query(_sketch_sql(*WINDOWS, f"floor(p[8 * j + i + 1]::DOUBLE / {WIDTH})::BIGINT & 1 = 1"))
 def sketch_lsh(spark, sf_dir):
-    return linear.window_sketch(vectors(spark, sf_dir).select("id", "vec"), "vec", w=0.5)
+    return _hexed(linear.window_sketch(whole_vectors(spark, sf_dir), "vec", w=WIDTH, matrix=WINDOWS[0], offset=WINDOWS[1]))
 
 
 @query()
 def spectral_hash(spark, sf_dir):
     v = vectors(spark, sf_dir).select("id", "vec")
     mean, axes = linear.principal_axes(v, "vec", 4)
-    modes = np.pi * np.array([[m if j == k % 4 else 0 for j in range(4)] for k in range(8) for m in (1 + k // 4,)], float)
-    return linear.spectral_hash(v, "vec", mean, axes, modes)
+    return linear.spectral_hash(v, "vec", mean, axes, MODES)
 
 
-@query()
+MODES = np.pi * np.array([[m if j == k % 4 else 0 for j in range(4)] for k in range(8) for m in (1 + k // 4,)], float)
+
+
+@query(f"WITH w AS (SELECT vec_id AS id, {INT} AS v FROM embeddings), m AS (SELECT unnest(range(16)) AS cell, unnest({MEANS.tolist()}) AS u), "
+       "d AS (SELECT id, cell, list_sum(list_transform(list_zip(v, u), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS dist FROM w, m), "
+       "r AS (SELECT id, cell, row_number() OVER (PARTITION BY id ORDER BY dist, cell) AS rank FROM d) SELECT id, cell FROM r WHERE rank = 1")
 def vector_quantiser(spark, sf_dir):
-    return linear.nearest_mean(vectors(spark, sf_dir).select("id", "vec"), "vec", np.random.default_rng(5).normal(size=(16, DIM)) / 8)
+    return linear.nearest_mean(whole_vectors(spark, sf_dir), "vec", MEANS)
 
 
-#: Tables of three digits each.
-PROBED = [[StableDistribution.draw(DIM, 0.9, 3 * t + s) for s in range(3)] for t in range(4)]
+#: Tables of three digits each, of whole numbers.
+PROBED = [[StableDistribution(draw(7000 + 100 * t + s), random.Random(70 * t + s).randrange(WIDTH), WIDTH) for s in range(3)] for t in range(4)]
+PROBES = 8
 
 
-def _probed(spark, sf_dir, probes):
-    v = vectors(spark, sf_dir).select("id", "vec")
-    return knn.nearest(knn.probe_candidates(v, v, PROBED, probes, D.l2_squared), 5, lambda *_: F.col("dist"))
+def _digits_sql(of) -> str:
+    return "[" + ", ".join("[" + ", ".join(of(f"({project_sql('v', h.a)} + {h.b})") for h in t) + "]" for t in PROBED) + "]"
 
 
-@query()
+PROBING = (f"w AS (SELECT vec_id AS id, {INT} AS v FROM embeddings), "
+           f"t AS (SELECT id, unnest(range(4)) AS tab, unnest({_digits_sql(lambda p: floor_div(p, WIDTH))}) AS own, "
+           f"unnest({_digits_sql(lambda p: f'(({p} % {WIDTH} + {WIDTH}) % {WIDTH})::DOUBLE / {WIDTH}')}) AS d FROM w), "
+           f"st AS (SELECT unnest({[list(s) for s in product((-1, 0, 1), repeat=3)]}) AS steps), "
+           "co AS (SELECT id, tab, own, steps, list_sum(list_transform(list_zip(steps, d), lambda p: CASE WHEN p[1] = 0 THEN 0.0::DOUBLE WHEN p[1] < 0 THEN p[2] * p[2] ELSE (1 - p[2]) * (1 - p[2]) END)) AS cost, "
+           "list_sum(list_transform(steps, lambda s: abs(s))) AS moves FROM t, st), "
+           "pr AS (SELECT id AS q_id, tab, list_transform(list_zip(own, steps), lambda p: p[1] + p[2]) AS bin, row_number() OVER (PARTITION BY id, tab ORDER BY cost, moves, steps) - 1 AS probe FROM co), "
+           f"c AS (SELECT q_id, t.id, min(probe)::INT AS probe FROM pr JOIN t ON pr.tab = t.tab AND pr.bin = t.own AND t.id <> q_id WHERE probe <= {PROBES} GROUP BY ALL), "
+           "p AS (SELECT q_id, c.id, probe, list_sum(list_transform(list_zip(q.v, r.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS dist FROM c JOIN w q ON q.id = q_id JOIN w r ON r.id = c.id)")
+
+
+@query(f"WITH {PROBING}{RANK} SELECT q_id, id, dist, probe, rank FROM k WHERE rank <= 5")
 def mplsh_knn(spark, sf_dir):
-    return _probed(spark, sf_dir, 4)
+    w = whole_vectors(spark, sf_dir)
+    return _whole(knn.probe_nearest(w, w, PROBED, PROBES, 5))
 
 
-@query()
+@query(f"WITH {PROBING}, n AS (SELECT unnest([0, 3, 8]) AS probes), l AS (SELECT probes, q_id, id, row_number() OVER (PARTITION BY probes, q_id ORDER BY dist, id) AS rank FROM p JOIN n ON probe <= probes), "
+       "a AS (SELECT q.id AS q_id, r.id, list_sum(list_transform(list_zip(q.v, r.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS dist FROM w q JOIN w r ON q.id <> r.id), "
+       "e AS (SELECT q_id, id, row_number() OVER (PARTITION BY q_id ORDER BY dist, id) AS rank FROM a) "
+       "SELECT probes, round(count(l.id)::DOUBLE / count(*), 9) AS recall FROM n JOIN e ON rank <= 5 LEFT JOIN l ON l.probes = n.probes AND l.q_id = e.q_id AND l.id = e.id AND l.rank <= 5 GROUP BY n.probes".replace("SELECT probes, round(count", "SELECT n.probes, round(count").replace("JOIN e ON rank <= 5", "JOIN e ON e.rank <= 5"))
 def mplsh_recall(spark, sf_dir):
-    """Recall of the five nearest by number of probes."""
-    truth = knn.exhaustive(*[vectors(spark, sf_dir).select("id", "vec")] * 2, k=5)
-    parts = [knn.recall(truth, _probed(spark, sf_dir, p)).agg(F.avg("recall").alias("recall")).withColumn("probes", F.lit(p)) for p in (0, 3, 6)]
+    """Recall of the five nearest by number of probes, all from one pass over the bins."""
+    w = whole_vectors(spark, sf_dir)
+    truth = ordering.checkpointed(knn.exhaustive(w, w, k=5).select("q_id", "id"))
+    asks = knn.probed(w, PROBED, PROBES)
+    found = ordering.checkpointed(knn.nearest_in_bins(asks, knn.digit_tables(w, PROBED), 5))
+    parts = [truth.join(knn.best_found(found.where(F.col("probe") <= p), 5).select("q_id", "id", F.lit(1).alias("hit")), ["q_id", "id"], "left").agg(
+        F.lit(p).alias("probes"), F.round(F.count("hit") / F.count("*"), 9).alias("recall")) for p in (0, 3, 8)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+#: Widths are those of Gaussian hashes: whole numbers drawn from -8..8 without 0 have this deviation.
+SPREAD = (sum(i * i for i in range(1, 9)) / 8) ** 0.5
+_REACH = RecallTable.simulate(WIDTH / SPREAD, 3, PROBES, 30.0, 600.0, tables=4)
+REACH = RecallTable(_REACH.least, _REACH.step, np.round(_REACH.values, 6))
+TARGET = 0.6
+
+
+@query(f"WITH {PROBING}, n AS (SELECT unnest(range({PROBES + 1}))::INT AS probes), "
+       "l AS (SELECT probes, q_id, id, dist, row_number() OVER (PARTITION BY probes, q_id ORDER BY dist, id) AS rank FROM p JOIN n ON probe <= probes), "
+       f"x AS (SELECT probes, q_id, sum({REACH.values.ravel().tolist()}[least(greatest(round(ln(greatest(sqrt(dist), {REACH.least}::DOUBLE) / {REACH.least}::DOUBLE) / {REACH.step}::DOUBLE), 0), {len(REACH.values) - 1})::INT * {PROBES + 1} + probes + 1]) / 5 AS recall FROM l WHERE rank <= 5 GROUP BY ALL), "
+       f"s AS (SELECT q_id, coalesce(min(CASE WHEN recall >= {TARGET} THEN probes END), {PROBES})::INT AS probes, min(CASE WHEN recall >= {TARGET} THEN probes END) IS NOT NULL AS reached FROM x GROUP BY q_id) "
+       "SELECT l.q_id, id, dist, rank, s.probes, reached FROM l JOIN s ON l.q_id = s.q_id AND l.probes = s.probes WHERE rank <= 5")
+def mplsh_adaptive(spark, sf_dir):
+    """Probing until the expected recall of the five nearest is TARGET; the probes that it took, and whether they reached it."""
+    w = whole_vectors(spark, sf_dir)
+    return _whole(search_to_recall(w, w, PROBED, REACH, 5, TARGET))
+
+
+@query()
+def apost_knn(spark, sf_dir):
+    """A-posteriori probing: moves learned from some vectors and their neighbours, until they cover the recall."""
+    w = whole_vectors(spark, sf_dir)
+    model = train_probes(w, PROBED, 5)
+    return _whole(apost_nearest(w, w, PROBED, model, 5, 0.9))
+
+
 def pictures(spark, sf_dir):
     """Each vector as an 8 x 8 gray tile, enlarged to 96 x 96."""
     level = F.transform("vec", lambda x: F.least(F.greatest(F.floor(x * 400 + 128), F.lit(0)), F.lit(255)))
@@ -307,7 +400,20 @@ def pictures(spark, sf_dir):
     return vectors(spark, sf_dir).withColumn("p", level).select(F.col("id").alias("image_id"), F.lit(96).alias("width"), F.lit(96).alias("height"), F.lit(1).alias("channels"), data.alias("data"))
 
 
-@query()
+LEVEL = "list_transform(embedding, lambda x: least(greatest(floor(x::DOUBLE * 400 + 128), 0), 255)::BIGINT)"
+
+
+def _tile_sql(k: int) -> str:
+    """The mean of pixel column k % 8 over the old rows that new row k // 8 of 12 covers, each tile being 12 rows high."""
+    y, x = divmod(k, 8)
+    a, b = 8 * y // 12, (8 * y + 7) // 12
+    tile = lambda r: f"p[{8 * r + x + 1}]"
+    return tile(a) if a == b else f"round_even(({tile(a)} * {12 * b - 8 * y} + {tile(b)} * {8 * y + 8 - 12 * b})::DOUBLE / 8, 0)::BIGINT"
+
+
+@query(f"WITH t AS (SELECT vec_id, {LEVEL} AS p FROM embeddings), r AS (SELECT vec_id, [" + ", ".join(map(_tile_sql, range(64))) + "] AS q FROM t), "
+       "f AS (SELECT vec_id, list_sum(list_transform(range(64), lambda k: CASE WHEN q[k + 1] > list_sum(q) // 64 THEN 1::HUGEINT << k::INT ELSE 0 END)) AS f FROM r) "
+       "SELECT vec_id AS image_id, (CASE WHEN f >= 9223372036854775808::HUGEINT THEN f - 18446744073709551616::HUGEINT ELSE f END)::BIGINT AS fingerprint FROM f")
 def image_fingerprint(spark, sf_dir):
     return images.fingerprints(pictures(spark, sf_dir))
 
@@ -321,11 +427,3 @@ def hs_histogram(spark, sf_dir):
 def sift_descriptors(spark, sf_dir):
     return images.features(pictures(spark, sf_dir)).groupBy("image_id").agg(F.count("*").alias("n"), F.avg("size").alias("mean_size"))
 
-
-@query()
-def mplsh_adaptive(spark, sf_dir):
-    """Probing until the expected recall of the five nearest is 0.6, and the probes that it took."""
-    from kindred.operators.lsh_model import RecallTable, search_to_recall
-    v = vectors(spark, sf_dir).select("id", "vec")
-    table_ = RecallTable.simulate(0.9, len(PROBED[0]), 6, 0.1, 2.0, tables=len(PROBED))
-    return search_to_recall(v, v, PROBED, table_, 5, 0.6)

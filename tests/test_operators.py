@@ -96,11 +96,21 @@ def test_urls_status_and_sizes(spark):
 
 
 def test_greedy_dedup_depends_on_order_and_is_idempotent(spark):
-    dist = lambda a, b: F.bit_count(a.bitwiseXOR(b))
-    df = spark.createDataFrame([([0, 1, 3, 7, 15],), ([15, 7, 3, 1, 0],), ([],)], "s array<long>")
-    once = df.select(sampling.greedy_dedup(F.col("s"), dist, 1).alias("s"))
-    assert [r.s for r in once.collect()] == [[0, 3, 15], [15, 3, 0], []]
-    assert [r.s for r in once.select(sampling.greedy_dedup(F.col("s"), dist, 1).alias("s")).collect()] == [[0, 3, 15], [15, 3, 0], []]
+    rows = [("up", i, v) for i, v in enumerate([0, 1, 3, 7, 15])] + [("down", i, v) for i, v in enumerate([15, 7, 3, 1, 0])]
+    once = sampling.greedy_dedup(spark.createDataFrame(rows, "r string, i long, b long"), "r", ["i"], ["b"], 1)
+    kept = lambda df: {r: [x.b for x in sorted(df.collect(), key=lambda x: x.i) if x.r == r] for r in ("up", "down")}
+    assert kept(once) == {"up": [0, 3, 15], "down": [15, 3, 0]} == kept(sampling.greedy_dedup(once, "r", ["i"], ["b"], 1))
+
+
+@pytest.mark.parametrize("listed", [1000, 2])
+def test_blacklist_of_any_length(spark, monkeypatch, listed):
+    monkeypatch.setattr(sampling, "LISTED", listed)
+    x = np.random.default_rng(0).integers(-3, 4, (60, 4))
+    bad = np.random.default_rng(1).integers(-3, 4, (7, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(float))], "id long, vec array<double>")
+    black = spark.createDataFrame([(v.tolist(),) for v in bad.astype(float)], "u array<double>")
+    got = {r.id for r in sampling.without_listed(rows, black, "id", "vec", "u", 6).collect()}
+    assert got == set(np.flatnonzero((((x[:, None] - bad[None]) ** 2).sum(2) >= 6).all(1)).tolist())
 
 
 def test_store(spark):
