@@ -39,7 +39,7 @@ def spread(df: DataFrame, *order: Column) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if not 0 < len(df.inputFiles()) < cores or size > cores * split:
         return df
     return df.repartition(cores).sortWithinPartitions(*order) if order else df.repartition(cores)
