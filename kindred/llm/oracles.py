@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .sharding import SEED
-from .url_filter import LOWER, RULES, THRESHOLD, UPPER, Z
+from .url_filter import ADDRESS, LOWER, RULES, SUFFIXES, THRESHOLD, UPPER, Z
 
 OP1 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings),
@@ -75,8 +75,11 @@ hp AS (SELECT page_id, CASE WHEN known THEN translate(regexp_extract(rest, '^([^
               CASE WHEN known THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
 o AS (SELECT doc_id AS page_id, CASE WHEN toxic = 1 OR quality = 0 THEN 0 WHEN toxic = 0 AND quality = 1 THEN 1 END AS good FROM labels),
 s AS (SELECT page_id, sum(good) AS k, count(good) AS n FROM o GROUP BY page_id),
-hosts AS (SELECT host, coalesce(sum(k), 0)::BIGINT AS k, coalesce(sum(n), 0)::BIGINT AS n, regexp_extract(host, '([^.]*\\.)?[^.]*$', 0) AS domain,
-                 regexp_extract(host, '[^.]*$', 0) AS suffix, 0 AS top FROM hp LEFT JOIN s USING (page_id) GROUP BY host),
+hc AS (SELECT host, coalesce(sum(k), 0)::BIGINT AS k, coalesce(sum(n), 0)::BIGINT AS n,
+              regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.$', '') AS name FROM hp LEFT JOIN s USING (page_id) GROUP BY host),
+hl AS (SELECT *, regexp_matches(name, '{ADDRESS}') AS address, regexp_extract(name, '([^.]*\\.)?[^.]*$', 0) AS two FROM hc),
+hosts AS (SELECT host, k, n, CASE WHEN address THEN name WHEN two IN {SUFFIXES} THEN regexp_extract(name, '([^.]*\\.)?([^.]*\\.)?[^.]*$', 0) ELSE two END AS domain,
+                 CASE WHEN address THEN 'address' WHEN two IN {SUFFIXES} THEN two ELSE regexp_extract(name, '[^.]*$', 0) END AS suffix, 0 AS top FROM hl),
 {_level("host", "domain")},{_level("domain", "suffix")},{_level("suffix", "top")},
 p0 AS (SELECT CASE WHEN sum(n) > 0 THEN sum(k)::DOUBLE / sum(n) ELSE 0.5 END AS p FROM hosts),
 sx AS (SELECT suffix, (k + m * p) / (n + m) AS ps FROM own_suffix, w_suffix, p0),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
+from itertools import count as count_from
 
 import numpy as np
 import pyarrow as pa
@@ -103,10 +104,10 @@ def _tokenizer(json_text: str) -> ByteLevelTokenizer:
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, row): each document's ids and ``end_id``, in pieces.
+    """(doc_id, piece, start, length, ids_crc32): each document's ids and ``end_id``, in pieces.
 
     Documents longer than ``capacity`` are cut from the end, so only the first piece may be
-    shorter. Null text counts as empty. row numbers the documents of a task.
+    shorter. Null text counts as empty.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         text_of_file = f.read()
@@ -204,10 +205,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     todo = pieces.where(F.col("length") < capacity).select("item", F.col("length").alias("size"))
     count = todo.count()
     placed, free = None, 0  # ids of bins are kept apart by level
-    for level in range(6):
+    for level in count_from(0):  # every level has fewer items than the one before
         groups = max(1, -(-count // GROUP_ITEMS))
         packed = checkpointed(_pack(todo, groups, capacity)) if count else _pack(todo, groups, capacity)
-        packed = packed.select("item", "size", (F.col("bin") * 8 + level).alias("bin"), "at")
+        packed = packed.select("item", "size", (F.col("bin") * 64 + level).alias("bin"), "at")
         if placed is None:
             placed = packed.select("item", "bin", "at")
         else:
@@ -221,7 +222,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         count = todo.count()
         if not count or count >= before:
             break
-    # level is below 8, so 8 * item + 7 is no bin's id
+    # a level packs a fraction of the one before, so 63 are never reached and 64 * item + 63 is no bin's id
     return pieces.join(placed, "item", "left").select(
         "doc_id", "piece", "start", "length", "ids_crc32",
-        F.coalesce("bin", F.col("item") * 8 + 7).alias("sequence_id"), F.coalesce("at", F.lit(0)).cast("long").alias("offset"))
+        F.coalesce("bin", F.col("item") * 64 + 63).alias("sequence_id"), F.coalesce("at", F.lit(0)).cast("long").alias("offset"))

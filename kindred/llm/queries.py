@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from kindred.operators.ordering import spread
+
 from . import bpe, embed_dedup, packing, sharding, simhash, substring, token_counts, topk, toxicity, url_filter
 from .oracles import ORACLE_SQL
 
@@ -13,20 +15,25 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark, sf_dir):
+    """documents; a small table is dealt to all cores."""
+    return spread(table(spark, sf_dir, "documents"), F.col("doc_id"), F.xxhash64("text"))
+
+
 def op1_exact_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op2_bpe(spark, sf_dir):
-    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op3_best_fit_packing(spark, sf_dir):
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_token_counts(spark, sf_dir):
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_counts.count_tokens(texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op5_embedding_dedup(spark, sf_dir):
@@ -49,15 +56,15 @@ def op7_url_filter(spark, sf_dir):
 
 
 def op8_toxicity(spark, sf_dir):
-    return toxicity.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.grade_documents(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op9_substring_dedup(spark, sf_dir):
-    return substring.digest_without_repeats(table(spark, sf_dir, "documents"))
+    return substring.digest_without_repeats(texts(spark, sf_dir))
 
 
 def op10_simhash(spark, sf_dir):
-    return simhash.components(table(spark, sf_dir, "documents"))
+    return simhash.components(texts(spark, sf_dir))
 
 
 QUERIES = {

@@ -122,8 +122,9 @@ def repeated(rows: DataFrame, hashed: Callable[[pa.RecordBatch], Iterable[tuple[
     among n hashes of a group a single one counts as repeated with probability n / 2^32. None that
     repeats is ever missed.
 
-    A chunk is named by its content. If a lost task is run again on rows in another order (input
-    straight from a shuffle), places and rows could mix; names then differ and the job fails instead.
+    A chunk is named by its content. A lost task that runs again must meet its rows in the same order, as
+    it does from a table or after sortWithinPartitions() by a total order; else names differ and the job
+    fails, rather than mix places and rows of two attempts.
     GROUP_HASHES and HELD_HASHES bound what a task holds. At very many groups a chunk has few hashes for each: raise
     both with the memory of the executors.
     """

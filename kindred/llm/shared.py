@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.operators.ordering import checkpointed, shared_folder
+
 #: Stands for a null id inside an operator: it sorts before every other id.
 NO_ID = -(2**63)
 BATCH_SETTING, SLICE_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
@@ -19,27 +20,6 @@ BATCH_SETTING, SLICE_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 <<
 SIEVE_BITS = 1 << 24
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, from ``spark.checkpoint.dir``.
-
-    A folder of our own is made only where the session names none and all tasks run in this process (tests);
-    a cluster without one is an error, as no local folder is shared there.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.split("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kindred-"))
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df, in files of the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     """df as a compressed table in the shared folder, and what removes it when it is read no more."""
     spark = df.sparkSession

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from .shared import checkpointed, text_slices
 
-#: Labelled rows that the model is fitted on, at most, and features that it keeps.
-FIT_ROWS, FEATURES = 4000, 1500
-#: A feature must occur in so many labelled documents.
-LEAST_DOCS = 4
+#: Parameters of fit(): labelled rows that the model is fitted on, at most; features that it keeps, the most telling
+#: ones (None: all); labelled documents in which a feature must occur. README tells what the last two cost.
+FIT_ROWS, FEATURES, LEAST_DOCS = 4000, 1500, 4
 GRADES = 4
 PREFIXES = (4, 6)
 REJECT_FROM = 0.5
@@ -67,8 +66,12 @@ class CumulativeLink:
 
     @staticmethod
     def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, n_features: int,
-            n_grades: int, steps: int = 400, rate: float = 0.05, decay: float = 2e-4) -> CumulativeLink:
-        """Maximum likelihood with an L2 penalty by Adam; gaps between thresholds stay positive."""
+            n_grades: int, steps: int = 400, rate: float = 0.05, decay: float = 2e-4, tolerance: float = 1e-7) -> CumulativeLink:
+        """Maximum likelihood with an L2 penalty by Adam, with a rate that falls to zero over ``steps``.
+
+        It ends early where the loss has changed by less than ``tolerance`` of itself over 20 steps. Gaps between
+        thresholds stay positive.
+        """
         n = len(grades)
         share = np.array([(grades <= k).mean() for k in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
         start = np.log(share / (1 - share))
@@ -76,13 +79,16 @@ class CumulativeLink:
         p = np.concatenate([np.zeros(n_features), start[:1], gaps])
         m, v = np.zeros_like(p), np.zeros_like(p)
         sig = lambda x: 1 / (1 + np.exp(-x.clip(-40, 40)))
-        at = np.arange(n)
+        at, losses = np.arange(n), []
         for t in range(1, steps + 1):
             theta = np.concatenate([p[n_features:n_features + 1], p[n_features] + np.cumsum(np.exp(p[n_features + 1:]))])
             score = np.bincount(rows, p[cols] * values, n)
             below = np.concatenate([np.zeros((n, 1)), sig(theta[None, :] - score[:, None]), np.ones((n, 1))], axis=1)
             hi, lo = below[at, grades + 1], below[at, grades]
             like = (hi - lo).clip(1e-9)
+            losses.append(-np.log(like).mean() + decay / 2 * (p[:n_features] @ p[:n_features]))
+            if t > 20 and abs(losses[-21] - losses[-1]) < tolerance * abs(losses[-1]):
+                break
             d_hi, d_lo = hi * (1 - hi) / like, lo * (1 - lo) / like
             d_score = (d_hi - d_lo) / n
             d_theta = np.zeros(n_grades + 1)
@@ -93,7 +99,7 @@ class CumulativeLink:
             g = np.concatenate([np.bincount(cols, d_score[rows] * values, n_features) + decay * p[:n_features],
                                 tail[:1], tail[1:] * np.exp(p[n_features + 1:])])
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            p = p - rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         theta = np.concatenate([p[n_features:n_features + 1], p[n_features] + np.cumsum(np.exp(p[n_features + 1:]))])
         return CumulativeLink(p[:n_features], theta)
 
@@ -112,13 +118,15 @@ def severity_grades(toxic: np.ndarray, shares: np.ndarray, n_grades: int = GRADE
     return grades
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features: int = FEATURES,
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features: int | None = FEATURES, least_docs: int = LEAST_DOCS,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
     """(vocabulary, CumulativeLink) from labelled documents; None without both classes.
 
     A sample of ``fit_rows`` labelled ids, by hash, bounds what the driver gets. Features are chosen
-    by the difference of their document frequencies in the classes. The labels say toxic or
-    not; the severity of toxic documents is graded by their share of words that tell toxic text.
+    by the difference of their document frequencies in the classes, ``features`` of those that occur in
+    ``least_docs`` labelled documents or more. The labels say toxic or not. The grades above 0 are therefore made here:
+    toxic documents in equal parts by their share of words that tell toxic text, so expected severity
+    ranks toxic texts by such words and isn't checked by any label.
     """
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(
         F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("toxic")).orderBy(
@@ -141,9 +149,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
     gap = F.col("toxic") / sizes[1] - F.col("clean") / sizes[0]
     pooled = (F.col("toxic") + F.col("clean") + 1) / (sizes[0] + sizes[1] + 2)
     told = sample.select("text", "toxic").mapInArrow(seen, "feature string, clean long, toxic long").groupBy("feature").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") + F.col("clean") >= LEAST_DOCS)
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") + F.col("clean") >= least_docs)
     best = told.select("feature", "clean", "toxic", (F.abs(gap) / F.sqrt(pooled)).alias("gap")).orderBy(
-        F.desc("gap"), "feature").limit(features).collect()
+        F.desc("gap"), "feature")
+    best = (best if features is None else best.limit(features)).collect()
     vocabulary = [r["feature"] for r in best]
     telling = {i for i, r in enumerate(best) if r["toxic"] / sizes[1] > 10 * (r["clean"] + 1) / sizes[0] and r["feature"].endswith("$")}
 
@@ -194,14 +203,18 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 def grade_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """score() with a model fitted on the labelled documents, and whether each is rejected.
 
-    Null ids are scored but never fitted; repeated ids are scored each; without labels of both
-    classes nothing is rejected; an empty table gives no rows.
+    Null ids are scored but never fitted; repeated ids are scored each, and fitted each with the label of the
+    id, toxic if any of its labels is; without labels of both classes nothing is rejected; whole texts of
+    any length are scored; an empty table gives no rows; other columns are ignored.
     """
     return score(docs, fit(docs, labels, **options)).withColumn("rejected", F.col("p_toxic") >= REJECT_FROM)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs without the rejected ones, all columns as they are, in one pass after the fit."""
+    """docs without the rejected ones, all columns as they are, whatever their names, in one pass after the fit.
+
+    Null and empty texts stay; see grade_documents() for ids and labels.
+    """
     model = fit(docs, labels, text_col=text_col, **options)
     if not model:
         return docs

@@ -13,6 +13,11 @@ from .shared import checkpointed
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Suffixes of two labels below which names are registered; any other name's suffix is its last label.
+#: A parameter: common ones, to be replaced by a full public list where there is one.
+SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "co.kr", "co.in", "co.za",
+            "com.ar", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "blogspot.com", "github.io", "gitlab.io", "netlify.app")
+ADDRESS = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*)$"
 #: Posterior bound: mean - Z standard deviations of the host's beta posterior.
 Z, THRESHOLD = 1.645, 0.6
 
@@ -36,6 +41,17 @@ def rule_columns(rules: Sequence[tuple[str, str, str]]):
     return rule, verdict
 
 
+def hierarchy(host, suffixes: Sequence[str] = SUFFIXES):
+    """(domain, suffix) columns of a host: user-info, port and a last dot don't count; an address is a domain of its own below 'address'."""
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":[0-9]*$", "")
+    name = F.regexp_replace(name, r"\.$", "")
+    address = name.rlike(ADDRESS)
+    long = F.substring_index(name, ".", -2).isin(*suffixes)
+    labels = lambda n: F.substring_index(name, ".", -n)
+    return (F.when(address, name).when(long, labels(3)).otherwise(labels(2)),
+            F.when(address, "address").when(long, labels(2)).otherwise(labels(1)))
+
+
 def _level(stats: DataFrame, key: str, parent: str) -> tuple[DataFrame, float]:
     """Sums k of n by key, and the prior weight m of its parent by the method of moments."""
     own = stats.groupBy(key, parent).agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
@@ -51,14 +67,19 @@ def _level(stats: DataFrame, key: str, parent: str) -> tuple[DataFrame, float]:
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z,
-                threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+                threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url",
+                suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """A verdict for every url: the longest fitting rule's, else by the host's reputation.
 
     ``outcomes(page_id, good)`` holds labelled page outcomes (good 0 or 1, null: none). A host's
     rate of good pages has a beta posterior whose prior mean is its registered domain's shrunk
     rate, which is shrunk to the suffix's, and that to the overall rate; the weight of each prior
     comes from the spread between groups (method of moments for the beta-binomial). A host is
-    allowed if mean - z * sd >= threshold. Suffix: the last label; registered domain: the last two.
+    allowed if mean - z * sd >= threshold. Domain and suffix are hierarchy()'s.
+
+    A reputation is worth what its outcomes are. The query takes the label of the document of the same number,
+    as no table labels pages; nothing ties the two, so its bounds vary around the overall rate
+    and its verdicts on hosts without a rule say little.
 
     Result: page_id, host, path, rule, verdict, reputation (the bound, 6 digits). Null urls have
     empty host and path and are judged as the host ''. Repeated pages and ids are kept, each with
@@ -71,9 +92,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z
         F.sum(F.col("good").cast("bigint")).alias("k"), F.count("good").alias("n"))
     counted = urls.select("page_id", "host").join(seen, "page_id", "left").groupBy("host").agg(
         F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    hosts = checkpointed(counted.select(
-        "host", "k", "n", F.substring_index("host", ".", -2).alias("domain"),
-        F.substring_index("host", ".", -1).alias("suffix"), F.lit(0).alias("all")))
+    domain, suffix = hierarchy(F.col("host"), suffixes)
+    hosts = checkpointed(counted.select("host", "k", "n", domain.alias("domain"), suffix.alias("suffix"), F.lit(0).alias("all")))
     host, m_host = _level(hosts, "host", "domain")
     domain, m_domain = _level(hosts, "domain", "suffix")
     suffix, m_suffix = _level(hosts, "suffix", "all")

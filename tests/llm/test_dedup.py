@@ -216,15 +216,31 @@ def test_embeddings(spark, monkeypatch, tile):
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
 
-def test_bounds_hold():
+@pytest.mark.parametrize("dim", [48, 2500])
+def test_bounds_hold(dim):
     r = np.random.default_rng(4)
-    v = r.normal(size=(200, 48)) * 10.0 ** r.integers(-6, 6, size=(200, 1))
-    codes, scale, rest, norm = embed_dedup.quantise(v)
+    v = r.normal(size=(200, dim)) * 10.0 ** r.integers(-6, 6, size=(200, 1))
+    _, codes, scale, rest, norm = embed_dedup.quantise(v)
+    assert (embed_dedup.code_products(codes, codes) == (codes.astype(np.int64) @ codes.T.astype(np.int64))).all()
     approx = (codes * scale[:, None]) @ (codes * scale[:, None]).T
-    cos = (v @ v.T) / (norm[:, None] * norm)
+    cos = (v @ v.T) / np.sqrt(np.outer((v * v).sum(1), (v * v).sum(1)))
     assert (np.abs(cos - approx) <= rest[:, None] + rest + rest[:, None] * rest + 1e-12).all()
 
 
+def test_vectors_of_extreme_size(spark):
+    rows = [(0, [1e-170, 2e-170]), (1, [1.0, 2.0]), (2, [1e200, 2e200]), (3, [5e-324, 0.0]), (4, [1e308, 0.0]), (5, [-1.0, -2.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+
+
+def test_many_columns(spark):
+    """Beyond 1,040 columns a product of codes no longer fits a 32-bit float."""
+    r = np.random.default_rng(6)
+    base = r.normal(size=(20, 1500))
+    rows = [(i, (base[i % 20] + r.normal(size=1500) * r.choice([0.2, 0.3, 0.33])).tolist()) for i in range(60)]
+    check_vectors(rows, embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+
+
 def jaccard_groups(rows, size=5):
     """The least id of each row's group, by brute force over five-word shingle sets."""
     sets = []

@@ -84,6 +84,15 @@ def test_url_parts_and_rules(spark):
     assert url_filter.filter_urls(pages.limit(0), none).count() == 0
 
 
+def test_hierarchy(spark):
+    hosts = ["a.b.example.com", "example.com:8080", "user:pw@www.shop.co.uk:80", "co.uk", "x.github.io", "localhost", "", "10.0.0.1:99", "[::1]:80", "com.", "b:"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string")
+    domain, suffix = url_filter.hierarchy(F.col("h"))
+    got = {r.h: (r.d, r.s) for r in rows.select("h", domain.alias("d"), suffix.alias("s")).collect()}
+    assert [got[h] for h in hosts] == [("example.com", "com"), ("example.com", "com"), ("shop.co.uk", "co.uk"), ("co.uk", "co.uk"), ("x.github.io", "github.io"),
+                                       ("localhost", "localhost"), ("", ""), ("10.0.0.1", "address"), ("[::1]", "address"), ("com", "com"), ("b", "b")]
+
+
 def test_reputation_follows_labels(spark):
     rows, good = [], []
     for h in range(40):
@@ -146,6 +155,35 @@ def test_ordinal_thresholds_are_ordered():
     assert np.mean(np.array(hit) == grades) > 0.75
 
 
+def test_fit_finds_the_optimum():
+    """The penalised likelihood, written out plainly, falls in no direction from what fit() returns."""
+    r = np.random.default_rng(8)
+    x = r.random((300, 6)) * (r.random((300, 6)) < 0.6)
+    grades = np.digitize(x @ [2, -1, 0, 1.5, 0, 0.5] + r.logistic(size=300), [0.2, 1.5, 2.5])
+    rows, cols = np.nonzero(x)
+
+    def loss(weights, thresholds):
+        total = 0.0
+        for xi, g in zip(x, grades):
+            p = [0.0, *(1 / (1 + np.exp(-(t - weights @ xi))) for t in thresholds), 1.0]
+            total -= np.log(p[g + 1] - p[g])
+        return total / len(x) + 1e-3 * weights @ weights
+
+    m = toxicity.CumulativeLink.fit(rows, cols, x[rows, cols], grades, 6, 4, steps=2000, decay=2e-3)
+    best = loss(m.weights, m.thresholds)
+    for _ in range(40):
+        step = r.normal(size=9) * r.choice([0.01, 0.1])
+        assert loss(m.weights + step[:6], m.thresholds + step[6:]) > best - 1e-6
+
+
+def test_features_are_parameters(spark):
+    docs, labels = labelled()
+    df, seen = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    few, every = (toxicity.fit(df, seen, features=n, least_docs=k)[0] for n, k in ((5, 4), (None, 1)))
+    words = {f for _, t in docs for w in t.split() for f in toxicity.word_features(w.strip(","))}
+    assert len(few) == 5 and set(every) == words
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
     docs = spark.read.parquet(f"{sf}/documents.parquet")
