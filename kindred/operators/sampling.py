@@ -30,6 +30,17 @@ def random_sample(df: DataFrame, image: str, ident: str, count: int, seed: int =
     return df.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= count)
 
 
+def first_of(df: DataFrame, count: int, name: str, by: Sequence[str], *order: Column) -> DataFrame:
+    """The first ``count`` rows of each group, with their number from 1."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint")).where(F.col(name) <= count)
+
+
+def sample_ids(df: DataFrame, key: str, count: int, seed: int = 0) -> DataFrame:
+    """``count`` distinct keys, or all if there are fewer, first in a seeded order (md5 of 'seed:key') that a rerun repeats."""
+    mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(mixed, key).limit(count)
+
+
 def without_listed(df: DataFrame, listed: DataFrame, key: str, vec: str, listed_vec: str, within: float) -> DataFrame:
     """Rows with no listed vector at a squared L2 distance below ``within``, whatever the length of the list.
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.functions.bits import BLOCKS
+
+from .hamming_join import block_rows
 from .ordering import positions
 
 SKETCHES_PER_IMAGE = 256
@@ -15,6 +20,31 @@ def sketch_id(image_id, ordinal):
     return F.shiftleft(image_id.cast("bigint"), 8) + ordinal
 
 
+@dataclass(frozen=True)
+class Store:
+    """images(image_id, pid, fingerprint, siftnum), sketches(sketch_id, b0..b3) and free(image_id), the ids to use again.
+
+    Postings, the images of a pid and those of a fingerprint are views of these, so no change can leave them behind.
+    """
+    images: DataFrame
+    sketches: DataFrame
+    free: DataFrame
+    next_id: int
+
+    def postings(self) -> DataFrame:
+        """(block, block_key, sketch_id): the inverted lists."""
+        return block_rows(self.sketches).select("block", "block_key", "sketch_id")
+
+    def of_pid(self) -> DataFrame:
+        return self.images.select("pid", "image_id")
+
+    def of_fingerprint(self) -> DataFrame:
+        return self.images.select("fingerprint", "image_id")
+
+    def attributes(self) -> DataFrame:
+        return self.images.select("image_id", "pid", "fingerprint", "siftnum")
+
+
 def allocate_ids(requests: DataFrame, free: DataFrame, start: int, *order) -> DataFrame:
     """requests with ``image_id``: recycled ids of ``free(image_id)`` first, in order, then from ``start`` on."""
     asked = positions(requests, *order)
@@ -25,19 +55,41 @@ def allocate_ids(requests: DataFrame, free: DataFrame, start: int, *order) -> Da
         "recycled", F.col("position") - n_free + start).cast("bigint")).drop("recycled", "position")
 
 
-def insert(images: DataFrame, sketches: DataFrame, new_images: DataFrame, new_sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Appends; an image without a pid is refused with its sketches. Equal pids may be inserted again."""
-    good = new_images.where(F.coalesce(F.col("pid"), F.lit("")) != "")
-    return images.unionByName(good), sketches.unionByName(new_sketches.join(good.select("image_id"), "image_id", "left_semi"))
-
-
-def delete_by_pid(images: DataFrame, sketches: DataFrame, pids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(images, sketches, freed ids, reply per pid): all images of a pid go, with what belongs to them."""
-    gone = images.join(pids.select("pid").distinct(), "pid", "left_semi").select("image_id")
-    known = images.select("pid").distinct().withColumn("known", F.lit(True))
-    reply = pids.join(known, "pid", "left").select("pid", F.when(
-        F.col("known"), "REPLY_OK").otherwise("REPLY_INVALID_PID").alias("reply"))
-    return images.join(gone, "image_id", "left_anti"), sketches.join(gone, "image_id", "left_anti"), gone, reply
+def insert(store: Store, records: DataFrame, sketches: DataFrame) -> tuple[Store, DataFrame]:
+    """The store with records(request, pid, fingerprint) and their sketches(request, ord, b0..b3), and (request, image_id, reply).
+
+    A record without a pid is refused. The others get ids in the order of requests, recycled ones first;
+    equal pids may be inserted again. siftnum is the number of a record's sketches.
+    """
+    named = F.coalesce(F.col("pid"), F.lit("")) != ""
+    placed = allocate_ids(records.where(named), store.free, store.next_id, F.col("request"))
+    counted = sketches.groupBy("request").agg(F.count("*").alias("siftnum"))
+    images = placed.join(counted, "request", "left").select(
+        "image_id", "pid", "fingerprint", F.coalesce("siftnum", F.lit(0)).alias("siftnum"))
+    marks = sketches.join(placed.select("request", "image_id"), "request").select(sketch_id(F.col("image_id"), F.col("ord")).alias("sketch_id"), *BLOCKS)
+    replies = placed.select("request", "image_id", F.lit("REPLY_OK").alias("reply")).unionByName(records.where(~named).select(
+        "request", F.lit(None).cast("bigint").alias("image_id"), F.lit("REPLY_INVALID_PID").alias("reply")))
+    used = placed.count() - store.free.count()
+    return replace(store, images=store.images.unionByName(images), sketches=store.sketches.unionByName(marks),
+                   free=store.free.join(placed.select("image_id"), "image_id", "left_anti"), next_id=store.next_id + max(used, 0)), replies
+
+
+def delete_by_pid(store: Store, pids: DataFrame) -> tuple[Store, DataFrame]:
+    """The store without any image of ``pids(pid)``, whose ids are free again, and (pid, reply)."""
+    gone = store.images.join(pids.select("pid").distinct(), "pid", "left_semi").select("image_id")
+    known = store.images.select("pid").distinct().withColumn("known", F.lit(True))
+    replies = pids.join(known, "pid", "left").select("pid", F.when(F.col("known"), "REPLY_OK").otherwise("REPLY_INVALID_PID").alias("reply"))
+    of_image = F.shiftright("sketch_id", 8)
+    return replace(store, images=store.images.join(gone, "image_id", "left_anti"),
+                   sketches=store.sketches.join(gone, of_image == gone["image_id"], "left_anti"),
+                   free=store.free.unionByName(gone)), replies
+
+
+def existence(asked: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """asked with ``code``: 1 if held has the key, 0 if not, -1 if none is given."""
+    known = held.select(key).distinct().withColumn("_known", F.lit(1))
+    return asked.join(known, key, "left").withColumn(
+        "code", F.when(F.col(key).isNull(), -1).otherwise(F.coalesce("_known", F.lit(0)))).drop("_known")
 
 
 def upsert_attributes(images: DataFrame, changes: DataFrame, key: str = "image_id") -> DataFrame:

@@ -215,38 +215,124 @@ def resize_dims(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", w.alias("width"), h.alias("height"))
 
 
-# mutations: requests are the events, ids start at 1, ids of p_size = 1 parts are free again
-FREE = "fr AS (SELECT p_partkey AS image_id, row_number() OVER (ORDER BY p_partkey) - 1 AS position FROM part WHERE p_size <= 5)"
-ASK = f"a AS (SELECT event_id, user_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS position FROM events WHERE event_type = (SELECT min(event_type) FROM events)), {FREE}, m AS (SELECT count(*) AS n FROM fr)"
-
-
-def asked(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    kind = e.agg(F.min("event_type").alias("event_type"))
-    return e.join(F.broadcast(kind), "event_type", "left_semi").select("event_id", "user_id")  # kind is one row
+# mutations: requests are the events, ids of parts are free again
+FREE = "fr AS (SELECT p_partkey + 10000000 AS image_id, row_number() OVER (ORDER BY p_partkey) - 1 AS position FROM part), m AS (SELECT count(*) AS n FROM fr)"
+START = 20_000_001
 
 
 def free_ids(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_size <= 5").select(F.col("p_partkey").alias("image_id"))
+    return table(spark, sf_dir, "part").select((F.col("p_partkey") + 10_000_000).alias("image_id"))
 
 
-@query(f"WITH {ASK} SELECT event_id, user_id, coalesce(image_id, a.position - n + 1000001) AS image_id FROM a LEFT JOIN fr USING (position), m")
+@query(f"WITH a AS (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS position FROM events), {FREE} "
+       f"SELECT event_id, user_id, coalesce(image_id, a.position - n + {START}) AS image_id FROM a LEFT JOIN fr USING (position), m")
 def allocate_ids(spark, sf_dir):
-    return store.allocate_ids(asked(spark, sf_dir), free_ids(spark, sf_dir), 1_000_001, F.col("event_id"))
+    return store.allocate_ids(table(spark, sf_dir, "events").select("event_id", "user_id"), free_ids(spark, sf_dir), START, F.col("event_id"))
+
+
+def _word(seed, k):
+    return F.conv(F.substring(F.md5(seed), 4 * k + 1, 4), 16, 10).cast("bigint").alias(f"b{k}")
+
+
+_WORDS = ", ".join(f"('0x' || substr(md5(seed), {4 * k + 1}, 4))::BIGINT AS b{k}" for k in range(4))
+HELD = (f"{DOCS}, im AS (SELECT image_id, pid, fingerprint, image_id % 3 + 1 AS siftnum FROM d), "
+        f"sk AS (SELECT (image_id << 8) + ord AS sketch_id, {_WORDS} FROM (SELECT image_id, ord, fingerprint || ':' || ord AS seed FROM (SELECT image_id, fingerprint, unnest(range(siftnum)) AS ord FROM im))), {FREE}")
+
+
+def held_store(spark, sf_dir):
+    """documents as images, each with one to three sketches made from its fingerprint."""
+    images = docs(spark, sf_dir).select("image_id", "pid", "fingerprint", (F.col("image_id") % 3 + 1).alias("siftnum"))
+    marks = images.withColumn("ord", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("siftnum") - 1)))
+    seed = F.concat_ws(":", "fingerprint", F.col("ord").cast("string"))
+    marks = marks.select(store.sketch_id(F.col("image_id"), F.col("ord")).alias("sketch_id"), *[_word(seed, k) for k in range(4)])
+    return store.Store(images, marks, free_ids(spark, sf_dir), START)
+
+
+ADDED = (f"{HELD}, rq AS (SELECT event_id AS request, CASE WHEN user_id % 4 <> 0 THEN 'u' || user_id ELSE '' END AS pid, substr(md5(props), 1, 16) AS fingerprint FROM events), "
+         f"ok AS (SELECT *, row_number() OVER (ORDER BY request) - 1 AS position FROM rq WHERE pid <> ''), "
+         f"pl AS (SELECT request, pid, fingerprint, coalesce(image_id, ok.position - n + {START}) AS image_id FROM ok LEFT JOIN fr USING (position), m), "
+         f"ns AS (SELECT (image_id << 8) + ord AS sketch_id, {_WORDS} FROM (SELECT image_id, ord, request || '/' || ord AS seed FROM (SELECT image_id, request, unnest(range(2)) AS ord FROM pl)))")
+
+
+def _inserted(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    records = e.select(F.col("event_id").alias("request"), F.when(F.col("user_id") % 4 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).otherwise("").alias("pid"),
+                       F.substring(F.md5("props"), 1, 16).alias("fingerprint"))
+    marks = records.select("request", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("ord"))
+    seed = F.concat_ws("/", F.col("request").cast("string"), F.col("ord").cast("string"))
+    return store.insert(held_store(spark, sf_dir), records, marks.select("request", "ord", *[_word(seed, k) for k in range(4)]))
 
 
-@query(f"WITH {ASK}, {DOCS} SELECT image_id, pid FROM d UNION ALL SELECT coalesce(image_id, a.position - n + 1000001) + 10000000, 'u' || user_id FROM a LEFT JOIN fr USING (position), m WHERE user_id % 4 <> 0")
+@query(f"WITH {ADDED} SELECT image_id, pid, fingerprint, siftnum FROM im UNION ALL SELECT image_id, pid, fingerprint, 2 FROM pl")
 def insert_images(spark, sf_dir):
-    new = sampling.rebase(allocate_ids(spark, sf_dir), "image_id", 10_000_000)
-    new = new.select("image_id", F.when(F.col("user_id") % 4 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("pid"))
-    held = docs(spark, sf_dir).select("image_id", "pid")
-    return store.insert(held, held.select("image_id"), new, new.select("image_id"))[0]
+    return _inserted(spark, sf_dir)[0].attributes()
 
 
-@query(f"WITH {DOCS} SELECT image_id, pid FROM d WHERE pid NOT LIKE 'src2/%'")
+@query(f"WITH {ADDED}, al AS (SELECT * FROM sk UNION ALL SELECT * FROM ns) SELECT unnest([0, 1, 2, 3])::INT AS block, unnest([b0, b1, b2, b3]) AS block_key, sketch_id FROM al")
+def insert_postings(spark, sf_dir):
+    return _inserted(spark, sf_dir)[0].postings()
+
+
+@query(f"WITH {ADDED} SELECT fingerprint, image_id FROM im UNION ALL SELECT fingerprint, image_id FROM pl")
+def insert_fingerprints(spark, sf_dir):
+    return _inserted(spark, sf_dir)[0].of_fingerprint()
+
+
+@query(f"WITH {ADDED} SELECT image_id FROM fr WHERE image_id NOT IN (SELECT image_id FROM pl)")
+def insert_free_ids(spark, sf_dir):
+    return _inserted(spark, sf_dir)[0].free
+
+
+@query(f"WITH {ADDED} SELECT request, image_id, 'REPLY_OK' AS reply FROM pl UNION ALL SELECT request, NULL, 'REPLY_INVALID_PID' FROM rq WHERE pid = ''")
+def insert_replies(spark, sf_dir):
+    return _inserted(spark, sf_dir)[1]
+
+
+GONE = f"{HELD}, go AS (SELECT image_id FROM im WHERE pid LIKE 'src2/%')"
+
+
+def _deleted(spark, sf_dir):
+    held = held_store(spark, sf_dir)
+    asked = held.images.where(F.col("pid").startswith("src2/")).select("pid").distinct()
+    return store.delete_by_pid(held, asked.unionByName(spark.createDataFrame([("no such pid",)], "pid string")))
+
+
+@query(f"WITH {GONE} SELECT image_id, pid, fingerprint, siftnum FROM im WHERE pid NOT LIKE 'src2/%'")
 def delete_by_pid(spark, sf_dir):
-    d = docs(spark, sf_dir).select("image_id", "pid")
-    return store.delete_by_pid(d, d.select("image_id"), d.where(F.col("pid").startswith("src2/")).select("pid").distinct())[0]
+    return _deleted(spark, sf_dir)[0].attributes()
+
+
+@query(f"WITH {GONE}, le AS (SELECT * FROM sk WHERE sketch_id >> 8 NOT IN (SELECT image_id FROM go)) SELECT unnest([0, 1, 2, 3])::INT AS block, unnest([b0, b1, b2, b3]) AS block_key, sketch_id FROM le")
+def delete_postings(spark, sf_dir):
+    return _deleted(spark, sf_dir)[0].postings()
+
+
+@query(f"WITH {GONE} SELECT fingerprint, image_id FROM im WHERE pid NOT LIKE 'src2/%'")
+def delete_fingerprints(spark, sf_dir):
+    return _deleted(spark, sf_dir)[0].of_fingerprint()
+
+
+@query(f"WITH {GONE} SELECT image_id FROM fr UNION ALL SELECT image_id FROM go")
+def delete_free_ids(spark, sf_dir):
+    return _deleted(spark, sf_dir)[0].free
+
+
+@query(f"WITH {GONE} SELECT DISTINCT pid, 'REPLY_OK' AS reply FROM im WHERE pid LIKE 'src2/%' UNION ALL SELECT 'no such pid', 'REPLY_INVALID_PID'")
+def delete_replies(spark, sf_dir):
+    return _deleted(spark, sf_dir)[1]
+
+
+@query(f"WITH {DOCS}, a AS (SELECT doc_id AS k FROM labels UNION ALL SELECT -1 UNION ALL SELECT NULL) SELECT k AS image_id, CASE WHEN k IS NULL THEN -1 WHEN k IN (SELECT image_id FROM d) THEN 1 ELSE 0 END::INT AS code FROM a")
+def exists_image(spark, sf_dir):
+    asked = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("image_id")).unionByName(spark.createDataFrame([(-1,), (None,)], "image_id bigint"))
+    return store.existence(asked, docs(spark, sf_dir), "image_id")
+
+
+@query(f"WITH {DOCS}, a AS (SELECT DISTINCT lang || '/' || source AS k FROM documents UNION ALL SELECT DISTINCT source || '/' || lang FROM documents) SELECT k AS pid, CASE WHEN k IS NULL THEN -1 WHEN k IN (SELECT pid FROM d) THEN 1 ELSE 0 END::INT AS code FROM a")
+def exists_pid(spark, sf_dir):
+    t = table(spark, sf_dir, "documents")
+    name = lambda *c: t.select(F.concat(F.col(c[0]), F.lit("/"), F.col(c[1])).alias("pid")).distinct()
+    return store.existence(name("lang", "source").unionByName(name("source", "lang")), docs(spark, sf_dir), "pid")
 
 
 @query(f"WITH {DOCS} SELECT image_id, 1::BIGINT AS generation FROM d WHERE image_id % 2 = 0")
@@ -282,5 +368,62 @@ def stream_windows(spark, sf_dir):
 
 @query("SELECT DISTINCT user_id FROM events")
 def stream_first_seen(spark, sf_dir):
-    first = requests.first_seen(_events(spark, sf_dir), "user_id", "ts", "3650 days")
+    """The first row of each user within a day's watermark; the one file is one micro-batch, so that is each user once."""
+    first = requests.first_seen(_events(spark, sf_dir), "user_id", "ts", "1 day")
     return requests.drain(first.select("user_id"), "first_" + uuid.uuid4().hex)
+
+
+@query(f"WITH c AS (SELECT event_id, {COMMAND} AS c FROM events) SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 7 = 0 THEN c ELSE c END AS command, event_id % 5 <> 0 AND event_id % 7 <> 0 AS complete FROM c")
+def framed_commands(spark, sf_dir):
+    """Messages with their length in front, some without a number there, some cut short."""
+    c = commands(table(spark, sf_dir, "events")).select("event_id", "command")
+    size = F.octet_length("command")
+    head = F.when(F.col("event_id") % 5 == 0, F.lit("not digits")).otherwise(F.lpad(F.when(F.col("event_id") % 7 == 0, size + 1).otherwise(size).cast("string"), 10, "0"))
+    sent = c.select("event_id", F.concat(head, "command", F.when(F.col("event_id") % 7 == 0, "").otherwise("beyond")).alias("message"))
+    return requests.framed(sent).select("event_id", "command", "complete")
+
+
+@query("WITH c AS (SELECT event_id, CASE event_id % 97 WHEN 3 THEN 'setimgpath /img' || user_id WHEN 5 THEN 'setindexserv host' || user_id WHEN 7 THEN 'help' WHEN 11 THEN 'info' END AS c FROM events WHERE event_id % 97 IN (3, 5, 7, 11)), "
+       "g AS (SELECT event_id, substr(string_split(c, ' ')[1], 4) AS key, string_split(c, ' ')[2] AS value FROM c WHERE c LIKE 'set%') SELECT key, arg_max(value, event_id) AS value FROM g GROUP BY key")
+def admin_commands(spark, sf_dir):
+    at, user = F.col("event_id") % 97, F.col("user_id").cast("string")
+    c = table(spark, sf_dir, "events").select("event_id", F.when(at == 3, F.concat(F.lit("setimgpath /img"), user)).when(at == 5, F.concat(F.lit("setindexserv host"), user)).when(
+        at == 7, "help").when(at == 11, "info").alias("command")).where("command IS NOT NULL")
+    return requests.admin_settings(c, "event_id")
+
+
+@query("SELECT event_type, count(*) AS rows, count(DISTINCT user_id) AS keys FROM events GROUP BY event_type")
+def index_cardinality(spark, sf_dir):
+    return requests.cardinalities(table(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+@query("SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY event_id)) AS micros FROM events QUALIFY micros IS NOT NULL".replace("SELECT event_id, ", "SELECT event_id, (").replace(" AS micros FROM", ") / 1e6::DOUBLE AS elapsed FROM").replace("QUALIFY micros", "QUALIFY elapsed"))
+def request_elapsed(spark, sf_dir):
+    """Seconds from each request to the next one by id."""
+    e = ordering.positions(table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ended")), F.col("event_id"))
+    before = e.select((F.col("position") + 1).alias("position"), F.col("ended").alias("began"))
+    return requests.with_elapsed(e.join(before, "position"), "began", "ended").select("event_id", "elapsed")
+
+
+@query("WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS frame FROM conversations) SELECT conv_id, turn, role, frame FROM r WHERE frame <= 10")
+def first_frames(spark, sf_dir):
+    """A conversation's turns as frames; a search looks at ten of them."""
+    return sampling.first_of(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), 10, "frame", ["conv_id"], F.col("turn"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 50")
+def first_points(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").limit(50)
+
+
+@query("SELECT p_brand, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total FROM part GROUP BY p_brand".replace("sum(count(*)) OVER ()::BIGINT", "(sum(count(*)) OVER ())::BIGINT"))
+def bin_total(spark, sf_dir):
+    """Bins of brands, and the total of their counts."""
+    bins = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    return bins.join(F.broadcast(bins.agg(F.sum("n").alias("total"))), F.lit(True))  # one row
+
+
+@query("WITH i AS (SELECT DISTINCT o_custkey AS id FROM orders) SELECT id FROM i ORDER BY md5('11:' || id), id LIMIT 100")
+def sample_queries(spark, sf_dir):
+    """A hundred distinct ids, drawn evenly by a seeded order."""
+    return sampling.sample_ids(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), "id", 100, 11)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kindred.functions import bits
 from kindred.functions.bits import BLOCKS, hex_sketch, pack_bits, sign_bits
-from kindred.operators import ordering, search, store
+from kindred.operators import ordering, search, sorted_index, store
 from kindred.operators.hamming_join import block_rows, hamming_join
 from kindred.operators.sampling import greedy_dedup
 from kindred.operators.text_sketch import word_sketches
@@ -71,7 +73,14 @@ def scan_points(spark, sf_dir):
 
 @query("WITH " + PLANTED + " SELECT image_id AS key, ord, b0 FROM pl WHERE b0 BETWEEN 16384 AND 32767")
 def range_scan(spark, sf_dir):
-    return planted(spark, sf_dir).where(F.col("b0").between(16384, 32767)).select(F.col("image_id").alias("key"), "ord", "b0")
+    """A key range of the sorted index on disk: the filter reaches the scan, which skips other files and row groups."""
+    return sorted_index.between(spark, _saved(spark, sf_dir, ["b0"]), "b0", 16384, 32767).select(F.col("image_id").alias("key"), "ord", "b0")
+
+
+def _saved(spark, sf_dir, blocks=BLOCKS):
+    path = f"{ordering.shared_folder(spark)}/sorted-{uuid.uuid4().hex}"
+    sorted_index.save(planted(spark, sf_dir), path, blocks)
+    return path
 
 
 @query("WITH " + PLANTED + " SELECT format('{:04x}{:04x}{:04x}{:04x}', b0, b1, b2, b3) AS sketch, image_id AS key FROM pl")
@@ -95,8 +104,9 @@ def hamming_join_t7(spark, sf_dir):
 
 @query("WITH " + HITS.format(t=3) + " SELECT DISTINCT query_id, q_ord, image_id FROM hit")
 def sorted_block_search(spark, sf_dir):
-    """The offline search: distinct image keys of each query sketch within 3 bits."""
-    return _hit_columns(hits(spark, sf_dir, 3)).select("query_id", "q_ord", "image_id").distinct()
+    """The offline search: distinct image keys of each query sketch within 3 bits, from the sorted index on disk."""
+    found = sorted_index.search(sketches(spark, sf_dir).drop("vec_id"), _saved(spark, sf_dir), 3)
+    return _hit_columns(found).select("query_id", "q_ord", "image_id").distinct()
 
 
 @query("WITH " + HITS.format(t=7) + " SELECT query_id, image_id, count(*) AS votes FROM hit GROUP BY ALL")

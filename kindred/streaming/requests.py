@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from kindred.operators.ordering import shared_folder
+
 COMMAND_BYTES, URL_BYTES, RECORD_SKETCHES = 512, 400, 200
 
 
@@ -63,7 +65,64 @@ def route(stream: DataFrame, handlers: dict[str, Callable[[DataFrame], None]], c
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a bounded stream to its end into the memory table ``name``; for reports and tests."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a bounded stream to its end and gives what it has put out, for reports and tests.
+
+    In append mode results go to Parquet files; in complete mode each micro-batch's whole result replaces the one
+    before. Both, and the stream's state, lie in the session's shared folder below ``name``, so nothing
+    passes through the driver and a lost executor costs no more than its micro-batch.
+    """
+    spark = stream.sparkSession
+    at = f"{shared_folder(spark)}/{name}"
+    out = stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).outputMode(mode)
+    if mode == "append":
+        out.format("parquet").start(f"{at}/out").awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    last = []
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out-{number}")
+        last[:] = [f"{at}/out-{number}"]
+
+    out.foreachBatch(replace).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(*last) if last else spark.createDataFrame([], stream.schema)
+
+
+# replies and admin commands of the servers, over the same rows
+def framed(df: DataFrame, text: str = "message") -> DataFrame:
+    """command and ``complete`` from messages of ten digits of length and then so many bytes.
+
+    A message whose head is no number, or that ends early, is not complete; bytes beyond the length are left out.
+    """
+    head = F.substring(text, 1, 10)
+    size = F.when(head.rlike("^[0-9]{10}$"), head.cast("bigint"))
+    body = F.substring(F.encode(F.col(text), "UTF-8"), 11, 2**31 - 1)
+    return df.withColumn("command", F.decode(F.substring(body, F.lit(1), F.coalesce(size, F.lit(0)).cast("int")), "UTF-8")).withColumn(
+        "complete", F.coalesce((F.octet_length(body) >= size) & (size < COMMAND_BYTES), F.lit(False)))
+
+
+#: Admin commands take no url: help, info and reset none at all, the others a value.
+ADMIN = {"help": 0, "info": 0, "reset": 0, "setimgpath": 1, "setindexserv": 1}
+
+
+def admin_settings(commands: DataFrame, order: str, text: str = "command") -> DataFrame:
+    """(key, value): the last value given to each setting, in ``order``, since the last reset."""
+    t = F.split(F.trim(F.col(text)), r"\s+")
+    op = F.get(t, F.lit(0))
+    rows = commands.select(F.col(order).alias("at"), op.alias("op"), F.get(t, F.lit(1)).alias("value"))
+    reset = rows.where("op = 'reset'").agg(F.max("at").alias("reset"))
+    given = rows.where(op_takes_value()).where("value IS NOT NULL").join(F.broadcast(reset), F.lit(True)).where("reset IS NULL OR at > reset")  # one row
+    return given.groupBy(F.substring("op", 4, 100).alias("key")).agg(F.max_by("value", "at").alias("value"))
+
+
+def op_takes_value():
+    return F.col("op").isin(*[name for name, values in ADMIN.items() if values])
+
+
+def cardinalities(df: DataFrame, key: str, *by: str) -> DataFrame:
+    """(by, rows, keys): entries and distinct keys of each index generation."""
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.countDistinct(key).alias("keys"))
+
+
+def with_elapsed(log: DataFrame, began: str, ended: str) -> DataFrame:
+    """log with ``elapsed``, the seconds between two timestamps, to the microsecond."""
+    return log.withColumn("elapsed", (F.unix_micros(ended) - F.unix_micros(began)) / 1e6)

@@ -114,17 +114,35 @@ def test_blacklist_of_any_length(spark, monkeypatch, listed):
 
 
 def test_store(spark):
-    held = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "image_id long, pid string")
-    marks = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "image_id long, ord int")
-    left, marks_left, freed, reply = store.delete_by_pid(held, marks, spark.createDataFrame([("a",), ("z",)], "pid string"))
-    assert [r.image_id for r in left.collect()] == [2] == [r.image_id for r in marks_left.collect()]
+    images = spark.createDataFrame([(1, "a", "f", 1), (2, "b", "f", 0), (3, "a", "g", 1)], "image_id long, pid string, fingerprint string, siftnum long")
+    marks = spark.createDataFrame([(256, 1, 2, 3, 4), (768, 5, 6, 7, 8)], "sketch_id long, b0 long, b1 long, b2 long, b3 long")
+    held = store.Store(images, marks, spark.createDataFrame([], "image_id long"), 4)
+    left, reply = store.delete_by_pid(held, spark.createDataFrame([("a",), ("z",)], "pid string"))
+    assert [r.image_id for r in left.images.collect()] == [2] and left.sketches.count() == 0 == left.postings().count()
     assert {(r.pid, r.reply) for r in reply.collect()} == {("a", "REPLY_OK"), ("z", "REPLY_INVALID_PID")}
-    new = store.allocate_ids(spark.createDataFrame([("x",), ("y",), ("z",)], "pid string"), freed, 4, F.col("pid"))
-    assert sorted((r.pid, r.image_id) for r in new.collect()) == [("x", 1), ("y", 3), ("z", 4)]
+    records = spark.createDataFrame([(1, "x", "h"), (2, "", "h"), (3, "y", "h"), (4, "z", None), (5, None, "h")], "request long, pid string, fingerprint string")
+    new = spark.createDataFrame([(1, 0, 9, 9, 9, 9), (1, 1, 8, 8, 8, 8), (2, 0, 7, 7, 7, 7)], "request long, ord long, b0 long, b1 long, b2 long, b3 long")
+    full, reply = store.insert(left, records, new)
+    assert sorted((r.request, r.image_id, r.reply) for r in reply.collect() if r.image_id) == [(1, 1, "REPLY_OK"), (3, 3, "REPLY_OK"), (4, 4, "REPLY_OK")]
+    assert {r.request for r in reply.collect() if r.reply == "REPLY_INVALID_PID"} == {2, 5}
+    assert sorted((r.image_id, r.pid, r.siftnum) for r in full.images.collect()) == [(1, "x", 2), (2, "b", 0), (3, "y", 0), (4, "z", 0)]
+    assert sorted(r.sketch_id for r in full.sketches.collect()) == [256, 257] and full.postings().count() == 8
+    assert full.free.count() == 0 and full.next_id == 5
     settings = store.settings_put(spark.createDataFrame([("k", "1")], "key string, value string"), "k", "2")
     assert [tuple(r) for r in settings.collect()] == [("k", "2")]
 
 
+def test_sorted_index_reads_only_its_range(spark, tmp_path):
+    from kindred.operators import sorted_index
+    rows, df = sketches(spark, 60)
+    sorted_index.save(df, str(tmp_path / "i"))
+    part = sorted_index.between(spark, str(tmp_path / "i"), "b1", 100, 20000)
+    assert "PushedFilters: [IsNotNull(b1), GreaterThanOrEqual(b1,100), LessThanOrEqual(b1,20000)]" in part._jdf.queryExecution().toString()
+    assert sorted(r.id for r in part.collect()) == sorted(r[0] for r in rows if 100 <= r[2] <= 20000)
+    found = [(r.q_id, r.id) for r in sorted_index.search(df, str(tmp_path / "i"), 3).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute(rows, 3)
+
+
 def test_statistics_of_one_value(spark):
     r = dedup.statistics(spark.createDataFrame([(2.0,)], "v double"), "v").first()
     assert (r.n, r.deviation) == (1, 0.0)
