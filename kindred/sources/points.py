@@ -6,8 +6,12 @@ reads will do, and parsed in Arrow batches.
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Callable, Iterable
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,17 +120,232 @@ def write_neighbours(ranked: DataFrame, path: str) -> None:
     lists.select(F.concat_ws("\t", F.col("q_id").cast("string"), F.col("k").cast("string"), F.concat_ws("\t", "l.p"))).write.text(path)
 
 
+def read_raw_records(spark: SparkSession, path: str, width: int = 128) -> DataFrame:
+    """(url, ord, desc): length and bytes of the url, then count and descriptors of ``width`` 32-bit floats, one row each.
+
+    A url without descriptors gives none; a cut last record is left out.
+    """
+    def parse(content):
+        urls, ords, rows, at = [], [], [], 0
+        while at + 8 <= len(content):
+            n = int.from_bytes(content[at:at + 8], "little")
+            url, at = content[at + 8:at + 8 + n], at + 8 + n
+            k = int.from_bytes(content[at:at + 8], "little")
+            at += 8
+            if at + 4 * k * width > len(content):
+                break
+            urls += [url.decode("utf-8", "replace")] * k
+            ords += range(k)
+            rows += np.frombuffer(content, "<f4", k * width, at).reshape(k, width).tolist()
+            at += 4 * k * width
+        return [pa.array(urls, pa.string()), pa.array(ords, pa.int32()), pa.array(rows, pa.list_(pa.float32()))]
+
+    return _parse(spark, path, "url string, ord int, desc array<float>", ["url", "ord", "desc"], parse)
+
+
+def read_descriptors(spark: SparkSession, path: str, width: int = 128) -> DataFrame:
+    """(vec): rows of ``width`` 32-bit floats without a head, as blacklists are kept."""
+    def parse(content):
+        x = np.frombuffer(content[:len(content) // (4 * width) * 4 * width], "<f4").reshape(-1, width)
+        return [pa.array(x.tolist(), pa.list_(pa.float32()))]
+    return _parse(spark, path, "vec array<float>", ["vec"], parse)
+
+
+def peek_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(path, element_size, rows, columns) from the heads of matrix files."""
+    def run(batches):
+        for b in batches:
+            heads = [np.frombuffer(h, "<u4").tolist() for h in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([h[k] for h in heads], pa.int64()) for k in range(3))], names=["path", "element_size", "rows", "columns"])
+    return files(spark, path).select("path", F.substring("content", 1, 12)).mapInArrow(run, "path string, element_size bigint, rows bigint, columns bigint")
+
+
+# binary writers: a file per partition
+def _local(path: str) -> str:
+    return path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def write_binary(df: DataFrame, path: str, pack: Callable[[pa.RecordBatch], Iterable[bytes]]) -> DataFrame:
+    """Writes ``pack``'s bytes of each partition to path/part-<number> on any store that Arrow's filesystems reach.
+
+    An attempt writes under a name of its own and then takes the partition's name, so a task that runs again
+    replaces its file whole. Gives (file, bytes) of the files written; empty partitions leave none.
+    """
+    where = _local(path)
+
+    def run(batches):
+        from pyarrow import fs
+        task, out, n = TaskContext.get(), None, 0
+        store, base = fs.FileSystem.from_uri(where)
+        name, own = f"{base}/part-{task.partitionId():05d}", f"{base}/_attempt-{task.taskAttemptId()}"
+        for b in batches:
+            for data in pack(b):
+                if out is None:
+                    store.create_dir(base, recursive=True)
+                    out = store.open_output_stream(own)
+                out.write(data)
+                n += len(data)
+        if out is not None:
+            out.close()
+            store.move(own, name)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], names=["file", "bytes"])
+
+    done = df.mapInArrow(run, "file string, bytes bigint").collect()  # a row per partition
+    return df.sparkSession.createDataFrame([tuple(r) for r in done], "file string, bytes bigint")
+
+
 def pack_points(points: DataFrame, sketch: str = "sketch", key: str = "key", by: int = 0) -> DataFrame:
     """20-byte rows, keys moved by ``by``, one binary per task and batch, for export."""
     def run(batches):
         for b in batches:
-            rows = np.zeros(b.num_rows, POINT)
-            rows["sketch"] = b.column(0).to_pylist()
-            rows["key"] = b.column(1).to_numpy() + by
-            yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], names=["rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([_point_rows(b, by)], pa.binary())], names=["rows"])
     return points.select(sketch, F.col(key).cast("bigint")).mapInArrow(run, "rows binary")
 
 
+def _point_rows(b: pa.RecordBatch, by: int) -> bytes:
+    rows = np.zeros((b.num_rows, 20), np.uint8)
+    rows[:, :16] = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, 16)
+    rows[:, 16:] = (b.column(1).to_numpy() + by).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return rows.tobytes()
+
+
+def write_points(points: DataFrame, path: str, by: int = 0) -> DataFrame:
+    """Files of points(sketch, key), keys moved by ``by``."""
+    return write_binary(points.select("sketch", F.col("key").cast("bigint")), path, lambda b: [_point_rows(b, by)] if b.num_rows else [])
+
+
+def _sized(data: bytes, kind: str) -> bytes:
+    return struct.pack(kind, len(data)) + data
+
+
+def write_records(records: DataFrame, path: str) -> DataFrame:
+    """Files of records(pid, items), items of equal width."""
+    def pack(b):
+        for pid, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            yield _sized((pid or "").encode(), "<Q") + struct.pack("<Q", len(items or ())) + b"".join(items or ())
+    return write_binary(records.select("pid", "items"), path, pack)
+
+
+def write_raw_records(records: DataFrame, path: str) -> DataFrame:
+    """Files of records(url, descs), descs an array of arrays of 32-bit floats."""
+    def pack(b):
+        for url, descs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            yield _sized((url or "").encode(), "<Q") + struct.pack("<Q", len(descs or ())) + np.array(descs or (), "<f4").tobytes()
+    return write_binary(records.select("url", "descs"), path, pack)
+
+
+def write_key_pids(pairs: DataFrame, path: str, by: int = 0) -> DataFrame:
+    """Files of pairs(key, pid), keys moved by ``by``."""
+    def pack(b):
+        for key, pid in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            yield struct.pack("<I", key + by) + _sized((pid or "").encode(), "<i")
+    return write_binary(pairs.select(F.col("key").cast("bigint"), "pid"), path, pack)
+
+
+def write_bins(bins: DataFrame, path: str) -> DataFrame:
+    def pack(b):
+        if b.num_rows:
+            yield np.column_stack([b.column(k).to_numpy() for k in range(2)]).astype("<u4").tobytes()
+    return write_binary(bins.select(F.col("key").cast("bigint"), F.col("count").cast("bigint")), path, pack)
+
+
+def write_matrix(vectors: DataFrame, path: str) -> DataFrame:
+    """Matrix files of vectors(vec), one of at most a batch's rows per partition and batch: each with its own head."""
+    def pack(b):
+        if b.num_rows:
+            x = np.array(b.column(0).to_pylist(), "<f4")
+            yield struct.pack("<3I", 4, *x.shape) + x.tobytes()
+    return write_binary(vectors.select("vec").coalesce(1), path, pack)
+
+
+def lines(df: DataFrame, *columns: str) -> DataFrame:
+    """(line): columns joined by tabs, as bins, id pairs, manifests and counts are printed."""
+    return df.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]).alias("line"))
+
+
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """key, sketch count, unsigned fingerprint and path of each image."""
+    rows.select("key", "num", "fingerprint", "url").write.csv(path, sep="\t")
+
+
+def write_index_conf(conf: DataFrame, path: str) -> None:
+    """min_key, max_key and n on one line."""
+    lines(conf, "min_key", "max_key", "n").coalesce(1).write.text(path)
+
+
+def write_text_log(log: DataFrame, path: str, ts: str, message: str) -> None:
+    """Lines of time and message, appended."""
+    log.select(F.concat_ws("\t", F.date_format(ts, "EEE MMM dd HH:mm:ss yyyy"), message)).write.mode("append").text(path)
+
+
+def write_by_fingerprint(images: DataFrame, path: str) -> None:
+    """Images in one folder per fingerprint; nothing is copied by a shell."""
+    images.write.partitionBy("fingerprint").mode("overwrite").parquet(path)
+
+
+# records as they go over the wire
+PASS, URL_BYTES, RECORD_SKETCHES = b"record", 400, 200
+
+
+def pack_wire(records: DataFrame) -> DataFrame:
+    """(wire): the word 'record', fingerprint, url and sketches with their lengths, of records(fingerprint, url, items)."""
+    def run(batches):
+        for b in batches:
+            out = [PASS + struct.pack("<Q", (f or 0) % 2**64) + _sized((u or "").encode(), "<I") + struct.pack("<I", len(i or ())) + b"".join(i or ())
+                   for f, u, i in zip(*(b.column(k).to_pylist() for k in range(3)))]
+            yield pa.RecordBatch.from_arrays([*b.columns[3:], pa.array(out, pa.binary())], names=[*b.schema.names[3:], "wire"])
+    rest = [c for c in records.columns if c not in ("fingerprint", "url", "items")]
+    schema = "".join(f"`{c}` {records.schema[c].dataType.simpleString()}, " for c in rest) + "wire binary"
+    return records.select("fingerprint", "url", "items", *rest).mapInArrow(run, schema)
+
+
+def _parse_wire(data: bytes | None, width: int = 16):
+    if not data or data[:6] != PASS or len(data) < 18:
+        return None
+    fingerprint, n = struct.unpack_from("<QI", data, 6)
+    if n > URL_BYTES or len(data) < 22 + n:
+        return None
+    k, = struct.unpack_from("<I", data, 18 + n)
+    if k > RECORD_SKETCHES or len(data) < 22 + n + k * width:
+        return None
+    at = 22 + n
+    signed = fingerprint - 2**64 if fingerprint >> 63 else fingerprint
+    return signed, data[18:18 + n].decode("utf-8", "replace"), [data[at + i * width:at + (i + 1) * width] for i in range(k)]
+
+
+def parse_wire(rows: DataFrame, wire: str = "wire") -> DataFrame:
+    """rows with valid, fingerprint (as a signed long), url and items; a bad word, length or end makes a record invalid.
+
+    A url may have 400 bytes and a record 200 sketches.
+    """
+    rest = [c for c in rows.columns if c != wire]
+
+    def run(batches):
+        for b in batches:
+            got = [_parse_wire(w) for w in b.column(len(rest)).to_pylist()]
+            part = lambda k: [g and g[k] for g in got]  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(rest)], pa.array([g is not None for g in got]), pa.array(part(0), pa.int64()), pa.array(part(1), pa.string()),
+                                              pa.array(part(2), pa.list_(pa.binary()))], names=[*rest, "valid", "fingerprint", "url", "items"])
+    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in rest) + "valid boolean, fingerprint bigint, url string, items array<binary>"
+    return rows.select(*rest, wire).mapInArrow(run, schema)
+
+
+def short_number(x):
+    """A number between 0 and 1 with six significant digits and no zeros at the end, as C++ streams print it."""
+    digits = F.when(x >= 0.1, F.format_string("%.6f", x)).when(x >= 0.01, F.format_string("%.7f", x)).otherwise(F.format_string("%.8f", x))
+    return F.regexp_replace(F.regexp_replace(digits, "0+$", ""), r"\.$", "")
+
+
+def wire_replies(queries: DataFrame, ranked: DataFrame, code: int = 0) -> DataFrame:
+    """(query_id, wire): 32 bits of the reply code, 32 bits of length, then lines of pid, tab and score by rank."""
+    one = F.concat_ws("\t", "pid", short_number(F.col("score")))
+    lists = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", one.alias("l")))).alias("h"))
+    text = F.concat_ws("", F.transform(F.coalesce("h.l", F.array().cast("array<string>")), lambda x: F.concat(x, F.lit("\n"))))
+    word = lambda n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(n), 8, "0"), k, 2) for k in (7, 5, 3, 1)]))
+    return queries.join(lists, "query_id", "left").select("query_id", text.alias("t")).select(
+        "query_id", F.concat(word(F.lit(code)), word(F.octet_length("t")), F.encode("t", "UTF-8")).alias("wire"))
+
+
 def write_log(log: DataFrame, path: str) -> None:
     """The request log, by date, operation and outcome."""
     log.write.partitionBy("date", "op", "outcome").mode("append").parquet(path)

@@ -105,3 +105,44 @@ def test_commands(spark):
 def test_log(spark, tmp_path):
     points.write_log(spark.createDataFrame([("2024-01-01", "query", "ok", 1)], "date string, op string, outcome string, n int"), str(tmp_path / "log"))
     assert (tmp_path / "log" / "date=2024-01-01" / "op=query" / "outcome=ok").is_dir()
+
+
+def test_records_over_the_wire(spark):
+    rows = [(2**63, "http://a", [b"1" * 16, b"2" * 16]), (0, "", []), (5, "u" * 400, [b"x" * 16] * 200), (6, "u" * 401, []), (7, "v", [b"x" * 16] * 201)]
+    sent = points.pack_wire(spark.createDataFrame([(i, f - 2**64 if f >> 63 else f, u, x) for i, (f, u, x) in enumerate(rows)], "i int, fingerprint long, url string, items array<binary>"))
+    wire = {r.i: bytes(r.wire) for r in sent.collect()}
+    assert wire[0] == b"record" + struct.pack("<QI", 2**63, 8) + b"http://a" + struct.pack("<I", 2) + b"1" * 16 + b"2" * 16
+    cut = spark.createDataFrame([(9, wire[0][:-1]), (10, b"rekord" + wire[0][6:]), (11, b""), (12, None), (13, wire[0][:20])], "i int, wire binary")
+    got = {r.i: r for r in points.parse_wire(sent.unionByName(cut)).collect()}
+    assert [i for i in sorted(got) if got[i].valid] == [0, 1, 2]
+    assert (got[0].fingerprint, got[0].url, [bytes(x) for x in got[0]["items"]]) == (-(2**63), "http://a", [b"1" * 16, b"2" * 16])
+
+
+def test_binary_replies(spark):
+    ranked = spark.createDataFrame([(1, "a", 1.0, 1), (1, "b", 2 / 3, 2), (1, "c", 0.0625, 3)], "query_id long, pid string, score double, rank long")
+    asked = spark.createDataFrame([(1,), (2,)], "query_id long")
+    got = {r.query_id: bytes(r.wire) for r in points.wire_replies(asked, ranked, 3).collect()}
+    text = b"a\t1\nb\t0.666667\nc\t0.0625\n"
+    assert got == {1: struct.pack("<2I", 3, len(text)) + text, 2: struct.pack("<2I", 3, 0)}
+
+
+def test_writers(spark, tmp_path):
+    p = str(tmp_path)
+    pairs = spark.createDataFrame([(1, "a"), (2, ""), (3, None)], "key long, pid string").repartition(2)
+    assert points.write_key_pids(pairs, p + "/k", 10).agg(F.sum("bytes")).first()[0] == 25
+    assert sorted(map(tuple, points.read_key_pids(spark, p + "/k").collect())) == [(11, "a"), (12, ""), (13, "")]
+    raw = spark.createDataFrame([("u", [[1.0, 2.0], [3.0, 4.0]]), ("v", [])], "url string, descs array<array<float>>")
+    points.write_raw_records(raw, p + "/r")
+    assert sorted((r.url, r.ord, r.desc) for r in points.read_raw_records(spark, p + "/r", 2).collect()) == [("u", 0, [1.0, 2.0]), ("u", 1, [3.0, 4.0])]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x").write_bytes(struct.pack("<4f", 1, 2, 3, 4) + b"cut")
+    assert sorted(r.vec for r in points.read_descriptors(spark, p + "/b", 2).collect()) == [[1.0, 2.0], [3.0, 4.0]]
+    points.write_index_conf(spark.createDataFrame([(1, 9, 4)], "min_key long, max_key long, n long"), p + "/conf")
+    assert [r.value for r in spark.read.text(p + "/conf").collect()] == ["1\t9\t4"]
+    images_ = spark.createDataFrame([(1, "f"), (2, "f"), (3, "g")], "image_id long, fingerprint string")
+    points.write_by_fingerprint(images_, p + "/fp")
+    assert (tmp_path / "fp" / "fingerprint=f").is_dir() and spark.read.parquet(p + "/fp").count() == 3
+    from datetime import datetime
+    points.write_text_log(spark.createDataFrame([(datetime(2024, 1, 2, 3, 4, 5), "hello")], "ts timestamp, m string"), p + "/log", "ts", "m")
+    assert [r.value for r in spark.read.text(p + "/log").collect()] == ["Tue Jan 02 03:04:05 2024\thello"]
+    assert points.write_points(spark.createDataFrame([], "sketch binary, key long"), p + "/none").count() == 0
