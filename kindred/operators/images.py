@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .sift import describe
 
@@ -146,6 +147,123 @@ def decode_png(data: bytes) -> np.ndarray:
     return image[:, :, ::-1] if image.shape[2] == 3 else image[:, :, [2, 1, 0, 3]] if image.shape[2] == 4 else image
 
 
+#: Frames of an animation that are looked at.
+MOST_FRAMES = 10
+
+
+def _lzw(data: bytes, least: int, pixels: int) -> np.ndarray:
+    """Colour numbers of a GIF frame: codes of growing width, lowest bit first."""
+    clear, out = 1 << least, bytearray()
+    table: list[bytes] = []
+    width, before, bits, held, at = least + 1, None, 0, 0, 0
+    while len(out) < pixels:
+        while bits < width:
+            if at == len(data):
+                return np.frombuffer(bytes(out.ljust(pixels, b"\0")), np.uint8)
+            held |= data[at] << bits
+            bits, at = bits + 8, at + 1
+        code, held, bits = held & ((1 << width) - 1), held >> width, bits - width
+        if code == clear or not table:
+            table = [bytes([i]) for i in range(clear)] + [b"", b""]
+            width, before = least + 1, None
+            if code == clear:
+                continue
+        if code == clear + 1:
+            break
+        if before is None:
+            entry = table[code]
+        else:
+            entry = table[code] if code < len(table) else before + before[:1]
+            if len(table) < 4096:
+                table.append(before + entry[:1])
+                if len(table) == 1 << width and width < 12:
+                    width += 1
+        out += entry
+        before = entry
+    return np.frombuffer(bytes(out[:pixels].ljust(pixels, b"\0")), np.uint8)
+
+
+def decode_gif(data: bytes, most: int = MOST_FRAMES) -> list[np.ndarray]:
+    """The first ``most`` frames of a GIF as whole pictures (height, width, 3), BGR.
+
+    Frames are drawn over one another; see-through pixels keep what is below, and a frame may ask to be cleared.
+    """
+    if data[:3] != b"GIF":
+        raise ValueError("not a GIF")
+    width, height, flags = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), data[10]
+    at, common, frames = 13, None, []
+
+    def colours(n, where):
+        return np.frombuffer(data, np.uint8, 3 * n, where).reshape(-1, 3)[:, ::-1]
+
+    if flags & 0x80:
+        common = colours(2 << (flags & 7), at)
+        at += 3 * (2 << (flags & 7))
+    canvas, clear_with, see_through = np.zeros((height, width, 3), np.uint8), 0, None
+    while at < len(data) and len(frames) < most:
+        kind = data[at]
+        if kind == 0x21:
+            if data[at + 1] == 0xF9:
+                clear_with, see_through = data[at + 3] >> 2 & 7, data[at + 6] if data[at + 3] & 1 else None
+            at += 2
+            while data[at]:
+                at += data[at] + 1
+            at += 1
+        elif kind == 0x2C:
+            x, y, w, h = (int.from_bytes(data[at + k:at + k + 2], "little") for k in (1, 3, 5, 7))
+            own, at = data[at + 9], at + 10
+            palette = common
+            if own & 0x80:
+                palette = colours(2 << (own & 7), at)
+                at += 3 * (2 << (own & 7))
+            least, at, packed = data[at], at + 1, b""
+            while data[at]:
+                packed += data[at + 1:at + 1 + data[at]]
+                at += data[at] + 1
+            at += 1
+            number = _lzw(packed, least, w * h).reshape(h, w)
+            if own & 0x40:  # rows come in four passes
+                order = [r for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(first, h, step)]
+                number = number[np.argsort(order)]
+            below = canvas.copy()
+            part = canvas[y:y + h, x:x + w]
+            number = number[:part.shape[0], :part.shape[1]]
+            drawn = number != see_through if see_through is not None else np.ones(number.shape, bool)
+            part[drawn] = palette[number[drawn]]
+            frames.append(canvas.copy())
+            if clear_with == 2:
+                part[:] = 0
+            elif clear_with == 3:
+                canvas = below
+            clear_with, see_through = 0, None
+        else:
+            break
+    return frames
+
+
+def frames(files: DataFrame, most: int = MOST_FRAMES) -> DataFrame:
+    """(image_id, path, frame, width, height, channels, data) of files(path, content): GIFs with up to ``most`` frames, PNGs with one.
+
+    Other files and broken ones give nothing. The frames of one file share its image_id.
+    """
+    def pictures(content):
+        try:
+            return decode_gif(content, most) if content[:3] == b"GIF" else [decode_png(content)]
+        except (ValueError, IndexError, TypeError, KeyError, UnboundLocalError, zlib.error):
+            return []
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, p, n, *x.shape[1::-1], x.shape[2], np.ascontiguousarray(x).tobytes())
+                    for i, p, c in zip(*(b.column(k).to_pylist() for k in range(3))) for n, x in enumerate(pictures(c))]
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)],
+                                             names=["image_id", "path", "frame", "width", "height", "channels", "data"])
+
+    return files.select(F.xxhash64("path"), "path", "content").mapInArrow(
+        run, "image_id bigint, path string, frame int, width int, height int, channels int, data binary")
+
+
 def _pixels(row) -> np.ndarray:
     return np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["channels"])
 

@@ -126,3 +126,22 @@ def describe(image: np.ndarray):
             for theta in _orientations(mod, angle, x, y, sigma):
                 desc = _descriptor(mod, angle, x, y, sigma, theta)
                 yield x * scale, y * scale, sigma * scale, theta, np.minimum(2 * desc, 1)
+
+
+def place_keypoint(x: float, y: float, sigma: float, octaves: int, least_octave: int = 0, scales: int = SCALES) -> tuple[int, int, int, int, float]:
+    """(octave, level, column, row, exact level) of a keypoint of an image given by place and scale.
+
+    From sigma = BLUR * 2^(octave + level / scales): the greatest octave in which the level is at least half a step
+    above the lowest one, both kept within the pyramid's levels -1 .. scales + 1.
+    """
+    phi = math.log2(sigma / BLUR)
+    octave = min(max(math.floor(phi + 0.5 / scales), least_octave), least_octave + octaves - 1)
+    exact = scales * (phi - octave)
+    level = min(max(math.floor(exact + 0.5), 0), scales - 1)
+    step = 2.0**octave
+    return octave, level, math.floor(x / step + 0.5), math.floor(y / step + 0.5), exact
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> float:
+    """Euclidean distance of two descriptors."""
+    return float(np.linalg.norm(np.asarray(a, float) - np.asarray(b, float)))

@@ -34,3 +34,19 @@ def parse_search_config(text: str) -> SearchConfig:
 
 def read_search_config(spark: SparkSession, path: str) -> SearchConfig:
     return parse_search_config("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+
+
+@dataclass(frozen=True)
+class ServerConfig:
+    """A port of one's own, then the hosts and ports of the servers that work is dealt to."""
+    port: int
+    servers: tuple[tuple[str, int], ...]
+
+
+def parse_server_config(text: str) -> ServerConfig:
+    port, *rest = text.split()
+    return ServerConfig(int(port), tuple((host, int(p)) for host, p in zip(rest[::2], rest[1::2])))
+
+
+def read_server_config(spark: SparkSession, path: str) -> ServerConfig:
+    return parse_server_config("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))

@@ -15,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.operators import images
+
 POINT, KEY_FIRST = np.dtype([("sketch", "S16"), ("key", "<u4")]), np.dtype([("key", "<u4"), ("sketch", "S16")])
 MANIFEST = "key bigint, num int, fingerprint string, url string"
 
@@ -358,5 +360,10 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
                      "image.height", F.col("image.nChannels").alias("channels"), "image.data")
 
 
+def read_frames(spark: SparkSession, path: str, most: int = images.MOST_FRAMES) -> DataFrame:
+    """Frames of the GIF and PNG files below a folder, at most ``most`` of a file; see images.frames()."""
+    return images.frames(files(spark, path), most)
+
+
 def is_gif(content):
     return F.substring(content, 1, 3) == F.lit(b"GIF")

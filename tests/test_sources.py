@@ -146,3 +146,98 @@ def test_writers(spark, tmp_path):
     points.write_text_log(spark.createDataFrame([(datetime(2024, 1, 2, 3, 4, 5), "hello")], "ts timestamp, m string"), p + "/log", "ts", "m")
     assert [r.value for r in spark.read.text(p + "/log").collect()] == ["Tue Jan 02 03:04:05 2024\thello"]
     assert points.write_points(spark.createDataFrame([], "sketch binary, key long"), p + "/none").count() == 0
+
+
+def gif(frames, palette, size, interlaced=False):
+    """A GIF whose codes are never compressed: a clear code comes before the table grows."""
+    w, h = size
+    out = b"GIF89a" + struct.pack("<HHBBB", w, h, 0x80 | 1, 0, 0) + bytes(x for c in palette for x in c)
+    for (x, y, fw, fh), pixels, how, clear in frames:
+        out += b"\x21\xf9\x04" + bytes([how << 2 | (clear is not None), 0, 0, clear or 0, 0])
+        out += b"\x2c" + struct.pack("<HHHHB", x, y, fw, fh, 0x40 if interlaced else 0) + b"\x02"
+        bits = "".join(f"{c:03b}"[::-1] for p in pixels for c in (4, p)) + f"{5:03b}"[::-1]
+        data = bytes(int(bits[k:k + 8][::-1], 2) for k in range(0, len(bits), 8))
+        out += b"".join(bytes([len(data[k:k + 255])]) + data[k:k + 255] for k in range(0, len(data), 255)) + b"\0"
+    return out + b"\x3b"
+
+
+def test_frames(spark, tmp_path):
+    red, green, blue, white = palette = [(255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 255)]
+    bgr = lambda rows: [[list(palette[p][::-1]) for p in r] for r in rows]
+    first = ((0, 0, 3, 2), [0, 1, 2, 3, 0, 1], 0, None)
+    got = images.decode_gif(gif([first, ((1, 0, 2, 1), [3, 2], 2, 2), ((0, 1, 1, 1), [1], 0, None)], palette, (3, 2)))
+    assert got[0].tolist() == bgr([[0, 1, 2], [3, 0, 1]])
+    assert got[1].tolist() == bgr([[0, 3, 2], [3, 0, 1]])  # blue is see-through there
+    assert got[2].tolist() == [[list(red[::-1]), [0, 0, 0], [0, 0, 0]], *bgr([[1, 0, 1]])]  # the second frame was cleared
+    order = [0, 4, 2, 1, 3]  # rows of an interlaced frame of five
+    tall = images.decode_gif(gif([((0, 0, 1, 5), [order[k] % 4 for k in range(5)], 0, None)], palette, (1, 5), True))
+    assert tall[0][:, 0].tolist() == [list(palette[k % 4][::-1]) for k in range(5)]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "many.gif").write_bytes(gif([first] * 13, palette, (3, 2)))
+    (tmp_path / "f" / "one.png").write_bytes(png(np.full((4, 5), 7, np.uint8)))
+    (tmp_path / "f" / "cut.gif").write_bytes(gif([first], palette, (3, 2))[:30])
+    (tmp_path / "f" / "text").write_text("no picture")
+    rows = points.read_frames(spark, str(tmp_path / "f")).collect()
+    assert sorted((r.path[-8:], r.frame, r.width, r.height, r.channels) for r in rows if "cut" not in r.path) == sorted(
+        [("many.gif", k, 3, 2, 3) for k in range(10)] + [("/one.png", 0, 5, 4, 1)])
+
+
+def test_compressed_frames():
+    """Codes that refer to the entry being made, and tables that grow to twelve bits, against a plain encoder."""
+    r = random.Random(2)
+    pixels = [r.choice([0, 0, 0, 1, 2]) for _ in range(30_000)]
+    table, codes, word, width = {bytes([i]): i for i in range(4)}, [], b"", 3
+    n, bits = 6, [f"{4:03b}"[::-1]]
+    for p in pixels:
+        if word + bytes([p]) in table:
+            word += bytes([p])
+            continue
+        bits.append(f"{table[word]:0{width}b}"[::-1])
+        if n < 4096:
+            table[word + bytes([p])] = n
+            n += 1
+            if n > 1 << width and width < 12:
+                width += 1
+        word = bytes([p])
+    bits.append(f"{table[word]:0{width}b}"[::-1])
+    flat = "".join(bits)
+    data = bytes(int(flat[k:k + 8][::-1], 2) for k in range(0, len(flat), 8))
+    assert images._lzw(data, 2, len(pixels)).tolist() == pixels
+
+
+def test_server_config():
+    from kindred.sources.config import parse_server_config
+    c = parse_server_config("9000\nhost1 1\nhost2 2\nhost3")
+    assert (c.port, c.servers) == (9000, (("host1", 1), ("host2", 2)))
+
+
+def test_keypoints_of_known_blobs():
+    """A Gaussian blob of deviation s is an extremum at its centre, at a scale near s; turning the image turns the keypoint."""
+    from kindred.operators import sift
+    y, x = np.mgrid[0:97, 0:97]  # odd, so that even places stay even when turned
+    for cx, cy, s in ((40, 50, 4.0), (52, 44, 6.0)):
+        image = 200 * np.exp(-((x - cx) ** 2 + (y - cy) ** 2 + 0.6 * (x - cx) * (y - cy)) / (2 * s * s))
+        found = [f for f in sift.describe(image) if abs(f[0] - cx) < 1.5 and abs(f[1] - cy) < 1.5]
+        assert found and min(abs(np.log2(f[2] / s)) for f in found) < 0.6
+        turned = [f for f in sift.describe(np.rot90(image).copy()) if abs(f[0] - cy) < 1.5 and abs(f[1] - (96 - cx)) < 1.5]
+        assert turned and min(sift.distance(f[4], g[4]) for f in found for g in turned) < 0.2
+    assert sift.place_keypoint(40, 52, 1.6, 4) == (0, 0, 40, 52, 0.0)
+    octave, level, column, row, exact = sift.place_keypoint(41, 52, 1.6 * 2 ** (1 + 2 / 3), 4)
+    assert (octave, level, column, row) == (1, 2, 21, 26) and abs(exact - 2) < 1e-9
+    assert sift.place_keypoint(8, 8, 100, 2)[:2] == (1, 2) and sift.place_keypoint(8, 8, 0.1, 2)[:2] == (0, 0)
+
+
+def test_smoothing_and_histogram_against_plain_sums():
+    from kindred.operators import sift
+    image = np.random.default_rng(0).random((12, 10)) * 255
+    k = np.exp(-0.5 * (np.arange(-5, 6) / 1.2) ** 2)
+    k /= k.sum()
+    want = sum(k[i + 5] * k[j + 5] * image[np.clip(np.arange(12) + i, 0, 11)][:, np.clip(np.arange(10) + j, 0, 9)] for i in range(-5, 6) for j in range(-5, 6))
+    assert np.allclose(sift._smooth(image, 1.2), want)
+    import colorsys
+    pixels = np.random.default_rng(1).integers(0, 256, (6, 7, 3), dtype=np.uint8)
+    hist = np.zeros((6, 6))
+    for b, g, r in pixels.reshape(-1, 3).tolist():
+        h, s, _ = colorsys.rgb_to_hsv(r / 255, g / 255, b / 255)
+        hist[min(int(h * 180 * 6 / 180 + 1e-9), 5), min(int(s * 6 + 1e-9), 6) if s < 1 else 6 - 1] += s < 1
+    assert np.allclose(images.hue_saturation(pixels) * hist.sum(), hist.ravel())
