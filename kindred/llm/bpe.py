@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain, islice
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .shared import text_slices
 
-#: Distinct words and their bytes in one recursive query (or one longer word); bytes of text read before new words are encoded.
-QUERY_WORDS, QUERY_BYTES, HELD_BYTES = 60_000, 2 << 20, 6_000_000
+#: Distinct words and their bytes in one recursive query (or one longer word).
+QUERY_WORDS, QUERY_BYTES = 30_000, 2 << 20
 HELD_CHUNKS, HELD_PIECES = 500_000, 600_000
 #: ENCODE contracts one pair of a word a step; words beyond this many bytes go to ENCODE_LONG, which
 #: contracts all that the next steps would contract anyway. Its steps cost more and are fewer.
@@ -23,7 +27,7 @@ LONG_WORD = 4000
 
 ENCODE = """
 WITH RECURSIVE enc(word, ids) USING KEY (word) AS (
-  SELECT word, list(tok ORDER BY pos) FROM words GROUP BY word
+  SELECT word, ids FROM words
   UNION
   SELECT word, ids[:p - 1] || [merged] || ids[p + 2:] FROM (
     SELECT word, (best >> 32)::INT AS merged, best & 4294967295 AS p FROM (
@@ -32,14 +36,14 @@ WITH RECURSIVE enc(word, ids) USING KEY (word) AS (
       JOIN merges ON tok::BIGINT << 32 | nxt = pair GROUP BY word)
   ) JOIN enc USING (word)
 )
-SELECT word, ids FROM enc ORDER BY word
+SELECT word, ids, array_to_string(ids, ' ') AS line FROM enc ORDER BY word
 """
 # A step contracts every place of the least rank, from the left and without overlaps: as long as no pair with
 # a contracted token has a lesser rank, one leftmost contraction after the other would do just that.
 # Where such a pair exists, only the leftmost place is contracted.
 ENCODE_LONG = """
 WITH RECURSIVE enc(word, ids) USING KEY (word) AS (
-  SELECT word, list(tok ORDER BY pos) FROM words GROUP BY word
+  SELECT word, ids FROM words
   UNION
   SELECT word, list(CASE WHEN hit THEN best ELSE tok END ORDER BY pos) FILTER (NOT gone) FROM (
     SELECT word, pos, tok, best, hit, coalesce(lag(hit) OVER (PARTITION BY word ORDER BY pos), false) AS gone FROM (
@@ -60,10 +64,10 @@ WITH RECURSIVE enc(word, ids) USING KEY (word) AS (
       LEFT JOIN merges m ON fit AND best::BIGINT << 32 | best = m.pair
     )) GROUP BY word
 )
-SELECT word, ids FROM enc ORDER BY word
+SELECT word, ids, array_to_string(ids, ' ') AS line FROM enc ORDER BY word
 """
 DECODE = """
-SELECT word, string_agg(hex, '' ORDER BY pos) AS hex
+SELECT word, array_to_string(list(hex ORDER BY pos), '') AS hex
 FROM (SELECT word, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM encoded) JOIN vocabulary USING (id)
 GROUP BY word ORDER BY word
 """
@@ -77,6 +81,14 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(t), int(r)) for t, r in (line.split() for line in f if line.strip())]
 
 
+class _Places(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class Bpe:
     """A vocabulary of ranks as DuckDB tables, and the words that were encoded with it."""
 
@@ -95,8 +107,11 @@ class Bpe:
         self._table("merges", {"pair": pa.array([l << 32 | r for l, r, _ in rows], pa.int64()),
                                "merged": pa.array([m for *_, m in rows], pa.int32())})
         self._table("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
-        self.tokens = {i: t for t, i in self.ranks.items()}
-        self.chunks: dict[str, tuple[str, bytes]] = {}
+        self.letters_go_together = self.split(" " + ascii_letters) == [" " + ascii_letters]
+        #: Of chunks, without their leading space, the place in two lists: ids as text, and what these stand for. Of pieces both.
+        self.place = _Places()
+        self.lines: list[str] = []
+        self.bytes: list[bytes] = []
         self.pieces: dict[bytes, tuple[str, bytes]] = {}
 
     def _table(self, name: str, columns: dict) -> None:
@@ -104,9 +119,8 @@ class Bpe:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word: its leftmost pair of least rank is contracted until none is left."""
-        out: list[list[int]] = [[]] * len(words)
+    def _encoded(self, words: list[bytes]):
+        """Parts of the words, as (their places, ids, ids as text) in Arrow arrays; empty words are left out."""
         for query, some in ((ENCODE, [i for i, w in enumerate(words) if 0 < len(w) <= LONG_WORD]),
                             (ENCODE_LONG, [i for i, w in enumerate(words) if len(w) > LONG_WORD])):
             sizes = np.array([len(words[i]) for i in some], np.int64)
@@ -116,56 +130,75 @@ class Bpe:
                 hi = max(lo + 1, min(hi, lo + QUERY_WORDS))
                 part, n, lo = some[lo:hi], sizes[lo:hi], hi
                 flat = np.frombuffer(b"".join([words[i] for i in part]), np.uint8)
-                self._table("words", {
-                    "word": pa.array(np.repeat(np.arange(len(part), dtype=np.int32), n)),
-                    "pos": pa.array((np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)),
-                    "tok": pa.array(self.byte_ids[flat])})
-                for i, (_, ids) in zip(part, self.db.execute(query).fetchall()):
-                    out[i] = ids
-        return out
+                own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(self.byte_ids[flat]))
+                self._table("words", {"word": pa.array(np.arange(len(part), dtype=np.int32)), "ids": own})
+                found = self.db.sql(query).to_arrow_table()
+                yield part, found.column("ids").combine_chunks(), found.column("line")
+
+    def _decoded(self, ids) -> list[bytes]:
+        """The bytes that each of some lists of ids stands for, none empty, by ordered aggregation."""
+        self._table("encoded", {"word": pa.array(np.arange(len(ids), dtype=np.int32)), "ids": ids})
+        return list(map(bytes.fromhex, self.db.sql(DECODE).to_arrow_table().column("hex").to_pylist()))
 
-    def decode_words(self, ids: list[list[int]]) -> list[bytes]:
-        """The bytes that each list of ids stands for, by ordered aggregation."""
-        out = [b""] * len(ids)
-        full = [i for i, x in enumerate(ids) if x]
-        for lo in range(0, len(full), QUERY_WORDS):
-            part = full[lo:lo + QUERY_WORDS]
-            self._table("encoded", {"word": pa.array(range(len(part)), pa.int32()),
-                                    "ids": pa.array([ids[i] for i in part], pa.list_(pa.int32()))})
-            for i, (_, hexed) in zip(part, self.db.execute(DECODE).fetchall()):
-                out[i] = bytes.fromhex(hexed)
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word: its leftmost pair of least rank is contracted until none is left."""
+        out: list[list[int]] = [[]] * len(words)
+        for part, ids, _ in self._encoded(words):
+            for i, x in zip(part, ids.to_pylist()):
+                out[i] = x
         return out
 
-    def cut(self, text: str) -> list[str]:
-        """Chunks that the pattern's matches never span: it lets a match begin at any space after a
-        non-white character, as that space can only start a match there."""
+    def round_trip_words(self, words: list[bytes]):
+        """(word, ids as text, decoded bytes) of each word that is not empty."""
+        for part, ids, lines in self._encoded(words):
+            yield from zip([words[i] for i in part], lines.to_pylist(), self._decoded(ids))
+
+    def cut(self, text: str) -> tuple[str, list[str]]:
+        """The chunk before the first cut, and the others without their leading space.
+
+        The pattern's matches never span a cut: it lets a match begin at any space after a
+        non-white character, as that space can only start a match there.
+        """
         if WHITE_THEN_SPACE.search(text):
-            return [c for c in CUT.split(text) if c]
+            first, *rest = CUT.split(text)
+            return first, [c[1:] for c in rest]
         first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
+        return first, rest
+
+    def _learn(self, chunks: Iterable[str], lead: str) -> list[tuple[str, str, bytes]]:
+        """(chunk, ids as text, decoded bytes) of chunks with ``lead`` before them."""
+        chunks = list(chunks)
+        gc.disable()  # very many lists and tuples at once, none of them in a cycle
+        try:
+            plain = lead == " " and self.letters_go_together
+            pieces = [[(lead + c).encode()] if plain and c.isascii() and c.isalpha() else [p.encode("utf-8", "surrogatepass") for p in self.split(lead + c)] for c in chunks]
+            if len(self.pieces) > HELD_PIECES:
+                self.pieces.clear()
+            known = self.pieces
+            for word, line, raw in self.round_trip_words(list(set(chain.from_iterable(pieces)).difference(known))):
+                known[word] = line, raw
+            return [(c, *known[ps[0]]) if len(ps) == 1 else (c, " ".join([known[p][0] for p in ps]), b"".join([known[p][1] for p in ps]))
+                    for c, ps in zip(chunks, pieces)]
+        finally:
+            gc.enable()
 
     def run(self, texts: list[str]):
         """(n_tokens, ids line, decoded bytes) of each text."""
         cut = [self.cut(t) for t in texts]
-        fresh = list({c for chunks in cut for c in chunks}.difference(self.chunks))
-        held = self.chunks
-        if fresh:
-            pieces = [[p.encode("utf-8", "surrogatepass") for p in self.split(c)] for c in fresh]
-            if len(self.pieces) > HELD_PIECES:
-                self.pieces.clear()
-            known = self.pieces
-            words = list({p for ps in pieces for p in ps}.difference(known))
-            ids = self.encode_words(words)
-            known.update(zip(words, zip([" ".join(map(str, x)) for x in ids], self.decode_words(ids))))
-            if len(held) + len(fresh) > HELD_CHUNKS:  # what these texts need is kept or made anew
-                used = {c for chunks in cut for c in chunks}
-                held = self.chunks = {c: v for c, v in held.items() if c in used}
-            for c, ps in zip(fresh, pieces):
-                held[c] = known[ps[0]] if len(ps) == 1 else (" ".join([known[p][0] for p in ps]), b"".join([known[p][1] for p in ps]))
-        for chunks in cut:
-            found = [held[c] for c in chunks]
-            line = " ".join([x for x, _ in found])
-            yield (line.count(" ") + 1 if line else 0), line, b"".join([x for _, x in found])
+        firsts = {c: x for c, *x in self._learn({f for f, _ in cut if f}, "")} | {"": ["", b""]}
+        if len(self.place) > HELD_CHUNKS:
+            self.place, self.lines, self.bytes = _Places(), [], []
+        place_of, known = self.place.__getitem__, len(self.lines)
+        places = [list(map(place_of, rest)) for _, rest in cut]
+        for _, line, raw in self._learn(islice(self.place, known, None), " "):
+            self.lines.append(line)
+            self.bytes.append(raw)
+        line_of, raw_of = self.lines.__getitem__, self.bytes.__getitem__
+        for (first, rest), at in zip(cut, places):
+            line, head = " ".join(map(line_of, at)), firsts[first]
+            if first:
+                line = f"{head[0]} {line}" if rest else head[0]
+            yield (line.count(" ") + 1 if line else 0), line, head[1] + b"".join(map(raw_of, at))
 
 
 @lru_cache(1)
@@ -189,20 +222,11 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
     def run(batches):
         bpe = _bpe(ranks, pattern)
         for b in text_slices(batches):
-            lo, n = 0, b.num_rows
-            sizes = [len(t.as_py() or "") for t in b.column(1)]
-            while lo < n:
-                hi, size = lo, 0
-                while hi < n and (hi == lo or size + sizes[hi] <= HELD_BYTES):
-                    size += sizes[hi]
-                    hi += 1
-                part = b.slice(lo, hi - lo)
-                rows = [(k, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(raw).hexdigest())
-                        for k, line, raw in bpe.run([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string())))],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                lo = hi
+            rows = [(k, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(raw).hexdigest())
+                    for k, line, raw in bpe.run([t or "" for t in b.column(1).to_pylist()])]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string())))],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
