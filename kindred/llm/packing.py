@@ -79,8 +79,10 @@ class ByteLevelTokenizer:
                 end = self._plain(tail)
                 if len(tail) < 8:
                     self.tails[tail] = end
+            if tail:
+                return self.rest[word[1:]] + end
             letters = self.letters
-            return self._piece(letters[32] + word[1:] if word.isascii() else "".join([letters[c] for c in word.encode()])) + end
+            return self._piece(letters[32] + word[1:] if word.isascii() else "".join([letters[c] for c in word.encode()]))
         return self._plain(chunk)
 
     def _plain(self, chunk: str) -> bytes:
