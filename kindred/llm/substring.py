@@ -255,7 +255,7 @@ def _deal(rows: list[tuple], window: int, known: _Hashes, to: Partition):
     first, n = _runs(s.inner[at], s.row[at])
     for a, k in zip(at[first].tolist(), n.tolist()):
         i, start = int(s.row[a]), int(s.inner[a])
-        yield start % to.groups, SPAN, *rows[i][:3], rows[i][3] + start, k - 1 + window, b""
+        yield (rows[i][1] + start) % to.groups, SPAN, *rows[i][:3], rows[i][3] + start, k - 1 + window, b""
     at = np.flatnonzero(~later)
     g = to.group(s.bucket(len(to.first)), s.digest)[at]
     first, n = _runs(s.inner[at], s.row[at], g)
