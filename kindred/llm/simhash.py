@@ -193,7 +193,8 @@ def components(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 4
     ``radius`` bits link; component_id is the smallest doc_id reachable. A null id counts as
     smallest and stays null; repeated ids keep one row each; an empty table gives no rows.
 
-    Copies collapse to one node before any comparison, so a group of copies costs as one.
+    Copies collapse to one node before any comparison, so a group of copies costs as one. Texts of any length
+    are read whole; other columns are ignored, whatever their names.
     """
     found = _components(fingerprints(docs, shingle, seed, id_col, text_col), radius)
     return found.select(_given("doc_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),

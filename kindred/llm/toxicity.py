@@ -178,7 +178,8 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, severity, p_toxic, grade) of every whole text, in the rows' order.
 
     severity is the expected grade, grade the likeliest. Null and empty texts, and all texts
-    where no model could be fitted, have severity 0.
+    where no model could be fitted, have severity 0. Texts of any length are read whole; other columns are
+    ignored, whatever their names; an empty table gives no rows.
     """
     def run(batches):
         of = Features(model[0]) if model else None

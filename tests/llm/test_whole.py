@@ -79,3 +79,27 @@ def test_pipeline(spark, sf, rows):
                 keep[s:s + substring.WINDOW] = False
         cut.append((i, t if keep.all() else b"".join(raw[spots[k]:spots[k + 1]] for k in np.flatnonzero(keep)).decode()))
     check_packing(cut, corpus_pipeline.run(spark, sf), 2048)
+
+
+def test_stages_edges(spark, sf, edge_rows, edge_docs, no_docs):
+    """Every stage on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
+    docs, kept = edge_docs, None
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        got = [r.asDict() for r in out.collect()]
+        empty = stage(spark, no_docs, sf)
+        assert empty.columns == out.columns and empty.count() == 0, name
+        if name == "best_fit_packing":
+            assert sorted(str(r["doc_id"]) for r in got if r["piece"] == 0) == sorted(str(i) for i, _ in kept)
+            break
+        assert out.columns == edge_docs.columns and out.dtypes == edge_docs.dtypes
+        if name == "simhash_near_dedup":
+            order = lambda r: (-(2**63) if r[0] is None else r[0], brute.text_order(r[1])[0])
+            rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=order)
+            groups = jaccard_groups([(k, t) for k, (_, t) in enumerate(rows)])
+            assert sorted([(r["doc_id"], r["text"]) for r in got], key=str) == sorted([r for k, r in enumerate(rows) if groups[k] == k], key=str)
+        if name == "substring_dedup":
+            words = {(i, n - gone) for i, n, gone, _ in brute.without_repeats(kept)}
+            assert {(r["doc_id"], len((r["text"] or "").encode().split())) for r in got} == words
+        kept = [(r["doc_id"], r["text"]) for r in got]
+        docs = spark.createDataFrame([tuple(r[c] for c in edge_docs.columns) for r in got], edge_docs.schema)
