@@ -53,3 +53,11 @@ def search(queries: DataFrame, path: str, threshold: int, blocks: Sequence[str]
     for f in found[1:]:
         out = out.unionByName(f)
     return out
+
+
+def reload(spark: SparkSession, path: str, blocks: Sequence[str] = BLOCKS) -> bool:
+    """Forgets what the session holds of the index's files, and tells whether all of its orders are there to be read."""
+    spark.catalog.refreshByPath(path)
+    at = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{b}") for b in blocks]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return all(p.getFileSystem(conf).exists(p) for p in at)

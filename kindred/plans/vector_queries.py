@@ -418,9 +418,25 @@ def image_fingerprint(spark, sf_dir):
     return images.fingerprints(pictures(spark, sf_dir))
 
 
-@query()
+def colour_pictures(spark, sf_dir):
+    """Each vector as 8 x 8 coloured pixels: blue, green and red are its levels in three orders."""
+    level = F.transform("vec", lambda x: F.least(F.greatest(F.floor(x * 400 + 128), F.lit(0)), F.lit(255)))
+    byte = lambda at: F.lpad(F.hex(F.get("p", at)), 2, "0")
+    data = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.concat(byte(k), byte(63 - k), byte((k * 7 + 3) % 64))))
+    return vectors(spark, sf_dir).withColumn("p", level).select(
+        F.col("id").alias("image_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(3).alias("channels"), F.unhex(data).alias("data"))
+
+
+@query(f"WITH t AS (SELECT vec_id, {LEVEL} AS p FROM embeddings), x AS (SELECT vec_id, p, unnest(range(64)) AS k FROM t), "
+       "c AS (SELECT vec_id, p[k + 1] AS b, p[64 - k] AS g, p[(k * 7 + 3) % 64 + 1] AS r FROM x), "
+       "m AS (SELECT *, greatest(b, g, r) AS top, least(b, g, r) AS low FROM c), "
+       "h AS (SELECT vec_id, top, low, CASE WHEN top = r THEN (g - b)::DOUBLE / greatest(top - low, 1) WHEN top = g THEN 2 + (b - r)::DOUBLE / greatest(top - low, 1) ELSE 4 + (r - g)::DOUBLE / greatest(top - low, 1) END * 30 AS h FROM m), "
+       "v AS (SELECT vec_id, floor((CASE WHEN top = low THEN 0 WHEN h < 0 THEN h + 180 ELSE h END) * 6 / 180)::BIGINT AS hb, floor((CASE WHEN top > 0 THEN (top - low)::DOUBLE / top * 255 ELSE 0 END) * 6 / 255)::BIGINT AS sb FROM h), "
+       "n AS (SELECT vec_id, hb * 6 + sb AS bin, count(*) AS n FROM v WHERE hb < 6 AND sb < 6 GROUP BY ALL), z AS (SELECT vec_id, sum(n) AS total FROM n GROUP BY vec_id), "
+       "e AS (SELECT vec_id, unnest(range(36)) AS bin FROM embeddings) "
+       "SELECT e.vec_id AS image_id, e.bin::INT AS bin, coalesce(n, 0)::DOUBLE / greatest(coalesce(total, 0), 1) AS share FROM e LEFT JOIN n ON e.vec_id = n.vec_id AND e.bin = n.bin LEFT JOIN z ON e.vec_id = z.vec_id")
 def hs_histogram(spark, sf_dir):
-    return images.colour_histograms(pictures(spark, sf_dir)).select("image_id", F.posexplode("histogram").alias("bin", "share"))
+    return images.colour_histograms(colour_pictures(spark, sf_dir)).select("image_id", F.posexplode("histogram").alias("bin", "share"))
 
 
 @query()
