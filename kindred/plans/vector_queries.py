@@ -308,14 +308,25 @@ def sketch_lsh(spark, sf_dir):
     return _hexed(linear.window_sketch(whole_vectors(spark, sf_dir), "vec", w=WIDTH, matrix=WINDOWS[0], offset=WINDOWS[1]))
 
 
-@query()
+#: Modes of a spectral hash over four axes, and whole-numbered axes and mean for the form that SQL can follow.
+MODES = [[(1 + k // 4) if j == k % 4 else 0 for j in range(4)] for k in range(8)]
+AXES, CENTRE = [list(draw(8000 + i)) for i in range(4)], list(draw(8100, m=40))
+
+
+@query(f"WITH w AS (SELECT vec_id AS id, list_transform(list_zip({INT}, {CENTRE}), lambda p: p[1] - p[2]) AS v FROM embeddings), "
+       f"p AS (SELECT id, [{', '.join(project_sql('v', a) for a in AXES)}] AS p FROM w), "
+       f"b AS (SELECT id, list_transform({MODES}, lambda m: list_product(list_transform(list_zip(m, p), lambda x: sin(x[2]::DOUBLE * (x[1]::DOUBLE / 1000) + pi() / 2))) > 0) AS b FROM p) "
+       "SELECT id, list_sum(list_transform(range(8), lambda k: CASE WHEN b[k + 1] THEN 1::BIGINT << k::INT ELSE 0 END))::BIGINT AS code FROM b")
 def spectral_hash(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("id", "vec")
-    mean, axes = linear.principal_axes(v, "vec", 4)
-    return linear.spectral_hash(v, "vec", mean, axes, MODES)
+    return linear.spectral_hash(whole_vectors(spark, sf_dir), "vec", np.array(CENTRE), np.array(AXES), np.array(MODES) / 1000)
 
 
-MODES = np.pi * np.array([[m if j == k % 4 else 0 for j in range(4)] for k in range(8) for m in (1 + k // 4,)], float)
+@query()
+def spectral_trained(spark, sf_dir):
+    """The same with the vectors' own mean and principal axes."""
+    v = vectors(spark, sf_dir).select("id", "vec")
+    mean, axes = linear.principal_axes(v, "vec", 4)
+    return linear.spectral_hash(v, "vec", mean, axes, np.pi * np.array(MODES, float))
 
 
 @query(f"WITH w AS (SELECT vec_id AS id, {INT} AS v FROM embeddings), m AS (SELECT unnest(range(16)) AS cell, unnest({MEANS.tolist()}) AS u), "
