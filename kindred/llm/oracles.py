@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .sharding import SEED
 from .url_filter import ADDRESS, LOWER, RULES, SUFFIXES, THRESHOLD, UPPER, Z
 
@@ -103,4 +105,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n_kept, 0) A
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_exact_topk": OP1, "op5_embedding_dedup": OP5, "op6_sharding": OP6, "op7_url_filter": OP7, "op9_substring_dedup": OP9}
+OP4 = rf"""
+WITH RECURSIVE v AS (SELECT hex(from_base64(token)) AS h FROM read_csv('{public_tokenizers.path("byte_bpe_50k.tiktoken")}', delim=' ', header=false,
+                     columns={{'token': 'VARCHAR', 'rank': 'INT'}}, auto_detect=false, quote='', escape='')),
+l AS (SELECT DISTINCT length(h) AS size FROM v),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+x AS (SELECT word, hex(encode(' ' || word)) AS h FROM (SELECT DISTINCT unnest(w) AS word FROM d)),
+g(word, h, place, n) AS (SELECT word, h, 0::BIGINT, 0::BIGINT FROM x UNION ALL
+  SELECT g.word, g.h, place + max(size), n + 1 FROM g JOIN l ON size <= length(g.h) - place JOIN v ON v.h = substr(g.h, place + 1, size) GROUP BY g.word, g.h, place, n),
+c AS (SELECT word, max(n) AS n FROM g GROUP BY word),
+t AS (SELECT doc_id, sum(n)::BIGINT AS n FROM (SELECT doc_id, unnest(w) AS word FROM d) JOIN c USING (word) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_tokens, 0::BIGINT AS n_unknown FROM d LEFT JOIN t USING (doc_id)
+"""
+
+ORACLE_SQL = {"op4_token_counts": OP4, "op1_exact_topk": OP1, "op5_embedding_dedup": OP5, "op6_sharding": OP6, "op7_url_filter": OP7, "op9_substring_dedup": OP9}
