@@ -105,11 +105,82 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n_kept, 0) A
 FROM d LEFT JOIN k USING (doc_id)
 """
 
+#: Fixed values of the XXH64 specification.
+P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+SEED64 = 42
+
+
+def _low(x: str) -> str:
+    return f"(({x}) % 18446744073709551616::UHUGEINT)"
+
+
+def _num(x: int) -> str:
+    return f"{x % 2**64}::UHUGEINT"
+
+
+def _times(x: str, p: int) -> str:
+    return _low(f"({x}) * {_num(p)}")
+
+
+def _turn(x: str, r: int) -> str:
+    return f"({_times(x, 1 << r)} + ({x}) // {_num(1 << (64 - r))})"
+
+
+def _lane(at: str, size: int) -> str:
+    """The little-endian number of ``size`` bytes from byte ``at`` of the hexadecimal text h."""
+    return "('0x' || " + " || ".join(f"substr(h, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(size))) + ")::UBIGINT::UHUGEINT"
+
+
+def _round(v: str, lane: str) -> str:
+    return _times(_turn(f"{_low(f'{v} + {_times(lane, P2)}')}", 31), P1)
+
+
+def _xor(a: str, b: str) -> str:
+    return f"xor(({a})::UBIGINT, ({b})::UBIGINT)::UHUGEINT"
+
+
+def _merged() -> str:
+    h = _low(f"{_turn('v1', 1)} + {_turn('v2', 7)} + {_turn('v3', 12)} + {_turn('v4', 18)}")
+    for v in ("v1", "v2", "v3", "v4"):
+        h = _low(f"{_times(_xor(h, _round('0::UHUGEINT', v)), P1)} + {_num(P4)}")
+    return h
+
+
+OP10 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+       ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM d),
+x AS (SELECT s, hex(encode(s)) AS h, octet_length(encode(s)) AS n FROM (SELECT DISTINCT s FROM sh)),
+lanes(s, h, n, pos, v1, v2, v3, v4) AS (
+  SELECT s, h, n, 0::BIGINT, {_num(SEED64 + P1 + P2)}, {_num(SEED64 + P2)}, {_num(SEED64)}, {_num(SEED64 - P1)} FROM x
+  UNION ALL SELECT s, h, n, pos + 32, {_round('v1', _lane('pos', 8))}, {_round('v2', _lane('pos + 8', 8))}, {_round('v3', _lane('pos + 16', 8))}, {_round('v4', _lane('pos + 24', 8))}
+  FROM lanes WHERE n - pos >= 32),
+m AS (SELECT s, h, n, pos, CASE WHEN n >= 32 THEN {_merged()} ELSE {_num(SEED64 + P5)} END AS a FROM lanes WHERE n - pos < 32),
+tail(s, h, n, pos, a) AS (
+  SELECT s, h, n, pos, {_low('a + n::UHUGEINT')} FROM m
+  UNION ALL SELECT s, h, n, pos + CASE WHEN n - pos >= 8 THEN 8 WHEN n - pos >= 4 THEN 4 ELSE 1 END,
+    CASE WHEN n - pos >= 8 THEN {_low(_times(_turn(_xor('a', _round('0::UHUGEINT', _lane('pos', 8))), 27), P1) + ' + ' + _num(P4))}
+         WHEN n - pos >= 4 THEN {_low(_times(_turn(_xor('a', _times(_lane('pos', 4), P1)), 23), P2) + ' + ' + _num(P3))}
+         ELSE {_times(_turn(_xor('a', _times(_lane('pos', 1), P5)), 11), P1)} END
+  FROM tail WHERE n > pos),
+f1 AS (SELECT s, {_times(_xor('a', f'a // {_num(1 << 33)}'), P2)} AS a FROM tail WHERE n = pos),
+f2 AS (SELECT s, {_times(_xor('a', f'a // {_num(1 << 29)}'), P3)} AS a FROM f1),
+hs AS (SELECT s, {_xor('a', f'a // {_num(1 << 32)}')}::UBIGINT AS a FROM f2),
+p AS (SELECT doc_id, count(*) AS n, {", ".join(f"sum(a >> {i} & 1) AS s{i}" for i in range(64))} FROM sh JOIN hs USING (s) GROUP BY doc_id),
+fp AS (SELECT doc_id, coalesce({" + ".join(f"(CASE WHEN 2 * s{i} > n THEN {1 << i}::UBIGINT ELSE 0::UBIGINT END)" for i in range(64))}, 0::UBIGINT) AS f FROM d LEFT JOIN p USING (doc_id)),
+k AS (SELECT f, min(doc_id) AS id FROM fp GROUP BY f),
+e AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON bit_count(xor(a.f, b.f)) <= 3),
+r(a, b) AS (SELECT id, id FROM k UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, format('{{:016x}}', f) AS fingerprint, component_id FROM fp JOIN k USING (f) JOIN c USING (id)
+"""
+
 OP4 = rf"""
 WITH RECURSIVE v AS (SELECT hex(from_base64(token)) AS h FROM read_csv('{public_tokenizers.path("byte_bpe_50k.tiktoken")}', delim=' ', header=false,
                      columns={{'token': 'VARCHAR', 'rank': 'INT'}}, auto_detect=false, quote='', escape='')),
 l AS (SELECT DISTINCT length(h) AS size FROM v),
-d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 x AS (SELECT word, hex(encode(' ' || word)) AS h FROM (SELECT DISTINCT unnest(w) AS word FROM d)),
 g(word, h, place, n) AS (SELECT word, h, 0::BIGINT, 0::BIGINT FROM x UNION ALL
   SELECT g.word, g.h, place + max(size), n + 1 FROM g JOIN l ON size <= length(g.h) - place JOIN v ON v.h = substr(g.h, place + 1, size) GROUP BY g.word, g.h, place, n),
@@ -118,4 +189,4 @@ t AS (SELECT doc_id, sum(n)::BIGINT AS n FROM (SELECT doc_id, unnest(w) AS word
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_tokens, 0::BIGINT AS n_unknown FROM d LEFT JOIN t USING (doc_id)
 """
 
-ORACLE_SQL = {"op4_token_counts": OP4, "op1_exact_topk": OP1, "op5_embedding_dedup": OP5, "op6_sharding": OP6, "op7_url_filter": OP7, "op9_substring_dedup": OP9}
+ORACLE_SQL = {"op10_simhash": OP10, "op4_token_counts": OP4, "op1_exact_topk": OP1, "op5_embedding_dedup": OP5, "op6_sharding": OP6, "op7_url_filter": OP7, "op9_substring_dedup": OP9}
