@@ -189,4 +189,34 @@ t AS (SELECT doc_id, sum(n)::BIGINT AS n FROM (SELECT doc_id, unnest(w) AS word
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_tokens, 0::BIGINT AS n_unknown FROM d LEFT JOIN t USING (doc_id)
 """
 
-ORACLE_SQL = {"op10_simhash": OP10, "op4_token_counts": OP4, "op1_exact_topk": OP1, "op5_embedding_dedup": OP5, "op6_sharding": OP6, "op7_url_filter": OP7, "op9_substring_dedup": OP9}
+#: The pattern's white space, which RE2 has no name for, and a mark that stands where a run of it is cut: before its
+#: last character if text follows. RE2 can't look ahead, so the mark is put there first; no text holds it.
+WHITE, MARK = r"[\t-\r\x{85}\p{Z}]", "\uE000"
+PIECE = (r"''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\t-\r\x{85}\p{Z}\p{L}\p{N}\x{E000}]+|" + WHITE + "+")
+
+OP2 = rf"""
+WITH RECURSIVE v AS (SELECT hex(from_base64(token)) AS h, rank FROM read_csv('{public_tokenizers.path("byte_bpe_50k.tiktoken")}', delim=' ', header=false,
+                     columns={{'token': 'VARCHAR', 'rank': 'INT'}}, auto_detect=false, quote='', escape='')),
+cut AS (SELECT h, rank, unnest(range(2, length(h), 2)) AS k FROM v WHERE length(h) > 2),
+merges AS MATERIALIZED (SELECT l.rank::BIGINT << 32 | r.rank AS pair, cut.rank AS merged FROM cut JOIN v l ON l.h = substr(cut.h, 1, k) JOIN v r ON r.h = substr(cut.h, k + 1)),
+d AS (SELECT doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '({WHITE})({WHITE})([^\t-\r\x{{85}}\p{{Z}}])', '\1{MARK}\2\3', 'g'), '{PIECE}') AS w FROM documents),
+u AS (SELECT doc_id, generate_subscripts(w, 1) AS place, unnest(w) AS word FROM d),
+x AS MATERIALIZED (SELECT word, regexp_extract_all(hex(encode(word)), '..') AS b FROM (SELECT DISTINCT word FROM u)),
+words AS MATERIALIZED (SELECT word, list(rank ORDER BY i) AS ids FROM (SELECT word, unnest(b) AS h, generate_subscripts(b, 1) AS i FROM x) JOIN v USING (h) GROUP BY word),
+enc(word, ids) USING KEY (word) AS (
+  SELECT word, ids FROM words
+  UNION
+  SELECT word, ids[:p - 1] || [merged] || ids[p + 2:] FROM (
+    SELECT word, (best >> 32)::INT AS merged, best & 4294967295 AS p FROM (
+      SELECT word, min(merged::BIGINT << 32 | pos) AS best
+      FROM (SELECT word, unnest(ids) AS tok, unnest(ids[2:]) AS nxt, generate_subscripts(ids, 1) AS pos FROM enc)
+      JOIN merges ON tok::BIGINT << 32 | nxt = pair GROUP BY word)
+  ) JOIN enc USING (word)
+),
+o AS (SELECT doc_id, place, ids FROM u JOIN enc USING (word)),
+t AS (SELECT doc_id, place, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM o),
+g AS (SELECT doc_id, count(*) AS n, string_agg(id, ' ' ORDER BY place, pos) AS line, string_agg(h, '' ORDER BY place, pos) AS raw FROM t JOIN v ON v.rank = t.id GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, sha256(coalesce(line, '')) AS ids_sha256, sha256(unhex(coalesce(raw, ''))) AS decoded_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
+
+ORACLE_SQL = {"op2_bpe": OP2, "op10_simhash": OP10, "op4_token_counts": OP4, "op1_exact_topk": OP1, "op5_embedding_dedup": OP5, "op6_sharding": OP6, "op7_url_filter": OP7, "op9_substring_dedup": OP9}
