@@ -7,10 +7,11 @@ with integer vectors and coefficients every hash is exact.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, is_dataclass
 from typing import Protocol
 
 from pyspark.sql import Column
@@ -144,3 +145,23 @@ def project_sparse(vec: Column, a: Sequence[float]) -> Column:
     weights = literal([float(x) for x in a])
     terms = F.transform(F.map_entries(vec), lambda e: e["value"] * F.coalesce(F.get(weights, e["key"]), F.lit(0.0)))
     return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
+
+
+def dump(hashes) -> str:
+    """A hash, or lists of them, as JSON of its parameters, to be kept beside an index."""
+    def plain(x):
+        if is_dataclass(x):
+            return {"kind": type(x).__name__} | {f.name: plain(getattr(x, f.name)) for f in fields(x)}
+        return [plain(v) for v in x] if isinstance(x, (list, tuple)) else x
+    return json.dumps(plain(hashes))
+
+
+def load(text: str):
+    """What dump() was given; lists come back as tuples."""
+    kinds = {k.__name__: k for k in (Trivial, StableDistribution, HyperPlane, Threshold, Tail, Repeat, RepeatHash, Xor)}
+
+    def made(x):
+        if isinstance(x, dict):
+            return kinds[x["kind"]](**{k: made(v) for k, v in x.items() if k != "kind"})
+        return tuple(made(v) for v in x) if isinstance(x, list) else x
+    return made(json.loads(text))

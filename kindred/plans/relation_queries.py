@@ -182,6 +182,11 @@ def sort_manifest(spark, sf_dir):
     return placed.select("image_id", "fingerprint", "position")
 
 
+@query(f"WITH {DOCS}, f AS (SELECT image_id, pid FROM d) SELECT image_id, pid, row_number() OVER (ORDER BY pid, image_id) - 1 AS position FROM f")
+def sort_pids(spark, sf_dir):
+    return ordering.positions(docs(spark, sf_dir).select("image_id", "pid"), F.col("pid"), F.col("image_id"))
+
+
 @query("SELECT page_id, CASE WHEN contains(url, '/') THEN split_part(split_part(regexp_extract(url, '/([^/]*)$', 1), '.', 1), '?', 1) ELSE '' END AS pid FROM pages")
 def pid_from_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.pid_from_url(F.col("url")).alias("pid"))

@@ -265,6 +265,11 @@ def lines(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]).alias("line"))
 
 
+def write_lines(df: DataFrame, path: str, *columns: str) -> None:
+    """lines() as text files: fingerprint counts, bins and id pairs in print."""
+    lines(df, *columns).write.text(path)
+
+
 def write_manifest(rows: DataFrame, path: str) -> None:
     """key, sketch count, unsigned fingerprint and path of each image."""
     rows.select("key", "num", "fingerprint", "url").write.csv(path, sep="\t")

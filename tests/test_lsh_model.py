@@ -61,6 +61,12 @@ def test_families(spark):
     assert tuple(got) == (0, 1, 0.5, -4.0)
 
 
+def test_parameters_come_back():
+    from kindred.functions import lsh
+    held = (lsh.Repeat((lsh.Tail(StableDistribution((1, -2), 3, 8), 4), lsh.HyperPlane((0.5, 1.0))), 4), Xor((Threshold(0, 0.5), Trivial())), lsh.RepeatHash((StableDistribution((1,), 0, 2),), (7,), 32))
+    assert lsh.load(lsh.dump(held)) == held
+
+
 def test_turning_and_config():
     a = np.arange(12, dtype=np.uint8).reshape(3, 4)
     assert images.rotated(a, 180).tolist() == a.tolist()
