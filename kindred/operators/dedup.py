@@ -39,16 +39,19 @@ def statistics(df: DataFrame, value: str, *by: str) -> DataFrame:
 
 
 def running_ratio(placed: DataFrame, flag: str, position: str = "position", width: int = 8192) -> DataFrame:
-    """Running share of rows with ``flag`` unset, by position, in blocks of ``width`` rows.
+    """Running share of rows with ``flag`` unset, by position, in blocks of ``width`` rows and groups of as many blocks.
 
-    Sums within a block are windows over that block; sums of earlier blocks come from one row a
-    block, so no task holds the whole table.
+    Sums within a block are windows over that block, sums of a group's earlier blocks over one row a block, and
+    those of earlier groups over one row for width^2 rows, so no task holds more than a fraction of the table.
     """
     fresh = F.when(F.col(flag), 0).otherwise(1)
     rows = placed.withColumn("_block", F.floor(F.col(position) / width))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("_block").agg(F.sum(fresh).alias("s")).select(
-        "_block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_start"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_block").agg(F.sum(fresh).alias("s")).withColumn("_group", F.floor(F.col("_block") / width))
+    groups_ = sums.groupBy("_group").agg(F.sum("s").alias("s")).select(
+        "_group", F.coalesce(F.sum("s").over(before(Window.orderBy("_group"))), F.lit(0)).alias("_base"))
+    starts = sums.withColumn("_own", F.coalesce(F.sum("s").over(before(Window.partitionBy("_group").orderBy("_block"))), F.lit(0)))
+    starts = starts.join(groups_, "_group").select("_block", (F.col("_base") + F.col("_own")).alias("_start"))
     inner = F.sum(fresh).over(Window.partitionBy("_block").orderBy(position))
     return rows.withColumn("_inner", inner).join(starts, "_block").withColumn(
         "distinct_so_far", (F.col("_start") + F.col("_inner")).cast("bigint")).drop("_block", "_inner", "_start")

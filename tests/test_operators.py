@@ -143,6 +143,14 @@ def test_sorted_index_reads_only_its_range(spark, tmp_path):
     assert len(found) == len(set(found)) and set(found) == brute(rows, 3)
 
 
+@pytest.mark.parametrize("width", [8192, 5])
+def test_running_ratio(spark, width):
+    flags = [random.Random(i).random() < 0.4 for i in range(300)]
+    placed = spark.createDataFrame(list(enumerate(flags)), "position long, seen boolean").repartition(4)
+    got = {r.position: r.distinct_so_far for r in dedup.running_ratio(placed, "seen", width=width).collect()}
+    assert got == {i: sum(not f for f in flags[:i + 1]) for i in range(300)}
+
+
 def test_statistics_of_one_value(spark):
     r = dedup.statistics(spark.createDataFrame([(2.0,)], "v double"), "v").first()
     assert (r.n, r.deviation) == (1, 0.0)
