@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 #: Hashes that a map task holds before it deals them out, and that one group is to get.
-HELD_HASHES, GROUP_HASHES = 1_000_000, 1_000_000
+HELD_HASHES, GROUP_HASHES = 500_000, 1_000_000
 #: What a dealt row is: hashes of a group, places found repeated already, the rows of a chunk.
 DEALT, FOUND, ROWS = 0, 1, 2
 SCHEMA = "g int, chunk long, kind int, place binary, value binary"

@@ -15,7 +15,7 @@ from kindred.operators.ordering import checkpointed, shared_folder
 
 #: Stands for a null id inside an operator: it sorts before every other id.
 NO_ID = -(2**63)
-BATCH_SETTING, SLICE_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH_SETTING, SLICE_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Bits of a sieve: 2 MB, whatever the input.
 SIEVE_BITS = 1 << 24
 

@@ -19,7 +19,7 @@ WINDOW = 20
 GRAM = 5
 #: Words that a map task holds before it deals out their suffixes.
 HELD_WORDS = 500_000
-HELD_VOCABULARY = 200_000
+HELD_VOCABULARY = 150_000
 #: Bytes of suffixes, each cut at the window, that one group is to get; a prefix with more is lengthened.
 GROUP_BYTES = 32 << 20
 #: Prefixes are counted in so many buckets at most.
@@ -417,16 +417,16 @@ def digest_without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str =
     found = _spans(rows.select(*NAME, "text"), window)
     sieve = Sieve(found, "k1")
     digest = lambda words: hashlib.sha256(b" ".join(words)).hexdigest()
+    own = lambda words: (len(words), digest(words))
 
     def settle(batches):
         """Rows without spans have their result; only the others' texts travel."""
         for b in text_slices(batches):
             on = sieve(b.column(2).to_numpy())
-            words = [None if x else _split(t.as_py()) for x, t in zip(on, b.column(4))]
+            done = [(None, None) if x else own(_split(t.as_py())) for x, t in zip(on, b.column(4))]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:4], pa.array([t.as_py() if x else None for x, t in zip(on, b.column(4))], pa.string()),
-                 pa.array([None if w is None else len(w) for w in words], pa.int64()),
-                 pa.array([None if w is None else digest(w) for w in words], pa.string())], names=["doc_id", *NAME, "text", "n_words", "sha"])
+                 pa.array([n for n, _ in done], pa.int64()), pa.array([d for _, d in done], pa.string())], names=["doc_id", *NAME, "text", "n_words", "sha"])
 
     def run(batches):
         for b in text_slices(batches):
