@@ -6,6 +6,7 @@ driver; searches are DataFrames.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -163,20 +164,19 @@ class ProbeModel:
         """The likeliest joint moves of all digits, until they cover ``recall`` or ``most`` are taken."""
         parts, width = self.shares.shape
         each = [self.shares[min(int(o * parts), parts - 1)] for o in offsets]
-        order = [np.argsort(-p) for p in each]
-        seen, heap, out, sure = set(), [tuple([0] * len(each))], [], 0.0
-        chance = lambda s: math.prod(p[o[i]] for p, o, i in zip(each, order, s))
+        order = [np.argsort(-p, kind="stable").tolist() for p in each]
+        ranked = [[float(p[k]) for k in o] for p, o in zip(each, order)]
+        start = tuple([0] * len(each))
+        seen, heap, out, sure = {start}, [(-math.prod(r[0] for r in ranked), start)], [], 0.0
         while heap and len(out) < most and sure < recall:
-            s = max(heap, key=chance)
-            heap.remove(s)
-            p = chance(s)
-            sure += p
-            out.append((tuple(int(o[i]) - width // 2 for o, i in zip(order, s)), p))
-            for j in range(len(s)):
-                t = s[:j] + (s[j] + 1,) + s[j + 1:]
-                if t[j] < width and t not in seen:
+            minus, s = heapq.heappop(heap)
+            sure -= minus
+            out.append((tuple(o[i] - width // 2 for o, i in zip(order, s)), -minus))
+            for j, i in enumerate(s):
+                t = (*s[:j], i + 1, *s[j + 1:])
+                if i + 1 < width and t not in seen:
                     seen.add(t)
-                    heap.append(t)
+                    heapq.heappush(heap, (-math.prod(r[k] for r, k in zip(ranked, t)), t))
         return out
 
 
