@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +112,7 @@ def _gather(table: pa.Table, width: int):
 
 
 def repeated(rows: DataFrame, hashed: Callable[[pa.RecordBatch], Iterable[tuple[tuple[int, ...], np.ndarray]]],
-             finish: Callable, schema: str, groups: int, width: int = 4) -> DataFrame:
+             finish: Callable, schema: str, groups: int, width: int = 4, order: Sequence[str] = ()) -> DataFrame:
     """Rows of ``finish(meta, row, place, hash)`` for all places of rows whose hash occurs more than once.
 
     ``hashed`` gives of a batch each row's name, some whole numbers, and its 64-bit hashes. Tasks deal
@@ -123,8 +123,9 @@ def repeated(rows: DataFrame, hashed: Callable[[pa.RecordBatch], Iterable[tuple[
     repeats is ever missed.
 
     A chunk is named by its content. A lost task that runs again must meet its rows in the same order, as
-    it does from a table or after sortWithinPartitions() by a total order; else names differ and the job
-    fails, rather than mix places and rows of two attempts.
+    it does from a table. Rows that come out of a shuffle are therefore sorted by ``order``, which must be total
+    up to equal rows; were the order another all the same, names would differ and the job fail, rather
+    than mix places and rows of two attempts.
     GROUP_HASHES and HELD_HASHES bound what a task holds. At very many groups a chunk has few hashes for each: raise
     both with the memory of the executors.
     """
@@ -141,5 +142,7 @@ def repeated(rows: DataFrame, hashed: Callable[[pa.RecordBatch], Iterable[tuple[
         if held:
             yield _batch(list(_chunk(meta, held, groups, width)))
 
+    if order and "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = rows.sortWithinPartitions(*order)
     flagged = rows.mapInArrow(deal, SCHEMA).groupBy("g").applyInArrow(lambda t: _flag(t, width), SCHEMA.split(", ", 1)[1])
     return flagged.groupBy("chunk").applyInArrow(lambda t: finish(*_gather(t, width)), schema)

@@ -413,8 +413,8 @@ def _set_components(keyed: DataFrame, shingle: int) -> DataFrame:
     rows = checkpointed(keyed.select("doc_id", "tkey", "text").mapInArrow(
         prefixes, "doc_id long, tkey long, node long, n long, f0 long, f1 long, keys array<long>"))
     total = rows.agg(F.sum(F.size("keys"))).first()[0]
-    nodes = rows.select("node", "n", "f0", "f1", "keys").dropDuplicates(["node"]).sortWithinPartitions("node")
-    met, remove = written(repeated(nodes, hashed, finish, "key long, node long, n long, pos long, f0 long, f1 long", groups_for(total or 0), 8), "met")
+    nodes = rows.select("node", "n", "f0", "f1", "keys").dropDuplicates(["node"])
+    met, remove = written(repeated(nodes, hashed, finish, "key long, node long, n long, pos long, f0 long, f1 long", groups_for(total or 0), 8, ["node"]), "met")
     likely = connected_components(_likely(met))
     remove()
     found = connected_components(_similar(_sets(keyed, rows, likely, shingle)))

@@ -120,7 +120,7 @@ def _candidates(rows: DataFrame, window: int) -> DataFrame:
 
     seen = _Hashes()
     words = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = repeated(rows.select(*NAME, "text"), hashed, finish, NAME_SCHEMA + ", spans binary", groups_for(words // 6))
+    found = repeated(rows.select(*NAME, "text"), hashed, finish, NAME_SCHEMA + ", spans binary", groups_for(words // 6), order=NAME)
     return checkpointed(found.dropDuplicates(NAME))
 
 

@@ -176,7 +176,11 @@ def test_repeated_hashes(spark, monkeypatch):
     rows = [(i, [r.choice([r.getrandbits(63), 5, 9, 2**62 + i // 2]) for _ in range(r.randrange(9))]) for i in range(80)]
     hashed = lambda b: ((((i,), np.array(h, np.int64)) for i, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
     finish = lambda meta, row, place, h: pa.table([pa.array(meta[row, 0]), pa.array(place), pa.array(h.view(np.int64))], names=["i", "place", "h"])
-    got = repeats.repeated(spark.createDataFrame(rows, "i long, h array<long>").repartition(4), hashed, finish, "i long, place long, h long", 3, 8)
+    df = spark.createDataFrame(rows, "i long, h array<long>").repartition(4)
+    got = repeats.repeated(df, hashed, finish, "i long, place long, h long", 3, 8, ["i"])
+    chunks = lambda n: {r.chunk for r in df.sortWithinPartitions("i").mapInArrow(lambda bs: (repeats._batch(list(repeats._chunk(
+        *map(list, zip(*hashed(b))), 3, 8))) for b in bs if b.num_rows), repeats.SCHEMA).collect()}
+    assert chunks(1) == chunks(2)  # named by their content
     seen = [x for _, h in rows for x in h]
     assert sorted(map(tuple, got.collect())) == sorted((i, k, x) for i, h in rows for k, x in enumerate(h) if seen.count(x) > 1)
 
