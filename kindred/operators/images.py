@@ -100,8 +100,39 @@ def rotated(image: np.ndarray, degrees: float) -> np.ndarray:
     return out
 
 
+def _png_lines(raw: bytes, at: int, height: int, line_bytes: int, pixel_bytes: int) -> tuple[np.ndarray, int]:
+    """Unfiltered lines of one pass from place ``at``, and the place after them."""
+    step = max(1, pixel_bytes)
+    rows = np.frombuffer(raw, np.uint8, height * (1 + line_bytes), at).reshape(height, 1 + line_bytes)
+    out = np.zeros((height, line_bytes), np.uint8)
+    for y in range(height):
+        line, above = rows[y, 1:].astype(int), out[y - 1].astype(int) if y else np.zeros(line_bytes, int)
+        kind = rows[y, 0]
+        if kind == 0:
+            out[y] = line
+        elif kind == 2:
+            out[y] = (line + above) & 255
+        else:
+            cur = out[y]
+            for x in range(line_bytes):
+                left = int(cur[x - step]) if x >= step else 0
+                corner = int(above[x - step]) if x >= step else 0
+                if kind == 1:
+                    guess = left
+                elif kind == 3:
+                    guess = (left + above[x]) // 2
+                else:
+                    p = left + above[x] - corner
+                    guess = min((abs(p - left), 0, left), (abs(p - above[x]), 1, above[x]), (abs(p - corner), 2, corner))[2]
+                cur[x] = (line[x] + guess) & 255
+    return out, at + height * (1 + line_bytes)
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """Pixels (height, width, channels, BGR order) of an 8-bit, not interlaced PNG."""
+    """Pixels (height, width, channels, BGR order) of a PNG of any depth and colour type, interlaced or not.
+
+    Depths below 8 are spread over 0..255, unless they number a palette; of 16 bits the upper 8 are kept.
+    """
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
     at, packed, palette = 8, b"", None
@@ -111,38 +142,27 @@ def decode_png(data: bytes) -> np.ndarray:
         if kind == b"IHDR":
             width, height, depth, colour, _, _, interlaced = (
                 int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big"), *body[8:13])
-            if depth != 8 or interlaced:
-                raise ValueError("only 8-bit PNG without interlacing")
         elif kind == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
             packed += body
         at += 12 + n
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * channels)
-    out = np.zeros((height, width * channels), np.uint8)
-    for y in range(height):
-        line, above = raw[y, 1:].astype(int), out[y - 1].astype(int) if y else np.zeros(width * channels, int)
-        kind = raw[y, 0]
-        if kind == 0:
-            out[y] = line
-        elif kind == 2:
-            out[y] = (line + above) & 255
-        else:
-            cur = out[y]
-            for x in range(len(line)):
-                left = int(cur[x - channels]) if x >= channels else 0
-                corner = int(above[x - channels]) if x >= channels else 0
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
-                    guess = (left + above[x]) // 2
-                else:
-                    p = left + above[x] - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - above[x]), 1, above[x]), (abs(p - corner), 2, corner))[2]
-                cur[x] = (line[x] + guess) & 255
-    image = out.reshape(height, width, channels)
-    if palette is not None:
+    raw, at, image = zlib.decompress(packed), 0, np.zeros((height, width, channels), np.uint8)
+    # first column and row of each pass, and the steps to the next; the seven passes of an interlaced image
+    passes = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)) if interlaced else ((0, 0, 1, 1),)
+    for x0, y0, dx, dy in passes:
+        w, h = -(-(width - x0) // dx), -(-(height - y0) // dy)
+        if w <= 0 or h <= 0:
+            continue
+        lines, at = _png_lines(raw, at, h, -(-w * channels * depth // 8), channels * depth // 8)
+        if depth == 16:
+            lines = lines[:, ::2]
+        elif depth < 8:
+            bits = np.unpackbits(lines, axis=1).reshape(h, -1, depth) @ (1 << np.arange(depth)[::-1])
+            lines = bits[:, :w] if colour == 3 else bits[:, :w] * 255 // ((1 << depth) - 1)
+        image[y0::dy, x0::dx] = lines.reshape(h, w, channels)
+    if colour == 3:
         image = palette[image[:, :, 0]]
     return image[:, :, ::-1] if image.shape[2] == 3 else image[:, :, [2, 1, 0, 3]] if image.shape[2] == 4 else image
 

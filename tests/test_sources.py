@@ -241,3 +241,23 @@ def test_smoothing_and_histogram_against_plain_sums():
         h, s, _ = colorsys.rgb_to_hsv(r / 255, g / 255, b / 255)
         hist[min(int(h * 180 * 6 / 180 + 1e-9), 5), min(int(s * 6 + 1e-9), 6) if s < 1 else 6 - 1] += s < 1
     assert np.allclose(images.hue_saturation(pixels) * hist.sum(), hist.ravel())
+
+
+def png_of(lines, width, height, depth, colour, interlaced=0, palette=b""):
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    head = struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, interlaced)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + x for x in lines))) + chunk(b"IEND", b"")
+
+
+def test_png_depths_and_passes():
+    assert images.decode_png(png_of([b"\xa0", b"\x40"], 3, 2, 1, 0))[:, :, 0].tolist() == [[255, 0, 255], [0, 255, 0]]
+    assert images.decode_png(png_of([b"\x1b"], 4, 1, 2, 0))[:, :, 0].tolist() == [[0, 85, 170, 255]]
+    assert images.decode_png(png_of([b"\x0f\x80"], 3, 1, 4, 0))[:, :, 0].tolist() == [[0, 255, 136]]
+    assert images.decode_png(png_of([b"\x12\x34\xff\x00"], 2, 1, 16, 0))[:, :, 0].tolist() == [[0x12, 0xff]]
+    assert images.decode_png(png_of([b"\x1b"], 4, 1, 2, 3, palette=bytes(range(12)))).tolist() == [[[2, 1, 0], [5, 4, 3], [8, 7, 6], [11, 10, 9]]]
+    r = np.random.default_rng(0)
+    for w, h in ((9, 7), (1, 1), (5, 3), (8, 8)):
+        pixels = r.integers(0, 256, (h, w, 3), dtype=np.uint8)
+        parts = [pixels[y::b, x::a] for x, y, a, b in ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))]
+        lines = [row.tobytes() for p in parts if p.size for row in p]
+        assert images.decode_png(png_of(lines, w, h, 8, 2, 1)).tolist() == pixels[:, :, ::-1].tolist()
