@@ -51,10 +51,6 @@ def magnitudes(spark, sf_dir):
     return vectors(spark, sf_dir).select("id", "label", F.transform("vec", F.abs).alias("desc"))
 
 
-def whole_l2(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0).cast("bigint"), lambda s, x: s + x)
-
-
 @query(f"SELECT vec_id, generate_subscripts(embedding, 1)::BIGINT - 1 AS pos, unnest({V}) AS x FROM embeddings")
 def scan_descriptors(spark, sf_dir):
     return vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), F.posexplode("vec").alias("pos", "x")).withColumn("pos", F.col("pos").cast("bigint"))
