@@ -78,10 +78,6 @@ class Sieve:
         return (self.words[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def usable_vector(vec):
     """A vector that is not null or empty and has no null or non-finite component."""
     return vec.isNotNull() & (F.size(vec) > 0) & F.forall(

@@ -5,7 +5,6 @@ import re
 
 import brute
 import numpy as np
-import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
