@@ -59,8 +59,9 @@ def text_order(text):
     return signed(xxhash.xxh64_intdigest(raw, 42)), signed(xxhash.xxh64_intdigest(raw, one))
 
 
-def greedy_pieces(word, first, rest):
-    n, at, longest = 0, 0, max(map(len, first | rest), default=0)
+def greedy_pieces(word, first, rest, longest=200):
+    """No piece is longer than ``longest`` bytes."""
+    n, at = 0, 0
     while at < len(word):
         known = first if at == 0 else rest
         end = next((e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in known), None)

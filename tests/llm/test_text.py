@@ -160,10 +160,10 @@ def test_sum_of_squares_takes_the_least():
 
 def plain_counts(rows):
     first, rest = map(set, token_counts.piece_sets(P.path("byte_bpe_50k.tiktoken")))
-    known, out = {}, []
+    longest, known, out = max(map(len, first | rest)), {}, []
     for i, t in rows:
         words = (t or "").encode().split()
-        n = [known[w] if w in known else known.setdefault(w, brute.greedy_pieces(b" " + w, first, rest)) for w in words]
+        n = [known[w] if w in known else known.setdefault(w, brute.greedy_pieces(b" " + w, first, rest, longest)) for w in words]
         out.append((i, len(words), sum(n), 0))
     return sorted(out, key=str)
 
