@@ -7,7 +7,6 @@ import gc
 import hashlib
 import re
 from collections.abc import Iterable
-from functools import lru_cache
 from itertools import chain, islice
 from string import ascii_letters
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_slices
+from .shared import held_by_worker, text_slices
 
 #: Distinct words and their bytes in one recursive query (or one longer word).
 QUERY_WORDS, QUERY_BYTES = 30_000, 2 << 20
@@ -201,7 +200,7 @@ class Bpe:
             yield (line.count(" ") + 1 if line else 0), line, head[1] + b"".join(map(raw_of, at))
 
 
-@lru_cache(1)
+@held_by_worker
 def _bpe(ranks, pattern) -> Bpe:
     return Bpe(ranks, pattern)
 
@@ -221,7 +220,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
 
     def run(batches):
         bpe = _bpe(ranks, pattern)
-        for b in text_slices(batches):
+        for b in text_slices(batches, _bpe):
             rows = [(k, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(raw).hexdigest())
                     for k, line, raw in bpe.run([t or "" for t in b.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays(

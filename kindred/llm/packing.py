@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 from itertools import count as count_from
 
 import numpy as np
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, small_batches, text_slices
+from .shared import checkpointed, held_by_worker, small_batches, text_slices
 
 CAPACITY = 2048
 #: Items that one task packs; sequences with at least LOOSE tokens free are packed again together.
@@ -99,7 +98,7 @@ class ByteLevelTokenizer:
         return (self._plain(first) if first else b"") + b"".join(map(self.rest.__getitem__, rest))
 
 
-@lru_cache(1)
+@held_by_worker
 def _tokenizer(json_text: str) -> ByteLevelTokenizer:
     return ByteLevelTokenizer(json_text)
 
@@ -117,7 +116,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
     def run(batches):
         t = _tokenizer(text_of_file)
-        for b in text_slices(batches):
+        for b in text_slices(batches, _tokenizer):
             out = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = t.encode(text.as_py() or "") + end

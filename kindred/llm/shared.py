@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +48,27 @@ def small_batches(spark: SparkSession):
             spark.conf.set(BATCH_SETTING, before)
 
 
-def text_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: What operators hold in a worker from one task to the next: functions with a cache.
+HELD: list[Callable] = []
+
+
+def held_by_worker(make: Callable) -> Callable:
+    """make with its last result held in the worker until a task of another operator starts there."""
+    cached = lru_cache(1)(make)
+    HELD.append(cached)
+    return cached
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], keep: Callable | None = None) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices of about SLICE_BYTES, one row at least.
 
     Spark bounds a batch by rows, or by a setting that is the session's own business (small_batches() sets
     it for jobs that an operator runs itself). What a task makes of a slice, lists of texts or
-    words and new columns, is bounded in any session.
+    words and new columns, is bounded in any session. What other operators than ``keep`` hold in this worker goes.
     """
+    for cached in HELD:
+        if cached is not keep:
+            cached.cache_clear()
     for b in batches:
         parts = max(1, -(-b.nbytes // SLICE_BYTES))
         step = max(1, -(-b.num_rows // parts))

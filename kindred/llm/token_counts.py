@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import base64
 from collections import deque
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_slices
+from .shared import held_by_worker, text_slices
 
 HELD_WORDS = 400_000
 
@@ -81,7 +80,7 @@ class LongestMatch:
         return n if u == 1 else -1
 
 
-@lru_cache(1)
+@held_by_worker
 def _automaton(first, rest):
     return LongestMatch(first, rest)
 
@@ -100,7 +99,7 @@ def count_tokens(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_c
 
     def run(batches):
         count, held = _automaton(first, rest).count, {}
-        for b in text_slices(batches):
+        for b in text_slices(batches, _automaton):
             rows = []
             for text in b.column(1):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()

@@ -183,3 +183,12 @@ PIECES = st.sets(st.text(alphabet="abc", min_size=1, max_size=5).map(str.encode)
 @given(PIECES, PIECES, st.text(alphabet="abc", min_size=1, max_size=14).map(str.encode))
 def test_automaton_is_greedy(first, rest, word):
     assert token_counts.LongestMatch(tuple(first), tuple(rest)).count(word) == brute.greedy_pieces(word, first, rest)
+
+
+def test_workers_hold_one_operator():
+    from kindred.llm import shared
+    made = []
+    one, two = (shared.held_by_worker(lambda k=k: made.append(k) or k) for k in (1, 2))
+    one(), two(), one(), list(shared.text_slices([], one)), one(), two()
+    assert made == [1, 2, 2]
+    del shared.HELD[-2:]
