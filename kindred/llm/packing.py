@@ -17,7 +17,7 @@ CAPACITY = 2048
 #: Items that one task packs; sequences with at least LOOSE tokens free are packed again together.
 GROUP_ITEMS = 100_000
 LOOSE = 32
-HELD_CHUNKS = 400_000
+HELD_CHUNKS = 800_000
 WHITE_THEN_SPACE = re.compile(r"\s ")
 #: ASCII marks that are neither letters, numbers nor white, and no apostrophe.
 PUNCTUATION = ".,;:!?|#$%&*()[]{}<>\"/\\=+_~^@`-"
