@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators.ordering import spread
 
-from . import bpe, embed_dedup, packing, sharding, simhash, substring, token_counts, topk, toxicity, url_filter
+from . import bpe, embed_dedup, multi_index, packing, sharding, simhash, substring, token_counts, topk, toxicity, url_filter
 from .oracles import ORACLE_SQL
 
 
@@ -67,6 +67,10 @@ def op10_simhash(spark, sf_dir):
     return simhash.components(texts(spark, sf_dir))
 
 
+def op11_multi_index(spark, sf_dir):
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_bpe": op2_bpe,
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
+    "op11_multi_index": op11_multi_index,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -51,8 +51,10 @@ def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50, scale: int = 256
     Components become floor(scale * x), x as double. Queries are the rows whose id is divisible
     by ``query_step``; candidates are all rows of another id and the same dimension. Score ties go
     to the smaller id. Vectors that are null, empty or hold null or non-finite components take no
-    part, nor do null ids; equal rows are counted before the search and each fills a rank;
-    a query given twice is answered once. No queries or candidates: no rows.
+    part, nor do null ids; equal rows are counted before the search and each fills a rank. A query id
+    is answered once: given with several vectors, it asks with the least of them (arrays compared in
+    order), and all stay candidates of other queries. No queries or candidates: no rows. Other columns
+    are ignored, whatever their names.
 
     Queries in blocks meet candidates in shards: rows are dealt to shards and blocks by hash,
     and each (shard, block) cell is one matrix product with its own selection, so a cell's
@@ -62,7 +64,8 @@ def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50, scale: int = 256
     rows = vectors.where(usable_vector(F.col(vec_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), x.alias("x"))
     rows = rows.groupBy("id", "x").agg(F.count("*").alias("copies")).withColumn("dim", F.size("x"))
-    asks = rows.where(F.col("id") % query_step == 0)
+    asks = rows.where(F.col("id") % query_step == 0).groupBy("id").agg(F.min("x").alias("x")).select(
+        "id", "x", F.lit(1).cast("long").alias("copies"), F.size("x").alias("dim"))
     n, n_asks = vectors.count(), vectors.where(F.col(id_col) % query_step == 0).count()
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-n_asks // BLOCK_ROWS))
     deal = lambda parts: F.pmod(F.xxhash64("id", "x"), F.lit(parts)).cast("int")
@@ -82,15 +85,21 @@ def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50, scale: int = 256
 
     both = left.withColumn("ask", F.lit(True)).unionByName(right.withColumn("ask", F.lit(False)))
     tops = both.groupBy(*cell).applyInArrow(product, "query_id long, part int, vec_id long, score long")
+    return merged(tops, shards, k)
+
+
+def merged(tops: DataFrame, parts: int, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of a query's lists ``tops(query_id, part, vec_id, score)``.
+
+    Lists of parts 0 to ``parts`` - 1 are merged in a tree, FAN_IN at a time; higher scores go first, ties to the smaller id.
+    """
     item = F.struct((-F.col("score")).alias("minus"), F.col("vec_id"))
     while True:
-        parts = -(-shards // FAN_IN)
-        last = parts == 1
+        parts = -(-parts // FAN_IN)
         tops = tops.groupBy("query_id", F.floor(F.col("part") / FAN_IN).cast("int").alias("part")).agg(
             F.slice(F.array_sort(F.collect_list(item)), 1, k).alias("best"))
         tops = tops.select("query_id", "part", F.posexplode("best").alias("at", "b"))
-        if last:
+        if parts <= 1:
             return tops.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id",
                                (-F.col("b.minus")).alias("score"))
         tops = tops.select("query_id", "part", "b.vec_id", (-F.col("b.minus")).alias("score"))
-        shards = parts
