@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from .importance import BUCKETS, LEAST_WORDS, PERCENT
+from .importance import SEED as SAMPLE_SEED
 from .sharding import SEED
 from .url_filter import ADDRESS, LOWER, RULES, SUFFIXES, THRESHOLD, UPPER, Z
 
@@ -220,4 +222,24 @@ g AS (SELECT doc_id, count(*) AS n, string_agg(id, ' ' ORDER BY place, pos) AS l
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, sha256(coalesce(line, '')) AS ids_sha256, sha256(unhex(coalesce(raw, ''))) AS decoded_sha256 FROM d LEFT JOIN g USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_bpe": OP2, "op10_simhash": OP10, "op4_token_counts": OP4, "op1_exact_topk": OP1, "op5_embedding_dedup": OP5, "op6_sharding": OP6, "op7_url_filter": OP7, "op9_substring_dedup": OP9}
+FEATURE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP12 = f"""
+WITH t AS (SELECT {_crc_table()}::BIGINT[] AS crc),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{FEATURE}') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS word FROM d),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{FEATURE}')) AS word FROM benchmark),
+x AS (SELECT word, list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM (SELECT word FROM u UNION SELECT word FROM b)),
+k AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) % {BUCKETS} AS bucket FROM x, t),
+s AS (SELECT bucket, count(*) AS s FROM u JOIN k USING (word) GROUP BY bucket),
+a AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM u) AS all_s, (SELECT count(*) FROM b) AS all_t),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (all_s + {BUCKETS})::DOUBLE / ((s::DOUBLE + 1) * (all_t + {BUCKETS})::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN a USING (bucket), n),
+m AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM u JOIN k USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+f AS (SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, {_bits32("").replace("md5()", f"sha256('{SAMPLE_SEED}:' || doc_id)")} AS h FROM d LEFT JOIN m USING (doc_id)),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((h::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM f),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM z WHERE n_features >= {LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {PERCENT} * n // 100 THEN rank END::BIGINT AS rank FROM z LEFT JOIN r USING (doc_id)
+"""
+
+ORACLE_SQL = {"op2_bpe": OP2, "op10_simhash": OP10, "op12_importance": OP12, "op4_token_counts": OP4, "op1_exact_topk": OP1, "op5_embedding_dedup": OP5, "op6_sharding": OP6, "op7_url_filter": OP7, "op9_substring_dedup": OP9}

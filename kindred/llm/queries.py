@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kindred.operators.ordering import spread
 
-from . import bpe, embed_dedup, multi_index, packing, sharding, simhash, substring, token_counts, topk, toxicity, url_filter
+from . import (bpe, embed_dedup, importance, multi_index, packing, sharding, simhash, substring, token_counts, topk, toxicity, url_filter,
+               whitening)
 from .oracles import ORACLE_SQL
 
 
@@ -71,6 +72,14 @@ def op11_multi_index(spark, sf_dir):
     return multi_index.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_importance(spark, sf_dir):
+    return importance.draw(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_bpe": op2_bpe,
@@ -83,6 +92,8 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
     "op11_multi_index": op11_multi_index,
+    "op12_importance": op12_importance,
+    "op13_whitening": op13_whitening,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
