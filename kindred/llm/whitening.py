@@ -32,7 +32,7 @@ def column_sums(rows: DataFrame, column: str, dim: int) -> tuple[int, list]:
 def covariance(rows: DataFrame, column: str, means: list[float]) -> np.ndarray:
     """The covariance of an array column, divisor its rows: entries are centred, multiplied and summed by pairs of dimensions."""
     dim, pairs = len(means), upper_triangle(len(means))
-    centred = rows.select(*(F.expr(f"`{column}`[{i}] - {float(m)!r}D").alias(f"c{i}") for i, m in enumerate(means)))
+    centred = rows.select(*(F.expr(f"coalesce(`{column}`[{i}] - {float(m)!r}D, 0D)").alias(f"c{i}") for i, m in enumerate(means)))  # never null, so sums need no checks
     out = np.zeros((dim, dim))
     for lo in range(0, len(pairs), PAIRS_AT_ONCE):
         part = pairs[lo:lo + PAIRS_AT_ONCE]
