@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from kindred.operators.ordering import shared_folder
-from kindred.sources import points
+from kindred.sources import binary, points
 
 from . import sketch_queries as sketches
 from .registry import query, table
@@ -53,13 +53,13 @@ def record_files(spark, sf_dir):
         "pid", F.col("ord").cast("bigint").alias("ord"), F.lower(F.hex("item")).alias("item"))
 
 
-@query("SELECT 'label' || label AS url, list_sum(list_transform(range(64), lambda i: (i + 1) * round(embedding[i + 1]::DOUBLE * 1000)))::BIGINT AS digest FROM embeddings")
+@query("SELECT 'label' || label || '/' || vec_id // 16 AS url, list_sum(list_transform(range(64), lambda i: (i + 1) * round(embedding[i + 1]::DOUBLE * 1000)))::BIGINT AS digest FROM embeddings")
 def raw_record_files(spark, sf_dir):
-    """Descriptors of 64 floats by label; a digest of each after the way through the file."""
-    rows = table(spark, sf_dir, "embeddings").groupBy(F.concat(F.lit("label"), F.col("label").cast("string")).alias("url")).agg(F.collect_list("embedding").alias("descs"))
+    """Descriptors of 64 floats, sixteen at most in a record; a digest of each after the way through the file."""
+    url = F.concat(F.lit("label"), F.col("label").cast("string"), F.lit("/"), F.floor(F.col("vec_id") / 16).cast("string"))
+    rows = table(spark, sf_dir, "embeddings").groupBy(url.alias("url")).agg(F.collect_list("embedding").alias("descs"))
     points.write_raw_records(rows, at := _place(spark))
-    digest = F.aggregate(F.transform("desc", lambda x, i: (i + 1) * F.round(x.cast("double") * 1000)), F.lit(0.0), lambda s, x: s + x)
-    return points.read_raw_records(spark, at, 64).select("url", digest.cast("bigint").alias("digest"))
+    return points.read_raw_records(spark, at, 64).select("url", _digest("desc"))
 
 
 @query("SELECT c_custkey + 1000 AS key, c_name AS pid FROM customer")
@@ -83,11 +83,47 @@ def manifest_files(spark, sf_dir):
     return points.read_manifest(spark, at)
 
 
-@query("SELECT count(*) AS files, sum(rows)::BIGINT AS rows, max(columns)::BIGINT AS columns FROM (SELECT 1 AS f, count(*) AS rows, max(len(embedding)) AS columns FROM embeddings)")
+@query("SELECT count(*) AS rows, max(len(embedding))::BIGINT AS columns FROM embeddings")
 def matrix_heads(spark, sf_dir):
-    """The sizes that a matrix file's head tells, without its rows."""
-    points.write_matrix(table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("vec")), at := _place(spark))
-    return points.peek_matrix(spark, at).agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.max("columns").alias("columns"))
+    """The sizes that matrix files' heads tell, without their rows."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("vec")).repartition(7)
+    points.write_matrix(rows, at := _place(spark))
+    return points.peek_matrix(spark, at).agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns"))
+
+
+DIGEST = "list_sum(list_transform(range(64), lambda i: (i + 1) * round(embedding[i + 1]::DOUBLE * 1000)))::BIGINT AS digest"
+
+
+def _digest(vec: str):
+    return F.aggregate(F.transform(vec, lambda x, i: (i + 1) * F.round(x.cast("double") * 1000)), F.lit(0.0), lambda s, x: s + x).cast("bigint").alias("digest")
+
+
+@query(f"SELECT {DIGEST} FROM embeddings")
+def matrix_rows(spark, sf_dir):
+    """All rows back from matrices of several files, each read in spans of some 30 rows."""
+    points.write_matrix(table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("vec")).repartition(3), at := _place(spark))
+    return points.read_matrix(spark, at, span_bytes=8000).select(_digest("vec"))
+
+
+@query("WITH " + sketches.PLANTED + f" SELECT {SKETCH_HEX} AS sketch, image_id AS key FROM pl WHERE image_id BETWEEN 20000000 AND 49999999")
+def point_source(spark, sf_dir):
+    """A key range of points in files that lie by key: some files are left out, the others cut in spans and looked up."""
+    rows = _points(spark, sf_dir).repartitionByRange(4, "key").sortWithinPartitions("key")
+    size = points.write_points(rows, at := _place(spark)).agg(F.sum("bytes")).first()[0]
+    kept = points.read_points(spark, at, span_bytes=size // 7 + 1).where(F.col("key").between(20_000_000, 49_999_999))
+    return kept.select(F.lower(F.hex("sketch")).alias("sketch"), "key")
+
+
+@query(f"WITH {CONVERSATIONS}, p AS (SELECT pid, ord, item, pid::BIGINT % 3 AS part FROM c) SELECT pid, ord, item FROM p WHERE part > 0 UNION ALL SELECT pid, ord, item FROM p WHERE part = 2")
+def record_sink(spark, sf_dir):
+    """Records written, replaced by others, and appended to; then found by their borders and read in spans."""
+    rows, part = _conversations(spark, sf_dir), F.col("pid").cast("bigint") % 3
+    points.write_records(rows.where(part == 0), at := _place(spark))
+    points.write_records(rows.where(part > 0), at, mode="overwrite")
+    points.write_records(rows.where(part == 2), at)
+    binary.index_records(spark, at, "records", every=2000)
+    return points.read_records(spark, at, span_bytes=2000).select("pid", F.posexplode("items").alias("ord", "item")).select(
+        "pid", F.col("ord").cast("bigint").alias("ord"), F.lower(F.hex("item")).alias("item"))
 
 
 WIRE = ("w AS (SELECT page_id, repeat(url, 1 + page_id % 12) AS url, page_id * 7 % 260 AS n, ('0x' || substr(md5(url), 1, 15))::BIGINT AS fingerprint FROM pages)")

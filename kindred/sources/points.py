@@ -1,23 +1,21 @@
 """Fixed-width and length-prefixed binary files, manifests and reports; canonical storage is Parquet.
 
-Files of little-endian rows are read with Spark's binaryFile source, so any store that Spark
-reads will do, and parsed in Arrow batches.
+Files of little-endian rows go through the data source of kindred.sources.binary.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.operators import images
 
-POINT, KEY_FIRST = np.dtype([("sketch", "S16"), ("key", "<u4")]), np.dtype([("key", "<u4"), ("sketch", "S16")])
+from . import binary
+
 MANIFEST = "key bigint, num int, fingerprint string, url string"
 
 
@@ -27,74 +25,30 @@ def files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFra
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
 
-def _parse(spark, path, schema, names, parse, pattern=None):
-    def run(batches):
-        for b in batches:
-            for content in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays(parse(content), names=names)
-    return files(spark, path, pattern).select("content").mapInArrow(run, schema)
-
-
-def read_points(spark: SparkSession, path: str, sketch_first: bool = True) -> DataFrame:
+# binary files: kindred.sources.binary cuts and commits them
+def read_points(spark: SparkSession, path: str, sketch_first: bool = True, **options) -> DataFrame:
     """(sketch binary, key): rows of 16 + 4 bytes in either order; a cut last row is left out."""
-    kind = POINT if sketch_first else KEY_FIRST
+    return binary.read(spark, path, "points", key_first=not sketch_first, **options)
 
-    def parse(content):
-        rows = np.frombuffer(content[:len(content) // 20 * 20], np.uint8).reshape(-1, 20)
-        at = kind.fields["sketch"][1]
-        key = np.frombuffer(content[:len(content) // 20 * 20], kind)["key"].astype(np.int64)
-        return [pa.array([r.tobytes() for r in rows[:, at:at + 16]], pa.binary()), pa.array(key)]
 
-    return _parse(spark, path, "sketch binary, key bigint", ["sketch", "key"], parse)
+def read_records(spark: SparkSession, path: str, width: int = 16, **options) -> DataFrame:
+    """(pid, items): length and bytes of the pid, then count and items of ``width`` bytes, until the end."""
+    return binary.read(spark, path, "records", width=width, **options)
 
 
-def read_records(spark: SparkSession, path: str, width: int = 16) -> DataFrame:
-    """(pid, items): length and bytes of the pid, then count and items of ``width`` bytes, until the end."""
-    def parse(content):
-        pids, items, at = [], [], 0
-        while at + 8 <= len(content):
-            n = int.from_bytes(content[at:at + 8], "little")
-            pid, at = content[at + 8:at + 8 + n], at + 8 + n
-            k = int.from_bytes(content[at:at + 8], "little")
-            at += 8
-            if at + k * width > len(content):
-                break
-            pids.append(pid.decode("utf-8", "replace"))
-            items.append([content[at + i * width:at + (i + 1) * width] for i in range(k)])
-            at += k * width
-        return [pa.array(pids, pa.string()), pa.array(items, pa.list_(pa.binary()))]
-
-    return _parse(spark, path, "pid string, items array<binary>", ["pid", "items"], parse)
-
-
-def read_key_pids(spark: SparkSession, path: str) -> DataFrame:
+def read_key_pids(spark: SparkSession, path: str, **options) -> DataFrame:
     """(key, pid): unsigned key, length and bytes of the pid."""
-    def parse(content):
-        keys, pids, at = [], [], 0
-        while at + 8 <= len(content):
-            n = int.from_bytes(content[at + 4:at + 8], "little")
-            keys.append(int.from_bytes(content[at:at + 4], "little"))
-            pids.append(content[at + 8:at + 8 + n].decode("utf-8", "replace"))
-            at += 8 + n
-        return [pa.array(keys, pa.int64()), pa.array(pids, pa.string())]
-
-    return _parse(spark, path, "key bigint, pid string", ["key", "pid"], parse)
+    return binary.read(spark, path, "key_pids", **options)
 
 
-def read_bins(spark: SparkSession, path: str) -> DataFrame:
-    def parse(content):
-        rows = np.frombuffer(content[:len(content) // 8 * 8], "<u4").reshape(-1, 2).astype(np.int64)
-        return [pa.array(np.ascontiguousarray(c)) for c in rows.T]
-    return _parse(spark, path, "key bigint, count bigint", ["key", "count"], parse)
+def read_bins(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(key, count): two unsigned numbers a row."""
+    return binary.read(spark, path, "bins", **options)
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, vec): three unsigned numbers (element size, rows, columns), then 32-bit floats row by row."""
-    def parse(content):
-        _, n, dim = np.frombuffer(content[:12], "<u4").tolist()
-        x = np.frombuffer(content[12:12 + 4 * n * dim], "<f4").reshape(-1, dim)
-        return [pa.array(np.arange(len(x))), pa.array(x.tolist(), pa.list_(pa.float32()))]
-    return _parse(spark, path, "row_id bigint, vec array<float>", ["row_id", "vec"], parse)
+def read_matrix(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(row_id, vec): three unsigned numbers (element size, rows, columns), then 32-bit floats row by row; row_id counts in each file."""
+    return binary.read(spark, path, "matrix", **options)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -122,142 +76,63 @@ def write_neighbours(ranked: DataFrame, path: str) -> None:
     lists.select(F.concat_ws("\t", F.col("q_id").cast("string"), F.col("k").cast("string"), F.concat_ws("\t", "l.p"))).write.text(path)
 
 
-def read_raw_records(spark: SparkSession, path: str, width: int = 128) -> DataFrame:
+def read_raw_records(spark: SparkSession, path: str, width: int = 128, **options) -> DataFrame:
     """(url, ord, desc): length and bytes of the url, then count and descriptors of ``width`` 32-bit floats, one row each.
 
     A url without descriptors gives none; a cut last record is left out.
     """
-    def parse(content):
-        urls, ords, rows, at = [], [], [], 0
-        while at + 8 <= len(content):
-            n = int.from_bytes(content[at:at + 8], "little")
-            url, at = content[at + 8:at + 8 + n], at + 8 + n
-            k = int.from_bytes(content[at:at + 8], "little")
-            at += 8
-            if at + 4 * k * width > len(content):
-                break
-            urls += [url.decode("utf-8", "replace")] * k
-            ords += range(k)
-            rows += np.frombuffer(content, "<f4", k * width, at).reshape(k, width).tolist()
-            at += 4 * k * width
-        return [pa.array(urls, pa.string()), pa.array(ords, pa.int32()), pa.array(rows, pa.list_(pa.float32()))]
-
-    return _parse(spark, path, "url string, ord int, desc array<float>", ["url", "ord", "desc"], parse)
-
-
-def read_descriptors(spark: SparkSession, path: str, width: int = 128) -> DataFrame:
+    return binary.read(spark, path, "raw_records", columns=width, **options)
+
+
+def read_descriptors(spark: SparkSession, path: str, width: int = 128, **options) -> DataFrame:
     """(vec): rows of ``width`` 32-bit floats without a head, as blacklists are kept."""
-    def parse(content):
-        x = np.frombuffer(content[:len(content) // (4 * width) * 4 * width], "<f4").reshape(-1, width)
-        return [pa.array(x.tolist(), pa.list_(pa.float32()))]
-    return _parse(spark, path, "vec array<float>", ["vec"], parse)
+    return binary.read(spark, path, "vectors", columns=width, **options)
 
 
 def peek_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(path, element_size, rows, columns) from the heads of matrix files."""
-    def run(batches):
-        for b in batches:
-            heads = [np.frombuffer(h, "<u4").tolist() for h in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([h[k] for h in heads], pa.int64()) for k in range(3))], names=["path", "element_size", "rows", "columns"])
-    return files(spark, path).select("path", F.substring("content", 1, 12)).mapInArrow(run, "path string, element_size bigint, rows bigint, columns bigint")
-
-
-# binary writers: a file per partition
-def _local(path: str) -> str:
-    return path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-
-
-def write_binary(df: DataFrame, path: str, pack: Callable[[pa.RecordBatch], Iterable[bytes]]) -> DataFrame:
-    """Writes ``pack``'s bytes of each partition to path/part-<number> on any store that Arrow's filesystems reach.
-
-    An attempt writes under a name of its own and then takes the partition's name, so a task that runs again
-    replaces its file whole. Gives (file, bytes) of the files written; empty partitions leave none.
-    """
-    where = _local(path)
-
-    def run(batches):
-        from pyarrow import fs
-        task, out, n = TaskContext.get(), None, 0
-        store, base = fs.FileSystem.from_uri(where)
-        name, own = f"{base}/part-{task.partitionId():05d}", f"{base}/_attempt-{task.taskAttemptId()}"
-        for b in batches:
-            for data in pack(b):
-                if out is None:
-                    store.create_dir(base, recursive=True)
-                    out = store.open_output_stream(own)
-                out.write(data)
-                n += len(data)
-        if out is not None:
-            out.close()
-            store.move(own, name)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], names=["file", "bytes"])
-
-    done = df.mapInArrow(run, "file string, bytes bigint").collect()  # a row per partition
-    return df.sparkSession.createDataFrame([tuple(r) for r in done], "file string, bytes bigint")
+    return binary.heads(spark, path)
 
 
 def pack_points(points: DataFrame, sketch: str = "sketch", key: str = "key", by: int = 0) -> DataFrame:
     """20-byte rows, keys moved by ``by``, one binary per task and batch, for export."""
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_point_rows(b, by)], pa.binary())], names=["rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([binary.point_rows(b.column(0), b.column(1).to_numpy() + by)], pa.binary())], names=["rows"])
     return points.select(sketch, F.col(key).cast("bigint")).mapInArrow(run, "rows binary")
 
 
-def _point_rows(b: pa.RecordBatch, by: int) -> bytes:
-    rows = np.zeros((b.num_rows, 20), np.uint8)
-    rows[:, :16] = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, 16)
-    rows[:, 16:] = (b.column(1).to_numpy() + by).astype("<u4").view(np.uint8).reshape(-1, 4)
-    return rows.tobytes()
+def _sized(data: bytes, kind: str) -> bytes:
+    return struct.pack(kind, len(data)) + data
 
 
-def write_points(points: DataFrame, path: str, by: int = 0) -> DataFrame:
+def write_points(points: DataFrame, path: str, by: int = 0, **options) -> DataFrame:
     """Files of points(sketch, key), keys moved by ``by``."""
-    return write_binary(points.select("sketch", F.col("key").cast("bigint")), path, lambda b: [_point_rows(b, by)] if b.num_rows else [])
+    return binary.write(points.select("sketch", F.col("key").cast("bigint").alias("key")), path, "points", by=by, **options)
 
 
-def _sized(data: bytes, kind: str) -> bytes:
-    return struct.pack(kind, len(data)) + data
-
-
-def write_records(records: DataFrame, path: str) -> DataFrame:
+def write_records(records: DataFrame, path: str, **options) -> DataFrame:
     """Files of records(pid, items), items of equal width."""
-    def pack(b):
-        for pid, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            yield _sized((pid or "").encode(), "<Q") + struct.pack("<Q", len(items or ())) + b"".join(items or ())
-    return write_binary(records.select("pid", "items"), path, pack)
+    return binary.write(records.select("pid", "items"), path, "records", **options)
 
 
-def write_raw_records(records: DataFrame, path: str) -> DataFrame:
+def write_raw_records(records: DataFrame, path: str, **options) -> DataFrame:
     """Files of records(url, descs), descs an array of arrays of 32-bit floats."""
-    def pack(b):
-        for url, descs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            yield _sized((url or "").encode(), "<Q") + struct.pack("<Q", len(descs or ())) + np.array(descs or (), "<f4").tobytes()
-    return write_binary(records.select("url", "descs"), path, pack)
+    return binary.write(records.select("url", "descs"), path, "raw_records", **options)
 
 
-def write_key_pids(pairs: DataFrame, path: str, by: int = 0) -> DataFrame:
+def write_key_pids(pairs: DataFrame, path: str, by: int = 0, **options) -> DataFrame:
     """Files of pairs(key, pid), keys moved by ``by``."""
-    def pack(b):
-        for key, pid in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            yield struct.pack("<I", key + by) + _sized((pid or "").encode(), "<i")
-    return write_binary(pairs.select(F.col("key").cast("bigint"), "pid"), path, pack)
-
-
-def write_bins(bins: DataFrame, path: str) -> DataFrame:
-    def pack(b):
-        if b.num_rows:
-            yield np.column_stack([b.column(k).to_numpy() for k in range(2)]).astype("<u4").tobytes()
-    return write_binary(bins.select(F.col("key").cast("bigint"), F.col("count").cast("bigint")), path, pack)
-
-
-def write_matrix(vectors: DataFrame, path: str) -> DataFrame:
-    """Matrix files of vectors(vec), one of at most a batch's rows per partition and batch: each with its own head."""
-    def pack(b):
-        if b.num_rows:
-            x = np.array(b.column(0).to_pylist(), "<f4")
-            yield struct.pack("<3I", 4, *x.shape) + x.tobytes()
-    return write_binary(vectors.select("vec").coalesce(1), path, pack)
+    return binary.write(pairs.select(F.col("key").cast("bigint").alias("key"), "pid"), path, "key_pids", by=by, **options)
+
+
+def write_bins(bins: DataFrame, path: str, **options) -> DataFrame:
+    return binary.write(bins.select(F.col("key").cast("bigint").alias("key"), F.col("count").cast("bigint").alias("count")), path, "bins", **options)
+
+
+def write_matrix(vectors: DataFrame, path: str, **options) -> DataFrame:
+    """Matrix files of vectors(vec), each with its own head; a task starts another where one is full."""
+    return binary.write(vectors.select("vec"), path, "matrix", **options)
 
 
 def lines(df: DataFrame, *columns: str) -> DataFrame:
