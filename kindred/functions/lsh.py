@@ -141,10 +141,42 @@ class Xor:
 
 
 def project_sparse(vec: Column, a: Sequence[float]) -> Column:
-    """a.x of a sparse vector, MAP<INT, DOUBLE>; indices beyond a count as zero."""
-    weights = literal([float(x) for x in a])
-    terms = F.transform(F.map_entries(vec), lambda e: e["value"] * F.coalesce(F.get(weights, e["key"]), F.lit(0.0)))
-    return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
+    """a.x of a sparse vector, a MAP<INT, number> or an array of (index, value) structs; indices outside a count as zero.
+
+    Entries are folded one by one, each looking its weight up; nothing is joined and no dense vector made. An index that
+    comes twice counts twice.
+    """
+    whole = all(isinstance(x, int) for x in a)
+    zero = F.lit(0).cast("bigint") if whole else F.lit(0.0)
+    weights = literal(a)
+
+    def term(e):
+        return e["value"] * F.when((e["index"] >= 0) & (e["index"] < len(a)), F.get(weights, e["index"].cast("int"))).otherwise(zero)
+    return F.aggregate(vec, zero, lambda s, e: s + F.coalesce(term(e), zero))
+
+
+def entries(vec: Column) -> Column:
+    """A map's entries as (index, value) structs."""
+    return F.transform(F.map_entries(vec), lambda e: F.struct(e["key"].alias("index"), e["value"].alias("value")))
+
+
+@dataclass(frozen=True)
+class Sparse:
+    """A stable-distribution or hyperplane hash of sparse vectors, arrays of (index, value) structs."""
+    of: StableDistribution | HyperPlane
+
+    def hash(self, vec: Column) -> Column:
+        at = project_sparse(vec, self.of.a)
+        if isinstance(self.of, HyperPlane):
+            return (at >= 0).cast("bigint")
+        return F.floor((at + F.lit(self.of.b)) / F.lit(self.of.w)).cast("bigint")
+
+    def delta(self, vec: Column) -> Column:
+        at = project_sparse(vec, self.of.a)
+        if isinstance(self.of, HyperPlane):
+            return F.abs(at)
+        at = (at + F.lit(self.of.b)) / F.lit(self.of.w)
+        return at - F.floor(at)
 
 
 def dump(hashes) -> str:
@@ -158,7 +190,7 @@ def dump(hashes) -> str:
 
 def load(text: str):
     """What dump() was given; lists come back as tuples."""
-    kinds = {k.__name__: k for k in (Trivial, StableDistribution, HyperPlane, Threshold, Tail, Repeat, RepeatHash, Xor)}
+    kinds = {k.__name__: k for k in (Trivial, StableDistribution, HyperPlane, Threshold, Tail, Repeat, RepeatHash, Xor, Sparse)}
 
     def made(x):
         if isinstance(x, dict):

@@ -127,22 +127,40 @@ class RecallTable:
         return F.get(flat, row * self.values.shape[1] + probes)
 
 
-def search_to_recall(queries: DataFrame, rows: DataFrame, hashes: Sequence[Sequence], table: RecallTable, k: int, target: float) -> DataFrame:
+def search_to_recall(queries: DataFrame, rows: DataFrame, hashes: Sequence[Sequence], table: RecallTable, k: int, target: float,
+                     told: list[int] | None = None) -> DataFrame:
     """(q_id, id, dist, rank, probes, reached): for each query the least number of probes at which the mean
     expected recall of its current k nearest reaches ``target``, or all probes of the table; reached says which.
 
-    dist is squared. A query with fewer than k rows found counts the missing ones as recall 0.
+    One probe a level: a query whose k nearest so far reach the target leaves before the next level meets any bin, so a
+    level costs what the queries that are left ask for. dist is squared. A query with fewer than k rows found counts the
+    missing ones as recall 0; one that finds none gives no rows. ``told`` gets the number of queries of each level.
     """
     most = table.values.shape[1] - 1
-    found = nearest_in_bins(probed(queries, hashes, most), digit_tables(rows, hashes), k)
-    once = found.groupBy("q_id", "id").agg(F.min("dist").alias("dist"), F.min("probe").alias("probe"))
-    levels = once.withColumn("probes", F.explode(F.sequence(F.col("probe"), F.lit(most))))
-    rank = F.row_number().over(Window.partitionBy("q_id", "probes").orderBy("dist", "id"))
-    best = checkpointed(levels.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k).drop("probe"))
-    expected = best.groupBy("q_id", "probes").agg((F.sum(table.lookup(F.sqrt("dist"), F.col("probes"))) / k).alias("recall"))
-    first = F.min(F.when(F.col("recall") >= target, F.col("probes")))
-    stop = expected.groupBy("q_id").agg(F.coalesce(first, F.lit(most)).alias("probes"), first.isNotNull().alias("reached"))
-    return best.join(stop, ["q_id", "probes"]).select("q_id", "id", "dist", "rank", "probes", "reached")
+    index = checkpointed(digit_tables(rows, hashes))
+    asks = checkpointed(probed(queries, hashes, most))
+    left, best, done = checkpointed(asks.select("q_id").distinct()), None, []
+    for level in range(most + 1):
+        if told is not None:
+            told.append(left.count())
+        some = asks.where(F.col("probe") == level).join(left, "q_id", "left_semi")
+        found = nearest_in_bins(some, index, k).select("q_id", "id", "dist")
+        if best is not None:
+            found = found.unionByName(best.select("q_id", "id", "dist"))
+        once = found.groupBy("q_id", "id").agg(F.min("dist").alias("dist"))
+        rank = F.row_number().over(Window.partitionBy("q_id").orderBy("dist", "id")).cast("bigint")
+        ranked = once.withColumn("rank", rank).where(F.col("rank") <= k)
+        sure = (F.sum(table.lookup(F.sqrt("dist"), F.lit(level))).over(Window.partitionBy("q_id")) / k) >= target
+        best = checkpointed(ranked.withColumn("reached", sure))
+        done.append(best.where("reached" if level < most else "true").withColumn("probes", F.lit(level)))
+        best = best.where(~F.col("reached"))
+        left = checkpointed(left.join(done[-1].select("q_id").distinct(), "q_id", "left_anti"))
+        if level < most and left.isEmpty():
+            break
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.select("q_id", "id", "dist", "rank", "probes", "reached")
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kindred.functions.bits import BLOCKS
 
 from .hamming_join import block_rows
-from .ordering import positions
+from .ordering import checkpointed, positions
 
 SKETCHES_PER_IMAGE = 256
 
@@ -55,23 +55,28 @@ def allocate_ids(requests: DataFrame, free: DataFrame, start: int, *order) -> Da
         "recycled", F.col("position") - n_free + start).cast("bigint")).drop("recycled", "position")
 
 
-def insert(store: Store, records: DataFrame, sketches: DataFrame) -> tuple[Store, DataFrame]:
-    """The store with records(request, pid, fingerprint) and their sketches(request, ord, b0..b3), and (request, image_id, reply).
-
-    A record without a pid is refused. The others get ids in the order of requests, recycled ones first;
-    equal pids may be inserted again. siftnum is the number of a record's sketches.
-    """
+def additions(store: Store, records: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame, int, DataFrame]:
+    """What insert() adds: images, sketches, how many new ids it takes, and (request, image_id, reply)."""
     named = F.coalesce(F.col("pid"), F.lit("")) != ""
-    placed = allocate_ids(records.where(named), store.free, store.next_id, F.col("request"))
+    placed = checkpointed(allocate_ids(records.where(named), store.free, store.next_id, F.col("request")))
     counted = sketches.groupBy("request").agg(F.count("*").alias("siftnum"))
     images = placed.join(counted, "request", "left").select(
         "image_id", "pid", "fingerprint", F.coalesce("siftnum", F.lit(0)).alias("siftnum"))
     marks = sketches.join(placed.select("request", "image_id"), "request").select(sketch_id(F.col("image_id"), F.col("ord")).alias("sketch_id"), *BLOCKS)
     replies = placed.select("request", "image_id", F.lit("REPLY_OK").alias("reply")).unionByName(records.where(~named).select(
         "request", F.lit(None).cast("bigint").alias("image_id"), F.lit("REPLY_INVALID_PID").alias("reply")))
-    used = placed.count() - store.free.count()
+    return images, marks, max(placed.count() - store.free.count(), 0), replies
+
+
+def insert(store: Store, records: DataFrame, sketches: DataFrame) -> tuple[Store, DataFrame]:
+    """The store with records(request, pid, fingerprint) and their sketches(request, ord, b0..b3), and (request, image_id, reply).
+
+    A record without a pid is refused. The others get ids in the order of requests, recycled ones first;
+    equal pids may be inserted again. siftnum is the number of a record's sketches.
+    """
+    images, marks, used, replies = additions(store, records, sketches)
     return replace(store, images=store.images.unionByName(images), sketches=store.sketches.unionByName(marks),
-                   free=store.free.join(placed.select("image_id"), "image_id", "left_anti"), next_id=store.next_id + max(used, 0)), replies
+                   free=store.free.join(images.select("image_id"), "image_id", "left_anti"), next_id=store.next_id + used), replies
 
 
 def delete_by_pid(store: Store, pids: DataFrame) -> tuple[Store, DataFrame]:

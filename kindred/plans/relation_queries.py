@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import text
 from kindred.operators import dedup, ordering, sampling, store
+from kindred.operators.versions import VersionedStore
 from kindred.streaming import requests
 
 from .registry import query, table
@@ -253,6 +254,13 @@ def held_store(spark, sf_dir):
     return store.Store(images, marks, free_ids(spark, sf_dir), START)
 
 
+def saved_store(spark, sf_dir):
+    """held_store() on disk, as changes find it."""
+    kept = VersionedStore(spark, f"{ordering.shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    kept.create(held_store(spark, sf_dir))
+    return kept
+
+
 ADDED = (f"{HELD}, rq AS (SELECT event_id AS request, CASE WHEN user_id % 4 <> 0 THEN 'u' || user_id ELSE '' END AS pid, substr(md5(props), 1, 16) AS fingerprint FROM events), "
          f"ok AS (SELECT *, row_number() OVER (ORDER BY request) - 1 AS position FROM rq WHERE pid <> ''), "
          f"pl AS (SELECT request, pid, fingerprint, coalesce(image_id, ok.position - n + {START}) AS image_id FROM ok LEFT JOIN fr USING (position), m), "
@@ -265,7 +273,9 @@ def _inserted(spark, sf_dir):
                        F.substring(F.md5("props"), 1, 16).alias("fingerprint"))
     marks = records.select("request", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("ord"))
     seed = F.concat_ws("/", F.col("request").cast("string"), F.col("ord").cast("string"))
-    return store.insert(held_store(spark, sf_dir), records, marks.select("request", "ord", *[_word(seed, k) for k in range(4)]))
+    kept = saved_store(spark, sf_dir)
+    replies = kept.insert(records, marks.select("request", "ord", *[_word(seed, k) for k in range(4)]))
+    return VersionedStore(spark, kept.path).load(), replies
 
 
 @query(f"WITH {ADDED} SELECT image_id, pid, fingerprint, siftnum FROM im UNION ALL SELECT image_id, pid, fingerprint, 2 FROM pl")
@@ -297,9 +307,10 @@ GONE = f"{HELD}, go AS (SELECT image_id FROM im WHERE pid LIKE 'src2/%')"
 
 
 def _deleted(spark, sf_dir):
-    held = held_store(spark, sf_dir)
-    asked = held.images.where(F.col("pid").startswith("src2/")).select("pid").distinct()
-    return store.delete_by_pid(held, asked.unionByName(spark.createDataFrame([("no such pid",)], "pid string")))
+    kept = saved_store(spark, sf_dir)
+    asked = kept.load().images.where(F.col("pid").startswith("src2/")).select("pid").distinct()
+    replies = kept.delete_by_pid(asked.unionByName(spark.createDataFrame([("no such pid",)], "pid string")))
+    return VersionedStore(spark, kept.path).load(), replies
 
 
 @query(f"WITH {GONE} SELECT image_id, pid, fingerprint, siftnum FROM im WHERE pid NOT LIKE 'src2/%'")
@@ -327,6 +338,29 @@ def delete_replies(spark, sf_dir):
     return _deleted(spark, sf_dir)[1]
 
 
+@query(f"WITH {HELD}, rq AS (SELECT event_id % 3 AS round, 'u' || user_id AS pid, substr(md5(props), 1, 16) AS fingerprint FROM events), "
+       "al AS (SELECT pid, fingerprint, siftnum, -1 AS round FROM im UNION ALL SELECT pid, fingerprint, 1, round FROM rq), "
+       "go AS (SELECT 'u' || c_custkey AS pid, c_custkey % 3 AS after FROM customer WHERE c_custkey % 5 = 0) "
+       "SELECT pid, CASE WHEN round = -1 AND pid LIKE 'src1/%' THEN upper(fingerprint) ELSE fingerprint END AS fingerprint, siftnum::BIGINT AS siftnum FROM al "
+       "WHERE pid NOT LIKE 'src2/%' AND NOT EXISTS (SELECT 1 FROM go WHERE go.pid = al.pid AND al.round <= go.after)")
+def store_history(spark, sf_dir):
+    """Three rounds of inserts and deletes, a change of attributes and a compaction, each a version on disk; no ids, as these are used again."""
+    kept = saved_store(spark, sf_dir)
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("request"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("pid"),
+                                              F.substring(F.md5("props"), 1, 16).alias("fingerprint"))
+    gone = table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("pid"), (F.col("c_custkey") % 3).alias("after"))
+    kept.delete_by_pid(docs(spark, sf_dir).where("pid LIKE 'src2/%'").select("pid"))
+    for turn in range(3):
+        records = e.where(F.col("request") % 3 == turn)
+        marks = records.select("request", F.lit(0).cast("bigint").alias("ord"), *[_word(F.col("fingerprint"), k) for k in range(4)])
+        kept.insert(records, marks)
+        kept.delete_by_pid(gone.where(F.col("after") == turn).select("pid"))
+        if turn == 1:
+            kept.upsert(kept.load().images.where("pid LIKE 'src1/%'").select("image_id", F.upper("fingerprint").alias("fingerprint")))
+            kept.compact()
+    return VersionedStore(spark, kept.path).load().images.select("pid", "fingerprint", "siftnum")
+
+
 @query(f"WITH {DOCS}, a AS (SELECT doc_id AS k FROM labels UNION ALL SELECT -1 UNION ALL SELECT NULL) SELECT k AS image_id, CASE WHEN k IS NULL THEN -1 WHEN k IN (SELECT image_id FROM d) THEN 1 ELSE 0 END::INT AS code FROM a")
 def exists_image(spark, sf_dir):
     asked = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("image_id")).unionByName(spark.createDataFrame([(-1,), (None,)], "image_id bigint"))

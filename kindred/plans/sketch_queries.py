@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from kindred.functions import bits
-from kindred.functions.bits import BLOCKS, hex_sketch, pack_bits, sign_bits
+from kindred.functions.bits import BLOCKS, hex_sketch, packed
 from kindred.operators import ordering, search, sorted_index, store
 from kindred.operators.hamming_join import block_rows, hamming_join
 from kindred.operators.sampling import greedy_dedup
@@ -37,29 +37,42 @@ RANKED = ("WITH " + HITS.format(t=7) + IMAGES + ", v AS (SELECT query_id, image_
 
 
 def sketches(spark, sf_dir):
-    flags = sign_bits(F.col("embedding"))
-    return table(spark, sf_dir, "embeddings").select(
+    rows = ordering.spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id"))
+    return rows.select(
         "vec_id", (F.floor(F.col("vec_id") / 5) + 1).alias("image_id"), (F.col("vec_id") % 5).alias("ord"),
-        *[pack_bits(flags, k, 16).alias(b) for k, b in enumerate(BLOCKS)])
+        *[packed([F.col("embedding")[16 * k + i] > 0 for i in range(16)]).alias(b) for k, b in enumerate(BLOCKS)])
+
+
+#: Most bits that a copy differs in: ten copies, up to four more pairs of bits by ord.
+MOST_FLIPS = 18
 
 
 def planted(spark, sf_dir):
     """The sketches and ten copies of each, with j + 2 * ord flipped bits in copy j."""
     base = sketches(spark, sf_dir)
-    copies = base.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(10)))).withColumn("at", F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.col("j") + 2 * F.col("ord") - 1), lambda t: (F.col("vec_id") * 7 + 13 * t) % 64))
+    copies = base.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(10))))
     zero = F.lit(0).cast("bigint")
-    mask = lambda k: F.aggregate("at", zero, lambda s, p: s + F.when(
-        F.floor(p / 16) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), (p % 16).cast("int"))).otherwise(zero))
+
+    def mask(k):
+        total = zero
+        for t in range(MOST_FLIPS):
+            at = (F.col("vec_id") * 7 + 13 * t) % 64
+            total = total + F.when((t < F.col("j") + 2 * F.col("ord")) & (F.shiftright(at, 4) == k), F.call_function(
+                "shiftleft", F.lit(1).cast("bigint"), (at % 16).cast("int"))).otherwise(zero)
+        return total
     copies = copies.select((F.col("image_id") + F.col("j") * FAR).alias("image_id"), "ord",
                            *[F.col(b).bitwiseXOR(mask(k)).alias(b) for k, b in enumerate(BLOCKS)])
     return base.drop("vec_id").unionByName(copies)
 
 
-def images(spark, sf_dir):
+def images_of(rows):
     i = F.col("image_id")
     pid = F.when(i % 7 == 3, "").otherwise(F.concat(F.lit("p"), (i % 1000).cast("string")))
-    return planted(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("siftnum")).withColumn("pid", pid)
+    return rows.groupBy("image_id").agg(F.count("*").alias("siftnum")).withColumn("pid", pid)
+
+
+def images(spark, sf_dir):
+    return images_of(planted(spark, sf_dir))
 
 
 def hits(spark, sf_dir, threshold):
@@ -116,7 +129,8 @@ def vote_score(spark, sf_dir):
 
 @query(RANKED + "SELECT query_id, image_id, pid, votes, score, rank FROM r")
 def image_search(spark, sf_dir):
-    return search.image_search(sketches(spark, sf_dir).drop("vec_id"), planted(spark, sf_dir), images(spark, sf_dir))
+    held = ordering.checkpointed(planted(spark, sf_dir))  # searched, and counted by image
+    return search.image_search(sketches(spark, sf_dir).drop("vec_id"), held, images_of(held))
 
 
 @query(RANKED + "SELECT query_id, image_id, pid, votes, score FROM r WHERE rank = 1")
@@ -243,7 +257,8 @@ SIMHASH = ("tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text
 
 
 def document_sketches(spark, sf_dir):
-    return word_sketches(table(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = ordering.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id"), F.xxhash64("text"))
+    return word_sketches(docs, "doc_id", "text")
 
 
 @query("WITH " + SIMHASH + " SELECT doc_id, b0, b1, b2, b3 FROM ds")

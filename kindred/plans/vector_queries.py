@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from kindred.functions import descriptors as D
 from kindred.functions.bits import pack_bits, texture_bits, trimmed_mean_bits
-from kindred.functions.lsh import HyperPlane, Repeat, RepeatHash, StableDistribution, Tail
-from kindred.operators import images, knn, linear, ordering, sampling
+from kindred.functions.lsh import HyperPlane, Repeat, StableDistribution, Tail
+from kindred.operators import images, knn, linear, ordering, pruned, sampling
+from kindred.operators.index_store import FlatIndex, ForestIndex
 from kindred.operators.lsh_model import RecallTable, apost_nearest, search_to_recall, train_probes
 
 from .registry import query, table
@@ -27,7 +28,8 @@ WIDTH, BASE = 2048, 64
 STABLE = [[(draw(100 * t + i), random.Random(7 * t + i).randrange(WIDTH)) for i in range(2)] for t in range(12)]
 TABLES = [Repeat(tuple(Tail(StableDistribution(a, b, WIDTH), BASE) for a, b in digits), BASE) for digits in STABLE]
 TREES = [[HyperPlane(draw(5000 + 100 * t + i)) for i in range(8)] for t in range(3)]
-MOST = 40
+#: Rows over all trees at which a forest search stops, as a share of all rows of all trees: these vectors' neighbours lie far apart.
+MOST_SHARE = 0.45
 
 
 def project_sql(vec: str, a) -> str:
@@ -170,6 +172,13 @@ def knn_topk(spark, sf_dir):
     return _exhaustive(spark, sf_dir, k=5)
 
 
+@query(f"WITH {PAIRS}{RANK} SELECT q_id, id, dist, rank FROM k WHERE rank <= 5")
+def knn_pruned(spark, sf_dir):
+    """The same rows as knn_topk, from the cells of pivots that a query cannot skip."""
+    w = whole_vectors(spark, sf_dir)
+    return _whole(pruned.nearest(w, w, 5))
+
+
 @query(f"WITH {PAIRS}, p2 AS (SELECT * FROM p WHERE dist < 90000), k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, id) AS rank FROM p2) SELECT q_id, id, dist, rank FROM k")
 def rnn_range(spark, sf_dir):
     return _exhaustive(spark, sf_dir, within=90000)
@@ -209,6 +218,18 @@ def lsh_index_search(spark, sf_dir):
     return _whole(knn.lsh_nearest(w, knn.load_index(spark, path), TABLES, 5))
 
 
+@query(f"WITH {LSH}{RANK} SELECT q_id, id, dist, rank FROM k WHERE rank <= 5")
+def lsh_index_append(spark, sf_dir):
+    """An index of half the rows on disk, the others appended in two changes, and its busy parts rewritten: the same as one made at once."""
+    w = whole_vectors(spark, sf_dir)
+    index = FlatIndex(spark, f"{ordering.shared_folder(spark)}/lsh-{uuid.uuid4().hex}")
+    index.create(TABLES)
+    for part in (F.col("id") % 2 == 0, F.col("id") % 4 == 1, F.col("id") % 4 == 3):
+        index.append(w.where(part))
+    index.compact(2)
+    return _whole(FlatIndex(spark, index.log.path).nearest(w, 5))
+
+
 def _whole(found):
     return found.withColumn("dist", F.col("dist").cast("bigint"))
 
@@ -223,26 +244,44 @@ FOREST = (f"w AS (SELECT vec_id AS id, {INT} AS v FROM embeddings), h AS (SELECT
           "n AS (SELECT id, tree, depth, coalesce(array_to_string(bits[:depth], ''), '') AS prefix FROM h, (SELECT unnest(range(9)) AS depth)), "
           "z AS (SELECT tree, depth, prefix, count(*) AS size FROM n GROUP BY ALL), "
           "s AS (SELECT id AS q_id, depth, sum(size)::BIGINT AS total FROM n JOIN z USING (tree, depth, prefix) GROUP BY ALL), "
-          f"st AS (SELECT q_id, greatest(coalesce(min(CASE WHEN total < {MOST} THEN depth END), 9) - 1, 0) AS depth FROM s GROUP BY q_id), "
+          f"st AS (SELECT q_id, greatest(coalesce(min(CASE WHEN total < (SELECT floor(count(*) * {len(TREES)} * {MOST_SHARE}::DOUBLE) FROM w) THEN depth END), 9) - 1, 0) AS depth FROM s GROUP BY q_id), "
           "c AS (SELECT DISTINCT q.id AS q_id, r.id FROM st JOIN n q ON q.id = st.q_id AND q.depth = st.depth JOIN n r ON r.tree = q.tree AND r.depth = q.depth AND r.prefix = q.prefix AND r.id <> q.id), "
           "p AS (SELECT q_id, c.id, list_sum(list_transform(list_zip(q.v, r.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS dist FROM c JOIN w q ON q.id = q_id JOIN w r ON r.id = c.id)")
 
 
+def _most(rows) -> int:
+    return int(rows.count() * len(TREES) * MOST_SHARE)
+
+
 @query(f"WITH {FOREST}{RANK} SELECT q_id, id, dist, rank FROM k WHERE rank <= 5")
 def lsh_forest_knn(spark, sf_dir):
     w = whole_vectors(spark, sf_dir)
-    return _whole(knn.forest_nearest(w, w, TREES, MOST, 5))
+    return _whole(knn.forest_nearest(w, w, TREES, _most(w), 5))
+
 
+def _forest(spark, w):
+    """A forest on disk: half of the rows, then the others appended."""
+    index = ForestIndex(spark, f"{ordering.shared_folder(spark)}/forest-{uuid.uuid4().hex}")
+    index.create(TREES)
+    for part in (0, 1):
+        index.append(w.where(F.col("id") % 2 == part))
+    return ForestIndex(spark, index.log.path)
 
-HASH = RepeatHash(tuple(StableDistribution(draw(900 + i), 0, WIDTH) for i in range(3)), (2654435761, 40503, 2246822519), 32)
-HASH_SQL = "((" + " + ".join(f"((({floor_div(project_sql('v', h.a) + ' + 0', WIDTH)}) * {f} % 4294967296 + 4294967296) % 4294967296)" for h, f in zip(HASH.of, HASH.factors)) + ") % 4294967296) % 32"
+
+@query(f"WITH {FOREST}{RANK} SELECT q_id, id, dist, rank FROM k WHERE rank <= 5")
+def forest_index_append(spark, sf_dir):
+    w = whole_vectors(spark, sf_dir)
+    return _whole(_forest(spark, w).nearest(w, _most(w), 5))
 
 
-@query(f"WITH w AS (SELECT label, vec_id % 3 + 1 AS weight, {INT} AS v FROM embeddings) SELECT label, {HASH_SQL} AS bin, sum(weight)::BIGINT AS weight FROM w GROUP BY ALL")
-def random_histogram(spark, sf_dir):
-    """A weighted histogram over the bins of one hash for the vectors of each label."""
-    w = whole_vectors(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
-    return w.groupBy("label", HASH.hash(F.col("vec")).alias("bin")).agg(F.sum(F.col("id") % 3 + 1).alias("weight"))
+@query(f"WITH w AS (SELECT vec_id AS id, {INT} AS v FROM embeddings), h AS (SELECT unnest(range({len(TREES)})) AS tab, unnest({PLANES}) AS bits FROM w), "
+       "d AS (SELECT tab, depth, array_to_string(bits[:depth], '') AS prefix, array_to_string(bits, '') AS key FROM h, (SELECT unnest(range(9)) AS depth)), "
+       "n AS (SELECT tab, depth, coalesce(prefix, '') AS prefix, count(*) AS n, min(key) AS low, max(key) AS high FROM d GROUP BY ALL) "
+       "SELECT tab::INT AS tab, prefix, CASE WHEN low = high THEN low END AS key, n FROM n WHERE depth = 0 OR EXISTS "
+       "(SELECT 1 FROM n u WHERE u.tab = n.tab AND u.depth = n.depth - 1 AND u.prefix = substr(n.prefix, 1, n.depth - 1) AND u.low <> u.high)")
+def forest_nodes(spark, sf_dir):
+    """Nodes of the forest with their sizes; a leaf holds one key."""
+    return _forest(spark, whole_vectors(spark, sf_dir)).nodes()
 
 
 @query(f"WITH v AS (SELECT vec_id, {INT} AS v FROM embeddings), l AS (SELECT unnest(generate_series(1, 8)) AS i, unnest({[list(draw(300 + i, m=40)) for i in range(8)]}) AS u) "

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.functions.lsh import StableDistribution, Threshold, Trivial, Xor, project_sparse
+from kindred.functions.lsh import HyperPlane, Sparse, StableDistribution, Threshold, Trivial, Xor, entries, project_sparse
 from kindred.operators import images
 from kindred.operators.lsh_model import (DistanceModel, PowerModel, ProbeModel, RecallTable, collision, gamma_fit, model_recall,
                                          per_table_recall, search_to_recall, table_recall, tune)
@@ -57,7 +57,7 @@ def test_tune():
 def test_families(spark):
     df = spark.createDataFrame([([1.0, -2.0], {0: 1.0, 1: -2.0, 9: 5.0})], "v array<double>, s map<int, double>")
     one, two = Threshold(0, 0.5), Threshold(1, 0.5)
-    got = df.select(Trivial().hash(F.col("v")), Xor((one, two)).hash(F.col("v")), Xor((one, two)).delta(F.col("v")), project_sparse(F.col("s"), [2.0, 3.0])).first()
+    got = df.select(Trivial().hash(F.col("v")), Xor((one, two)).hash(F.col("v")), Xor((one, two)).delta(F.col("v")), project_sparse(entries(F.col("s")), [2.0, 3.0])).first()
     assert tuple(got) == (0, 1, 0.5, -4.0)
 
 
