@@ -86,7 +86,7 @@ hl AS (SELECT *, regexp_matches(name, '{ADDRESS}') AS address, regexp_extract(na
 hosts AS (SELECT host, k, n, CASE WHEN address THEN name WHEN two IN {SUFFIXES} THEN regexp_extract(name, '([^.]*\\.)?([^.]*\\.)?[^.]*$', 0) ELSE two END AS domain,
                  CASE WHEN address THEN 'address' WHEN two IN {SUFFIXES} THEN two ELSE regexp_extract(name, '[^.]*$', 0) END AS suffix, 0 AS top FROM hl),
 {_level("host", "domain")},{_level("domain", "suffix")},{_level("suffix", "top")},
-p0 AS (SELECT CASE WHEN sum(n) > 0 THEN sum(k)::DOUBLE / sum(n) ELSE 0.5 END AS p FROM hosts),
+p0 AS (SELECT (coalesce(sum(k), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2) AS p FROM hosts),
 sx AS (SELECT suffix, (k + m * p) / (n + m) AS ps FROM own_suffix, w_suffix, p0),
 dx AS (SELECT domain, (k + m * ps) / (n + m) AS pd FROM own_domain JOIN sx USING (suffix), w_domain),
 hx AS (SELECT host, k + m * pd AS a, n - k + m * (1 - pd) AS b FROM own_host JOIN dx USING (domain), w_host),

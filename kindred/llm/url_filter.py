@@ -73,7 +73,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z
 
     ``outcomes(page_id, good)`` holds labelled page outcomes (good 0 or 1, null: none). A host's
     rate of good pages has a beta posterior whose prior mean is its registered domain's shrunk
-    rate, which is shrunk to the suffix's, and that to the overall rate; the weight of each prior
+    rate, which is shrunk to the suffix's, and that to the overall rate, which has a uniform prior itself: a few
+    labels, all of one kind, make no host certain. The weight of each prior
     comes from the spread between groups (method of moments for the beta-binomial). A host is
     allowed if mean - z * sd >= threshold. Domain and suffix are hierarchy()'s.
 
@@ -83,7 +84,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z
 
     Result: page_id, host, path, rule, verdict, reputation (the bound, 6 digits). Null urls have
     empty host and path and are judged as the host ''. Repeated pages and ids are kept, each with
-    its verdict; without any label the overall rate is one half; empty tables give no rows.
+    its verdict; without any label the overall rate is one half; urls of any length are read whole; empty tables give no rows.
     Hot hosts are counted with map-side partial sums, and the last join is a sort-merge join
     with one row a host, which adaptive execution can split.
     """
@@ -98,7 +99,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z
     domain, m_domain = _level(hosts, "domain", "suffix")
     suffix, m_suffix = _level(hosts, "suffix", "all")
     total = hosts.agg(F.sum("k").alias("k"), F.sum("n").alias("n")).first()
-    p0 = total["k"] / total["n"] if total["n"] else 0.5
+    p0 = ((total["k"] or 0) + 1) / ((total["n"] or 0) + 2)  # uniform prior of the overall rate
 
     s = suffix.select("suffix", ((F.col("k") + m_suffix * p0) / (F.col("n") + m_suffix)).alias("ps"))
     d = domain.join(s, "suffix").select("domain", ((F.col("k") + m_domain * F.col("ps")) / (F.col("n") + m_domain)).alias("pd"))
