@@ -6,6 +6,7 @@ import base64
 import gc
 import hashlib
 import re
+import tempfile
 from collections.abc import Iterable
 from itertools import chain, islice
 from string import ascii_letters
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_by_worker, text_slices
+from .shared import HELD_BYTES, held_by_worker, text_slices
 
 #: Distinct words and their bytes in one recursive query (or one longer word).
 QUERY_WORDS, QUERY_BYTES = 30_000, 2 << 20
@@ -102,7 +103,8 @@ class Bpe:
                 if l is not None and r is not None:
                     rows.append((l, r, merged))
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.spill = tempfile.TemporaryDirectory(prefix="bpe-")  # the worker's own; goes with it
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": self.spill.name})
         self._table("merges", {"pair": pa.array([l << 32 | r for l, r, _ in rows], pa.int64()),
                                "merged": pa.array([m for *_, m in rows], pa.int32())})
         self._table("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
@@ -112,6 +114,7 @@ class Bpe:
         self.lines: list[str] = []
         self.bytes: list[bytes] = []
         self.pieces: dict[bytes, tuple[str, bytes]] = {}
+        self.chunk_bytes = self.piece_bytes = 0
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
@@ -171,11 +174,13 @@ class Bpe:
         try:
             plain = lead == " " and self.letters_go_together
             pieces = [[(lead + c).encode()] if plain and c.isascii() and c.isalpha() else [p.encode("utf-8", "surrogatepass") for p in self.split(lead + c)] for c in chunks]
-            if len(self.pieces) > HELD_PIECES:
+            if len(self.pieces) > HELD_PIECES or self.piece_bytes > HELD_BYTES:
                 self.pieces.clear()
+                self.piece_bytes = 0
             known = self.pieces
             for word, line, raw in self.round_trip_words(list(set(chain.from_iterable(pieces)).difference(known))):
                 known[word] = line, raw
+                self.piece_bytes += len(word) + len(line) + len(raw)
             return [(c, *known[ps[0]]) if len(ps) == 1 else (c, " ".join([known[p][0] for p in ps]), b"".join([known[p][1] for p in ps]))
                     for c, ps in zip(chunks, pieces)]
         finally:
@@ -185,11 +190,12 @@ class Bpe:
         """(n_tokens, ids line, decoded bytes) of each text."""
         cut = [self.cut(t) for t in texts]
         firsts = {c: x for c, *x in self._learn({f for f, _ in cut if f}, "")} | {"": ["", b""]}
-        if len(self.place) > HELD_CHUNKS:
-            self.place, self.lines, self.bytes = _Places(), [], []
+        if len(self.place) > HELD_CHUNKS or self.chunk_bytes > HELD_BYTES:
+            self.place, self.lines, self.bytes, self.chunk_bytes = _Places(), [], [], 0
         place_of, known = self.place.__getitem__, len(self.lines)
         places = [list(map(place_of, rest)) for _, rest in cut]
-        for _, line, raw in self._learn(islice(self.place, known, None), " "):
+        for chunk, line, raw in self._learn(islice(self.place, known, None), " "):
+            self.chunk_bytes += len(chunk) + len(line) + len(raw)
             self.lines.append(line)
             self.bytes.append(raw)
         line_of, raw_of = self.lines.__getitem__, self.bytes.__getitem__

@@ -17,6 +17,9 @@ from kindred.operators.ordering import checkpointed, shared_folder
 #: Stands for a null id inside an operator: it sorts before every other id.
 NO_ID = -(2**63)
 BATCH_SETTING, SLICE_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+#: Bytes of words and of what is made of them that a cache holds before it is emptied; what Python adds to each comes
+#: on top, which the caches' own bounds of entries limit.
+HELD_BYTES = 48 << 20
 #: Bits of a sieve: 2 MB, whatever the input.
 SIEVE_BITS = 1 << 24
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .repeats import groups_for, repeated, twins
-from .shared import NO_ID, Sieve, checkpointed, small_batches, text_slices, written
+from .shared import HELD_BYTES, NO_ID, Sieve, checkpointed, small_batches, text_slices, written
 
 WINDOW = 20
 GRAM = 5
@@ -34,10 +34,13 @@ TREE, SPAN = 0, 1
 
 class _Hashes(dict):
     """Word to signed 64-bit hash; emptied when large."""
+    held = 0
 
     def __missing__(self, word):
-        if len(self) > HELD_VOCABULARY:
+        if len(self) > HELD_VOCABULARY or self.held > HELD_BYTES:
             self.clear()
+            self.held = 0
+        self.held += len(word)
         h = xxhash.xxh64_intdigest(word)
         self[word] = h = h - (1 << 64) if h >> 63 else h
         return h

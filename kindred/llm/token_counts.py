@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_by_worker, text_slices
+from .shared import HELD_BYTES, held_by_worker, text_slices
 
 HELD_WORDS = 400_000
 
@@ -93,12 +93,12 @@ def count_tokens(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_c
     is a piece of its own, so a vocabulary with all single bytes cuts every word. A word that a
     poorer one can't cut is one unknown token, counted in both n_tokens and n_unknown. Null and empty
     texts count zero; repeated rows are counted each; words of any length take one pass; an empty table
-    gives no rows; other columns are ignored. Words recur, so counts of seen words are held (up to HELD_WORDS) in a task.
+    gives no rows; other columns are ignored. Words recur, so counts of seen words are held (up to HELD_WORDS and HELD_BYTES) in a task.
     """
     first, rest = piece_sets(rank_file)
 
     def run(batches):
-        count, held = _automaton(first, rest).count, {}
+        count, held, size = _automaton(first, rest).count, {}, 0
         for b in text_slices(batches, _automaton):
             rows = []
             for text in b.column(1):
@@ -108,9 +108,11 @@ def count_tokens(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_c
                     n = held.get(w)
                     if n is None:
                         n = count(b" " + w)
-                        if len(held) >= HELD_WORDS:
+                        if len(held) >= HELD_WORDS or size > HELD_BYTES:
                             held.clear()
+                            size = 0
                         held[w] = n
+                        size += len(w)
                     if n < 0:
                         unknown += 1
                     else:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, text_slices
+from .shared import HELD_BYTES, checkpointed, text_slices
 
 #: Parameters of fit(): labelled rows that the model is fitted on, at most; features that it keeps, the most telling
 #: ones (None: all); labelled documents in which a feature must occur. README tells what the last two cost.
@@ -37,12 +37,15 @@ class Features:
     def __init__(self, vocabulary: list[str]):
         self.index = {f: i for i, f in enumerate(vocabulary)}
         self.held: dict[str, tuple[int, ...]] = {}
+        self.held_bytes = 0
 
     def _of(self, word: str) -> tuple[int, ...]:
         found = tuple(i for i in map(self.index.get, word_features(word)) if i is not None)
-        if len(self.held) >= HELD_WORDS:
+        if len(self.held) >= HELD_WORDS or self.held_bytes > HELD_BYTES:
             self.held.clear()
+            self.held_bytes = 0
         self.held[word] = found
+        self.held_bytes += len(word)
         return found
 
     def __call__(self, text: str) -> dict[int, float]:
@@ -122,7 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
     """(vocabulary, CumulativeLink) from labelled documents; None without both classes.
 
-    A sample of ``fit_rows`` labelled ids, by hash, bounds what the driver gets. Features are chosen
+    A sample of ``fit_rows`` labelled rows, by hash, bounds what the driver gets: rows equal in id and text count once,
+    and ids that many rows share leave no more of them. Features are chosen
     by the difference of their document frequencies in the classes, ``features`` of those that occur in
     ``least_docs`` labelled documents or more. The labels say toxic or not. The grades above 0 are therefore made here:
     toxic documents in equal parts by their share of words that tell toxic text, so expected severity
@@ -131,8 +135,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(
         F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("toxic")).orderBy(
         F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = checkpointed(rows.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id"))  # fit_rows at most
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    named = rows.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
+    names = named.select("doc_id", "k1", "k2").join(F.broadcast(chosen), "doc_id").distinct().orderBy(F.xxhash64("doc_id", "k1", "k2"), "doc_id", "k1", "k2").limit(fit_rows)
+    names = checkpointed(names)  # texts are read for these rows only
+    sample = checkpointed(named.join(F.broadcast(names), ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "text", "toxic"))
 
     def seen(batches):
         both = (Counter(), Counter())

@@ -201,3 +201,42 @@ def test_pipeline(spark, sf):
 def test_registered():
     names = entry_module.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_few_labels_make_no_host_certain(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.s{i % 3}.net/") for i in range(12)], "page_id long, url string")
+    for good in (0, 1):
+        got = url_filter.filter_urls(pages, spark.createDataFrame([(5, good)], "page_id long, good int")).collect()
+        assert all(0 < r.reputation < 0.9 for r in got), good
+        other = [r.reputation for r in got if r.page_id != 5]
+        mine = next(r.reputation for r in got if r.page_id == 5)
+        assert all(mine > o for o in other) if good else all(mine < o for o in other)
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark, monkeypatch):
+    docs = [(i % 2, f"awfulword number {i} of many" if i % 2 else f"plain words {i}") for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.CumulativeLink.fit
+    monkeypatch.setattr(toxicity.CumulativeLink, "fit", staticmethod(lambda rows, cols, values, grades, *a, **k: seen.append(len(grades)) or fit(rows, cols, values, grades, *a, **k)))
+    assert toxicity.fit(df, labels, fit_rows=50) is not None
+    assert seen and max(seen) <= 50
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    import public_tokenizers
+
+    from kindred.llm import bpe, substring
+    monkeypatch.setattr(bpe, "HELD_BYTES", 20_000)
+    monkeypatch.setattr(substring, "HELD_BYTES", 20_000)
+    b = bpe.Bpe(tuple(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))), public_tokenizers.PATTERN)
+    r = random.Random(1)
+    words = ["".join(r.choices("abcdefgh", k=300)) for _ in range(60)]
+    whole = [list(b.run([" ".join(words[k:k + 6])])) for k in range(0, 60, 6)]
+    assert len(b.place) < 60 and len(b.pieces) < 60
+    again = [list(b.run([" ".join(words[k:k + 6])])) for k in range(0, 60, 6)]
+    assert whole == again
+    known = substring._Hashes()
+    first = [known[w.encode()] for w in words * 3]
+    assert first == [substring._Hashes()[w.encode()] for w in words * 3] and len(known) * 300 <= 21_000
