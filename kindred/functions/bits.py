@@ -39,6 +39,12 @@ def weighted_hamming(a: Sequence[Column], b: Sequence[Column], weights: Sequence
     return total
 
 
+def delta_hamming(own: Column, other: Column, deltas: Column) -> Column:
+    """Sum of a query's deltas, how far each bit is from changing, over the bits in which it differs from another sketch."""
+    differ = F.zip_with(own, other, lambda x, y: x != y)
+    return F.aggregate(F.zip_with(differ, deltas, lambda d, w: F.when(d, w).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, w: s + w)
+
+
 def flips(key: Column, bits: int, most: int) -> Column:
     """All keys within ``most`` flipped bits of key."""
     masks = [sum(1 << i for i in c) for n in range(most + 1) for c in combinations(range(bits), n)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -215,29 +216,42 @@ def perturbations(delta: Column, digits: int, probes: int) -> Column:
     return F.transform(best, lambda c: c["steps"])
 
 
-def probed(queries: DataFrame, hashes: Sequence[Sequence], probes: int) -> DataFrame:
+@dataclass(frozen=True)
+class Modulo:
+    """A table's digits times whole factors, summed, modulo the number of its bins: a bin as one small number."""
+    factors: tuple[int, ...]
+    bins: int
+
+    def __call__(self, digits: Column) -> Column:
+        terms = F.zip_with(digits, F.array(*[F.lit(f).cast("bigint") for f in self.factors]), lambda d, f: d * f)
+        return F.pmod(F.aggregate(terms, F.lit(0).cast("bigint"), lambda s, x: s + x), F.lit(self.bins).cast("bigint"))
+
+
+def probed(queries: DataFrame, hashes: Sequence[Sequence], probes: int, modulo: Modulo | None = None) -> DataFrame:
     """asks of nearest_in_bins(): in each table a query's own bin, as probe 0, and its ``probes`` likeliest others.
 
     ``hashes`` are tables of one stable-distribution hash per digit. Probes are those of perturbations(), at most
-    3^digits - 1.
+    3^digits - 1. With ``modulo`` they are moves of the digits all the same, and bins what it makes of them.
     """
     vec = F.col("vec")
     place = F.array(*[F.struct(F.array(*[h.hash(vec) for h in t]).alias("own"), F.array(*[h.delta(vec) for h in t]).alias("delta")) for t in hashes])
     q = queries.select(F.col("id").alias("q_id"), vec.alias("q_vec"), F.posexplode(place).alias("tab", "at"))
     q = q.select("q_id", "q_vec", "tab", F.col("at.own").alias("own"), F.posexplode(
         perturbations(F.col("at.delta"), len(hashes[0]), probes)).alias("probe", "steps"))
-    return q.select("q_id", "q_vec", "tab", "probe", F.zip_with("own", "steps", lambda h, s: h + s).alias("bin"))
+    to = F.zip_with("own", "steps", lambda h, s: h + s)
+    return q.select("q_id", "q_vec", "tab", "probe", (modulo(to) if modulo else to).alias("bin"))
 
 
-def digit_tables(rows: DataFrame, hashes: Sequence[Sequence]) -> DataFrame:
-    """(tab, bin, id, vec) with the digits of a table as its bin."""
+def digit_tables(rows: DataFrame, hashes: Sequence[Sequence], modulo: Modulo | None = None) -> DataFrame:
+    """(tab, bin, id, vec) with the digits of a table, or what ``modulo`` makes of them, as its bin."""
     own = F.array(*[F.array(*[h.hash(F.col("vec")) for h in t]) for t in hashes])
-    return rows.select("id", "vec", F.posexplode(own).alias("tab", "bin"))
+    placed = rows.select("id", "vec", F.posexplode(own).alias("tab", "bin"))
+    return placed.withColumn("bin", modulo(F.col("bin"))) if modulo else placed
 
 
-def probe_nearest(queries: DataFrame, rows: DataFrame, hashes: Sequence[Sequence], probes: int, k: int) -> DataFrame:
+def probe_nearest(queries: DataFrame, rows: DataFrame, hashes: Sequence[Sequence], probes: int, k: int, modulo: Modulo | None = None) -> DataFrame:
     """(q_id, id, dist, probe, rank): multi-probing in every table; probe is the first that finds the row."""
-    return best_found(nearest_in_bins(probed(queries, hashes, probes), digit_tables(rows, hashes), k), k)
+    return best_found(nearest_in_bins(probed(queries, hashes, probes, modulo), digit_tables(rows, hashes, modulo), k), k)
 
 
 def recall(truth: DataFrame, found: DataFrame) -> DataFrame:

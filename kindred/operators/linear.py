@@ -99,7 +99,11 @@ def spectral_hash(df: DataFrame, vec: str, mean: np.ndarray, axes: np.ndarray, m
 
 
 def nearest_mean(df: DataFrame, vec: str, means: np.ndarray, out: str = "cell") -> DataFrame:
-    """Vector quantisation: the number of the nearest of K means."""
+    """Vector quantisation: the number of the nearest of K means, the first of equals; a product of 4096 rows and the means at a time."""
+    means = np.asarray(means, np.float64)
+    norms = (means * means).sum(axis=1)
+
     def compute(x):
-        return pa.array(((x[:, None, :] - means[None]) ** 2).sum(axis=2).argmin(axis=1), pa.int64())
+        parts = [(norms - 2 * (x[lo:lo + 4096] @ means.T)).argmin(axis=1) for lo in range(0, len(x), 4096)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
     return _map_vectors(df, vec, out, "bigint", compute)

@@ -247,20 +247,25 @@ def apost_nearest(queries: DataFrame, rows: DataFrame, hashes: Sequence[Sequence
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, out = b.column(0).to_pylist(), []
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             for tab, t in enumerate(hashes):
-                own, at = _places(x, t)
-                for n, (o, d) in enumerate(zip(own, at)):
-                    found = model.moves(d.tolist(), most, target)
-                    sure = sum(p for _, p in found) >= target
-                    bins = o + np.array([m for m, _ in found])
-                    for rank in np.flatnonzero(((bins >= bounds[tab, :, 0]) & (bins <= bounds[tab, :, 1])).all(axis=1)).tolist():
-                        out.append((ids[n], x[n].tolist(), tab, bins[rank].tolist(), rank, sure))
-            kinds = (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.bool_())
-            names = ["q_id", "q_vec", "tab", "bin", "probe", "sure"]
-            for lo in range(0, len(out), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out[lo:lo + 10_000]), kinds)], names=names)
+                own, offsets = _places(x, t)
+                for lo in range(0, len(x), 128):  # the probes of so many queries in a table are held at a time
+                    at, bins, ranks, sure = [], [], [], []
+                    for n in range(lo, min(lo + 128, len(x))):
+                        found = model.moves(offsets[n].tolist(), most, target)
+                        to = own[n] + np.array([m for m, _ in found])
+                        on = np.flatnonzero(((to >= bounds[tab, :, 0]) & (to <= bounds[tab, :, 1])).all(axis=1))
+                        at.append(np.full(len(on), n))
+                        bins.append(to[on])
+                        ranks.append(on)
+                        sure.append(np.full(len(on), sum(p for _, p in found) >= target))
+                    at, flat = pa.array(np.concatenate(at)), np.concatenate(bins)
+                    ends = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * len(t))
+                    yield pa.RecordBatch.from_arrays([
+                        b.column(0).take(at), b.column(1).take(at), pa.array(np.full(len(flat), tab), pa.int32()),
+                        pa.ListArray.from_arrays(ends, pa.array(flat.ravel(), pa.int64())), pa.array(np.concatenate(ranks), pa.int32()),
+                        pa.array(np.concatenate(sure), pa.bool_())], names=["q_id", "q_vec", "tab", "bin", "probe", "sure"])
 
     asks = queries.where("vec IS NOT NULL").select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(
         probe, "q_id bigint, q_vec array<double>, tab int, bin array<bigint>, probe int, sure boolean")

@@ -14,9 +14,14 @@ LISTED = 1000
 
 
 def sample_by_entropy(df: DataFrame, image: str, entropy: str, tie: str, least: float = MIN_ENTROPY, floor: int = FLOOR) -> DataFrame:
-    """Of each image the descriptors above ``least``, but the best ``floor`` at any rate."""
-    rank = F.row_number().over(Window.partitionBy(image).orderBy(F.desc(entropy), tie))
-    return df.withColumn("rank", rank.cast("bigint")).where((F.col("rank") <= floor) | (F.col(entropy) > least))
+    """Of each image the descriptors above ``least``, but the best ``floor`` at any rate.
+
+    The best are taken apart, so that each task sends only its own best of an image on; those above ``least`` are the first
+    of their image, so their rank among themselves is their rank.
+    """
+    rank = F.row_number().over(Window.partitionBy(image).orderBy(F.desc(entropy), tie)).cast("bigint")
+    best = df.withColumn("rank", rank).where(F.col("rank") <= floor)
+    return best.unionByName(df.where(F.col(entropy) > least).withColumn("rank", rank).where(F.col("rank") > floor))
 
 
 def top_by_size(df: DataFrame, image: str, size: Column, tie: str, count: int) -> DataFrame:

@@ -23,6 +23,19 @@ def save(points: DataFrame, path: str, blocks: Sequence[str] = BLOCKS) -> None:
         points.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", 8 << 20).mode("overwrite").parquet(f"{path}/{block}")
 
 
+def save_generation(points: DataFrame, path: str, generation: int, key: str, by: int = 0, blocks: Sequence[str] = BLOCKS) -> None:
+    """save() as one generation of an index, its keys moved by ``by``; other generations stay as they are."""
+    save(points.withColumn(key, F.col(key) + by), f"{path}/generation={generation}", blocks)
+
+
+def generations(spark: SparkSession, path: str, block: str) -> DataFrame:
+    """Points of all generations, with the number of each, in the order that begins with ``block``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in files.listStatus(at) if s.getPath().getName().startswith("generation="))
+    return spark.read.option("basePath", path).parquet(*(f"{path}/{n}/{block}" for n in names))
+
+
 def between(spark: SparkSession, path: str, block: str, low: int, high: int) -> DataFrame:
     """Points whose key in ``block`` is from low to high; other files and row groups are not read."""
     return spark.read.parquet(f"{path}/{block}").where(F.col(block).between(low, high))

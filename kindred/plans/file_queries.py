@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from kindred.operators.knn import exhaustive
 from kindred.operators.ordering import shared_folder
 from kindred.sources import binary, points
 
 from . import sketch_queries as sketches
 from .registry import query, table
+from .vector_queries import PAIRS, RANK, whole_vectors
 
 
 def _place(spark) -> str:
@@ -126,6 +128,49 @@ def record_sink(spark, sf_dir):
         "pid", F.col("ord").cast("bigint").alias("ord"), F.lower(F.hex("item")).alias("item"))
 
 
+@query("SELECT c_name AS name FROM customer UNION ALL SELECT 'n' || c_nationkey FROM customer")
+def name_list(spark, sf_dir):
+    """Names in a text file, two on a line with white space between."""
+    both = F.concat(F.col("c_name"), F.lit("  "), F.lit("n"), F.col("c_nationkey").cast("string"))
+    table(spark, sf_dir, "customer").select(both.alias("value")).write.text(at := _place(spark))
+    return points.read_names(spark, at)
+
+
+@query("SELECT c_nationkey::VARCHAR AS folder, c_name AS name FROM customer")
+def listed_files(spark, sf_dir):
+    """Files of a tree of folders, with where each lies and the lines of its content."""
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("nation"), F.col("c_name").alias("value"))
+    rows.write.partitionBy("nation").text(at := _place(spark))
+    found = points.files(spark, at, "*.txt").select(F.regexp_extract("path", "nation=n([0-9]+)", 1).alias("folder"), F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("name"))
+    return found.where("name <> ''")
+
+
+@query(f"WITH {PAIRS}{RANK} SELECT q_id, rank::INT AS rank, id, dist::DOUBLE AS dist FROM k WHERE rank <= 3")
+def neighbour_files(spark, sf_dir):
+    """A benchmark of nearest neighbours, written a query a line and read again."""
+    w = whole_vectors(spark, sf_dir)
+    points.write_neighbours(exhaustive(w, w, 3), at := _place(spark))
+    return points.read_neighbours(spark, at)
+
+
+@query("SELECT strftime(ts, '%a %b %d %H:%M:%S %Y') || chr(9) || event_type || ' ' || event_id AS line FROM events")
+def text_log(spark, sf_dir):
+    """Time and message of each event, appended to a log of lines."""
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("message"), "event_id")
+    at = _place(spark)
+    for part in (0, 1):
+        points.write_text_log(e.where(F.col("event_id") % 2 == part), at, "ts", "message")
+    return spark.read.text(at).withColumnRenamed("value", "line")
+
+
+@query("SELECT doc_id AS image_id, 'f' || substr(md5(coalesce(text, '')), 1, 2) AS fingerprint FROM documents")
+def fingerprint_folders(spark, sf_dir):
+    """Images in a folder for each of 256 short fingerprints."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.concat(F.lit("f"), F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 2)).alias("fingerprint"))
+    points.write_by_fingerprint(rows.repartition("fingerprint"), at := _place(spark))
+    return spark.read.parquet(at).select("image_id", "fingerprint")
+
+
 WIRE = ("w AS (SELECT page_id, repeat(url, 1 + page_id % 12) AS url, page_id * 7 % 260 AS n, ('0x' || substr(md5(url), 1, 15))::BIGINT AS fingerprint FROM pages)")
 
 

@@ -395,13 +395,13 @@ def _events(spark, sf_dir):
 
 @query("SELECT event_type AS op, CASE WHEN value >= 10 THEN 'success' ELSE 'failure' END AS outcome, count(*) AS n FROM events GROUP BY ALL")
 def stream_counters(spark, sf_dir):
-    return requests.drain(requests.counters(request_rows(_events(spark, sf_dir)), "op", "outcome"), "counters_" + uuid.uuid4().hex, "complete")
+    return requests.drain(requests.counters(request_rows(_events(spark, sf_dir)), "op", "outcome"), "counters_" + uuid.uuid4().hex, "update", ["op", "outcome"])
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark, sf_dir):
     w = requests.windowed(_events(spark, sf_dir), "ts", "event_type")
-    done = requests.drain(w, "windows_" + uuid.uuid4().hex, "complete")
+    done = requests.drain(w, "windows_" + uuid.uuid4().hex, "update", ["window", "event_type"])
     return done.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 

@@ -96,6 +96,23 @@ def _saved(spark, sf_dir, blocks=BLOCKS):
     return path
 
 
+@query("WITH " + PLANTED + " SELECT CASE WHEN image_id < 50000000 THEN 0 ELSE 1 END AS generation, CASE WHEN image_id < 50000000 THEN image_id ELSE image_id + 7 END AS key, ord, b1 FROM pl")
+def index_generations(spark, sf_dir):
+    """Two generations of a sorted index on disk, the keys of the second moved."""
+    path, rows = f"{ordering.shared_folder(spark)}/sorted-{uuid.uuid4().hex}", planted(spark, sf_dir)
+    for g, part in ((0, F.col("image_id") < 50_000_000), (1, F.col("image_id") >= 50_000_000)):
+        sorted_index.save_generation(rows.where(part), path, g, "image_id", 7 * g, ["b1"])
+    return sorted_index.generations(spark, path, "b1").select(F.col("generation").cast("int").alias("generation"), F.col("image_id").alias("key"), "ord", "b1")
+
+
+@query("WITH " + PLANTED + " SELECT true AS whole, count(*) AS n FROM pl WHERE b0 BETWEEN 16384 AND 32767")
+def reloaded_index(spark, sf_dir):
+    """Whether all orders of an index are there once its files are looked up again, and the rows of a key range."""
+    path = _saved(spark, sf_dir)
+    whole = sorted_index.reload(spark, path)
+    return sorted_index.between(spark, path, "b0", 16384, 32767).agg(F.lit(whole).alias("whole"), F.count("*").alias("n"))
+
+
 @query("WITH " + PLANTED + " SELECT format('{:04x}{:04x}{:04x}{:04x}', b0, b1, b2, b3) AS sketch, image_id AS key FROM pl")
 def print_points(spark, sf_dir):
     return planted(spark, sf_dir).select(hex_sketch([F.col(b) for b in BLOCKS], 16).alias("sketch"), F.col("image_id").alias("key"))

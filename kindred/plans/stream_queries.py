@@ -12,7 +12,7 @@ from kindred.sources.url_queue import url_stream
 from kindred.streaming import observe, requests, stateful
 
 from .registry import query, table
-from .relation_queries import request_rows
+from .relation_queries import COMMAND, commands, request_rows
 
 #: Micro-batches, at least, and rows of one, about.
 PARTS, PART_ROWS = 5, 1_000_000
@@ -64,6 +64,15 @@ def stream_allocator(spark, sf_dir):
     return told.groupBy("pid").agg(given.alias("inserted"), freed.alias("freed")).where("inserted > 0").join(held, "pid").select("pid", "inserted", "freed", "held", "shared")
 
 
+@query(f"WITH c AS (SELECT event_id, string_split({COMMAND}, ' ') AS t FROM events) SELECT event_id, t[1] AS op, CASE WHEN t[1] = 'delete' THEN '' ELSE coalesce(t[2], '') END AS url, "
+       "CASE WHEN t[1] = 'delete' THEN coalesce(t[2], '') ELSE coalesce(t[3], '') END AS pid, true AS valid FROM c")
+def stream_requests(spark, sf_dir):
+    """Commands parsed from a stream of five files or more."""
+    c = commands(table(spark, sf_dir, "events")).select("event_id", "command")
+    stream = _stream(spark, _in_files(spark, c, "event_id"), c.schema)
+    return requests.drain(requests.parse_commands(stream).select("event_id", "op", "url", "pid", "valid"), "requests_" + uuid.uuid4().hex)
+
+
 @query("SELECT url FROM pages WHERE trim(url) <> ''")
 def stream_url_queue(spark, sf_dir):
     """Urls from a spool folder: three runs of one bounded micro-batch, then one to the end, each going on where the last stopped."""

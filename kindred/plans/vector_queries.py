@@ -10,8 +10,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kindred.functions import descriptors as D
+from kindred.functions.bits import delta_hamming as bits_delta
 from kindred.functions.bits import pack_bits, texture_bits, trimmed_mean_bits
-from kindred.functions.lsh import HyperPlane, Repeat, StableDistribution, Tail
+from kindred.functions.lsh import HyperPlane, Repeat, StableDistribution, Tail, Threshold, Trivial, Xor
 from kindred.operators import images, knn, linear, ordering, pruned, sampling
 from kindred.operators.index_store import FlatIndex, ForestIndex
 from kindred.operators.lsh_model import RecallTable, apost_nearest, search_to_recall, train_probes
@@ -104,6 +105,32 @@ def quantize_descriptors(spark, sf_dir):
     return _flat(magnitudes(spark, sf_dir).withColumn("q", D.quantise(D.resize(F.col("desc"), 1.0))), "q")
 
 
+@query(f"SELECT vec_id, generate_subscripts(embedding, 1)::BIGINT - 1 AS pos, unnest(list_transform({V}, lambda v: greatest(v * 1.5::DOUBLE, 0))) AS x FROM embeddings")
+def resize_descriptors(spark, sf_dir):
+    """Components one and a half times as large, none below zero."""
+    return _flat(vectors(spark, sf_dir).withColumn("q", D.resize(F.col("vec"), 1.5)), "q")
+
+
+@query(f"SELECT vec_id, 0::BIGINT AS trivial, CASE WHEN embedding[4] >= 0 THEN 1 ELSE 0 END::BIGINT AS threshold, "
+       "xor(CASE WHEN embedding[1] >= 0 THEN 1 ELSE 0 END, CASE WHEN embedding[2]::DOUBLE >= 0.05::DOUBLE THEN 1 ELSE 0 END)::BIGINT AS both, "
+       "least(abs(embedding[1]::DOUBLE), abs(embedding[2]::DOUBLE - 0.05::DOUBLE)) AS delta FROM embeddings")
+def simple_hashes(spark, sf_dir):
+    """The trivial hash, a threshold, and two of them joined by exclusive or, with how near that is to changing."""
+    v, pair = F.col("vec"), Xor((Threshold(0, 0.0), Threshold(1, 0.05)))
+    return vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), Trivial().hash(v).alias("trivial"), Threshold(3, 0.0).hash(v).alias("threshold"),
+                                         pair.hash(v).alias("both"), pair.delta(v).alias("delta"))
+
+
+@query(f"WITH n AS (SELECT vec_id, {INT} AS a, lead({INT}) OVER (ORDER BY vec_id) AS b FROM embeddings) SELECT vec_id, "
+       "list_sum(list_transform(list_zip(a, b), lambda p: CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN abs(p[1]) ELSE 0 END))::BIGINT AS distance FROM n WHERE b IS NOT NULL")
+def delta_hamming(spark, sf_dir):
+    """Bits in which the signs of a vector and the next one differ, each weighted by how far the first is from changing."""
+    whole = lambda c: F.transform(c, lambda x: F.floor(256 * x))
+    rows = _with_next(spark, sf_dir).select("id", whole("a").alias("a"), whole("b").alias("b"))
+    flags = lambda c: F.transform(c, lambda x: x > 0)
+    return rows.select(F.col("id").alias("vec_id"), bits_delta(flags("a"), flags("b"), F.transform("a", F.abs)).alias("distance"))
+
+
 @query(f"SELECT vec_id, generate_subscripts(embedding, 1)::BIGINT - 1 AS pos, unnest(list_transform({DESC}, lambda v: round(least((ln(greatest(v, 0.001::DOUBLE)) + -ln(0.001::DOUBLE)) / -ln(0.001::DOUBLE), 1), 6))) AS x FROM embeddings")
 def logscale_descriptors(spark, sf_dir):
     return _flat(magnitudes(spark, sf_dir).withColumn("q", F.transform(D.log_scale(F.col("desc")), lambda v: F.round(v, 6))), "q")
@@ -412,6 +439,22 @@ def mplsh_recall(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+#: Bins of a table are kept modulo so many.
+MODULO = knn.Modulo((1, 31, 961), 101)
+
+
+def _modulo_sql(digits: str) -> str:
+    at = " + ".join(f"{digits}[{i + 1}] * {f}" for i, f in enumerate(MODULO.factors))
+    return f"((({at}) % {MODULO.bins} + {MODULO.bins}) % {MODULO.bins})"
+
+
+@query(f"WITH {PROBING}{RANK} SELECT q_id, id, dist, probe, rank FROM k WHERE rank <= 5".replace("pr.bin = t.own", f"{_modulo_sql('pr.bin')} = {_modulo_sql('t.own')}"))
+def mplsh_modulo(spark, sf_dir):
+    """The same with a table's bins modulo a number, so that far bins meet too."""
+    w = whole_vectors(spark, sf_dir)
+    return _whole(knn.probe_nearest(w, w, PROBED, PROBES, 5, MODULO))
+
+
 #: Widths are those of Gaussian hashes: whole numbers drawn from -8..8 without 0 have this deviation.
 SPREAD = (sum(i * i for i in range(1, 9)) / 8) ** 0.5
 _REACH = RecallTable.simulate(WIDTH / SPREAD, 3, PROBES, 30.0, 600.0, tables=4)
@@ -464,6 +507,41 @@ def image_fingerprint(spark, sf_dir):
     return images.fingerprints(pictures(spark, sf_dir))
 
 
+def _area_sql(width: int, height: int, rows: int) -> list[str]:
+    """Pixels of the first rows of a 96 x 96 picture of 8 x 8 tiles, made ``width`` x ``height`` by means of areas, half to even."""
+    out = []
+    for y in range(rows):
+        for x in range(width):
+            terms = []
+            for r in range(8):  # a tile is ``height`` units high, a new row 8 units
+                cover = min(8 * (y + 1), height * (r + 1)) - max(8 * y, height * r)
+                if cover > 0:
+                    terms += [f"p[{8 * r + c + 1}] * {cover}" for c in range(8 * x // width, 8 * (x + 1) // width)]
+            out.append(f"round_even(({' + '.join(terms)})::DOUBLE / {8 * (8 // width)}, 0)::BIGINT")
+    return out
+
+
+def _signed(name: str) -> str:
+    return f"(CASE WHEN {name} >= 9223372036854775808::HUGEINT THEN {name} - 18446744073709551616::HUGEINT ELSE {name} END)::BIGINT AS {name}"
+
+
+def _set_bits(of: str, least: str, n: int, first: int = 0) -> str:
+    return f"list_sum(list_transform(range({n}), lambda k: CASE WHEN {of}[k + 1] >= {least} THEN 1::HUGEINT << (k + {first})::INT ELSE 0::HUGEINT END))::HUGEINT"
+
+
+@query(f"WITH t AS (SELECT vec_id, {LEVEL} AS p FROM embeddings), "
+       f"r AS (SELECT vec_id, [{', '.join(_area_sql(8, 12, 7))}] AS a, [{', '.join(_area_sql(8, 6, 5))}] AS b, [{', '.join(_area_sql(4, 5, 4))}] AS c FROM t), "
+       "s AS (SELECT *, list_sum(a)::BIGINT // 56 AS mean, list_sum(b)::BIGINT AS total FROM r), "
+       f"f AS (SELECT vec_id, {_set_bits('a', 'mean', 56)} + (mean::HUGEINT << 56) AS by_mean, {_set_bits('b', 'total // 40', 40, 24)} + (total % 65536)::HUGEINT AS by_sum, "
+       "list_sum(list_transform(range(16), lambda k: (c[k + 1] // 16)::HUGEINT << (4 * (15 - k))::INT))::HUGEINT AS by_nibbles FROM s) "
+       f"SELECT vec_id AS image_id, {', '.join(map(_signed, ('by_mean', 'by_sum', 'by_nibbles')))} FROM f")
+def image_fingerprint_forms(spark, sf_dir):
+    """The three older forms of a picture's fingerprint."""
+    held = pictures(spark, sf_dir)
+    parts = [images.fingerprints(held, kind).withColumnRenamed("fingerprint", name) for kind, name in (("mean", "by_mean"), ("sum", "by_sum"), ("nibbles", "by_nibbles"))]
+    return parts[0].join(parts[1], "image_id").join(parts[2], "image_id")
+
+
 def colour_pictures(spark, sf_dir):
     """Each vector as 8 x 8 coloured pixels: blue, green and red are its levels in three orders."""
     level = F.transform("vec", lambda x: F.least(F.greatest(F.floor(x * 400 + 128), F.lit(0)), F.lit(255)))

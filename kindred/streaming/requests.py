@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kindred.operators.ordering import shared_folder
 
@@ -64,12 +65,13 @@ def route(stream: DataFrame, handlers: dict[str, Callable[[DataFrame], None]], c
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
     """Runs a bounded stream to its end and gives what it has put out, for reports and tests.
 
-    In append mode results go to Parquet files; in complete mode each micro-batch's whole result replaces the one
-    before. Both, and the stream's state, lie in the session's shared folder below ``name``, so nothing
-    passes through the driver and a lost executor costs no more than its micro-batch.
+    In append mode results go to Parquet files. In update mode a micro-batch writes only the rows that it has changed, and
+    the last of each of ``keys`` counts; state behind the watermark can go. Both, and the stream's state, lie in the
+    session's shared folder below ``name``, so nothing passes through the driver, a micro-batch that runs again replaces its
+    own files, and a lost executor costs no more than its micro-batch.
     """
     spark = stream.sparkSession
     at = f"{shared_folder(spark)}/{name}"
@@ -77,14 +79,15 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     if mode == "append":
         out.format("parquet").start(f"{at}/out").awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{at}/out")
-    last = []
+    spark.createDataFrame([], stream.schema).write.parquet(f"{at}/out/batch=-1")  # so that there is something to read
 
-    def replace(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out-{number}")
-        last[:] = [f"{at}/out-{number}"]
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
-    out.foreachBatch(replace).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(*last) if last else spark.createDataFrame([], stream.schema)
+    out.foreachBatch(put).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    told = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{at}/out")
+    return told.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest]).select(*stream.columns)
 
 
 # replies and admin commands of the servers, over the same rows

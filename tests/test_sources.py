@@ -76,11 +76,11 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     batch = events(spark, sf)
     batch.repartition(4).write.parquet(str(tmp_path / "e"))
     stream = lambda: requests.stream_table(spark, str(tmp_path / "e"), batch.schema)
-    n = requests.drain(requests.counters(stream(), "event_type"), "t_counters", "complete")
+    n = requests.drain(requests.counters(stream(), "event_type"), "t_counters", "update", ["event_type"])
     assert {tuple(r) for r in n.collect()} == {tuple(r) for r in requests.counters(batch, "event_type").collect()}
     first = requests.drain(requests.first_seen(stream(), "user_id", "ts", "3650 days"), "t_first")
     assert first.count() == batch.select("user_id").distinct().count()
-    w = requests.drain(requests.windowed(stream(), "ts"), "t_windows", "complete")
+    w = requests.drain(requests.windowed(stream(), "ts", delay="3650 days"), "t_windows", "update", ["window"])
     assert sum(r.n for r in w.collect()) == batch.count()
 
 
