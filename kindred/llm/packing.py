@@ -198,7 +198,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     holds the rest or nothing joins any more. Offsets add up over the levels.
 
     Null text counts as empty and gives the end id alone; repeated rows and ids are packed like
-    others; null ids stay null; an empty table gives no rows.
+    others; null ids stay null; texts of any length are cut into pieces, none left out; an empty table gives
+    no rows; other columns are ignored, whatever their names.
     """
     with small_batches(docs.sparkSession):
         pieces = checkpointed(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col).withColumn(

@@ -30,8 +30,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, seed: int = SEED, id_col:
 
     Result: doc_id, size (UTF-8 bytes + 8), text_crc32, law ('rows'), shard, slot (gapless
     from 0), grown_shard (null under this law), source. Null text counts as empty; null source
-    is a source of its own; repeated ids are ordered by checksum and size; an empty table gives
-    no rows; other columns are ignored.
+    is a source of its own; repeated ids are ordered by checksum and size; texts of any length are read
+    whole; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(

@@ -185,8 +185,8 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, severity, p_toxic, grade) of every whole text, in the rows' order.
 
     severity is the expected grade, grade the likeliest. Null and empty texts, and all texts
-    where no model could be fitted, have severity 0. Texts of any length are read whole; other columns are
-    ignored, whatever their names; an empty table gives no rows.
+    where no model could be fitted, have severity 0. Texts of any length are read whole; repeated rows are
+    scored each; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     def run(batches):
         of = Features(model[0]) if model else None
@@ -221,7 +221,8 @@ def grade_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs without the rejected ones, all columns as they are, whatever their names, in one pass after the fit.
 
-    Null and empty texts stay; see grade_documents() for ids and labels.
+    Null and empty texts stay, and all rows where no model can be fitted; repeated rows are judged each; an empty table
+    stays empty. See grade_documents() for ids and labels.
     """
     model = fit(docs, labels, text_col=text_col, **options)
     if not model:
