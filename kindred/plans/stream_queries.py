@@ -27,6 +27,8 @@ def _in_files(spark, df, order: str) -> str:
     """df in one file a micro-batch, earlier rows in earlier files."""
     at = f"{_place(spark)}/in"
     low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
+    if not n:
+        df.write.parquet(at)
     parts = max(PARTS, -(-n // PART_ROWS))
     for k in range(parts if n else 0):
         a, b = low + (high + 1 - low) * k // parts, low + (high + 1 - low) * (k + 1) // parts
