@@ -61,7 +61,7 @@ def planted(spark, sf_dir):
                 "shiftleft", F.lit(1).cast("bigint"), (at % 16).cast("int"))).otherwise(zero)
         return total
     copies = copies.select((F.col("image_id") + F.col("j") * FAR).alias("image_id"), "ord",
-                           *[F.col(b).bitwiseXOR(mask(k)).alias(b) for k, b in enumerate(BLOCKS)])
+                           *[F.coalesce(F.col(b).bitwiseXOR(mask(k)), zero).alias(b) for k, b in enumerate(BLOCKS)])  # never null, so joins add no filter that computes them again
     return base.drop("vec_id").unionByName(copies)
 
 
