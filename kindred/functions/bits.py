@@ -58,17 +58,6 @@ def pack_bits(flags: Column, block: int, bits: int) -> Column:
         "shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, x: s + x)
 
 
-def packed(flags: Sequence[Column]) -> Column:
-    """Bits given one by one, the first lowest, as a number that is never null; a null bit counts as 0.
-
-    Written out instead of folded over an array, so that it is compiled with what stands around it.
-    """
-    total = F.lit(0).cast("bigint")
-    for i, f in enumerate(flags):
-        total = total + F.when(f, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    return total
-
-
 def sign_bits(x: Column) -> Column:
     return F.transform(x, lambda v: v > 0)
 

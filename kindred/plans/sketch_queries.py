@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from kindred.functions import bits
-from kindred.functions.bits import BLOCKS, hex_sketch, packed
+from kindred.functions.bits import BLOCKS, hex_sketch, pack_bits, sign_bits
 from kindred.operators import ordering, search, sorted_index, store
 from kindred.operators.hamming_join import block_rows, hamming_join
 from kindred.operators.sampling import greedy_dedup
@@ -38,30 +38,27 @@ RANKED = ("WITH " + HITS.format(t=7) + IMAGES + ", v AS (SELECT query_id, image_
 
 def sketches(spark, sf_dir):
     rows = ordering.spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id"))
+    flags = sign_bits(F.col("embedding"))
     return rows.select(
         "vec_id", (F.floor(F.col("vec_id") / 5) + 1).alias("image_id"), (F.col("vec_id") % 5).alias("ord"),
-        *[packed([F.col("embedding")[16 * k + i] > 0 for i in range(16)]).alias(b) for k, b in enumerate(BLOCKS)])
+        *[_never_null(pack_bits(flags, k, 16)).alias(b) for k, b in enumerate(BLOCKS)])
 
 
-#: Most bits that a copy differs in: ten copies, up to four more pairs of bits by ord.
-MOST_FLIPS = 18
+def _never_null(block):
+    """So that joins on blocks add no filter that computes them again."""
+    return F.coalesce(block, F.lit(0).cast("bigint"))
 
 
 def planted(spark, sf_dir):
     """The sketches and ten copies of each, with j + 2 * ord flipped bits in copy j."""
     base = sketches(spark, sf_dir)
-    copies = base.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    copies = base.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(10)))).withColumn("at", F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("j") + 2 * F.col("ord") - 1), lambda t: (F.col("vec_id") * 7 + 13 * t) % 64))
     zero = F.lit(0).cast("bigint")
-
-    def mask(k):
-        total = zero
-        for t in range(MOST_FLIPS):
-            at = (F.col("vec_id") * 7 + 13 * t) % 64
-            total = total + F.when((t < F.col("j") + 2 * F.col("ord")) & (F.shiftright(at, 4) == k), F.call_function(
-                "shiftleft", F.lit(1).cast("bigint"), (at % 16).cast("int"))).otherwise(zero)
-        return total
+    mask = lambda k: F.aggregate("at", zero, lambda s, p: s + F.when(
+        F.floor(p / 16) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), (p % 16).cast("int"))).otherwise(zero))
     copies = copies.select((F.col("image_id") + F.col("j") * FAR).alias("image_id"), "ord",
-                           *[F.coalesce(F.col(b).bitwiseXOR(mask(k)), zero).alias(b) for k, b in enumerate(BLOCKS)])  # never null, so joins add no filter that computes them again
+                           *[_never_null(F.col(b).bitwiseXOR(mask(k))).alias(b) for k, b in enumerate(BLOCKS)])
     return base.drop("vec_id").unionByName(copies)
 
 
