@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.plans.catalogue import QUERIES
 from kindred.sources import binary, points
 
 
@@ -74,6 +75,23 @@ def test_files_without_the_keys_are_left_out(spark, tmp_path):
     assert points.read_points(spark, at).where("key between 10 and 20").count() == 11
 
 
+def test_one_matrix_file_takes_the_rows_of_all_tasks(spark, tmp_path):
+    at = f"{tmp_path}/one/m"
+    df = spark.range(25_000).select(F.array(*[(F.col("id") + i).cast("float") for i in range(4)]).alias("vec"))
+    assert points.write_matrix_file(df.repartition(5), at) == 25_000
+    assert [tuple(r)[1:] for r in points.peek_matrix(spark, at).collect()] == [(4, 25_000, 4)]
+    got = points.read_matrix(spark, at, span_bytes=10_000).collect()
+    assert sorted(r.vec[0] for r in got) == sorted(r.row_id for r in got) == list(range(25_000))
+    assert points.write_matrix_file(df.limit(0), f"{tmp_path}/none") == 0
+    assert [tuple(r)[1:] for r in points.peek_matrix(spark, f"{tmp_path}/none").collect()] == [(4, 0, 0)]
+    with pytest.raises(ValueError):
+        points.write_matrix_file(df.union(spark.createDataFrame([([1.0],)], "vec array<float>")), f"{tmp_path}/ragged")
+
+
+def test_a_matrix_query_counts_its_one_file(spark, sf):
+    assert QUERIES["matrix_heads"](spark, sf).columns == ["files", "rows", "columns"]
+
+
 def test_matrices_of_several_files_come_back_whole(spark, tmp_path):
     at = str(tmp_path / "m")
     df = spark.range(25_000).select(F.array(*[(F.col("id") + i).cast("float") for i in range(4)]).alias("vec"))
