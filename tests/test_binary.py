@@ -92,6 +92,11 @@ def test_a_matrix_query_counts_its_one_file(spark, sf):
     assert QUERIES["matrix_heads"](spark, sf).columns == ["files", "rows", "columns"]
 
 
+def test_raw_records_of_a_label_share_its_url(spark, sf):
+    labels = {f"label{r.label}" for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("label").distinct().collect()}
+    assert {r.url for r in QUERIES["raw_record_files"](spark, sf).select("url").distinct().collect()} == labels
+
+
 def test_matrices_of_several_files_come_back_whole(spark, tmp_path):
     at = str(tmp_path / "m")
     df = spark.range(25_000).select(F.array(*[(F.col("id") + i).cast("float") for i in range(4)]).alias("vec"))
