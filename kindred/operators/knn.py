@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -45,14 +46,67 @@ def nearest(candidates: DataFrame, k: int | None, metric: Callable[[Column, Colu
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+#: Bytes of a block's vectors, at most, where tables are large: copies of a row grow with the number of blocks, which this keeps low.
+BLOCK_BYTES = 32 << 20
+#: Distances that a task holds at once, and columns whose k-th distance bounds the others.
+HELD, BOUND = 1 << 20, 4096
+
+
+def _blocks(n: int, dim: int, cores: int, block_rows: int) -> int:
+    """Blocks of n rows: no more than the cells need to keep all cores busy, unless a block would hold too many bytes."""
+    few = -(-n // max(block_rows, BLOCK_BYTES // (8 * max(1, dim))))
+    return max(1, few, min(-(-n // block_rows), math.ceil(math.sqrt(3 * cores))))
+
+
+def _exact(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and their squared norms: in single precision where all sums are whole and below 2^24, so exact in it too."""
+    norm = np.einsum("ij,ij->i", x, x)
+    if len(x) and norm.max() < 2**22 and (x == np.rint(x)).all():
+        return x.astype(np.float32), norm.astype(np.float32)
+    return x, norm
+
+
+def _near(a: tuple, b: tuple, k: int | None, within: float | None = None):
+    """(rows of a, rows of b, dist) in pieces: of each of a its k nearest of b, those nearer than ``within``, or both.
+
+    Both are (ids, vectors, norms), b by id; rows of one id are no pair. Ties by id. What lies beyond the k-th distance among the first
+    columns is left out before anything is sorted.
+    """
+    (a_ids, x, a_norm), (b_ids, y, b_norm) = a, b
+    step = max(1, min(256, HELD // max(1, len(y))))
+    for lo in range(0, len(x), step) if len(y) else ():
+        ids, some = a_ids[lo:lo + step], x[lo:lo + step]
+        dist = a_norm[lo:lo + step, None] + b_norm
+        dist -= (2 * some) @ y.T
+        first, end = np.searchsorted(b_ids, ids), np.searchsorted(b_ids, ids, "right")
+        for extra in range(int((end - first).max())):
+            at = np.flatnonzero(end - first > extra)
+            dist[at, first[at] + extra] = np.inf
+        keep = dist < within if within is not None else dist < np.inf
+        if k is not None and len(y) > k:
+            keep &= dist <= np.partition(dist[:, :max(BOUND, 4 * k)], k - 1, axis=1)[:, k - 1:k]
+        row, col = np.divmod(np.flatnonzero(keep), len(y))
+        found = np.maximum(dist[row, col], 0).astype(np.float64)
+        if k is not None and len(row):
+            order = np.lexsort((col, found, row))
+            row, col, found = row[order], col[order], found[order]
+            at = np.arange(len(row))
+            on = at - at[np.searchsorted(row, row)] < k
+            row, col, found = row[on], col[on], found[on]
+        yield row + lo, col, found
+
+
 def exhaustive(queries: DataFrame, rows: DataFrame, k: int | None = None, within: float | None = None,
                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """nearest() under squared L2 over all pairs: (q_id, id, dist, rank), dist as double.
 
     The cells are those of pairs_by_block, but a cell is one matrix product in an Arrow batch and
-    returns its own k best (or those within) per query only. Whole-numbered vectors are exact.
+    returns its own k best (or those within) per query only. Whole-numbered vectors are exact. Blocks grow with the tables to
+    BLOCK_BYTES. Without k a query's finds travel as one list a cell, and are ranked as they are merged.
     """
-    n, parts = max(1, -(-queries.count() // block_rows)), max(1, -(-rows.count() // block_rows))
+    spark = queries.sparkSession
+    asked, (held, dim) = queries.count(), rows.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    n, parts = (_blocks(c, dim, spark.sparkContext.defaultParallelism, block_rows) for c in (asked, held))
     part = lambda m: F.pmod(F.xxhash64("id"), F.lit(m))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     vec = F.col("vec").cast("array<double>").alias("vec")
@@ -61,27 +115,54 @@ def exhaustive(queries: DataFrame, rows: DataFrame, k: int | None = None, within
 
     def cell(t: pa.Table) -> pa.Table:
         ask, ids = t.column("ask").to_numpy(), t.column("id").to_numpy()
-        x = pa.concat_arrays(t.column("vec").chunks).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        a, b, a_ids, b_ids = x[ask], x[~ask], ids[ask], ids[~ask]
-        order = np.argsort(b_ids, kind="stable")
-        b, b_ids = b[order], b_ids[order]
-        norms, out = np.einsum("ij,ij->i", b, b), []
-        for lo in range(0, len(a), 256) if len(b) else ():
-            some = a[lo:lo + 256]
-            dist = np.maximum(np.einsum("ij,ij->i", some, some)[:, None] + norms - 2 * (some @ b.T), 0)
-            for q_id, d in zip(a_ids[lo:lo + 256], dist):
-                at = np.flatnonzero((b_ids != q_id) & (d < within) if within is not None else b_ids != q_id)
-                if k is not None and len(at) > k:
-                    at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
-                    at = at[np.argsort(d[at], kind="stable")][:k]
-                out.append((np.full(len(at), q_id), b_ids[at], d[at]))
+        x, norm = _exact(pa.concat_arrays(t.column("vec").chunks).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1))
+        a, b = np.flatnonzero(ask), np.flatnonzero(~ask)
+        b = b[np.argsort(ids[b], kind="stable")]
+        out = [(ids[a][i], ids[b][j], d) for i, j, d in _near((ids[a], x[a], norm[a]), (ids[b], x[b], norm[b]), k, within)]
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if k is None:
+            first = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]])) if len(cols[0]) else np.zeros(0, np.int64)
+            ends = pa.array(np.append(first, len(cols[0])), pa.int32())
+            return pa.table({"q_id": pa.array(cols[0][first]), "id": pa.ListArray.from_arrays(ends, pa.array(cols[1])), "dist": pa.ListArray.from_arrays(ends, pa.array(cols[2]))})
         return pa.table(dict(zip(("q_id", "id", "dist"), map(pa.array, cols))))
 
-    best = q.unionByName(r).groupBy("block", "part").applyInArrow(cell, "q_id bigint, id bigint, dist double")
+    cells = q.unionByName(r).groupBy("block", "part")
+    if k is None:
+        lists = cells.applyInArrow(cell, "q_id bigint, id array<bigint>, dist array<double>")
+        return lists.repartition("q_id").sortWithinPartitions("q_id").mapInArrow(_merged, "q_id bigint, id bigint, dist double, rank bigint")
+    best = cells.applyInArrow(cell, "q_id bigint, id bigint, dist double")
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy("dist", "id")).cast("bigint")
-    ranked = best.withColumn("rank", rank)
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _merged(batches):
+    """Rows (q_id, id, dist, rank) from lists of finds that come by q_id."""
+    def ranked(q, ids, dist):
+        order = np.lexsort((ids, dist))
+        for lo in range(0, len(order), 1 << 20):
+            at = order[lo:lo + (1 << 20)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q)), pa.array(ids[at]), pa.array(dist[at]), pa.array(np.arange(lo, lo + len(at)) + 1)], names=["q_id", "id", "dist", "rank"])
+
+    last, held, out, n = None, [], [], 0
+
+    def closed():
+        return ranked(last, np.concatenate([i for i, _ in held]), np.concatenate([d for _, d in held]))
+
+    for b in batches:
+        for at, q in enumerate(b.column(0).to_pylist()):
+            if held and q != last:
+                out += closed()
+                n += out[-1].num_rows
+                held = []
+                if n >= 1 << 16:
+                    yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                    out, n = [], 0
+            last = q
+            held.append((b.column(1)[at].values.to_numpy(), b.column(2)[at].values.to_numpy()))
+    if held:
+        out += closed()
+    if out:
+        yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
 
 def tables(rows: DataFrame, hashes: Sequence[Lsh]) -> DataFrame:
@@ -100,34 +181,48 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
 
 def _groups(batches):
     """Tables of whole groups of equal (key, i, j) from sorted batches, with the first row of each."""
-    held = None
+    held, last = [], None
     for b in batches:
-        t = pa.Table.from_batches([b])
-        t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
-        if t.num_rows:
-            codes = [t.column("key").combine_chunks().dictionary_encode().indices.to_numpy(), t.column("i").to_numpy(), t.column("j").to_numpy()]
-            first = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in codes], axis=0)]))
-            if len(first) > 1:
-                yield t.slice(0, first[-1]), first[:-1]
-            held = t.slice(first[-1])
-    if held is not None:
-        yield held, np.zeros(1, np.int64)
-
-
-def nearest_in_bins(asks: DataFrame, index: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+        if not b.num_rows:
+            continue
+        columns = [b.column(c) for c in ("key", "i", "j")]
+        codes = [columns[0].dictionary_encode().indices.to_numpy(), columns[1].to_numpy(), columns[2].to_numpy()]
+        first = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in codes], axis=0)]))
+        if held and last == [c[0].as_py() for c in columns]:
+            first = first[1:]
+        last = [c[-1].as_py() for c in columns]
+        if not len(first):
+            held.append(b)
+            continue
+        before, cut = sum(h.num_rows for h in held), first[-1]
+        if before + cut:
+            starts = first[:-1] + before
+            yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks(), np.concatenate([[0], starts]) if before else starts
+        held = [b.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks(), np.zeros(1, np.int64)
+
+
+def nearest_in_bins(asks: DataFrame, index: DataFrame, k: int, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(q_id, id, dist, probe): of every bin that a query asks for its k nearest rows by squared L2, ties by id.
 
     ``asks(q_id, q_vec, tab, bin, probe)`` meets ``index(tab, bin, id, vec)``; the k nearest of the union of bins are
-    among these. A bin is one matrix product in an Arrow batch, so pairs are never rows. Bins of
-    more than ``block_rows`` queries or rows are dealt in pieces, each piece of queries to each piece of rows.
-    Null vectors take no part.
+    among these. A bin is one matrix product in an Arrow batch, so pairs are never rows. Large bins are dealt in pieces,
+    each piece of queries to each piece of rows: of ``block_rows``, or where there is more than enough for all cores, of up to
+    ``block_bytes`` of vectors, so that few copies of a row travel. Null vectors take no part.
     """
+    cores = asks.sparkSession.sparkContext.defaultParallelism
     key = F.concat_ws(":", F.col("tab").cast("string"), F.col("bin").cast("string")).alias("key")
     q = asks.where("q_vec IS NOT NULL").select(key, F.col("q_id").alias("id"), F.col("q_vec").cast("array<double>").alias("vec"), "probe", F.lit(True).alias("ask"))
     r = index.where("vec IS NOT NULL").select(key, "id", F.col("vec").cast("array<double>").alias("vec"), F.lit(0).alias("probe"), F.lit(False).alias("ask"))
-    pieces = lambda df, name: df.groupBy("key").count().where(F.col("count") > block_rows).select(
-        "key", F.ceil(F.col("count") / block_rows).cast("int").alias(name))
-    hot = pieces(q, "of_q").join(pieces(r, "of_r"), "key", "full")
+
+    def pieces(df, name):
+        counted = df.groupBy("key").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim"))
+        whole = counted.agg(F.sum("n").alias("total"), F.max("dim").alias("dim"))  # one row
+        most = F.greatest(F.lit(block_rows), F.least(F.ceil(F.col("total") / (4 * cores)), F.ceil(F.lit(block_bytes) / (8 * F.greatest(F.col("dim"), F.lit(1))))))
+        return counted.drop("dim").join(F.broadcast(whole.select(most.alias("most"))), F.lit(True)).where("n > most").select("key", F.ceil(F.col("n") / F.col("most")).cast("int").alias(name))
+
+    hot = F.broadcast(pieces(q, "of_q").join(pieces(r, "of_r"), "key", "full"))  # a row of it stands for more than block_rows rows
     of_q, of_r = F.coalesce("of_q", F.lit(1)), F.coalesce("of_r", F.lit(1))
     every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
     own = lambda m: F.pmod(F.xxhash64("id"), m).cast("int")
@@ -137,20 +232,12 @@ def nearest_in_bins(asks: DataFrame, index: DataFrame, k: int, block_rows: int =
     def run(batches):
         for t, first in _groups(batches):
             ids, ask, probe = (t.column(c).to_numpy() for c in ("id", "ask", "probe"))
-            x = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            norm, out = np.einsum("ij,ij->i", x, x), []
+            x, norm = _exact(t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1))
+            out = []
             for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(ids)]):
                 mid = lo + int((~ask[lo:hi]).sum())  # rows come before queries, each by id
-                for a in range(mid, hi, 256) if mid > lo else ():
-                    z = min(a + 256, hi)
-                    dist = np.maximum(norm[a:z, None] + norm[lo:mid] - 2 * (x[a:z] @ x[lo:mid].T), 0)
-                    dist[ids[a:z, None] == ids[lo:mid]] = np.inf
-                    if mid - lo > k:
-                        bound = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
-                        row, col = np.nonzero((dist <= bound) & np.isfinite(dist))
-                    else:
-                        row, col = np.nonzero(np.isfinite(dist))
-                    out.append((ids[a:z][row], ids[lo:mid][col], dist[row, col], probe[a:z][row]))
+                for row, col, dist in _near((ids[mid:hi], x[mid:hi], norm[mid:hi]), (ids[lo:mid], x[lo:mid], norm[lo:mid]), k):
+                    out.append((ids[mid:hi][row], ids[lo:mid][col], dist, probe[mid:hi][row]))
             cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols[:3]), pa.array(cols[3], pa.int32())], names=["q_id", "id", "dist", "probe"])
 
@@ -160,7 +247,7 @@ def nearest_in_bins(asks: DataFrame, index: DataFrame, k: int, block_rows: int =
 
 def best_found(found: DataFrame, k: int) -> DataFrame:
     """(q_id, id, dist, probe, rank): the k nearest of what several bins gave, each row once, at its first probe."""
-    once = found.groupBy("q_id", "id").agg(F.min("dist").alias("dist"), F.min("probe").alias("probe"))
+    once = found.repartition("q_id").groupBy("q_id", "id").agg(F.min("dist").alias("dist"), F.min("probe").alias("probe"))
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy("dist", "id")).cast("bigint")
     return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
