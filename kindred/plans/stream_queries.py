@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from kindred.functions.lsh import literal
 from kindred.operators.ordering import shared_folder
 from kindred.sources import points
 from kindred.sources.url_queue import url_stream
@@ -24,18 +25,31 @@ def _place(spark) -> str:
 
 
 def _in_files(spark, df, order: str) -> str:
-    """df in one file a micro-batch, earlier rows in earlier files."""
+    """df in one file a micro-batch, earlier rows in earlier files.
+
+    The rows are dealt to their parts once; then each part is read by itself and written after the one before it.
+    """
     at = f"{_place(spark)}/in"
     low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
     if not n:
         df.write.parquet(at)
+        return at
     parts = max(PARTS, -(-n // PART_ROWS))
-    for k in range(parts if n else 0):
-        a, b = low + (high + 1 - low) * k // parts, low + (high + 1 - low) * (k + 1) // parts
-        df.where((F.col(order) >= a) & (F.col(order) < b)).coalesce(1).write.mode("append").parquet(at)
+    borders = [low + (high + 1 - low) * k // parts for k in range(parts)]
+    part = F.size(F.filter(literal(borders), lambda x: x <= F.col(order))) - 1
+    df.where(F.col(order).isNotNull()).withColumn("_part", part).repartition("_part").write.partitionBy("_part").parquet(f"{at}-parts")
+    for k in range(parts):
+        here = f"{at}-parts/_part={k}"
+        if _there(spark, here):
+            spark.read.schema(df.schema).parquet(here).coalesce(1).write.mode("append").parquet(at)
     return at
 
 
+def _there(spark, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def _stream(spark, path, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
