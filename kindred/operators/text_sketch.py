@@ -11,15 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile("[a-z]+")
-#: Words whose digests a task holds.
-HELD_WORDS = 400_000
+#: Bytes of words and digests that a task holds, about, with what Python adds to each.
+HELD_BYTES, ENTRY_BYTES = 32 << 20, 200
 
 
 class _Digests(dict):
+    held = 0
+
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= HELD_WORDS:
+        if self.held >= HELD_BYTES:
             self.clear()
+            self.held = 0
         self[word] = d = hashlib.md5(word.encode(), usedforsecurity=False).digest()
+        self.held += len(word) + ENTRY_BYTES
         return d
 
 
@@ -40,10 +44,13 @@ def word_sketches(df: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches):
         of = _Digests()
         for b in batches:
-            words = [set(WORD.findall(t.as_py() or "")) for t in b.column(1)]
-            on = [bool(w) for w in words]
-            out = b"".join([majority([of[x] for x in w]) for w in words if w])
-            blocks = np.frombuffer(out, ">u4").astype(np.int64).reshape(-1, 4)
+            on, out = [], bytearray()
+            for t in b.column(1):  # a text's words go before the next one's come
+                words = {m.group() for m in WORD.finditer(t.as_py() or "")}
+                on.append(bool(words))
+                if words:
+                    out += majority([of[x] for x in words])
+            blocks = np.frombuffer(bytes(out), ">u4").astype(np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(on, pa.bool_())), *(pa.array(c) for c in np.ascontiguousarray(blocks.T))],
                                              names=[key, "b0", "b1", "b2", "b3"])
 
